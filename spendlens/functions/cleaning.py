@@ -24,7 +24,7 @@ def parse_currency(c: str | Column) -> Column:
 
 def parse_month_year(c: str | Column) -> Column:
     """``9/2022`` or ``09/2022`` → 2022-09-01; invalid → NULL."""
-    return F.try_to_date(F.concat(col(c), F.lit(MONTH_YEAR_SUFFIX)), F.lit(MONTH_YEAR_FORMAT))
+    return F.try_to_date(F.concat(col(c), F.lit(MONTH_YEAR_SUFFIX)), MONTH_YEAR_FORMAT)
 
 
 def parse_timestamp(c: str | Column) -> Column:

@@ -168,6 +168,9 @@ _ALL_SQL = with_ledger(
     "LEFT JOIN cat ON u.id = cat.client_id")
 
 
+ALL_KPIS_SQL = _ALL_SQL
+
+
 @register("all_kpis", B, "A9", _ALL_SQL)
 def all_kpis(led):
     return kpis.all_kpis(led)

@@ -53,8 +53,8 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load_all() -> None:
     # Importing the modules fills QUERIES.
-    from spendlens.plans import (q_basics, q_kpis, q_merchants, q_rewards,  # noqa: F401
-                                 q_spending)
+    from spendlens.plans import (q_basics, q_insights, q_kpis, q_merchants,  # noqa: F401
+                                 q_rewards, q_spending)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
