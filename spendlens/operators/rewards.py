@@ -71,24 +71,34 @@ class Rewards:
 
     def annual_spending(self) -> DataFrame:
         """R2: annualised spend per client × category, its rank, the client's
-        total and the number of purchases in the period."""
+        total and the number of purchases in the period.
+
+        Two-level aggregation: per client × mcc first (map-side combined;
+        also yields the purchase count before any category fan-out), then the
+        small MCC dimension is joined and folded per client × category."""
+        if getattr(self, "_sp", None) is not None:
+            return self._sp
         _, mult = reward_period(self.period)
-        rows = self.period_rows()
-        counts = rows.groupBy("client_id").agg(F.count(F.lit(1)).alias("transaction_count"))
-        g = (with_category(rows, self.ledger.mcc_codes).groupBy("client_id", "category")
-             .agg((F.sum(money("amount")) * F.lit(mult)).cast(SPEND_T).alias("_spend")))
+        by_mcc = self.period_rows().groupBy("client_id", "mcc").agg(
+            F.sum(money("amount")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+        g = (with_category(by_mcc, self.ledger.mcc_codes).groupBy("client_id", "category")
+             .agg((F.sum("_m") * F.lit(mult)).cast(SPEND_T).alias("_spend")))
+        counts = by_mcc.groupBy("client_id").agg(F.sum("_n").alias("transaction_count"))
         w = Window.partitionBy("client_id")
         rk = F.row_number().over(w.orderBy(F.col("_spend").desc(), F.col("category")))
         g = g.select("client_id", "category", "_spend",
                      F.col("_spend").cast("double").alias("annual_spending"),
                      F.sum("_spend").over(w).cast("double").alias("total_annual_spending"),
                      rk.cast("long").alias("spending_rank"))
-        return (g.withColumn("in_top5", F.col("spending_rank") <= 5)
-                 .join(counts, "client_id"))
+        self._sp = (g.withColumn("in_top5", F.col("spending_rank") <= 5)
+                     .join(counts, "client_id"))
+        return self._sp
 
     def key_spend(self, spending: DataFrame | None = None) -> DataFrame:
         """One row per client: spend per rate key (``_k0``…) and for all other
         categories (``_ko``)."""
+        if spending is None and getattr(self, "_ks", None) is not None:
+            return self._ks
         sp = self.annual_spending() if spending is None else spending
         cat = F.col("category")
         aggs = [F.coalesce(F.sum(F.when(cat == k, F.col("_spend"))), F.lit(0).cast(SPEND_T))
@@ -97,7 +107,10 @@ class Rewards:
                                F.lit(0).cast(SPEND_T)).cast(SPEND_T).alias("_ko"))
         aggs.append(F.sum("_spend").alias("_total"))
         aggs.append(F.first("transaction_count").alias("transaction_count"))
-        return sp.groupBy("client_id").agg(*aggs)
+        ks = sp.groupBy("client_id").agg(*aggs)
+        if spending is None:
+            self._ks = ks
+        return ks
 
     def _dot(self, rate_of) -> Column:
         """Σ spend_k × rate(k) over the key vector; ``rate_of(None)`` is the
@@ -165,6 +178,8 @@ class Rewards:
     def current_rewards(self, spending: DataFrame | None = None) -> DataFrame:
         """Per client × category, the current rate (1 % unless a current
         card's brand rule pays more) and rewards; no annual fees."""
+        if spending is None and getattr(self, "_cr", None) is not None:
+            return self._cr
         sp = self.annual_spending() if spending is None else spending
         rates = self.current_card_rates()
         df = attach_per_client(self.ledger, sp, rates, "left")
@@ -177,20 +192,27 @@ class Rewards:
         df = df.withColumn("_rate", rate)
         w = Window.partitionBy("client_id")
         cur = (F.col("_spend") * F.col("_rate")).cast(NET_T)
-        return df.select(
+        out = df.select(
             "client_id", "category", "_spend", "annual_spending",
             F.col("_rate").cast("double").alias("current_rate"),
             cur.alias("_cur"), cur.cast("double").alias("current_rewards"),
             F.sum(cur).over(w).alias("_cur_total"))
+        if spending is None:
+            self._cr = out
+        return out
 
     def current_totals(self) -> DataFrame:
-        cr = self.current_rewards()
-        return cr.groupBy("client_id").agg(F.sum("_cur").cast(NET_T).alias("_cur_total"))
+        if getattr(self, "_ct", None) is None:
+            self._ct = self.current_rewards().groupBy("client_id").agg(
+                F.sum("_cur").cast(NET_T).alias("_cur_total"))
+        return self._ct
 
     # ---- R5–R6: optimal portfolio ---------------------------------------
     def optimal(self, key_spend: DataFrame | None = None) -> DataFrame:
         """R5 + R6: per client the combination with the highest net reward
         (strictly positive), as ``portfolio_id`` plus its figures."""
+        if key_spend is None and getattr(self, "_opt", None) is not None:
+            return self._opt
         ks = self.key_spend() if key_spend is None else key_spend
         cents = [(F.col(f"_k{i}") * 100).cast("long").alias(f"_c{i}")
                  for i in range(len(self.keys))]
@@ -225,12 +247,15 @@ class Rewards:
                         .alias("_net")))
         df = df.join(F.broadcast(self.portfolio_dim()), "portfolio_id")
         gross = (F.col("_net") + F.col("total_annual_fees")).cast(NET_T)
-        return df.select(
+        out = df.select(
             "client_id", "portfolio_id", "n_cards", "optimal_cards", "member_cards",
             "primary_card", "_net", F.col("_net").cast("double").alias("net_annual_rewards"),
             gross.cast("double").alias("gross_rewards"),
             F.col("total_annual_fees").cast("double").alias("total_annual_fees"),
             F.col("signup_bonuses").cast("long").alias("signup_bonuses"))
+        if key_spend is None:
+            self._opt = out
+        return out
 
     # ---- R7 + R18 -------------------------------------------------------
     def _with_portfolio_rates(self, sp: DataFrame, opt: DataFrame, how: str) -> DataFrame:
@@ -244,7 +269,7 @@ class Rewards:
         winning card (first member with the highest rate), its rate and the
         rewards, next to the 1 % baseline."""
         sp = self.annual_spending()
-        df = self._with_portfolio_rates(sp, self.optimal(self.key_spend(sp)), "inner")
+        df = self._with_portfolio_rates(sp, self.optimal(), "inner")
         rew = (F.col("_spend") * F.col("best_rate")).cast(NET_T)
         return df.select(
             "client_id", "category", "annual_spending", "best_card",
@@ -256,10 +281,10 @@ class Rewards:
     def impact(self) -> DataFrame:
         """R8 + R9 + R21 (+ C24–C26): improvement over the current cards,
         bonuses, payback, first-year benefit and fee efficiency."""
-        sp = self.annual_spending()
-        opt = self.optimal(self.key_spend(sp))
-        cur = self.current_rewards(sp).groupBy("client_id").agg(
-            F.sum("_cur").cast(NET_T).alias("_cur_total"))
+        if getattr(self, "_imp", None) is not None:
+            return self._imp
+        opt = self.optimal()
+        cur = self.current_totals()
         df = opt.join(cur, "client_id")
         imp_dec = (F.col("_net") - F.col("_cur_total")).cast(NET_T)
         df = df.select("*", imp_dec.cast("double").alias("annual_improvement"),
@@ -268,7 +293,7 @@ class Rewards:
         cur_d = F.col("current_annual_rewards")
         fees = F.col("total_annual_fees")
         payback = F.when((imp <= 0) | (fees == 0), F.lit(0.0)).otherwise(fees / imp)
-        return df.select(
+        self._imp = df.select(
             "client_id", "portfolio_id", "optimal_cards", "current_annual_rewards",
             "net_annual_rewards", "total_annual_fees", "annual_improvement",
             F.when(cur_d > 0, imp / cur_d * 100).otherwise(F.lit(0.0)).alias("improvement_percentage"),
@@ -280,6 +305,7 @@ class Rewards:
             improvement_band(imp).alias("improvement_band"),
             payback_band(payback).alias("payback_band"),
             payback_months(payback).alias("payback_months"))
+        return self._imp
 
     # ---- R10 -------------------------------------------------------------
     def break_even(self) -> DataFrame:
@@ -332,7 +358,7 @@ class Rewards:
         payback months, ROI, reason label and membership of the optimal
         portfolio."""
         sp = self.annual_spending()
-        ks = self.key_spend(sp)
+        ks = self.key_spend()
         cards = []
         for i, c in enumerate(self.catalogue):
             cards.append(F.struct(
@@ -366,7 +392,7 @@ class Rewards:
              .when(F.col("card").contains("Double Cash"), "Simple 2% on everything")
              .otherwise("Strong overall performance").alias("reason"),
             (F.col("rank") <= 3).alias("is_top3"))
-        members = self.optimal(ks).select(
+        members = self.optimal().select(
             "client_id", F.explode("member_cards").alias("card"), F.lit(True).alias("_in"))
         df = df.join(members, ["client_id", "card"], "left")
         return df.withColumn("in_optimal", F.coalesce(F.col("_in"), F.lit(False))).drop("_in")
@@ -378,7 +404,7 @@ class Rewards:
         headline totals, the action plan (top 3 with extra > 5) and the
         medians behind the opportunity matrix."""
         sp = self.annual_spending()
-        opt = self.optimal(self.key_spend(sp))
+        opt = self.optimal()
         df = self._with_portfolio_rates(sp, opt, "left")
         df = attach_per_client(self.ledger, df, opt.select("client_id", "primary_card"), "left")
         rate = F.coalesce(F.col("floor_rate"), _r(BASE))
@@ -438,8 +464,8 @@ class Rewards:
         """R19 + R20: share of spend whose best portfolio rate (1 % floor) beats
         1.5 %, and the portfolio's edge over the best single card."""
         sp = self.annual_spending()
-        ks = self.key_spend(sp)
-        opt = self.optimal(ks)
+        ks = self.key_spend()
+        opt = self.optimal()
         df = self._with_portfolio_rates(sp, opt, "inner")
         cov = df.groupBy("client_id").agg(
             F.sum(F.when(F.col("floor_rate") > _r(COVERAGE_RATE), F.col("_spend"))).alias("_c"),
@@ -465,9 +491,8 @@ class Rewards:
         portfolio per year; the signup bonus is added to year 1 only (or to
         every year with ``carry_bonus``)."""
         sp = self.annual_spending()
-        opt = self.optimal(self.key_spend(sp))
-        cur = self.current_rewards(sp).groupBy("client_id").agg(
-            F.sum("_cur").cast(NET_T).alias("_cur_total"))
+        opt = self.optimal()
+        cur = self.current_totals()
         df = opt.join(cur, "client_id").select(
             "client_id", "_net", "_cur_total", "signup_bonuses",
             F.explode(F.sequence(F.lit(1), F.lit(years))).alias("year"))
@@ -500,9 +525,8 @@ class Rewards:
         """One row per client with spending — the figures of the
         optimisation bundle, zeros where no portfolio beats nothing."""
         sp = self.annual_spending()
-        ks = self.key_spend(sp)
-        cur = self.current_rewards(sp).groupBy("client_id").agg(
-            F.sum("_cur").cast(NET_T).alias("_cur_total"))
+        ks = self.key_spend()
+        cur = self.current_totals()
         imp = self.impact().select("client_id", "optimal_cards", "net_annual_rewards",
                                    "annual_improvement", "signup_bonuses",
                                    "first_year_benefit", "payback_period")
