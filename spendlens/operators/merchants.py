@@ -111,14 +111,15 @@ def subscriptions(ledger: Ledger, period: str = "3_months",
         subs = subs.filter(F.lit(False))
     subs = subs.withColumn("estimated_monthly_cost", round_dec(
         F.col("total_spent") / F.col("transaction_count"), 2))
-    w = Window.partitionBy("client_id")
-    return subs.select(
-        "*",
-        F.sum(money("estimated_monthly_cost")).over(w).cast("double")
+    # Per-client totals by aggregation + join (not a window over all of a
+    # client's merchants, which would put a hot client in one task).
+    totals = subs.groupBy("client_id").agg(
+        F.sum(money("estimated_monthly_cost")).cast("double")
         .alias("total_monthly_subscriptions"),
-        F.count(F.lit(1)).over(w).alias("subscription_count"),
-        F.count_if(F.col("estimated_monthly_cost") > HIGH_COST_SUBSCRIPTION).over(w)
+        F.count(F.lit(1)).alias("subscription_count"),
+        F.count_if(F.col("estimated_monthly_cost") > HIGH_COST_SUBSCRIPTION)
         .alias("high_cost_count"))
+    return attach_per_client(ledger, subs, totals)
 
 
 def loyalty_candidates(ledger: Ledger, period: str = "3_months", approx: bool = False,
@@ -233,9 +234,12 @@ def display_labels(ledger: Ledger, period: str = "3_months") -> DataFrame:
     name and category, money and percent texts, signed difference to the
     client's average merchant."""
     s = merchant_stats(ledger, period)
-    w = Window.partitionBy("client_id")
-    tot = F.sum(money("total_spent")).over(w).cast("double")
-    mean = tot / F.count(F.lit(1)).over(w)
+    per_client = s.groupBy("client_id").agg(
+        F.sum(money("total_spent")).cast("double").alias("_tot"),
+        F.count(F.lit(1)).alias("_nm"))
+    s = attach_per_client(ledger, s, per_client)
+    tot = F.col("_tot")
+    mean = tot / F.col("_nm")
     share = F.when(tot > 0, F.col("total_spent") / tot * 100).otherwise(F.lit(0.0))
     vs = F.when(mean > 0, (F.col("total_spent") - mean) / mean * 100).otherwise(F.lit(0.0))
     return s.select(

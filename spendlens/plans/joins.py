@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from spendlens.sources.schema import Ledger
 
-DEFAULT_SALT_BUCKETS = 16
+DEFAULT_SALT_BUCKETS = 1024
+SALT_BUCKETS_CONF = "spendlens.topk.saltBuckets"
 
 
 def attach_per_client(ledger: Ledger, df: DataFrame, per_client: DataFrame,
@@ -34,9 +35,13 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     numbered 1..k in ``rank_col``.
 
     Round one ranks inside ``(keys, salt)`` and keeps ``k`` rows per salt, so at
-    most ``k * salt_buckets`` rows per group reach the final window.
+    most ``k * salt_buckets`` rows per group reach the final window.  More
+    buckets add no stage; they only spread a hot group over more tasks.
     """
     keys = list(keys)
+    if salt_buckets == DEFAULT_SALT_BUCKETS:
+        conf = df.sparkSession.conf.get(SALT_BUCKETS_CONF, None)
+        salt_buckets = int(conf) if conf else salt_buckets
     if salt_buckets and salt_buckets > 1:
         cols = list(salt_cols) if salt_cols else [c for c in df.columns if c not in keys]
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets))
