@@ -123,21 +123,6 @@ class Rewards:
         return acc.cast(NET_T)
 
     # ---- dimensions ----------------------------------------------------
-    def portfolio_dim(self) -> DataFrame:
-        rows = [(p.pid, len(p.members), ", ".join(c.name for c in p.cards(self.catalogue)),
-                 [c.name for c in p.cards(self.catalogue)],
-                 p.fees(self.catalogue), p.bonuses(self.catalogue),
-                 p.cards(self.catalogue)[0].name) for p in self.ports]
-        schema = T.StructType([
-            T.StructField("portfolio_id", T.IntegerType()),
-            T.StructField("n_cards", T.IntegerType()),
-            T.StructField("optimal_cards", T.StringType()),
-            T.StructField("member_cards", T.ArrayType(T.StringType())),
-            T.StructField("total_annual_fees", T.IntegerType()),
-            T.StructField("signup_bonuses", T.IntegerType()),
-            T.StructField("primary_card", T.StringType())])
-        return self.spark.createDataFrame(rows, schema)
-
     def portfolio_key_dim(self) -> DataFrame:
         """Per portfolio × rate key: best member rate from 0 (R7) and from the
         1 % floor (R14, ``Current Card`` when no member beats it)."""
@@ -201,61 +186,105 @@ class Rewards:
             self._cr = out
         return out
 
-    def current_totals(self) -> DataFrame:
-        if getattr(self, "_ct", None) is None:
-            self._ct = self.current_rewards().groupBy("client_id").agg(
-                F.sum("_cur").cast(NET_T).alias("_cur_total"))
-        return self._ct
-
-    # ---- R5–R6: optimal portfolio ---------------------------------------
-    def optimal(self, key_spend: DataFrame | None = None) -> DataFrame:
-        """R5 + R6: per client the combination with the highest net reward
-        (strictly positive), as ``portfolio_id`` plus its figures."""
-        if key_spend is None and getattr(self, "_opt", None) is not None:
-            return self._opt
-        ks = self.key_spend() if key_spend is None else key_spend
-        cents = [(F.col(f"_k{i}") * 100).cast("long").alias(f"_c{i}")
-                 for i in range(len(self.keys))]
-        ks = ks.select("client_id", *cents, (F.col("_ko") * 100).cast("long").alias("_co"))
-        # The candidate portfolios as one constant array of integer rate vectors;
-        # one lambda scores them all (no per-portfolio generated code).
-        def rates(p):
-            return [int(p.best(k, catalogue=self.catalogue)[0] * 10000)
-                    for k in [*self.keys, None]]
-        cand = F.array(*[F.struct(F.lit(p.pid).alias("pid"),
-                                  F.lit(p.fees(self.catalogue) * 1_000_000).cast("long")
-                                  .alias("fee"),
+    # ---- per-client summary ----------------------------------------------
+    def _by_pid(self, values: list, pid: Column | None = None) -> Column:
+        """Look a portfolio attribute up in a constant array indexed by id."""
+        pid = F.col("portfolio_id") if pid is None else pid
+        return F.element_at(F.array(*[F.lit(v) for v in values]), pid + 1)
+
+    def _argmax(self, vectors: list[tuple[int, int, list[int]]]) -> Column:
+        """Best candidate by integer net reward (micro-units): spend in cents
+        × rate in 1/10,000 minus fee; ties go to the lower ordinal.  The
+        candidates are one constant array scored by one lambda, so dozens of
+        them add no generated code."""
+        cand = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(fee).cast("long").alias("fee"),
                                   *[F.lit(r).cast("long").alias(f"r{j}")
-                                    for j, r in enumerate(rates(p))])
-                         for p in self.ports])
-        cols = [F.col(f"_c{i}") for i in range(len(self.keys))] + [F.col("_co")]
+                                    for j, r in enumerate(rates)])
+                         for o, fee, rates in vectors])
+        cents = [F.col(f"_k{i}") for i in range(len(self.keys))] + [F.col("_ko")]
+        cents = [(c * 100).cast("long") for c in cents]
 
         def score(p):
             acc = -p["fee"]
-            for j, c in enumerate(cols):
+            for j, c in enumerate(cents):
                 acc = acc + c * p[f"r{j}"]
-            return F.struct(acc.alias("net"), (-p["pid"]).alias("neg"), p["pid"].alias("pid"))
-
-        best = F.array_max(F.transform(cand, score))
-        micros = F.lit(Decimal("0.000001")).cast("decimal(7,6)")
-        df = (ks.select("client_id", best.alias("_b"))
-                .select("client_id", F.col("_b.net").alias("_micros"),
-                        F.col("_b.pid").alias("portfolio_id"))
-                .filter(F.col("_micros") > 0)
-                .select("client_id", "portfolio_id",
-                        (F.col("_micros").cast("decimal(30,0)") * micros).cast(NET_T)
-                        .alias("_net")))
-        df = df.join(F.broadcast(self.portfolio_dim()), "portfolio_id")
+            return F.struct(acc.alias("net"), (-p["o"]).alias("neg"), p["o"].alias("o"))
+
+        return F.array_max(F.transform(cand, score))
+
+    @staticmethod
+    def _from_micros(c: Column) -> Column:
+        return (c.cast("decimal(30,0)") * F.lit(Decimal("0.000001")).cast("decimal(7,6)")
+                ).cast(NET_T)
+
+    def summary(self) -> DataFrame:
+        """One row per client with spending: the spend vector, the current
+        cards' annual rewards (R4), the best portfolio (R5–R6) with its
+        attributes, the share of spend it rates above 1.5 % (R19) and the
+        best single catalogue card (R12 rank 1).  Every per-client analysis
+        is a projection of this row."""
+        if getattr(self, "_sum", None) is not None:
+            return self._sum
+        ks = self.key_spend()
+        rates = self.current_card_rates()
+        df = attach_per_client(self.ledger, ks, rates, "left")
+        base = _r(CURRENT_BASE_RATE)
+        rule = {c: j for j, c in enumerate(self._rule_cats)}
+        cur = F.col("_ko") * base
+        for i, k in enumerate(self.keys):
+            rate = (F.greatest(base, F.coalesce(F.col(f"_c{rule[k]}"), base)) if k in rule
+                    else base)
+            cur = cur + F.col(f"_k{i}") * rate
+        keys = [*self.keys, None]
+        ports = [(p.pid, p.fees(self.catalogue) * 1_000_000,
+                  [int(p.best(k, catalogue=self.catalogue)[0] * 10000) for k in keys])
+                 for p in self.ports]
+        singles = [(i, c.annual_fee * 1_000_000,
+                    [int((c.default_rate if k is None else c.rate(k)) * 10000) for k in keys])
+                   for i, c in enumerate(self.catalogue)]
+        df = df.select("*", cur.cast(NET_T).alias("_cur_total"),
+                       self._argmax(ports).alias("_bp"), self._argmax(singles).alias("_bs"))
+        df = df.select(
+            "*", F.col("_bp.o").alias("portfolio_id"), self._from_micros(F.col("_bp.net"))
+            .alias("_net"), (F.col("_bp.net") > 0).alias("has_optimal"),
+            F.col("_bs.o").alias("_single_ord"), self._from_micros(F.col("_bs.net"))
+            .alias("_single_net"))
+        cards = [p.cards(self.catalogue) for p in self.ports]
+        covered = F.lit(0).cast(SPEND_T)
+        for i, k in enumerate(keys):
+            flags = [p.best(k, BASE, CURRENT_CARD, self.catalogue)[0] > COVERAGE_RATE
+                     for p in self.ports]
+            spend = F.col(f"_k{i}") if k is not None else F.col("_ko")
+            covered = covered + F.when(self._by_pid(flags), spend).otherwise(F.lit(0))
+        self._sum = df.select(
+            "*",
+            self._by_pid([len(c) for c in cards]).alias("n_cards"),
+            self._by_pid([", ".join(x.name for x in c) for c in cards]).alias("optimal_cards"),
+            F.element_at(F.array(*[F.array(*[F.lit(x.name) for x in c]) for c in cards]),
+                         F.col("portfolio_id") + 1).alias("member_cards"),
+            self._by_pid([c[0].name for c in cards]).alias("primary_card"),
+            self._by_pid([p.fees(self.catalogue) for p in self.ports]).alias("total_annual_fees"),
+            self._by_pid([p.bonuses(self.catalogue) for p in self.ports]).alias("signup_bonuses"),
+            covered.alias("_covered"),
+            self._by_pid([c.name for c in self.catalogue], F.col("_single_ord"))
+            .alias("best_single_card"))
+        return self._sum
+
+    def current_totals(self) -> DataFrame:
+        return self.summary().select("client_id", "_cur_total")
+
+    # ---- R5–R6: optimal portfolio ---------------------------------------
+    def optimal(self) -> DataFrame:
+        """R5 + R6: per client the combination with the highest net reward
+        (strictly positive), as ``portfolio_id`` plus its figures."""
+        s = self.summary().filter(F.col("has_optimal"))
         gross = (F.col("_net") + F.col("total_annual_fees")).cast(NET_T)
-        out = df.select(
+        return s.select(
             "client_id", "portfolio_id", "n_cards", "optimal_cards", "member_cards",
             "primary_card", "_net", F.col("_net").cast("double").alias("net_annual_rewards"),
             gross.cast("double").alias("gross_rewards"),
             F.col("total_annual_fees").cast("double").alias("total_annual_fees"),
             F.col("signup_bonuses").cast("long").alias("signup_bonuses"))
-        if key_spend is None:
-            self._opt = out
-        return out
 
     # ---- R7 + R18 -------------------------------------------------------
     def _with_portfolio_rates(self, sp: DataFrame, opt: DataFrame, how: str) -> DataFrame:
@@ -278,26 +307,22 @@ class Rewards:
             (F.col("_spend") * _r(BASE)).cast("double").alias("current_rewards"))
 
     # ---- R8, R9, R21 ----------------------------------------------------
-    def impact(self) -> DataFrame:
-        """R8 + R9 + R21 (+ C24–C26): improvement over the current cards,
-        bonuses, payback, first-year benefit and fee efficiency."""
-        if getattr(self, "_imp", None) is not None:
-            return self._imp
-        opt = self.optimal()
-        cur = self.current_totals()
-        df = opt.join(cur, "client_id")
+    @staticmethod
+    def _impact_cols(df: DataFrame) -> DataFrame:
+        """Impact figures (R8, R9, R21, C24–C26) as columns of summary rows."""
         imp_dec = (F.col("_net") - F.col("_cur_total")).cast(NET_T)
         df = df.select("*", imp_dec.cast("double").alias("annual_improvement"),
-                       F.col("_cur_total").cast("double").alias("current_annual_rewards"))
+                       F.col("_cur_total").cast("double").alias("current_annual_rewards"),
+                       F.col("_net").cast("double").alias("net_annual_rewards"),
+                       F.col("total_annual_fees").cast("double").alias("_fees"))
         imp = F.col("annual_improvement")
         cur_d = F.col("current_annual_rewards")
-        fees = F.col("total_annual_fees")
+        fees = F.col("_fees")
         payback = F.when((imp <= 0) | (fees == 0), F.lit(0.0)).otherwise(fees / imp)
-        self._imp = df.select(
-            "client_id", "portfolio_id", "optimal_cards", "current_annual_rewards",
-            "net_annual_rewards", "total_annual_fees", "annual_improvement",
-            F.when(cur_d > 0, imp / cur_d * 100).otherwise(F.lit(0.0)).alias("improvement_percentage"),
-            "signup_bonuses",
+        return df.select(
+            "*",
+            F.when(cur_d > 0, imp / cur_d * 100).otherwise(F.lit(0.0))
+            .alias("improvement_percentage"),
             payback.alias("payback_period"),
             (imp + F.col("signup_bonuses")).alias("first_year_benefit"),
             (imp / 12).alias("monthly_improvement"),
@@ -305,7 +330,17 @@ class Rewards:
             improvement_band(imp).alias("improvement_band"),
             payback_band(payback).alias("payback_band"),
             payback_months(payback).alias("payback_months"))
-        return self._imp
+
+    def impact(self) -> DataFrame:
+        """R8 + R9 + R21 (+ C24–C26): improvement over the current cards,
+        bonuses, payback, first-year benefit and fee efficiency."""
+        df = self._impact_cols(self.summary().filter(F.col("has_optimal")))
+        return df.select(
+            "client_id", "portfolio_id", "optimal_cards", "current_annual_rewards",
+            "net_annual_rewards", F.col("_fees").alias("total_annual_fees"), "annual_improvement",
+            "improvement_percentage", F.col("signup_bonuses").cast("long").alias("signup_bonuses"),
+            "payback_period", "first_year_benefit", "monthly_improvement", "efficiency_pct",
+            "improvement_band", "payback_band", "payback_months")
 
     # ---- R10 -------------------------------------------------------------
     def break_even(self) -> DataFrame:
@@ -357,8 +392,7 @@ class Rewards:
         first-year value — ranked by net (catalogue order on ties), with
         payback months, ROI, reason label and membership of the optimal
         portfolio."""
-        sp = self.annual_spending()
-        ks = self.key_spend()
+        s = self.summary()
         cards = []
         for i, c in enumerate(self.catalogue):
             cards.append(F.struct(
@@ -367,7 +401,7 @@ class Rewards:
                 F.lit(c.annual_fee).cast("long").alias("annual_fee"),
                 F.lit(c.signup_bonus).cast("long").alias("signup_bonus"),
                 F.lit(BEST_FOR.get(c.name, "")).alias("best_for")))
-        df = ks.select("client_id", F.inline(F.array(*cards)))
+        df = s.select("client_id", "has_optimal", "member_cards", F.inline(F.array(*cards)))
         net = (F.col("_g") - F.col("annual_fee")).cast(NET_T)
         df = df.select("*", net.alias("_n"))
         rank = F.row_number().over(Window.partitionBy("client_id").orderBy(
@@ -379,9 +413,11 @@ class Rewards:
             F.col("_g").cast("double").alias("gross_rewards"),
             F.col("_n").cast("double").alias("net_rewards"),
             (F.col("_n") + F.col("signup_bonus")).cast("double").alias("first_year_value"),
-            rank.cast("long").alias("rank"))
+            rank.cast("long").alias("rank"),
+            (F.col("has_optimal") & F.array_contains("member_cards", F.col("card")))
+            .alias("in_optimal"))
         gross = F.col("gross_rewards")
-        df = df.select(
+        return df.select(
             "*",
             F.when((fee > 0) & (gross != 0), fee / gross * 12).otherwise(F.lit(0.0))
             .alias("payback_months"),
@@ -392,10 +428,6 @@ class Rewards:
              .when(F.col("card").contains("Double Cash"), "Simple 2% on everything")
              .otherwise("Strong overall performance").alias("reason"),
             (F.col("rank") <= 3).alias("is_top3"))
-        members = self.optimal().select(
-            "client_id", F.explode("member_cards").alias("card"), F.lit(True).alias("_in"))
-        df = df.join(members, ["client_id", "card"], "left")
-        return df.withColumn("in_optimal", F.coalesce(F.col("_in"), F.lit(False))).drop("_in")
 
     # ---- R14–R17 ----------------------------------------------------------
     def category_extra_rewards(self) -> DataFrame:
@@ -463,37 +495,25 @@ class Rewards:
     def coverage_and_advantage(self) -> DataFrame:
         """R19 + R20: share of spend whose best portfolio rate (1 % floor) beats
         1.5 %, and the portfolio's edge over the best single card."""
-        sp = self.annual_spending()
-        ks = self.key_spend()
-        opt = self.optimal()
-        df = self._with_portfolio_rates(sp, opt, "inner")
-        cov = df.groupBy("client_id").agg(
-            F.sum(F.when(F.col("floor_rate") > _r(COVERAGE_RATE), F.col("_spend"))).alias("_c"),
-            F.sum("_spend").alias("_t"))
-        cov = cov.select("client_id", F.when(F.col("_t") > 0, F.coalesce(F.col("_c"), F.lit(0))
-                                             .cast("double") / F.col("_t").cast("double") * 100)
-                         .otherwise(F.lit(0.0)).alias("coverage_pct"))
-        single = self.card_comparison().filter(F.col("rank") == 1).select(
-            "client_id", F.col("card").alias("best_single_card"),
-            F.col("_n").alias("_sn"), F.col("net_rewards").alias("best_single_net"))
-        df = opt.join(cov, "client_id").join(single, "client_id")
-        better = F.col("_net") > F.col("_sn")
-        return df.select(
-            "client_id", "optimal_cards", "coverage_pct", "best_single_card", "best_single_net",
-            F.col("net_annual_rewards").alias("portfolio_net"),
+        s = self.summary().filter(F.col("has_optimal"))
+        better = F.col("_net") > F.col("_single_net")
+        return s.select(
+            "client_id", "optimal_cards",
+            F.when(F.col("_total") > 0, F.col("_covered").cast("double")
+                   / F.col("_total").cast("double") * 100).otherwise(F.lit(0.0))
+            .alias("coverage_pct"),
+            "best_single_card", F.col("_single_net").cast("double").alias("best_single_net"),
+            F.col("_net").cast("double").alias("portfolio_net"),
             better.alias("portfolio_better"),
-            F.when(better, (F.col("_net") - F.col("_sn")).cast("double")).otherwise(F.lit(0.0))
-            .alias("portfolio_advantage"))
+            F.when(better, (F.col("_net") - F.col("_single_net")).cast("double"))
+            .otherwise(F.lit(0.0)).alias("portfolio_advantage"))
 
     # ---- R22 --------------------------------------------------------------
     def five_year_projection(self, years: int = 5, carry_bonus: bool = False) -> DataFrame:
         """Cumulative rewards of the current cards and of the optimal
         portfolio per year; the signup bonus is added to year 1 only (or to
         every year with ``carry_bonus``)."""
-        sp = self.annual_spending()
-        opt = self.optimal()
-        cur = self.current_totals()
-        df = opt.join(cur, "client_id").select(
+        df = self.summary().filter(F.col("has_optimal")).select(
             "client_id", "_net", "_cur_total", "signup_bonuses",
             F.explode(F.sequence(F.lit(1), F.lit(years))).alias("year"))
         y = F.col("year")
@@ -523,31 +543,28 @@ class Rewards:
     # ---- R25 ----------------------------------------------------------------
     def bundle(self) -> DataFrame:
         """One row per client with spending — the figures of the
-        optimisation bundle, zeros where no portfolio beats nothing."""
-        sp = self.annual_spending()
-        ks = self.key_spend()
-        cur = self.current_totals()
-        imp = self.impact().select("client_id", "optimal_cards", "net_annual_rewards",
-                                   "annual_improvement", "signup_bonuses",
-                                   "first_year_benefit", "payback_period")
-        recs = self.recommendations().groupBy("client_id").agg(
-            F.count(F.lit(1)).alias("recommendation_count"))
-        df = (ks.select("client_id", F.col("_total").cast("double").alias("total_annual_spending"),
-                        "transaction_count")
-                .join(cur, "client_id").join(imp, "client_id", "left")
-                .join(recs, "client_id", "left"))
+        optimisation bundle, zeros where no portfolio has a positive net."""
+        df = self._impact_cols(self.summary())
+        opt = F.col("has_optimal")
         z = F.lit(0.0)
+
+        def on(c, zero=z):
+            return F.when(opt, F.col(c)).otherwise(zero)
+
+        imp, b, p = (F.col("annual_improvement"), F.col("signup_bonuses"),
+                     F.col("payback_period"))
+        recs = (F.when(imp > 100, 1).otherwise(0) + F.when(b > 500, 1).otherwise(0)
+                + F.when((p > 0) & (p < 2), 1).otherwise(0))
         return df.select(
-            "client_id", "total_annual_spending", "transaction_count",
-            F.col("_cur_total").cast("double").alias("current_annual_rewards"),
-            F.col("optimal_cards").isNotNull().alias("has_optimal"),
-            F.coalesce("optimal_cards", F.lit("")).alias("optimal_cards"),
-            F.coalesce("net_annual_rewards", z).alias("net_annual_rewards"),
-            F.coalesce("annual_improvement", z).alias("annual_improvement"),
-            F.coalesce("signup_bonuses", F.lit(0).cast("long")).alias("signup_bonuses"),
-            F.coalesce("first_year_benefit", z).alias("first_year_benefit"),
-            F.coalesce("payback_period", z).alias("payback_period"),
-            F.coalesce("recommendation_count", F.lit(0).cast("long")).alias("recommendation_count"))
+            "client_id", F.col("_total").cast("double").alias("total_annual_spending"),
+            "transaction_count", "current_annual_rewards", "has_optimal",
+            on("optimal_cards", F.lit("")).alias("optimal_cards"),
+            on("net_annual_rewards").alias("net_annual_rewards"),
+            on("annual_improvement").alias("annual_improvement"),
+            F.when(opt, b).otherwise(F.lit(0)).cast("long").alias("signup_bonuses"),
+            on("first_year_benefit").alias("first_year_benefit"),
+            on("payback_period").alias("payback_period"),
+            F.when(opt, recs).otherwise(F.lit(0)).cast("long").alias("recommendation_count"))
 
     # ---- R1 per client ------------------------------------------------------
     def catalogue_rates(self) -> DataFrame:
