@@ -53,6 +53,11 @@ def merchant_stats(ledger: Ledger, period: str = "3_months") -> DataFrame:
     """M1–M3 (+ J2, C15): per client × merchant spend statistics, MCC of the
     earliest transaction (nulls skipped), category, consistency and frequency
     scores and display name."""
+    return ledger.memo(("merchant_stats", period_days(period)),
+                       lambda: _merchant_stats(ledger, period))
+
+
+def _merchant_stats(ledger: Ledger, period: str) -> DataFrame:
     days = period_days(period)
     tx = relative_period(ledger, period, rule="all").filter(F.col("merchant_id").isNotNull())
     first_key = F.when(F.col("mcc").isNotNull(), F.struct("date", "id", "mcc"))

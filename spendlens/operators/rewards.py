@@ -44,6 +44,33 @@ def _key_of(category: Column, keys: list[str]) -> Column:
     return F.when(category.isin(*keys), category).otherwise(F.lit(OTHER_KEY))
 
 
+def _sql(v) -> str:
+    """A Python constant as Spark SQL literal text (for constant arrays built
+    in one expression instead of one JVM call per element)."""
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, Decimal):
+        return f"CAST('{v}' AS DECIMAL(6,4))"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql(x) for x in v) + ")"
+    raise TypeError(type(v))
+
+
+_DIMS: dict[tuple, DataFrame] = {}
+
+
+def _cached_dim(spark, key: tuple, build) -> DataFrame:
+    """Small catalogue-derived frames, built once per application."""
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _DIMS:
+        _DIMS[k] = build()
+    return _DIMS[k]
+
+
 class Rewards:
     """All rewards analyses of one ledger for one period and portfolio size.
 
@@ -51,6 +78,13 @@ class Rewards:
     ``max_cards`` bounds the portfolio size (1–5 in the reference UI).
     """
 
+    @classmethod
+    def of(cls, ledger: Ledger, period: str = "1_year", max_cards: int = 3,
+           catalogue: tuple[Card, ...] = CATALOGUE) -> "Rewards":
+        """The ledger's shared analysis for these parameters."""
+        return ledger.memo(("rewards", period, max_cards, id(catalogue)),
+                           lambda: cls(ledger, period, max_cards, catalogue))
+
     def __init__(self, ledger: Ledger, period: str = "1_year", max_cards: int = 3,
                  catalogue: tuple[Card, ...] = CATALOGUE):
         self.ledger = ledger
@@ -115,17 +149,18 @@ class Rewards:
     def _dot(self, rate_of) -> Column:
         """Σ spend_k × rate(k) over the key vector; ``rate_of(None)`` is the
         rate of unlisted categories."""
-        terms = [F.col(f"_k{i}") * _r(rate_of(k)) for i, k in enumerate(self.keys)]
-        terms.append(F.col("_ko") * _r(rate_of(None)))
-        acc = terms[0]
-        for t in terms[1:]:
-            acc = acc + t
-        return acc.cast(NET_T)
+        terms = [f"_k{i} * {_sql(Decimal(rate_of(k)))}" for i, k in enumerate(self.keys)]
+        terms.append(f"_ko * {_sql(Decimal(rate_of(None)))}")
+        return F.expr(f"CAST({' + '.join(terms)} AS {NET_T})")
 
     # ---- dimensions ----------------------------------------------------
     def portfolio_key_dim(self) -> DataFrame:
         """Per portfolio × rate key: best member rate from 0 (R7) and from the
         1 % floor (R14, ``Current Card`` when no member beats it)."""
+        return _cached_dim(self.spark, ("pk", len(self.ports), id(self.catalogue)),
+                           self._portfolio_key_dim)
+
+    def _portfolio_key_dim(self) -> DataFrame:
         rows = []
         for p in self.ports:
             for k in [*self.keys, OTHER_KEY]:
@@ -187,30 +222,24 @@ class Rewards:
         return out
 
     # ---- per-client summary ----------------------------------------------
-    def _by_pid(self, values: list, pid: Column | None = None) -> Column:
+    def _by_pid(self, values: list, pid: str = "portfolio_id") -> Column:
         """Look a portfolio attribute up in a constant array indexed by id."""
-        pid = F.col("portfolio_id") if pid is None else pid
-        return F.element_at(F.array(*[F.lit(v) for v in values]), pid + 1)
+        return F.expr(f"element_at({_sql(list(values))}, {pid} + 1)")
 
     def _argmax(self, vectors: list[tuple[int, int, list[int]]]) -> Column:
         """Best candidate by integer net reward (micro-units): spend in cents
         × rate in 1/10,000 minus fee; ties go to the lower ordinal.  The
         candidates are one constant array scored by one lambda, so dozens of
         them add no generated code."""
-        cand = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(fee).cast("long").alias("fee"),
-                                  *[F.lit(r).cast("long").alias(f"r{j}")
-                                    for j, r in enumerate(rates)])
-                         for o, fee, rates in vectors])
-        cents = [F.col(f"_k{i}") for i in range(len(self.keys))] + [F.col("_ko")]
-        cents = [(c * 100).cast("long") for c in cents]
-
-        def score(p):
-            acc = -p["fee"]
-            for j, c in enumerate(cents):
-                acc = acc + c * p[f"r{j}"]
-            return F.struct(acc.alias("net"), (-p["o"]).alias("neg"), p["o"].alias("o"))
-
-        return F.array_max(F.transform(cand, score))
+        cand = "array(" + ", ".join(
+            f"named_struct('o', {o}, 'fee', CAST({fee} AS BIGINT), "
+            + ", ".join(f"'r{j}', {_sql(r)}" for j, r in enumerate(rates)) + ")"
+            for o, fee, rates in vectors) + ")"
+        cents = [f"CAST(_k{i} * 100 AS BIGINT)" for i in range(len(self.keys))]
+        cents.append("CAST(_ko * 100 AS BIGINT)")
+        score = " + ".join(f"{c} * p.r{j}" for j, c in enumerate(cents))
+        return F.expr(f"array_max(transform({cand}, p -> named_struct("
+                      f"'net', {score} - p.fee, 'neg', -p.o, 'o', p.o)))")
 
     @staticmethod
     def _from_micros(c: Column) -> Column:
@@ -260,13 +289,12 @@ class Rewards:
             "*",
             self._by_pid([len(c) for c in cards]).alias("n_cards"),
             self._by_pid([", ".join(x.name for x in c) for c in cards]).alias("optimal_cards"),
-            F.element_at(F.array(*[F.array(*[F.lit(x.name) for x in c]) for c in cards]),
-                         F.col("portfolio_id") + 1).alias("member_cards"),
+            self._by_pid([[x.name for x in c] for c in cards]).alias("member_cards"),
             self._by_pid([c[0].name for c in cards]).alias("primary_card"),
             self._by_pid([p.fees(self.catalogue) for p in self.ports]).alias("total_annual_fees"),
             self._by_pid([p.bonuses(self.catalogue) for p in self.ports]).alias("signup_bonuses"),
             covered.alias("_covered"),
-            self._by_pid([c.name for c in self.catalogue], F.col("_single_ord"))
+            self._by_pid([c.name for c in self.catalogue], "_single_ord")
             .alias("best_single_card"))
         return self._sum
 

@@ -175,7 +175,7 @@ def _with(binding_and_ctes) -> str:
     "cnt.transaction_count FROM cs JOIN cnt ON cnt.client_id = cs.client_id "
     "WINDOW w AS (PARTITION BY cs.client_id)"))
 def annual_spending(led):
-    return rw.Rewards(led, "1_year").annual_spending().drop("_spend")
+    return rw.Rewards.of(led, "1_year").annual_spending().drop("_spend")
 
 
 @register("current_rewards", "O", "R3, R4", with_ledger("O", *spend_ctes(), *_current_ctes(),
@@ -187,7 +187,7 @@ def annual_spending(led):
     "LEFT JOIN cardn ON cardn.client_id = crr.client_id"))
 def current_rewards(led):
     from pyspark.sql import functions as F
-    r = rw.Rewards(led, "1_year")
+    r = rw.Rewards.of(led, "1_year")
     cards = led.cards.groupBy("client_id").agg(F.count(F.lit(1)).alias("card_count"))
     return (r.current_rewards()
             .join(cards, "client_id", "left")
@@ -202,7 +202,7 @@ def current_rewards(led):
     "CAST(o.net + d.fees AS DOUBLE) AS gross_rewards, CAST(d.fees AS DOUBLE) AS total_annual_fees, "
     "CAST(d.bonuses AS BIGINT) AS signup_bonuses FROM opt o JOIN pdim d ON d.pid = o.pid"))
 def optimal_portfolio(led):
-    return rw.Rewards(led, "1_year", 3).optimal().drop("_net", "member_cards")
+    return rw.Rewards.of(led, "1_year", 3).optimal().drop("_net", "member_cards")
 
 
 @register("gross_by_category", "N", "R7, R18", _n() + (
@@ -211,13 +211,13 @@ def optimal_portfolio(led):
     "CAST(cs.sp * CAST(0.01 AS DECIMAL(6,4)) AS DOUBLE) AS current_rewards FROM fr JOIN cs "
     "ON cs.client_id = fr.client_id AND cs.category = fr.category"))
 def gross_by_category(led):
-    return rw.Rewards(led, "1_year").gross_by_category()
+    return rw.Rewards.of(led, "1_year").gross_by_category()
 
 
 @register("optimization_impact", "N", "R8, R9, R21, C24, C25, C26",
           _n(*_current_ctes(), *IMP_CTES) + "SELECT * FROM imp")
 def optimization_impact(led):
-    return rw.Rewards(led, "1_year").impact()
+    return rw.Rewards.of(led, "1_year").impact()
 
 
 _BE_ROWS = [(c.name, c.annual_fee) for c in CATALOGUE if c.annual_fee > 0]
@@ -231,13 +231,13 @@ _BE_ROWS = [(c.name, c.annual_fee) for c in CATALOGUE if c.annual_fee > 0]
     "SELECT o.client_id, p.card, CAST(be.annual_fee AS BIGINT) AS annual_fee, be.break_even_spending "
     "FROM opt o JOIN ports p ON p.pid = o.pid JOIN be ON be.card = p.card"))
 def break_even(led):
-    return rw.Rewards(led, "1_year").break_even()
+    return rw.Rewards.of(led, "1_year").break_even()
 
 
 @register("reward_recommendations", "N", "R11, F12",
           _n(*_current_ctes(), *IMP_CTES, *RECS_CTE) + "SELECT * FROM recs")
 def reward_recommendations(led):
-    return rw.Rewards(led, "1_year").recommendations()
+    return rw.Rewards.of(led, "1_year").recommendations()
 
 
 @register("card_comparison", "N", "R12, R13, J9", _n(*CMP_CTES) + (
@@ -245,7 +245,7 @@ def reward_recommendations(led):
     "net_rewards, first_year_value, rank, payback_months, roi_pct, reason, is_top3, in_optimal "
     "FROM cmp"))
 def card_comparison(led):
-    return rw.Rewards(led, "1_year").card_comparison().drop("_n")
+    return rw.Rewards.of(led, "1_year").card_comparison().drop("_n")
 
 
 _EXTRA_CTES = (
@@ -280,7 +280,7 @@ _EXTRA_CTES = (
     "best_card ELSE '' END AS action, CASE WHEN action_priority > 0 THEN additional_rewards / 12 "
     "ELSE 0.0 END AS monthly_impact FROM ce3"))
 def category_extra_rewards(led):
-    return rw.Rewards(led, "1_year").category_extra_rewards()
+    return rw.Rewards.of(led, "1_year").category_extra_rewards()
 
 
 @register("coverage_and_advantage", "N", "R19, R20, F11", _n(
@@ -296,7 +296,7 @@ def category_extra_rewards(led):
     "JOIN pdim d ON d.pid = o.pid JOIN cov ON cov.client_id = o.client_id "
     "JOIN cmp ON cmp.client_id = o.client_id AND cmp.rank = 1"))
 def coverage_and_advantage(led):
-    return rw.Rewards(led, "1_year").coverage_and_advantage()
+    return rw.Rewards.of(led, "1_year").coverage_and_advantage()
 
 
 @register("five_year_projection", "N", "R22", _n(*_current_ctes()) + (
@@ -307,7 +307,7 @@ def coverage_and_advantage(led):
     "ON cu.client_id = o.client_id JOIN pdim d ON d.pid = o.pid "
     "JOIN (SELECT range AS year FROM range(1, 6)) y ON TRUE"))
 def five_year_projection(led):
-    return rw.Rewards(led, "1_year").five_year_projection()
+    return rw.Rewards.of(led, "1_year").five_year_projection()
 
 
 _HL = _values("hl", "best_card, card_best_for, card_high_rates",
@@ -320,7 +320,7 @@ _HL = _values("hl", "best_card, card_best_for, card_high_rates",
     "FROM fr JOIN cs ON cs.client_id = fr.client_id AND cs.category = fr.category "
     "LEFT JOIN hl ON hl.best_card = fr.best_card WHERE cs.sp > 100"))
 def card_usage_plan(led):
-    return rw.Rewards(led, "1_year").card_usage_plan()
+    return rw.Rewards.of(led, "1_year").card_usage_plan()
 
 
 @register("portfolio_bundle", "N", "R25", _n(
@@ -338,7 +338,7 @@ def card_usage_plan(led):
     "JOIN cnt ON cnt.client_id = tot.client_id JOIN curr cu ON cu.client_id = tot.client_id "
     "LEFT JOIN imp ON imp.client_id = tot.client_id LEFT JOIN rc ON rc.client_id = tot.client_id"))
 def portfolio_bundle(led):
-    return rw.Rewards(led, "1_year").bundle()
+    return rw.Rewards.of(led, "1_year").bundle()
 
 
 @register("catalogue_rates", "N", "R1", with_ledger(
@@ -349,7 +349,7 @@ def portfolio_bundle(led):
     "CAST(c.signup_bonus AS BIGINT) AS signup_bonus FROM cs JOIN cat_cards c ON TRUE "
     "LEFT JOIN cat_rates r ON r.card = c.card AND r.category = cs.category"))
 def catalogue_rates(led):
-    return rw.Rewards(led, "1_year").catalogue_rates()
+    return rw.Rewards.of(led, "1_year").catalogue_rates()
 
 
 _BRAND_RATES = _values("br0", "brand, category, rate",

@@ -118,6 +118,7 @@ class Ledger:
     mcc_codes: DataFrame
     fraud_labels: DataFrame
     _client_count: int | None = field(default=None, repr=False)
+    _memo: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -136,6 +137,14 @@ class Ledger:
         limit = int(limit) if limit else DEFAULT_MAX_BROADCAST_CLIENTS
         return self.client_count() <= limit
 
+    def memo(self, key: tuple, build):
+        """Shared lazy intermediate (a DataFrame or an analysis object) of
+        this ledger: operators built from the same pieces reuse one plan,
+        so Spark can reuse its stages and the plan is analysed once."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
+
     def tables(self) -> dict[str, DataFrame]:
         return {
             "users": self.users,
