@@ -1,12 +1,18 @@
 """Scalar and aggregate expression helpers (C7–C26 and numeric rules N1–N3).
 
-Money is stored as DOUBLE but summed through ``DECIMAL(18,2)``, so sums are
-exact and independent of partition order.  Rounding always goes through a
-decimal, never directly on a double.
+Money is stored as DOUBLE (as in the source files) but summed exactly: each
+amount becomes whole cents (a long) and the long sums are converted back, so
+totals are exact and independent of partition order, and the aggregation
+buffers stay primitive (no wide-decimal arithmetic per row).  For amounts
+with at most two decimals this is the same value as summing
+``CAST(amount AS DECIMAL(18,2))``; a sub-cent amount rounds to the nearest
+cent.  Rounding of derived figures always goes through a decimal.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,14 +29,31 @@ def money(c: str | Column) -> Column:
     return col(c).cast(MONEY)
 
 
+def cents(c: str | Column) -> Column:
+    """Amount in whole cents (LONG)."""
+    return F.rint(col(c) * 100).cast("long")
+
+
+def cents_to_double(c: str | Column) -> Column:
+    """Summed cents back to money: the correctly rounded DOUBLE of the exact
+    total (the same double as casting the exact decimal total)."""
+    return col(c) / F.lit(100.0)
+
+
+def cents_to_dec(c: str | Column, precision: int = 28) -> Column:
+    """Summed cents back to an exact DECIMAL(precision, 2)."""
+    unit = F.lit(Decimal("0.01")).cast("decimal(3,2)")
+    return (col(c).cast(f"decimal({precision - 2},0)") * unit).cast(f"decimal({precision},2)")
+
+
 def money_sum(c: str | Column) -> Column:
     """Exact sum of money (N1), as DOUBLE."""
-    return F.sum(money(c)).cast("double")
+    return cents_to_double(F.sum(cents(c)))
 
 
 def money_sum_dec(c: str | Column) -> Column:
-    """Exact sum of money (N1), kept as DECIMAL for further exact arithmetic."""
-    return F.sum(money(c))
+    """Exact sum of money (N1), as DECIMAL(28,2) for further exact arithmetic."""
+    return cents_to_dec(F.sum(cents(c)))
 
 
 def round_dec(c: str | Column, k: int) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.categories import with_category
 from spendlens.functions.cleaning import month_label
-from spendlens.functions.exprs import (card_label, clamp_max, money, money_sum_dec,
-                                       round_dec)
+from spendlens.functions.exprs import (card_label, cents, cents_to_double, clamp_max,
+                                       money_sum_dec, round_dec)
 from spendlens.functions.periods import days_before, with_anchor
 from spendlens.plans.joins import rank_all
 from spendlens.sources.schema import Ledger
@@ -52,19 +52,24 @@ def _zero(c: str) -> Column:
 
 
 def kpi_core(ledger: Ledger, months_back: int = 1, reward_months: int = 12,
-             mode: str = "nested") -> DataFrame:
+             mode: str = "nested", with_labels: bool = True) -> DataFrame:
     """One pass: per client spend in the last ``months_back`` windows (A1),
-    weighted spend for A4, and fraud / all transaction counts for A6."""
-    # Labels are folded per transaction first, so a duplicated label fans out
-    # the fraud counts (as a plain left merge does) but never the spend sums.
-    labels = ledger.fraud_labels.groupBy(F.col("transaction_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("_ln"), F.count_if(F.col("is_fraud")).alias("_lf"))
+    weighted spend for A4, and (``with_labels``) fraud / all transaction
+    counts for A6."""
     tx = ledger.transactions.select("client_id", "id", "amount", "date")
-    tx = tx.join(labels, "id", "left")
+    if with_labels:
+        # Labels are folded per transaction first, so a duplicated label fans
+        # out the fraud counts (as a plain left merge does), never the sums.
+        labels = ledger.fraud_labels.groupBy(F.col("transaction_id").alias("id")).agg(
+            F.count(F.lit(1)).alias("_ln"), F.count_if(F.col("is_fraud")).alias("_lf"))
+        tx = tx.join(labels, "id", "left")
+    else:
+        tx = tx.select("*", F.lit(None).cast("long").alias("_ln"),
+                       F.lit(None).cast("long").alias("_lf"))
     tx = with_anchor(ledger, tx)
     return tx.groupBy("client_id").agg(
-        F.sum(F.when(_in_months(months_back), money("amount"))).alias("_m"),
-        F.sum(money("amount") * reward_weight(reward_months, mode)).alias("_w"),
+        F.sum(F.when(_in_months(months_back), cents("amount"))).alias("_m"),
+        F.sum(cents("amount") * reward_weight(reward_months, mode)).alias("_w"),
         F.sum(F.coalesce(F.col("_lf"), F.lit(0).cast("long"))).alias("_fraud"),
         F.sum(F.coalesce(F.col("_ln"), F.lit(1).cast("long"))).alias("_n"))
 
@@ -112,11 +117,10 @@ def interest_paid(ledger: Ledger, months_back: int = 12, apr: float = APR) -> Da
 def rewards_earned(ledger: Ledger, months_back: int = 12, mode: str = "nested") -> DataFrame:
     """A4: 1 % of the sum over m = 1..months of A1(m) (``mode="nested"``, as
     the reference), or of each purchase once (``"disjoint"``)."""
-    core = kpi_core(ledger, 1, months_back, mode)
+    core = kpi_core(ledger, 1, months_back, mode, with_labels=False)
     return _users(ledger).join(core, "client_id", "left").select(
         "client_id",
-        (F.coalesce(F.col("_w"), F.lit(0).cast("decimal(38,2)")).cast("double") * BASE_REWARD)
-        .alias("rewards_earned"))
+        (F.coalesce(cents_to_double("_w"), F.lit(0.0)) * BASE_REWARD).alias("rewards_earned"))
 
 
 def fraud_risk(ledger: Ledger) -> DataFrame:
@@ -205,14 +209,13 @@ def all_kpis(ledger: Ledger, mode: str = "nested") -> DataFrame:
     u = ledger.users.select(F.col("id").alias("client_id"), "total_debt", "credit_score")
     df = (u.join(core, "client_id", "left").join(_limits(ledger), "client_id", "left")
            .join(cats, "client_id", "left"))
-    spend = F.coalesce(F.col("_m").cast("double"), F.lit(0.0))
+    spend = F.coalesce(cents_to_double("_m"), F.lit(0.0))
     return df.select(
         "client_id",
         spend.alias("total_monthly_spending"),
         utilization_expr(spend, F.col("total_credit_limit")).alias("credit_utilization"),
         interest_expr(F.col("total_debt")).alias("interest_paid"),
-        (F.coalesce(F.col("_w"), F.lit(0).cast("decimal(38,2)")).cast("double") * BASE_REWARD)
-        .alias("rewards_earned"),
+        (F.coalesce(cents_to_double("_w"), F.lit(0.0)) * BASE_REWARD).alias("rewards_earned"),
         F.coalesce(F.col("credit_score"), F.lit(0)).cast("long").alias("credit_score"),
         F.when(F.col("_n") > 0, F.col("_fraud") / F.col("_n") * 100).otherwise(F.lit(0.0))
         .alias("fraud_risk_score"),

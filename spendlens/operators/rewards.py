@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.categories import with_category
-from spendlens.functions.exprs import (card_label, improvement_band, money, payback_band,
-                                       payback_months, round_dec)
+from spendlens.functions.exprs import (card_label, cents, cents_to_dec, improvement_band,
+                                       money_sum_dec, payback_band, payback_months, round_dec)
 from spendlens.functions.periods import days_before, reward_period, spend_only, period_days
 from spendlens.operators.catalogue import (BEST_FOR, BRAND_RATES, CATALOGUE, CURRENT_BASE_RATE,
                                            CURRENT_BRAND_RULES, OTHER_KEY, Card, break_even,
@@ -114,9 +114,9 @@ class Rewards:
             return self._sp
         _, mult = reward_period(self.period)
         by_mcc = self.period_rows().groupBy("client_id", "mcc").agg(
-            F.sum(money("amount")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+            F.sum(cents("amount")).alias("_m"), F.count(F.lit(1)).alias("_n"))
         g = (with_category(by_mcc, self.ledger.mcc_codes).groupBy("client_id", "category")
-             .agg((F.sum("_m") * F.lit(mult)).cast(SPEND_T).alias("_spend")))
+             .agg(cents_to_dec(F.sum("_m") * F.lit(mult), 20).alias("_spend")))
         counts = by_mcc.groupBy("client_id").agg(F.sum("_n").alias("transaction_count"))
         w = Window.partitionBy("client_id")
         rk = F.row_number().over(w.orderBy(F.col("_spend").desc(), F.col("category")))
@@ -626,7 +626,7 @@ def owned_card_rewards(ledger: Ledger, period: str = "3_months") -> DataFrame:
     tx = attach_per_client(ledger, tx, anchor)
     tx = spend_only(tx.filter(F.col("date") >= days_before("anchor", days)))
     cs = (with_category(tx, ledger.mcc_codes).groupBy("client_id", "category")
-          .agg(F.sum(money("amount")).cast(SPEND_T).alias("_spend")))
+          .agg(money_sum_dec("amount").cast(SPEND_T).alias("_spend")))
     cards = ledger.cards.select("client_id", F.col("id").alias("card_id"), "card_brand",
                                 card_label("card_brand", "card_type").alias("_label"))
     df = cs.join(cards, "client_id")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.categories import with_category
 from spendlens.functions.cleaning import day_name, month_key
-from spendlens.functions.exprs import (money, money_sum_dec, pct_change, round_dec, safe_div)
+from spendlens.functions.exprs import (cents, cents_to_double, money_sum_dec, pct_change,
+                                       round_dec, safe_div)
 from spendlens.functions.periods import (custom_range, days_before, period_days,
                                          relative_period, spend_only)
 from spendlens.plans.joins import attach_per_client, rank_all, top_k_per_group
@@ -160,12 +161,12 @@ def comparison_metrics(ledger: Ledger, period: str = "3_months") -> DataFrame:
     cur = F.col("date") >= days_before("anchor", days)
     prev = (F.col("date") >= days_before("anchor", 2 * days)) & ~cur
     m = df.groupBy("client_id").agg(
-        F.sum(F.when(cur, money("amount"))).alias("_cs"),
+        F.sum(F.when(cur, cents("amount"))).alias("_cs"),
         F.count_if(cur).alias("current_transactions"),
-        F.sum(F.when(prev, money("amount"))).alias("_ps"),
+        F.sum(F.when(prev, cents("amount"))).alias("_ps"),
         F.count_if(prev).alias("previous_transactions"))
-    cs = F.coalesce(F.col("_cs"), F.lit(0).cast("decimal(28,2)")).cast("double")
-    ps = F.coalesce(F.col("_ps"), F.lit(0).cast("decimal(28,2)")).cast("double")
+    cs = F.coalesce(cents_to_double("_cs"), F.lit(0.0))
+    ps = F.coalesce(cents_to_double("_ps"), F.lit(0.0))
     m = m.select(
         "client_id", cs.alias("current_spending"), ps.alias("previous_spending"),
         "current_transactions", "previous_transactions")
