@@ -173,5 +173,5 @@ def highlights(card: Card) -> tuple[str, str]:
     rate), and up to three categories paying 3 % or more."""
     best = [f"{k} ({float(r) * 100:.0f}%)" for k, r in card.rates if r > D("0.02")]
     best_for = best[0] if best else f"General rewards: {float(card.default_rate) * 100:.1f}%"
-    high = [f"{k}: {float(r) * 100:.0f}%" for k, r in card.rates if r >= D("0.03")][:3]
+    high = [f"{k}: {float(r) * 100:.0f}% rewards" for k, r in card.rates if r >= D("0.03")][:3]
     return best_for, "; ".join(high)

@@ -25,6 +25,7 @@ from spendlens.operators.catalogue import (BEST_FOR, BRAND_RATES, CATALOGUE, CUR
                                            CURRENT_BRAND_RULES, OTHER_KEY, Card, break_even,
                                            highlights, portfolios, rate_keys)
 from spendlens.plans.joins import attach_per_client
+from spendlens.session import app_id
 from spendlens.sources.schema import Ledger
 
 RATE_T = T.DecimalType(6, 4)
@@ -65,7 +66,7 @@ _DIMS: dict[tuple, DataFrame] = {}
 
 def _cached_dim(spark, key: tuple, build) -> DataFrame:
     """Small catalogue-derived frames, built once per application."""
-    k = (spark.sparkContext.applicationId, *key)
+    k = (app_id(spark), *key)
     if k not in _DIMS:
         _DIMS[k] = build()
     return _DIMS[k]

@@ -56,8 +56,10 @@ def top_merchants(ledger: Ledger, period: str = "3_months", top_n: int = 10,
                   start: str | None = None, end: str | None = None) -> DataFrame:
     """B3 + B13: the ``top_n`` merchants per client by spend, plus the headline
     figures computed over that listed top: top-3 share and the most frequent
-    merchant (first in list order among equal counts)."""
-    tx = filtered_transactions(ledger, period, start, end)
+    merchant (first in list order among equal counts).  Rows without a
+    merchant id form no group."""
+    tx = filtered_transactions(ledger, period, start, end).filter(
+        F.col("merchant_id").isNotNull())
     g = tx.groupBy("client_id", "merchant_id").agg(
         money_sum_dec("amount").alias("_sum"), F.count(F.lit(1)).alias("transaction_count"),
         F.min("date").alias("first_transaction"), F.max("date").alias("last_transaction"))

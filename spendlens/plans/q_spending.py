@@ -64,7 +64,7 @@ def _top_merchants_sql(days: int, n: int) -> str:
         "N", period_cte(days),
         f"g AS (SELECT client_id, merchant_id, {MSD('amount')} AS d, COUNT(*) AS transaction_count, "
         "min(date) AS first_transaction, max(date) AS last_transaction FROM f "
-        "GROUP BY client_id, merchant_id)",
+        "WHERE merchant_id IS NOT NULL GROUP BY client_id, merchant_id)",
         "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY client_id ORDER BY d DESC, "
         "merchant_id) AS BIGINT) AS rank FROM g)",
         f"t AS (SELECT * FROM r WHERE rank <= {n})",

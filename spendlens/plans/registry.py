@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.session import ensure_checkpoint_dir
+from spendlens.session import app_id, ensure_checkpoint_dir
 from spendlens.sources.bindings import ledger as bind_ledger
 from spendlens.sources.schema import Ledger
 
@@ -39,8 +39,7 @@ def materialize(spark: SparkSession, led: Ledger, name: str) -> Ledger:
     executor recomputes from these files, not from the raw inputs).
     Transactions are sorted within files by client and date, so per-client
     filters prune row groups."""
-    root = os.path.join(ensure_checkpoint_dir(spark), "spendlens-ledger",
-                        spark.sparkContext.applicationId, name)
+    root = os.path.join(ensure_checkpoint_dir(spark), "spendlens-ledger", app_id(spark), name)
     tables = {}
     for t, df in led.tables().items():
         path = os.path.join(root, t)
@@ -55,7 +54,7 @@ def get_ledger(spark: SparkSession, sf_dir: str, binding: str) -> Ledger:
     """One Ledger per (application, data dir, binding), so the binding is
     derived and the proven client count computed once, and shared by every
     query of that binding."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), binding)
+    key = (app_id(spark), sf_dir.rstrip("/"), binding)
     led = _LEDGERS.get(key)
     if led is None:
         led = bind_ledger(spark, sf_dir, binding)

@@ -32,16 +32,32 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 - Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application id (also under Spark Connect, where the driver's
+    SparkContext is not reachable)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect session
+        return spark.conf.get("spark.app.id", None) or f"session-{id(spark)}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared checkpoint folder (``spark.checkpoint.dir``);
     only when none is set (local tests) pick a scratch folder."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+        current = sc._jsc.sc().getCheckpointDir()
+    except Exception:  # noqa: BLE001 - Spark Connect: no driver context here
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        return d or tempfile.mkdtemp(prefix="spendlens-ckpt-")
     if current.isDefined():
         return current.get()
     d = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlens.functions.cleaning import clean_transactions
+from spendlens.session import ensure_checkpoint_dir
 from spendlens.sources.schema import TRANSACTIONS, conform
 
 # Column names of the raw transaction file, in file order.
@@ -40,10 +41,8 @@ def transaction_stream(spark: SparkSession, source_dir: str,
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not base.isDefined():
-        raise ValueError("set spark.checkpoint.dir (a shared folder) before streaming")
-    return os.path.join(base.get(), name)
+    """``name`` under the session's shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str,

@@ -114,3 +114,11 @@ def test_projection_bonus_in_year_one_only(spark):
     c = rows_by(rw.Rewards(led, "1_year").five_year_projection(carry_bonus=True), "year",
                 "optimal_cumulative")
     assert c[2] == (600.0,)
+
+
+def test_catalogue_frames(spark):
+    from spendlens.operators.catalogue import catalogue_frames
+    cards, rates = catalogue_frames(spark)
+    assert cards.count() == 6
+    assert rates.count() == 17
+    assert rates.filter("category = 'default'").count() == 6
