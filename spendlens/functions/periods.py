@@ -77,11 +77,3 @@ def custom_range(ledger: Ledger, start: str, end: str, spend: bool = True) -> Da
     return spend_only(df) if spend else df
 
 
-def window_flag(days: int, lo_mult: int = 1, hi_mult: int | None = None) -> Column:
-    """``anchor - hi*days <= date < anchor - lo*days`` style membership test
-    used by the current / previous split (F6)."""
-    lo = days_before("anchor", days * lo_mult)
-    if hi_mult is None:
-        return F.col("date") >= lo
-    hi = days_before("anchor", days * hi_mult)
-    return (F.col("date") >= hi) & (F.col("date") < lo)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.exprs import money, money_sum_dec, money_text, round_dec
+from spendlens.functions.exprs import clamp_min, money_sum_dec, money_text, round_dec
 from spendlens.functions.periods import spend_only
 from spendlens.operators.spending import monthly_totals
 from spendlens.plans.joins import attach_per_client, top_k_per_group
@@ -31,7 +31,7 @@ def linear_forecast(ledger: Ledger, period: str = "1_year", horizon: int = HORIZ
         F.col("n_months") >= MIN_MONTHS)
     steps = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     x = (F.col("n_months") + F.col("step") - 1).cast("double")
-    pred = F.greatest(F.col("_slope") * x + F.col("_icpt"), F.lit(0.0))
+    pred = clamp_min(F.col("_slope") * x + F.col("_icpt"), 0.0)
     steps = steps.withColumn("_pred", pred)
     avg = F.avg("_pred").over(Window.partitionBy("client_id"))
     return steps.select(

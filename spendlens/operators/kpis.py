@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.categories import with_category
 from spendlens.functions.cleaning import month_label
 from spendlens.functions.exprs import (card_label, cents, cents_to_double, clamp_max,
-                                       money_sum_dec, round_dec)
+                                       money_sum, money_sum_dec, round_dec)
 from spendlens.functions.periods import days_before, with_anchor
 from spendlens.plans.joins import rank_all
 from spendlens.sources.schema import Ledger
@@ -78,7 +78,7 @@ def monthly_spending(ledger: Ledger, months_back: int = 1) -> DataFrame:
     """A1: purchases in the last ``30 * months_back`` days up to the anchor."""
     tx = with_anchor(ledger, ledger.transactions.select("client_id", "amount", "date"))
     s = (tx.filter(_in_months(months_back)).groupBy("client_id")
-           .agg(money_sum_dec("amount").cast("double").alias("monthly_spending")))
+           .agg(money_sum("amount").alias("monthly_spending")))
     return _users(ledger).join(s, "client_id", "left").select(
         "client_id", _zero("monthly_spending").alias("monthly_spending"))
 

@@ -299,9 +299,6 @@ class Rewards:
             .alias("best_single_card"))
         return self._sum
 
-    def current_totals(self) -> DataFrame:
-        return self.summary().select("client_id", "_cur_total")
-
     # ---- R5–R6: optimal portfolio ---------------------------------------
     def optimal(self) -> DataFrame:
         """R5 + R6: per client the combination with the highest net reward

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.categories import with_category
 from spendlens.functions.cleaning import day_name, month_key
-from spendlens.functions.exprs import (cents, cents_to_double, money_sum_dec, pct_change,
-                                       round_dec, safe_div)
+from spendlens.functions.exprs import (cents, cents_to_double, money_sum, money_sum_dec,
+                                       pct_change, round_dec, safe_div)
 from spendlens.functions.periods import (custom_range, days_before, period_days,
                                          relative_period, spend_only)
 from spendlens.plans.joins import attach_per_client, rank_all, top_k_per_group
@@ -114,7 +114,7 @@ def monthly_totals(ledger: Ledger, period: str = "1_year") -> DataFrame:
     """B5 alone: spend per client × month."""
     tx = filtered_transactions(ledger, period)
     return (tx.groupBy("client_id", month_key("date").alias("month_year"))
-              .agg(money_sum_dec("amount").cast("double").alias("amount")))
+              .agg(money_sum("amount").alias("amount")))
 
 
 def spending_patterns(ledger: Ledger, period: str = "3_months", start: str | None = None,

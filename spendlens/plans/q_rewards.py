@@ -163,10 +163,6 @@ def _n(*extra: str) -> str:
     return with_ledger(*N_BASE, *extra)
 
 
-def _with(binding_and_ctes) -> str:
-    return with_ledger(*binding_and_ctes)
-
-
 @register("annual_spending", "N", "R2, F9, F2, J1", with_ledger("N", *spend_ctes()) + (
     "SELECT cs.client_id, cs.category, CAST(cs.sp AS DOUBLE) AS annual_spending, "
     "CAST(SUM(cs.sp) OVER w AS DOUBLE) AS total_annual_spending, CAST(row_number() OVER "

@@ -38,10 +38,6 @@ _CLEANERS = {
 USER_LIST_CAP = 1000
 
 
-def _string_schema(schema: T.StructType, header: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in header])
-
-
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     # Header only, every column kept as a string: cleaning does the typing.
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
