@@ -27,7 +27,7 @@ def user_list(led):
 
 @register("client_slice", "O", "S3, F1, S6", with_ledger("O") + (
     "SELECT t.id, t.client_id, t.merchant_id, t.mcc, t.amount, t.date, t.year, t.month, t.day "
-    "FROM tx t WHERE t.client_id IN (SELECT id FROM users)"))
+    "FROM tx t WHERE t.client_id IN (SELECT id FROM users)"), ts=("date",))
 def client_slice(led):
     s = loaders.client_slice(led)
     tx = s.transactions.join(s.users.select(F.col("id").alias("client_id")), "client_id",
@@ -48,7 +48,7 @@ def activity_counts(led):
 
 @register("clean_currency_dates", "O", "S1, C1, C2, C3, C4, C5", with_ledger("O") + (
     "SELECT id, client_id, merchant_id, mcc, amount, date, "
-    "strftime(date_trunc('month', date), '%Y-%m-%d') AS month_start, year, month, day FROM tx"))
+    "strftime(date_trunc('month', date), '%Y-%m-%d') AS month_start, year, month, day FROM tx"), ts=("date",))
 def clean_currency_dates(led):
     raw = loaders.render_raw_transactions(led.transactions)
     df = loaders.parse_raw_transactions(raw)
@@ -83,7 +83,7 @@ def calendar_parts(led):
 
 @register("category_join", "O", "J1, C12", with_ledger("O") + (
     "SELECT t.id, t.client_id, t.mcc, COALESCE(m.category, 'Other') AS category, t.amount, t.date "
-    "FROM tx t LEFT JOIN mcc m ON m.mcc = t.mcc"))
+    "FROM tx t LEFT JOIN mcc m ON m.mcc = t.mcc"), ts=("date",))
 def category_join(led):
     return with_category(led.transactions, led.mcc_codes).select(
         "id", "client_id", "mcc", "category", "amount", "date")

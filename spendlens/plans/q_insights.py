@@ -38,7 +38,7 @@ _TH = (f"th AS (SELECT client_id, {R(_MEAN_2SD, 6)} AS threshold FROM tx WHERE a
 @register("amount_anomalies", "E", "P3, J8", with_ledger("E", _TH) + (
     "SELECT t.client_id, t.id, t.date, t.amount, t.merchant_id, th.threshold, "
     f"'$' || format('{{:,.2f}}', {R('t.amount', 2)}) AS amount_text FROM tx t "
-    "JOIN th ON th.client_id = t.client_id WHERE t.amount > 0 AND t.amount > th.threshold"))
+    "JOIN th ON th.client_id = t.client_id WHERE t.amount > 0 AND t.amount > th.threshold"), ts=("date",))
 def amount_anomalies(led):
     return ins.amount_anomalies(led)
 
@@ -49,6 +49,6 @@ def amount_anomalies(led):
     "client_id ORDER BY date DESC, id DESC, amount DESC, merchant_id DESC) AS BIGINT) AS position "
     "FROM tx WHERE amount > 0)") + (
     "SELECT tl.*, th.threshold, COALESCE(tl.amount > th.threshold, false) AS is_anomaly FROM tl "
-    "LEFT JOIN th ON th.client_id = tl.client_id WHERE tl.position <= 100"))
+    "LEFT JOIN th ON th.client_id = tl.client_id WHERE tl.position <= 100"), ts=("date",))
 def anomaly_timeline(led):
     return ins.anomaly_timeline(led, 100)

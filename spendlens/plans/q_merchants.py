@@ -83,7 +83,7 @@ def vol_cte(days: int) -> tuple[str, ...]:
 
 
 @register("merchant_stats", "N", "M1, M2, M3, J2, F10, C15",
-          with_ledger("N", *stats_sql(90)) + "SELECT * FROM ms")
+          with_ledger("N", *stats_sql(90)) + "SELECT * FROM ms", ts=("first_transaction", "last_transaction"))
 def merchant_stats(led):
     return mr.merchant_stats(led, "3_months")
 
@@ -98,13 +98,13 @@ def merchant_concentration(led):
     "SELECT *, CAST(SUM(CAST(estimated_monthly_cost AS DECIMAL(18,2))) OVER w AS DOUBLE) "
     "AS total_monthly_subscriptions, COUNT(*) OVER w AS subscription_count, "
     "CAST(SUM(CASE WHEN estimated_monthly_cost > 20 THEN 1 ELSE 0 END) OVER w AS BIGINT) "
-    "AS high_cost_count FROM sb WINDOW w AS (PARTITION BY client_id)"))
+    "AS high_cost_count FROM sb WINDOW w AS (PARTITION BY client_id)"), ts=("first_transaction", "last_transaction"))
 def subscriptions(led):
     return mr.subscriptions(led, "3_months")
 
 
 @register("loyalty_candidates", "N", "M7, M8",
-          with_ledger("N", *stats_sql(90), *LOYALTY_CTE) + "SELECT * FROM ly")
+          with_ledger("N", *stats_sql(90), *LOYALTY_CTE) + "SELECT * FROM ly", ts=("first_transaction", "last_transaction"))
 def loyalty_candidates(led):
     return mr.loyalty_candidates(led, "3_months")
 

@@ -44,7 +44,7 @@ def custom_range_breakdown(led):
 
 @register("relative_period_spend", "N", "B1, F2, F3, F8",
           with_ledger("N", period_cte(180))
-          + "SELECT client_id, id, merchant_id, mcc, date, amount FROM f")
+          + "SELECT client_id, id, merchant_id, mcc, date, amount FROM f", ts=("date",))
 def relative_period_spend(led):
     return sp.filtered_transactions(led, "6_months").select(
         "client_id", "id", "merchant_id", "mcc", "date", "amount")
@@ -80,7 +80,7 @@ def _top_merchants_sql(days: int, n: int) -> str:
         "FROM t WINDOW w AS (PARTITION BY client_id)")
 
 
-@register("top_merchants", "N", "B3, B13", _top_merchants_sql(90, 10))
+@register("top_merchants", "N", "B3, B13", _top_merchants_sql(90, 10), ts=("first_transaction", "last_transaction"))
 def top_merchants(led):
     return sp.top_merchants(led, "3_months", 10)
 

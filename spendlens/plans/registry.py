@@ -1,6 +1,11 @@
 """Named query registry: each entry is ``(spark, sf_dir) -> DataFrame`` over one
 ledger binding, optionally paired with the DuckDB oracle SQL of the same
-result (same column names)."""
+result (same column names).
+
+Timestamp columns of a registered result are rendered as ISO text with
+microseconds on both sides (``ts=``), so the cross-engine comparison does not
+depend on how each engine's client maps timestamps (Spark and DuckDB hand
+pandas different time units); the operators themselves return timestamps."""
 
 from __future__ import annotations
 
@@ -10,12 +15,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spendlens.session import app_id, ensure_checkpoint_dir
 from spendlens.sources.bindings import ledger as bind_ledger
 from spendlens.sources.schema import Ledger
 
 
+TS_TEXT_SPARK = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+TS_TEXT_SQL = "%Y-%m-%d %H:%M:%S.%f"
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -23,6 +33,13 @@ class Query:
     ops: str
     build: Callable[[Ledger], DataFrame]
     sql: str | None
+    ts: tuple[str, ...] = ()
+
+    def oracle(self) -> str | None:
+        if not self.sql or not self.ts:
+            return self.sql
+        rep = ", ".join(f"strftime({c}, '{TS_TEXT_SQL}') AS {c}" for c in self.ts)
+        return f"SELECT * REPLACE ({rep}) FROM ({self.sql}) q"
 
 
 QUERIES: dict[str, Query] = {}
@@ -65,18 +82,23 @@ def get_ledger(spark: SparkSession, sf_dir: str, binding: str) -> Ledger:
     return led
 
 
-def register(name: str, binding: str, ops: str, sql: str | None = None):
+def register(name: str, binding: str, ops: str, sql: str | None = None,
+             ts: tuple[str, ...] = ()):
     def deco(fn: Callable[[Ledger], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = Query(name, binding, ops, fn, sql)
+        QUERIES[name] = Query(name, binding, ops, fn, sql, tuple(ts))
         return fn
     return deco
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     q = QUERIES[name]
-    return q.build(get_ledger(spark, sf_dir, q.binding))
+    df = q.build(get_ledger(spark, sf_dir, q.binding))
+    if q.ts:
+        df = df.select(*[F.date_format(c, TS_TEXT_SPARK).alias(c) if c in q.ts else F.col(c)
+                         for c in df.columns])
+    return df
 
 
 def _load_all() -> None:
@@ -92,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load_all()
-    return {n: q.sql for n, q in QUERIES.items() if q.sql}
+    return {n: q.oracle() for n, q in QUERIES.items() if q.sql}

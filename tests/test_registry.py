@@ -61,3 +61,14 @@ def test_query_matches_oracle(spark, con, name):
     odf = con.sql(entry.oracle_sql()[name]).df()
     assert sorted(sdf.columns) == sorted(odf.columns)
     assert _rows(sdf) == _rows(odf)
+
+
+def test_registered_outputs_have_no_engine_specific_time_types(spark):
+    """Timestamps are rendered as text in registered results (see registry)."""
+    bad = {}
+    for name, q in entry.queries().items():
+        types = dict(q(spark, SF).dtypes)
+        hits = [c for c, t in types.items() if t.startswith(("timestamp", "date"))]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
