@@ -18,8 +18,9 @@ MONTH_YEAR_FORMAT = "M/yyyy/dd"
 
 
 def parse_currency(c: str | Column) -> Column:
-    """``$1,234.50`` → 1234.5, ``$-12.50`` → -12.5, junk → NULL."""
-    return F.regexp_replace(col(c), r"[\$,]", "").try_cast("double")
+    """``$1,234.50`` → 1234.5, ``$-12.50`` → -12.5, junk → NULL.
+    (``translate`` deletes the ``$`` and ``,`` characters, without a regex.)"""
+    return F.translate(col(c), "$,", "").try_cast("double")
 
 
 def parse_month_year(c: str | Column) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions import cleaning
-from spendlens.functions.exprs import round_dec
 from spendlens.sources.schema import SCHEMAS, Ledger, conform, validate
 
 # Raw file stems of the five tables.
@@ -125,8 +124,8 @@ def activity_counts(ledger: Ledger) -> DataFrame:
 
 def render_raw_transactions(tx: DataFrame) -> DataFrame:
     """Render typed transactions back into the raw CSV text forms
-    (``$-77.00``, ``yyyy-MM-dd HH:mm:ss``, ``M/yyyy``)."""
-    amt = round_dec("amount", 2)
+    (``$-77.00``, ``yyyy-MM-dd HH:mm:ss``, ``M/yyyy``); amounts carry cents."""
+    amt = F.col("amount")
     return tx.select(
         F.col("id").cast("string").alias("id"),
         F.col("client_id").cast("string").alias("client_id"),

@@ -72,3 +72,38 @@ def test_registered_outputs_have_no_engine_specific_time_types(spark):
         if hits:
             bad[name] = hits
     assert bad == {}
+
+
+@pytest.mark.parametrize("name", ["category_breakdown", "comparison_metrics", "all_kpis",
+                                  "loyalty_candidates", "subscriptions", "amount_anomalies",
+                                  "optimization_impact", "category_extra_rewards",
+                                  "top_merchants", "anomaly_timeline"])
+def test_large_client_path_matches_oracle(spark, con, name):
+    """Force the paths taken when the client count exceeds the broadcast bound
+    (shuffle joins on client_id) and a small salt, and compare again."""
+    from spendlens.plans import registry
+    from spendlens.sources.schema import MAX_BROADCAST_CLIENTS_CONF
+    from spendlens.plans.joins import SALT_BUCKETS_CONF
+    spark.conf.set(MAX_BROADCAST_CLIENTS_CONF, "0")
+    spark.conf.set(SALT_BUCKETS_CONF, "2")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = registry.QUERIES[name]
+        led = registry.get_ledger(spark, SF, q.binding)
+        fresh = type(led)(users=led.users, cards=led.cards, transactions=led.transactions,
+                          mcc_codes=led.mcc_codes, fraud_labels=led.fraud_labels)
+        assert not fresh.broadcast_clients_ok()
+        df = q.build(fresh)
+        if q.ts:
+            from pyspark.sql import functions as F
+            df = df.select(*[F.date_format(c, registry.TS_TEXT_SPARK).alias(c) if c in q.ts
+                             else F.col(c) for c in df.columns])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        sdf = df.toPandas()
+    finally:
+        spark.conf.unset(MAX_BROADCAST_CLIENTS_CONF)
+        spark.conf.unset(SALT_BUCKETS_CONF)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    odf = con.sql(entry.oracle_sql()[name]).df()
+    assert _rows(sdf) == _rows(odf)
