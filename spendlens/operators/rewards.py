@@ -1,12 +1,16 @@
 """Rewards optimisation (R2–R25, J6, J7, J9), for all clients at once.
 
-Plan shape: the period's purchases are aggregated once per client × category
-(R2), then folded per client into a short vector of spend per *rate key*
-(the categories some card rates specially, plus one bucket for all the
-rest).  Every candidate portfolio's net reward is a decimal expression over
-that vector, so the portfolio search is a projection of one row per client:
-no cross join, no per-portfolio fan-out, exact comparison (ties go to the
-earlier combination, i.e. fewer cards, then catalogue order).
+Plan shape: the period's purchases are aggregated once per client × mcc and
+then per client × category (R2), then folded per client into a short vector
+of spend per *rate key* (the categories some card rates specially, plus one
+bucket for all the rest).  The candidate portfolios are a constant array of
+integer rate vectors; one lambda scores each as an exact integer dot product
+(cents × rate in 1/10,000, minus fees) and ``array_max`` picks the best, so
+the portfolio search is a projection of one row per client: no cross join,
+no per-portfolio fan-out, exact comparison (ties go to the earlier
+combination, i.e. fewer cards, then catalogue order).  The per-client views
+(impact, recommendations, projection, coverage, bundle) are projections of
+that same summary row; only per-category views join back to the categories.
 """
 
 from __future__ import annotations
@@ -476,8 +480,9 @@ class Rewards:
         w = Window.partitionBy("client_id")
         rank = F.row_number().over(w.orderBy(F.col("_add").desc(), F.col("category")))
         big = F.col("_add") > ACTION_MIN_EXTRA
-        act = F.row_number().over(Window.partitionBy("client_id", big)
-                                  .orderBy(F.col("_add").desc(), F.col("category")))
+        # Qualifying rows sort first, so their row numbers are their ranks
+        # among themselves (same partitioning as `w`: no extra exchange).
+        act = F.row_number().over(w.orderBy(big.desc(), F.col("_add").desc(), F.col("category")))
         df = df.select(
             "*", rank.cast("long").alias("opportunity_rank"),
             F.when(big, act).otherwise(F.lit(0)).cast("long").alias("_act"))
