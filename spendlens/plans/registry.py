@@ -56,7 +56,10 @@ def materialize(spark: SparkSession, led: Ledger, name: str) -> Ledger:
     executor recomputes from these files, not from the raw inputs).
     Transactions are sorted within files by client and date, so per-client
     filters prune row groups."""
-    root = os.path.join(ensure_checkpoint_dir(spark), "spendlens-ledger", app_id(spark), name)
+    base = ensure_checkpoint_dir(spark)
+    if base is None:  # no shared folder on this cluster: keep the lazy ledger
+        return led
+    root = os.path.join(base, "spendlens-ledger", app_id(spark), name)
     tables = {}
     for t, df in led.tables().items():
         path = os.path.join(root, t)

@@ -49,19 +49,30 @@ def app_id(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", None) or f"session-{id(spark)}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder (``spark.checkpoint.dir``);
-    only when none is set (local tests) pick a scratch folder."""
+def is_local(spark: SparkSession) -> bool:
+    master = spark.conf.get("spark.master", "") or ""
+    return master.startswith("local")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+    Only in local mode, when none is set (tests), a scratch folder is picked;
+    on a cluster without one the answer is ``None`` — a machine-local folder
+    is never used there."""
     try:
         sc = spark.sparkContext
         current = sc._jsc.sc().getCheckpointDir()
     except Exception:  # noqa: BLE001 - Spark Connect: no driver context here
         d = spark.conf.get("spark.checkpoint.dir", None)
-        return d or tempfile.mkdtemp(prefix="spendlens-ckpt-")
+        if d or not is_local(spark):
+            return d
+        return tempfile.mkdtemp(prefix="spendlens-ckpt-")
     if current.isDefined():
         return current.get()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(spark):
+            return None
         d = tempfile.mkdtemp(prefix="spendlens-ckpt-")
     sc.setCheckpointDir(d)
     return d

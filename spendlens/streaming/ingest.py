@@ -42,7 +42,10 @@ def transaction_stream(spark: SparkSession, source_dir: str,
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     """``name`` under the session's shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    base = ensure_checkpoint_dir(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder before streaming")
+    return os.path.join(base, name)
 
 
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str,
