@@ -11,6 +11,11 @@ _NAME_CASE = "CASE merchant_id " + " ".join(
     f"WHEN {k} THEN {q(v)}" for k, v in mr.MERCHANT_NAMES.items()) + " END"
 
 
+_CONSISTENCY = ("CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + CASE WHEN avg_amount > 0 "
+                "THEN std_amount / avg_amount ELSE 0.0 END)")
+_SPAN = ("first_transaction", "last_transaction")
+
+
 def stats_sql(days: int) -> list[str]:
     """CTE ``ms``: merchant stats M1–M3."""
     return [
@@ -26,8 +31,7 @@ def stats_sql(days: int) -> list[str]:
         "FROM g)",
         categorized_cte("g2", "g3"),
         "ms AS (SELECT *, "
-        f"{R('CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + CASE WHEN avg_amount > 0 THEN std_amount / avg_amount ELSE 0.0 END)', 3)}"
-        " AS consistency_score, "
+        f"{R(_CONSISTENCY, 3)} AS consistency_score, "
         f"{R(f'transaction_count / CAST({days} AS DOUBLE) * 30', 2)} AS frequency_score, "
         f"COALESCE({_NAME_CASE}, category || ' Merchant ' || CAST(merchant_id AS VARCHAR)) "
         "AS merchant_name FROM g3)",
@@ -83,7 +87,7 @@ def vol_cte(days: int) -> tuple[str, ...]:
 
 
 @register("merchant_stats", "N", "M1, M2, M3, J2, F10, C15",
-          with_ledger("N", *stats_sql(90)) + "SELECT * FROM ms", ts=("first_transaction", "last_transaction"))
+          with_ledger("N", *stats_sql(90)) + "SELECT * FROM ms", ts=_SPAN)
 def merchant_stats(led):
     return mr.merchant_stats(led, "3_months")
 
@@ -98,13 +102,13 @@ def merchant_concentration(led):
     "SELECT *, CAST(SUM(CAST(estimated_monthly_cost AS DECIMAL(18,2))) OVER w AS DOUBLE) "
     "AS total_monthly_subscriptions, COUNT(*) OVER w AS subscription_count, "
     "CAST(SUM(CASE WHEN estimated_monthly_cost > 20 THEN 1 ELSE 0 END) OVER w AS BIGINT) "
-    "AS high_cost_count FROM sb WINDOW w AS (PARTITION BY client_id)"), ts=("first_transaction", "last_transaction"))
+    "AS high_cost_count FROM sb WINDOW w AS (PARTITION BY client_id)"), ts=_SPAN)
 def subscriptions(led):
     return mr.subscriptions(led, "3_months")
 
 
 @register("loyalty_candidates", "N", "M7, M8",
-          with_ledger("N", *stats_sql(90), *LOYALTY_CTE) + "SELECT * FROM ly", ts=("first_transaction", "last_transaction"))
+          with_ledger("N", *stats_sql(90), *LOYALTY_CTE) + "SELECT * FROM ly", ts=_SPAN)
 def loyalty_candidates(led):
     return mr.loyalty_candidates(led, "3_months")
 

@@ -216,13 +216,13 @@ def optimization_impact(led):
     return rw.Rewards.of(led, "1_year").impact()
 
 
-_BE_ROWS = [(c.name, c.annual_fee) for c in CATALOGUE if c.annual_fee > 0]
+_BREAK_EVEN = ("CAST(c.annual_fee AS DOUBLE) / ((SUM(CAST(r.rate AS DOUBLE)) "
+               "+ CAST(c.default_rate AS DOUBLE)) / (COUNT(r.rate) + 1))")
 
 
 @register("break_even", "N", "R10", _n(
     "be AS (SELECT c.card, c.annual_fee, "
-    f"{R('CAST(c.annual_fee AS DOUBLE) / ((SUM(CAST(r.rate AS DOUBLE)) + CAST(c.default_rate AS DOUBLE)) / (COUNT(r.rate) + 1))', 2)}"
-    " AS break_even_spending FROM cat_cards c LEFT JOIN cat_rates r ON r.card = c.card "
+    f"{R(_BREAK_EVEN, 2)} AS break_even_spending FROM cat_cards c LEFT JOIN cat_rates r ON r.card = c.card "
     "WHERE c.annual_fee > 0 GROUP BY c.card, c.annual_fee, c.default_rate)") + (
     "SELECT o.client_id, p.card, CAST(be.annual_fee AS BIGINT) AS annual_fee, be.break_even_spending "
     "FROM opt o JOIN ports p ON p.pid = o.pid JOIN be ON be.card = p.card"))

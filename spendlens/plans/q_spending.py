@@ -59,6 +59,10 @@ def top_categories(led):
     return sp.top_categories(led, "3_months", 10)
 
 
+_TOP3_SHARE = ("CAST(SUM(CASE WHEN rank <= 3 THEN d END) OVER w AS DOUBLE) "
+               "/ CAST(SUM(d) OVER w AS DOUBLE) * 100")
+
+
 def _top_merchants_sql(days: int, n: int) -> str:
     return with_ledger(
         "N", period_cte(days),
@@ -73,14 +77,15 @@ def _top_merchants_sql(days: int, n: int) -> str:
         f"{R('CAST(d AS DOUBLE) / transaction_count', 2)} AS avg_transaction, first_transaction, "
         "last_transaction, 'Merchant ' || CAST(merchant_id AS VARCHAR) AS merchant_name, rank, "
         "CASE WHEN SUM(d) OVER w > 0 THEN "
-        f"{R('CAST(SUM(CASE WHEN rank <= 3 THEN d END) OVER w AS DOUBLE) / CAST(SUM(d) OVER w AS DOUBLE) * 100', 1)}"
+        f"{R(_TOP3_SHARE, 1)}"
         " ELSE 0.0 END AS top3_share, "
         "arg_min('Merchant ' || CAST(merchant_id AS VARCHAR), "
         "struct_pack(a := -transaction_count, b := rank)) OVER w AS most_frequent_merchant "
         "FROM t WINDOW w AS (PARTITION BY client_id)")
 
 
-@register("top_merchants", "N", "B3, B13", _top_merchants_sql(90, 10), ts=("first_transaction", "last_transaction"))
+@register("top_merchants", "N", "B3, B13", _top_merchants_sql(90, 10),
+          ts=("first_transaction", "last_transaction"))
 def top_merchants(led):
     return sp.top_merchants(led, "3_months", 10)
 
