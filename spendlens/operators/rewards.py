@@ -80,18 +80,26 @@ class Rewards:
     """All rewards analyses of one ledger for one period and portfolio size.
 
     ``period`` follows F9 (anchor after F2; 90 d ×4, 180 d ×2, else 365 d ×1);
-    ``max_cards`` bounds the portfolio size (1–5 in the reference UI).
+    ``max_cards`` bounds the portfolio size (1–5 in the dashboard);
+    ``include_annual_fees=False`` keeps only the catalogue's fee-free cards
+    (the dashboard's "include cards with annual fees" option).
     """
 
     @classmethod
     def of(cls, ledger: Ledger, period: str = "1_year", max_cards: int = 3,
-           catalogue: tuple[Card, ...] = CATALOGUE) -> "Rewards":
+           catalogue: tuple[Card, ...] = CATALOGUE,
+           include_annual_fees: bool = True) -> "Rewards":
         """The ledger's shared analysis for these parameters."""
-        return ledger.memo(("rewards", period, max_cards, id(catalogue)),
-                           lambda: cls(ledger, period, max_cards, catalogue))
+        return ledger.memo(("rewards", period, max_cards, id(catalogue), include_annual_fees),
+                           lambda: cls(ledger, period, max_cards, catalogue,
+                                       include_annual_fees))
 
     def __init__(self, ledger: Ledger, period: str = "1_year", max_cards: int = 3,
-                 catalogue: tuple[Card, ...] = CATALOGUE):
+                 catalogue: tuple[Card, ...] = CATALOGUE, include_annual_fees: bool = True):
+        if not include_annual_fees:
+            catalogue = tuple(c for c in catalogue if c.annual_fee == 0)
+        if not catalogue:
+            raise ValueError("empty card catalogue")
         self.ledger = ledger
         self.period = period
         self.catalogue = catalogue
@@ -162,8 +170,8 @@ class Rewards:
     def portfolio_key_dim(self) -> DataFrame:
         """Per portfolio × rate key: best member rate from 0 (R7) and from the
         1 % floor (R14, ``Current Card`` when no member beats it)."""
-        return _cached_dim(self.spark, ("pk", len(self.ports), id(self.catalogue)),
-                           self._portfolio_key_dim)
+        key = ("pk", len(self.ports), tuple(c.name for c in self.catalogue))
+        return _cached_dim(self.spark, key, self._portfolio_key_dim)
 
     def _portfolio_key_dim(self) -> DataFrame:
         rows = []

@@ -24,23 +24,32 @@ def _values(name: str, cols: str, rows: list[tuple]) -> str:
     return f"{name} AS (SELECT * FROM (VALUES {body}) t({cols}))"
 
 
-CAT_CARDS = _values(
-    "cat_cards0", "card_ordinal, card, annual_fee, signup_bonus, default_rate, best_for",
-    [(i, c.name, c.annual_fee, c.signup_bonus, str(c.default_rate), BEST_FOR[c.name])
-     for i, c in enumerate(CATALOGUE)])
-CAT_CARDS2 = (f"cat_cards AS (SELECT card_ordinal, card, annual_fee, signup_bonus, "
-              f"CAST(default_rate AS {DEC}) AS default_rate, best_for FROM cat_cards0)")
-CAT_RATES = _values("cat_rates0", "card, category, rate",
-                    [(c.name, k, str(r)) for c in CATALOGUE for k, r in c.rates])
-CAT_RATES2 = f"cat_rates AS (SELECT card, category, CAST(rate AS {DEC}) AS rate FROM cat_rates0)"
-PORTS = _values("ports", "pid, card, pos",
-                [(p.pid, CATALOGUE[m].name, j) for p in portfolios(3)
-                 for j, m in enumerate(p.members)])
 PDIM = ("pdim AS (SELECT p.pid, COUNT(*) AS n_cards, string_agg(p.card, ', ' ORDER BY p.pos) "
         "AS optimal_cards, SUM(c.annual_fee) AS fees, SUM(c.signup_bonus) AS bonuses, "
         "arg_min(p.card, p.pos) AS primary_card FROM ports p JOIN cat_cards c ON p.card = c.card "
         "GROUP BY p.pid)")
-CATALOGUE_CTES = (CAT_CARDS, CAT_CARDS2, CAT_RATES, CAT_RATES2, PORTS, PDIM)
+
+
+def catalogue_ctes(cards=CATALOGUE, max_cards: int = 3) -> tuple[str, ...]:
+    """``cat_cards``, ``cat_rates``, ``ports`` (every combination, in
+    enumeration order) and ``pdim`` for a card list."""
+    return (
+        _values("cat_cards0", "card_ordinal, card, annual_fee, signup_bonus, default_rate, "
+                "best_for", [(i, c.name, c.annual_fee, c.signup_bonus, str(c.default_rate),
+                              BEST_FOR[c.name]) for i, c in enumerate(cards)]),
+        f"cat_cards AS (SELECT card_ordinal, card, annual_fee, signup_bonus, "
+        f"CAST(default_rate AS {DEC}) AS default_rate, best_for FROM cat_cards0)",
+        _values("cat_rates0", "card, category, rate",
+                [(c.name, k, str(r)) for c in cards for k, r in c.rates]),
+        f"cat_rates AS (SELECT card, category, CAST(rate AS {DEC}) AS rate FROM cat_rates0)",
+        _values("ports", "pid, card, pos",
+                [(p.pid, cards[m].name, j) for p in portfolios(max_cards, cards)
+                 for j, m in enumerate(p.members)]),
+        PDIM,
+    )
+
+
+CATALOGUE_CTES = catalogue_ctes()
 
 
 def spend_ctes(days: int = 365, mult: int = 1) -> tuple[str, ...]:
@@ -192,15 +201,28 @@ def current_rewards(led):
                     F.coalesce("card_count", F.lit(0).cast("long")).alias("card_count")))
 
 
-@register("optimal_portfolio", "N", "R5, R6, J7", _n() + (
+_OPT_SELECT = (
     "SELECT o.client_id, CAST(o.pid AS INTEGER) AS portfolio_id, CAST(d.n_cards AS INTEGER) AS n_cards, "
     "d.optimal_cards, d.primary_card, CAST(o.net AS DOUBLE) AS net_annual_rewards, "
     "CAST(o.net + d.fees AS DOUBLE) AS gross_rewards, CAST(d.fees AS DOUBLE) AS total_annual_fees, "
-    "CAST(d.bonuses AS BIGINT) AS signup_bonuses FROM opt o JOIN pdim d ON d.pid = o.pid"))
+    "CAST(d.bonuses AS BIGINT) AS signup_bonuses FROM opt o JOIN pdim d ON d.pid = o.pid")
+
+
+@register("optimal_portfolio", "N", "R5, R6, J7", _n() + _OPT_SELECT)
 def optimal_portfolio(led):
     return rw.Rewards.of(led, "1_year", 3).optimal().drop("_net", "member_cards")
 
 
+_FEE_FREE = tuple(c for c in CATALOGUE if c.annual_fee == 0)
+
+
+@register("optimal_portfolio_fee_free", "N", "R5 (include_annual_fees=False)",
+          with_ledger("N", *spend_ctes(), *catalogue_ctes(_FEE_FREE), *OPT_CTES) + _OPT_SELECT)
+def optimal_portfolio_fee_free(led):
+    return rw.Rewards.of(led, "1_year", 3, include_annual_fees=False).optimal().drop(
+        "_net", "member_cards")
+
+
 @register("gross_by_category", "N", "R7, R18", _n() + (
     "SELECT fr.client_id, fr.category, CAST(cs.sp AS DOUBLE) AS annual_spending, fr.best_card, "
     "CAST(fr.best_rate AS DOUBLE) AS rate, CAST(cs.sp * fr.best_rate AS DOUBLE) AS optimal_rewards, "

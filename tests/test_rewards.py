@@ -122,3 +122,22 @@ def test_catalogue_frames(spark):
     assert cards.count() == 6
     assert rates.count() == 17
     assert rates.filter("category = 'default'").count() == 6
+
+
+def test_fee_free_option_filters_the_catalogue(spark):
+    rows = [(1, 7, 9000.0, ts(1), 8), (2, 7, 6000.0, ts(2), 2), (3, 7, 700.0, ts(3), 1)]
+    led = make_ledger(spark, rows)
+    r = rw.Rewards(led, "1_year", 3, include_annual_fees=False)
+    assert all(c.annual_fee == 0 for c in r.catalogue)
+    o = r.optimal().first()
+    free = [c for c in CATALOGUE if c.annual_fee == 0]
+    spend = {"Eating Places and Restaurants": Decimal("9000"),
+             "Grocery Stores, Supermarkets": Decimal("6000"), "Service Stations": Decimal("700")}
+    best, best_net = None, Decimal(0)
+    for k in range(1, 4):
+        for combo in combinations(free, k):
+            net = sum(s * max(c.rate(cat) for c in combo) for cat, s in spend.items())
+            if net > best_net:
+                best, best_net = combo, net
+    assert o.optimal_cards == ", ".join(c.name for c in best)
+    assert o.net_annual_rewards == float(best_net) and o.total_annual_fees == 0.0
