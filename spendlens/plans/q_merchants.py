@@ -182,3 +182,11 @@ def _trunc(c: str, n: int) -> str:
     f"{_pct_txt('share')} AS share_text, {_pct_txt('vs', True)} AS vs_average_text FROM dl2"))
 def display_labels(led):
     return mr.display_labels(led, "3_months")
+
+
+# ---- parameter variants ------------------------------------------------------
+
+@register("merchant_stats_last_year", "N", "M1–M3, F10 ('Last Year' = 365 days)",
+          with_ledger("N", *stats_sql(365)) + "SELECT * FROM ms", ts=_SPAN)
+def merchant_stats_last_year(led):
+    return mr.merchant_stats(led, "Last Year")

@@ -397,3 +397,23 @@ _BRAND_DEF = _values("bd0", "brand, rate", [(b, str(d)) for b, (_, d) in BRAND_R
     f"/ CAST(sp * CAST(0.01 AS {DEC}) AS DOUBLE) * 100 ELSE 0.0 END AS improvement_pct FROM og"))
 def owned_card_rewards(led):
     return rw.owned_card_rewards(led, "3_months")
+
+
+# ---- parameter variants ------------------------------------------------------
+
+@register("annual_spending_quarterly", "N", "R2, F9 (3 months × 4)", with_ledger(
+    "N", *spend_ctes(90, 4)) + (
+    "SELECT cs.client_id, cs.category, CAST(cs.sp AS DOUBLE) AS annual_spending, "
+    "CAST(SUM(cs.sp) OVER w AS DOUBLE) AS total_annual_spending, CAST(row_number() OVER "
+    "(PARTITION BY cs.client_id ORDER BY cs.sp DESC, cs.category) AS BIGINT) AS spending_rank, "
+    "row_number() OVER (PARTITION BY cs.client_id ORDER BY cs.sp DESC, cs.category) <= 5 AS in_top5, "
+    "cnt.transaction_count FROM cs JOIN cnt ON cnt.client_id = cs.client_id "
+    "WINDOW w AS (PARTITION BY cs.client_id)"))
+def annual_spending_quarterly(led):
+    return rw.Rewards.of(led, "3_months").annual_spending().drop("_spend")
+
+
+@register("optimal_portfolio_5_cards", "N", "R5, R6 (max_cards = 5)",
+          with_ledger("N", *spend_ctes(), *catalogue_ctes(CATALOGUE, 5), *OPT_CTES) + _OPT_SELECT)
+def optimal_portfolio_5_cards(led):
+    return rw.Rewards.of(led, "1_year", 5).optimal().drop("_net", "member_cards")

@@ -181,3 +181,16 @@ _INSIGHTS_SQL = with_ledger("N", *_breakdown_sql(90)) + (
 @register("category_insights", "N", "B12, F13", _INSIGHTS_SQL)
 def category_insights(led):
     return sp.category_insights(led, "3_months")
+
+
+# ---- parameter variants ------------------------------------------------------
+
+@register("category_breakdown_6_months", "N", "B2, F3 (180 days)",
+          with_ledger("N", *_breakdown_sql(180)) + "SELECT * FROM b")
+def category_breakdown_6_months(led):
+    return sp.category_breakdown(led, "6_months")
+
+
+@register("comparison_metrics_1_month", "N", "B8–B11, F6 (30 days)", _comparison_sql(30))
+def comparison_metrics_1_month(led):
+    return sp.comparison_metrics(led, "1_month")
