@@ -110,13 +110,21 @@ def card_label(brand: str | Column, ctype: str | Column) -> Column:
 
 # ---- bands (C21–C25) ---------------------------------------------------
 
+# Utilisation labels (below 30 %), credit-score labels (750, 650),
+# and the fraud gauge's colour steps (25, 50, 75).
+UTILIZATION_LABELS = ("Good", "High")
+CREDIT_LABELS = ("Excellent", "Good", "Fair")
+GAUGE_COLOURS = ("lightgreen", "yellow", "orange", "red")
+
+
 def utilization_band(c: str | Column) -> Column:
-    return F.when(col(c) < 30, "Good").otherwise("High")
+    return F.when(col(c) < 30, UTILIZATION_LABELS[0]).otherwise(UTILIZATION_LABELS[1])
 
 
 def credit_band(c: str | Column) -> Column:
     c = col(c)
-    return F.when(c >= 750, "Excellent").when(c >= 650, "Good").otherwise("Fair")
+    return (F.when(c >= 750, CREDIT_LABELS[0]).when(c >= 650, CREDIT_LABELS[1])
+            .otherwise(CREDIT_LABELS[2]))
 
 
 def fraud_band(c: str | Column) -> Column:
@@ -127,8 +135,8 @@ def fraud_band(c: str | Column) -> Column:
 def gauge_step(c: str | Column) -> Column:
     """Gauge colour step of the fraud dial: 0–25, 25–50, 50–75, 75–100."""
     c = col(c)
-    return (F.when(c < 25, "lightgreen").when(c < 50, "yellow")
-            .when(c < 75, "orange").otherwise("red"))
+    return (F.when(c < 25, GAUGE_COLOURS[0]).when(c < 50, GAUGE_COLOURS[1])
+            .when(c < 75, GAUGE_COLOURS[2]).otherwise(GAUGE_COLOURS[3]))
 
 
 def improvement_band(c: str | Column) -> Column:

@@ -32,6 +32,13 @@ MERCHANT_NAMES = {
     10: "Uber Rides",
 }
 
+# The two recommendation types, their title parts and priorities.
+SUBSCRIPTION_TYPE = "Subscription Optimization"
+SUBSCRIPTION_TITLE = ("Review ", " Subscription Services")
+LOYALTY_TYPE = "Loyalty Programs"
+LOYALTY_TITLE = ("Join loyalty programs at top ", " merchants")
+PRIORITY_HIGH, PRIORITY_MEDIUM = "High", "Medium"
+
 SUBSCRIPTION_MIN_CONSISTENCY = 0.8
 SUBSCRIPTION_MIN_FREQUENCY = 0.8
 SUBSCRIPTION_MIN_COUNT = 2
@@ -210,10 +217,11 @@ def merchant_recommendations(ledger: Ledger, period: str = "3_months") -> DataFr
     cost = F.col("_c").cast("double")
     sub_rows = subs.select(
         "client_id", F.lit(1).cast("long").alias("seq"),
-        F.lit("Subscription Optimization").alias("type"),
-        F.concat(F.lit("Review "), F.col("_n").cast("string"), F.lit(" Subscription Services"))
+        F.lit(SUBSCRIPTION_TYPE).alias("type"),
+        F.concat(F.lit(SUBSCRIPTION_TITLE[0]), F.col("_n").cast("string"),
+                 F.lit(SUBSCRIPTION_TITLE[1]))
         .alias("title"),
-        F.when(cost > 100, "High").otherwise("Medium").alias("priority"),
+        F.when(cost > 100, PRIORITY_HIGH).otherwise(PRIORITY_MEDIUM).alias("priority"),
         (cost * SUBSCRIPTION_SAVING_RATE).alias("potential_value"),
         F.lit("").alias("merchants"))
     loy = loyalty_candidates(ledger, period, stats=s)
@@ -225,10 +233,10 @@ def merchant_recommendations(ledger: Ledger, period: str = "3_months") -> DataFr
     loy_rows = top.groupBy("client_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(money("total_spent")).alias("_t"),
         names.alias("merchants")).select(
-        "client_id", F.lit(2).cast("long").alias("seq"), F.lit("Loyalty Programs").alias("type"),
-        F.concat(F.lit("Join loyalty programs at top "), F.col("_n").cast("string"),
-                 F.lit(" merchants")).alias("title"),
-        F.lit("Medium").alias("priority"),
+        "client_id", F.lit(2).cast("long").alias("seq"), F.lit(LOYALTY_TYPE).alias("type"),
+        F.concat(F.lit(LOYALTY_TITLE[0]), F.col("_n").cast("string"),
+                 F.lit(LOYALTY_TITLE[1])).alias("title"),
+        F.lit(PRIORITY_MEDIUM).alias("priority"),
         (F.col("_t").cast("double") * LOYALTY_REWARD_RATE).alias("potential_value"),
         "merchants")
     return sub_rows.unionByName(loy_rows)

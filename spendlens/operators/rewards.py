@@ -38,7 +38,27 @@ NET_T = "decimal(30,6)"
 BASE = Decimal("0.01")
 COVERAGE_RATE = Decimal("0.015")
 ACTION_MIN_EXTRA = 5
+
+# The name shown when no card beats 1 %; the three recommendation
+# rules' (priority, title, description format, action); the comparison
+# table's reason labels (the third applies to a card named with "Double
+# Cash"); the action-plan wording around the category and the card.
 CURRENT_CARD = "Current Card"
+RECOMMENDATIONS = (
+    ("High", "Significant Rewards Opportunity",
+     "Optimizing your card portfolio could earn you $%.2f more per year.",
+     "Consider applying for recommended cards"),
+    ("High", "Valuable Signup Bonuses Available",
+     "You could earn $%.2f in signup bonuses.",
+     "Apply for cards with highest signup bonuses first"),
+    ("Medium", "Fast Payback Period",
+     "Annual fees will pay for themselves in %.1f years.",
+     "Annual fees are justified by rewards earned"),
+)
+REASONS = ("High value with no annual fee", "High rewards justify the annual fee",
+           "Simple 2% on everything", "Strong overall performance")
+DOUBLE_CASH_MARK = "Double Cash"
+ACTION_WORDS = ("Switch ", " spending to ")
 
 
 def _r(x: Decimal) -> Column:
@@ -399,24 +419,17 @@ class Rewards:
         imp = self.impact()
         i, b, p = F.col("annual_improvement"), F.col("signup_bonuses"), F.col("payback_period")
 
-        def rec(seq, prio, title, desc, action):
+        def rec(seq, value):
+            prio, title, fmt, action = RECOMMENDATIONS[seq - 1]
             return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(prio).alias("priority"),
-                            F.lit(title).alias("title"), desc.alias("description"),
+                            F.lit(title).alias("title"),
+                            F.format_string(fmt, value).alias("description"),
                             F.lit(action).alias("action"))
 
         recs = F.array(
-            F.when(i > 100, rec(1, "High", "Significant Rewards Opportunity",
-                                F.format_string("Optimizing your card portfolio could earn you "
-                                                "$%.2f more per year.", round_dec(i, 2)),
-                                "Consider applying for recommended cards")),
-            F.when(b > 500, rec(2, "High", "Valuable Signup Bonuses Available",
-                                F.format_string("You could earn $%.2f in signup bonuses.",
-                                                b.cast("double")),
-                                "Apply for cards with highest signup bonuses first")),
-            F.when((p > 0) & (p < 2), rec(3, "Medium", "Fast Payback Period",
-                                          F.format_string("Annual fees will pay for themselves "
-                                                          "in %.1f years.", round_dec(p, 1)),
-                                          "Annual fees are justified by rewards earned")))
+            F.when(i > 100, rec(1, round_dec(i, 2))),
+            F.when(b > 500, rec(2, b.cast("double"))),
+            F.when((p > 0) & (p < 2), rec(3, round_dec(p, 1))))
         out = imp.select("client_id", F.explode(F.array_compact(recs)).alias("r"))
         prio = F.col("r.priority")
         return out.select(
@@ -461,10 +474,10 @@ class Rewards:
             .alias("payback_months"),
             F.when(fee > 0, (F.col("first_year_value") - fee) / fee * 100).otherwise(F.lit(0.0))
             .alias("roi_pct"),
-            F.when((fee == 0) & (netd > 1000), "High value with no annual fee")
-             .when((fee > 0) & (netd > 1500), "High rewards justify the annual fee")
-             .when(F.col("card").contains("Double Cash"), "Simple 2% on everything")
-             .otherwise("Strong overall performance").alias("reason"),
+            F.when((fee == 0) & (netd > 1000), REASONS[0])
+             .when((fee > 0) & (netd > 1500), REASONS[1])
+             .when(F.col("card").contains(DOUBLE_CASH_MARK), REASONS[2])
+             .otherwise(REASONS[3]).alias("reason"),
             (F.col("rank") <= 3).alias("is_top3"))
 
     # ---- R14–R17 ----------------------------------------------------------
@@ -525,7 +538,8 @@ class Rewards:
         is_act = F.col("action_priority") > 0
         return out.select(
             "*",
-            F.when(is_act, F.concat(F.lit("Switch "), F.col("category"), F.lit(" spending to "),
+            F.when(is_act, F.concat(F.lit(ACTION_WORDS[0]), F.col("category"),
+                                    F.lit(ACTION_WORDS[1]),
                                     F.col("best_card"))).otherwise(F.lit("")).alias("action"),
             F.when(is_act, F.col("additional_rewards") / 12).otherwise(F.lit(0.0))
             .alias("monthly_impact"))

@@ -80,7 +80,7 @@ OPT_CTES = (
     "arg_max(card, struct_pack(r := rate, p := -pos)) AS best_card, "
     f"GREATEST(MAX(rate), CAST(0.01 AS {DEC})) AS floor_rate, "
     "CASE WHEN MAX(rate) > 0.01 THEN arg_max(card, struct_pack(r := rate, p := -pos)) "
-    "ELSE 'Current Card' END AS floor_card FROM mr GROUP BY client_id, category)",
+    f"ELSE {q(rw.CURRENT_CARD)} END AS floor_card FROM mr GROUP BY client_id, category)",
 )
 
 
@@ -127,19 +127,21 @@ IMP_CTES = (
     "CAST(TRUNC(payback_period * 12) AS BIGINT) AS payback_months FROM imp1)",
 )
 
+def _rec_select(seq: int, value: str, where: str) -> str:
+    prio, title, fmt, action = rw.RECOMMENDATIONS[seq - 1]
+    rank = {"High": 1, "Medium": 2}.get(prio, 3)
+    return (f"SELECT client_id, CAST({seq} AS BIGINT) AS seq, {q(prio)} AS priority, "
+            f"CAST({rank} AS BIGINT) AS priority_rank, {q(title)} AS title, "
+            f"printf({q(fmt)}, {value}) AS description, {q(action)} AS action FROM imp "
+            f"WHERE {where}")
+
+
 RECS_CTE = (
-    "recs AS ("
-    "SELECT client_id, CAST(1 AS BIGINT) AS seq, 'High' AS priority, CAST(1 AS BIGINT) AS priority_rank, "
-    "'Significant Rewards Opportunity' AS title, printf('Optimizing your card portfolio could earn "
-    f"you $%.2f more per year.', {R('annual_improvement', 2)}) AS description, "
-    "'Consider applying for recommended cards' AS action FROM imp WHERE annual_improvement > 100 "
-    "UNION ALL SELECT client_id, 2, 'High', 1, 'Valuable Signup Bonuses Available', "
-    "printf('You could earn $%.2f in signup bonuses.', CAST(signup_bonuses AS DOUBLE)), "
-    "'Apply for cards with highest signup bonuses first' FROM imp WHERE signup_bonuses > 500 "
-    "UNION ALL SELECT client_id, 3, 'Medium', 2, 'Fast Payback Period', "
-    f"printf('Annual fees will pay for themselves in %.1f years.', {R('payback_period', 1)}), "
-    "'Annual fees are justified by rewards earned' FROM imp "
-    "WHERE payback_period > 0 AND payback_period < 2)",
+    "recs AS (" + " UNION ALL ".join([
+        _rec_select(1, R("annual_improvement", 2), "annual_improvement > 100"),
+        _rec_select(2, "CAST(signup_bonuses AS DOUBLE)", "signup_bonuses > 500"),
+        _rec_select(3, R("payback_period", 1), "payback_period > 0 AND payback_period < 2"),
+    ]) + ")",
 )
 
 CMP_CTES = (
@@ -157,10 +159,10 @@ CMP_CTES = (
     "CASE WHEN annual_fee > 0 AND CAST(g AS DOUBLE) <> 0 THEN annual_fee / CAST(g AS DOUBLE) * 12 "
     "ELSE 0.0 END AS payback_months, CASE WHEN annual_fee > 0 THEN "
     "(CAST(n + signup_bonus AS DOUBLE) - annual_fee) / annual_fee * 100 ELSE 0.0 END AS roi_pct, "
-    "CASE WHEN annual_fee = 0 AND CAST(n AS DOUBLE) > 1000 THEN 'High value with no annual fee' "
-    "WHEN annual_fee > 0 AND CAST(n AS DOUBLE) > 1500 THEN 'High rewards justify the annual fee' "
-    "WHEN contains(cc1.card, 'Double Cash') THEN 'Simple 2% on everything' "
-    "ELSE 'Strong overall performance' END AS reason, rk <= 3 AS is_top3, "
+    f"CASE WHEN annual_fee = 0 AND CAST(n AS DOUBLE) > 1000 THEN {q(rw.REASONS[0])} "
+    f"WHEN annual_fee > 0 AND CAST(n AS DOUBLE) > 1500 THEN {q(rw.REASONS[1])} "
+    f"WHEN contains(cc1.card, {q(rw.DOUBLE_CASH_MARK)}) THEN {q(rw.REASONS[2])} "
+    f"ELSE {q(rw.REASONS[3])} END AS reason, rk <= 3 AS is_top3, "
     "mem.card IS NOT NULL AS in_optimal, n AS ndec FROM cc1 LEFT JOIN mem "
     "ON mem.client_id = cc1.client_id AND mem.card = cc1.card)",
 )
@@ -269,7 +271,7 @@ def card_comparison(led):
 _EXTRA_CTES = (
     "ce0 AS (SELECT cs.client_id, cs.category, cs.sp, "
     f"COALESCE(fr.floor_rate, CAST(0.01 AS {DEC})) AS rate, "
-    "COALESCE(fr.floor_card, 'Current Card') AS best_card, COALESCE(d.primary_card, '') AS primary_card "
+    f"COALESCE(fr.floor_card, {q(rw.CURRENT_CARD)}) AS best_card, COALESCE(d.primary_card, '') AS primary_card "
     "FROM cs LEFT JOIN opt o ON o.client_id = cs.client_id LEFT JOIN fr ON fr.client_id = cs.client_id "
     "AND fr.category = cs.category LEFT JOIN pdim d ON d.pid = o.pid)",
     f"ce1 AS (SELECT *, sp * CAST(0.01 AS {DEC}) AS cur, sp * rate AS pot, "
@@ -294,8 +296,9 @@ _EXTRA_CTES = (
 
 @register("category_extra_rewards", "N", "R14, R15, R16, R17, F11", _n(*_EXTRA_CTES) + (
     "SELECT *, CASE WHEN total_current > 0 THEN total_additional / total_current * 100 ELSE 0.0 END "
-    "AS uplift_pct, CASE WHEN action_priority > 0 THEN 'Switch ' || category || ' spending to ' || "
-    "best_card ELSE '' END AS action, CASE WHEN action_priority > 0 THEN additional_rewards / 12 "
+    f"AS uplift_pct, CASE WHEN action_priority > 0 THEN {q(rw.ACTION_WORDS[0])} || category || "
+    f"{q(rw.ACTION_WORDS[1])} || best_card ELSE '' END AS action, "
+    "CASE WHEN action_priority > 0 THEN additional_rewards / 12 "
     "ELSE 0.0 END AS monthly_impact FROM ce3"))
 def category_extra_rewards(led):
     return rw.Rewards.of(led, "1_year").category_extra_rewards()
@@ -392,7 +395,7 @@ _BRAND_DEF = _values("bd0", "brand, rate", [(b, str(d)) for b, (_, d) in BRAND_R
     "SELECT client_id, category, CAST(sp AS DOUBLE) AS spending, "
     f"CAST(sp * CAST(0.01 AS {DEC}) AS DOUBLE) AS current_rewards, CAST(sp * best AS DOUBLE) "
     f"AS potential_rewards, CAST(sp * best - sp * CAST(0.01 AS {DEC}) AS DOUBLE) AS additional_rewards, "
-    "COALESCE(card, 'Current Card') AS best_card, CAST(best AS DOUBLE) * 100 AS best_reward_rate, "
+    f"COALESCE(card, {q(rw.CURRENT_CARD)}) AS best_card, CAST(best AS DOUBLE) * 100 AS best_reward_rate, "
     f"CASE WHEN sp * CAST(0.01 AS {DEC}) > 0 THEN CAST(sp * best - sp * CAST(0.01 AS {DEC}) AS DOUBLE) "
     f"/ CAST(sp * CAST(0.01 AS {DEC}) AS DOUBLE) * 100 ELSE 0.0 END AS improvement_pct FROM og"))
 def owned_card_rewards(led):

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.exprs import round_dec
 
+# The four metric names of the patterns summary, in order, and
+# the action-plan wording and current-rate text.
+PATTERN_METRICS = ("Total Transactions", "Average Transaction", "Largest Transaction",
+                   "Smallest Transaction")
+ACTION_WORDS = ("Use ", " for ")
+CURRENT_RATE_TEXT = "1%"
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header CSV directory at ``path``."""
@@ -36,9 +43,8 @@ def patterns_summary(patterns: DataFrame) -> DataFrame:
         F.col("transactions").cast("string").alias("total"),
         money("avg_transaction").alias("avg"), money("max_transaction").alias("mx"),
         money("min_transaction").alias("mn"))
-    return wide.select("client_id", F.expr(
-        "stack(4, 'Total Transactions', total, 'Average Transaction', avg, "
-        "'Largest Transaction', mx, 'Smallest Transaction', mn) AS (Metric, Value)"))
+    pairs = ", ".join(f"'{m}', {c}" for m, c in zip(PATTERN_METRICS, ("total", "avg", "mx", "mn")))
+    return wide.select("client_id", F.expr(f"stack(4, {pairs}) AS (Metric, Value)"))
 
 
 def action_plan(extra: DataFrame) -> DataFrame:
@@ -48,8 +54,9 @@ def action_plan(extra: DataFrame) -> DataFrame:
     return a.select(
         "client_id",
         F.col("action_priority").alias("Priority"),
-        F.concat(F.lit("Use "), F.col("best_card"), F.lit(" for "), F.col("category"))
+        F.concat(F.lit(ACTION_WORDS[0]), F.col("best_card"), F.lit(ACTION_WORDS[1]),
+                 F.col("category"))
         .alias("Action"),
-        F.lit("1%").alias("Current_Rate"),
+        F.lit(CURRENT_RATE_TEXT).alias("Current_Rate"),
         F.format_string("%.1f%%", round_dec("best_reward_rate", 1)).alias("New_Rate"),
         F.format_string("$%.2f", round_dec("additional_rewards", 2)).alias("Annual_Gain"))
