@@ -187,15 +187,20 @@ def comparison_metrics(ledger: Ledger, period: str = "3_months") -> DataFrame:
     return m.join(diversity, "client_id")
 
 
-def category_insights(ledger: Ledger, period: str = "3_months") -> DataFrame:
+def category_insights(ledger: Ledger, period: str = "3_months",
+                      approx: bool = False) -> DataFrame:
     """B12 + F13: per client × category, whether the category's mean is above
     the mean of the client's category means, whether its share exceeds 20 %,
-    and whether its count exceeds the 75th percentile of counts."""
+    and whether its count exceeds the 75th percentile of counts (exact, with
+    linear interpolation; ``approx=True`` uses ``percentile_approx``)."""
     b = category_breakdown(ledger, period)
     w = Window.partitionBy("client_id")
     avg_dec = F.col("avg_transaction").cast("decimal(18,2)")
     n = F.count(F.lit(1)).over(w)
-    p75 = F.percentile(F.col("transaction_count"), F.lit(0.75)).over(w)
+    if approx:
+        p75 = F.percentile_approx("transaction_count", 0.75, 10000).over(w).cast("double")
+    else:
+        p75 = F.percentile(F.col("transaction_count"), F.lit(0.75)).over(w)
     return b.select(
         "*",
         (avg_dec * n > F.sum(avg_dec).over(w)).alias("above_average"),

@@ -88,3 +88,16 @@ def test_top_merchants_headline(spark):
                 "most_frequent_merchant", "top3_share")
     assert set(t) == {1, 3}
     assert t[1] == (1, "Merchant 1", 100.0)
+
+
+def test_approximate_percentile_switches(spark):
+    rows = [(i, 7, float(10 + i), ts(i % 20), 1 + i % 8, 1 + i % 5) for i in range(40)]
+    led = make_ledger(spark, rows)
+    exact = {r.category: r.frequent for r in spending.category_insights(led, "3_months").collect()}
+    approx = {r.category: r.frequent
+              for r in spending.category_insights(led, "3_months", approx=True).collect()}
+    assert set(exact) == set(approx)
+    loy = {r.merchant_id for r in merchants.loyalty_candidates(led, "3_months").collect()}
+    loy_a = {r.merchant_id
+             for r in merchants.loyalty_candidates(led, "3_months", approx=True).collect()}
+    assert loy and loy_a
