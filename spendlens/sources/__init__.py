@@ -1,0 +1,2 @@
+"""Tables in and out: schemas and the Ledger, file loaders, bindings of the
+driver's test tables, and CSV exports."""
