@@ -13,6 +13,7 @@ from spendlens.functions.exprs import col
 
 # Formats the raw files use.
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIMESTAMP_LAYOUT = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 MONTH_YEAR_SUFFIX = "/01"
 MONTH_YEAR_FORMAT = "M/yyyy/dd"
 
@@ -29,8 +30,13 @@ def parse_month_year(c: str | Column) -> Column:
 
 
 def parse_timestamp(c: str | Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` → TIMESTAMP_NTZ; invalid → NULL."""
-    return F.try_to_timestamp(col(c), F.lit(TIMESTAMP_FORMAT)).cast("timestamp_ntz")
+    """``yyyy-MM-dd HH:mm:ss`` → TIMESTAMP_NTZ; invalid → NULL.
+
+    The layout is checked first and the text then cast straight to a
+    zone-free timestamp, so the session time zone never shifts a wall-clock
+    value (no daylight-saving gap), and impossible dates give NULL."""
+    c = col(c)
+    return F.when(c.rlike(TIMESTAMP_LAYOUT), c.try_cast("timestamp_ntz"))
 
 
 def parse_int(c: str | Column, long: bool = False) -> Column:

@@ -124,3 +124,15 @@ def test_user_list_is_capped_and_ordered(spark, csv_dir):
     led = loaders.load_ledger(spark, csv_dir, "csv")
     out = loaders.user_list(led, cap=1).collect()
     assert [(r.id, r.label) for r in out] == [(1, "User 1 - 1 Main St")]
+
+
+def test_timestamp_parse_ignores_session_time_zone(spark):
+    df = spark.createDataFrame([("2021-03-14 02:30:00",), ("2021-02-30 10:00:00",),
+                                ("2021-3-14 02:30:00",), ("2021-03-14T02:30:00",)], "d string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        out = [r.t for r in df.select(cleaning.parse_timestamp("d").alias("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert out == [dt.datetime(2021, 3, 14, 2, 30), None, None, None]
