@@ -90,15 +90,39 @@ def _merchant_stats(ledger: Ledger, period: str) -> DataFrame:
         merchant_name(F.col("merchant_id"), F.col("category")).alias("merchant_name"))
 
 
+def client_merchant_totals(ledger: Ledger, period: str = "3_months", approx: bool = False,
+                           stats: DataFrame | None = None) -> DataFrame:
+    """Per client over its merchants, in one aggregation shared by M4, M7 and
+    M10: number of merchants, exact total spend and the 70th percentiles of
+    spend and frequency (linear interpolation; ``approx=True`` bounds memory
+    for clients with very many merchants)."""
+    def build(s: DataFrame) -> DataFrame:
+        if approx:
+            q_spend = F.percentile_approx("total_spent", LOYALTY_QUANTILE, 10000)
+            q_freq = F.percentile_approx("frequency_score", LOYALTY_QUANTILE, 10000)
+        else:
+            q_spend = F.percentile("total_spent", F.lit(LOYALTY_QUANTILE))
+            q_freq = F.percentile("frequency_score", F.lit(LOYALTY_QUANTILE))
+        return s.groupBy("client_id").agg(
+            F.count(F.lit(1)).alias("total_merchants"),
+            F.sum(money("total_spent")).alias("_t"),
+            q_spend.cast("double").alias("spending_threshold"),
+            q_freq.cast("double").alias("frequency_threshold"))
+
+    if stats is not None:
+        return build(stats)
+    return ledger.memo(("merchant_client_totals", period_days(period), approx),
+                       lambda: build(merchant_stats(ledger, period)))
+
+
 def concentration(ledger: Ledger, period: str = "3_months",
                   stats: DataFrame | None = None) -> DataFrame:
     """M4: share of the top 3 / 5 / 10 merchants in the client's total (1 dp);
     clients whose total is 0 have no row."""
     s = merchant_stats(ledger, period) if stats is None else stats
-    s = s.select("client_id", "merchant_id", "total_spent",
-                 money("total_spent").alias("_d"))
-    totals = s.groupBy("client_id").agg(F.sum("_d").alias("_t"),
-                                        F.count(F.lit(1)).alias("total_merchants"))
+    totals = client_merchant_totals(ledger, period, stats=stats).select(
+        "client_id", "total_merchants", "_t")
+    s = s.select("client_id", "merchant_id", "total_spent", money("total_spent").alias("_d"))
     top = top_k_per_group(s, ["client_id"], [F.col("total_spent").desc(), F.col("merchant_id")],
                           10, salt_cols=["merchant_id"])
     tops = top.groupBy("client_id").agg(
@@ -137,17 +161,11 @@ def subscriptions(ledger: Ledger, period: str = "3_months",
 def loyalty_candidates(ledger: Ledger, period: str = "3_months", approx: bool = False,
                        stats: DataFrame | None = None) -> DataFrame:
     """M7 + M8: merchants at or above the client's 70th percentile of spend or
-    of frequency (linear interpolation; ``approx=True`` bounds memory for very
-    many merchants per client), scored 0.6·spend + 20·frequency + 2·count."""
+    of frequency (see :func:`client_merchant_totals`), scored
+    0.6·spend + 20·frequency + 2·count."""
     s = merchant_stats(ledger, period) if stats is None else stats
-    if approx:
-        q_spend = F.percentile_approx("total_spent", LOYALTY_QUANTILE, 10000)
-        q_freq = F.percentile_approx("frequency_score", LOYALTY_QUANTILE, 10000)
-    else:
-        q_spend = F.percentile("total_spent", F.lit(LOYALTY_QUANTILE))
-        q_freq = F.percentile("frequency_score", F.lit(LOYALTY_QUANTILE))
-    th = s.groupBy("client_id").agg(q_spend.cast("double").alias("spending_threshold"),
-                                    q_freq.cast("double").alias("frequency_threshold"))
+    th = client_merchant_totals(ledger, period, approx, stats).select(
+        "client_id", "spending_threshold", "frequency_threshold")
     c = attach_per_client(ledger, s, th).filter(
         (F.col("total_spent") >= F.col("spending_threshold"))
         | (F.col("frequency_score") >= F.col("frequency_threshold")))
@@ -190,10 +208,9 @@ def spending_volatility(ledger: Ledger, period: str = "3_months") -> DataFrame:
 def merchant_summary(ledger: Ledger, period: str = "3_months") -> DataFrame:
     """One row per client — merchant count, concentration, volatility and
     number of loyalty candidates."""
-    s = merchant_stats(ledger, period)
-    base = s.groupBy("client_id").agg(F.count(F.lit(1)).alias("total_merchants"))
-    conc = concentration(ledger, period, s).drop("total_merchants")
-    loy = loyalty_candidates(ledger, period, stats=s).groupBy("client_id").agg(
+    base = client_merchant_totals(ledger, period).select("client_id", "total_merchants")
+    conc = concentration(ledger, period).drop("total_merchants")
+    loy = loyalty_candidates(ledger, period).groupBy("client_id").agg(
         F.count(F.lit(1)).alias("loyalty_candidates"))
     vol = spending_volatility(ledger, period).drop("active_days")
     df = base.join(conc, "client_id", "left").join(vol, "client_id", "left").join(
@@ -211,8 +228,7 @@ def merchant_recommendations(ledger: Ledger, period: str = "3_months") -> DataFr
     """Up to two recommendation rows per client — review subscriptions
     (20 % assumed saving, High above 100/month) and join the loyalty programmes
     of the three best-scored merchants (2 % of their spend)."""
-    s = merchant_stats(ledger, period)
-    subs = subscriptions(ledger, period, s).groupBy("client_id").agg(
+    subs = subscriptions(ledger, period).groupBy("client_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(money("estimated_monthly_cost")).alias("_c"))
     cost = F.col("_c").cast("double")
     sub_rows = subs.select(
@@ -224,7 +240,7 @@ def merchant_recommendations(ledger: Ledger, period: str = "3_months") -> DataFr
         F.when(cost > 100, PRIORITY_HIGH).otherwise(PRIORITY_MEDIUM).alias("priority"),
         (cost * SUBSCRIPTION_SAVING_RATE).alias("potential_value"),
         F.lit("").alias("merchants"))
-    loy = loyalty_candidates(ledger, period, stats=s)
+    loy = loyalty_candidates(ledger, period)
     top = top_k_per_group(loy, ["client_id"], [F.col("loyalty_score").desc(),
                                                F.col("merchant_id")], 3,
                           salt_cols=["merchant_id"])
