@@ -16,7 +16,7 @@ from spendlens.functions.cleaning import month_label
 from spendlens.functions.exprs import (card_label, cents, cents_to_double, clamp_max,
                                        money_sum, money_sum_dec, round_dec)
 from spendlens.functions.periods import days_before, with_anchor
-from spendlens.plans.joins import rank_all
+from spendlens.plans.joins import attach_per_client, rank_all
 from spendlens.sources.schema import Ledger
 
 MONTH_DAYS = 30
@@ -79,7 +79,7 @@ def monthly_spending(ledger: Ledger, months_back: int = 1) -> DataFrame:
     tx = with_anchor(ledger, ledger.transactions.select("client_id", "amount", "date"))
     s = (tx.filter(_in_months(months_back)).groupBy("client_id")
            .agg(money_sum("amount").alias("monthly_spending")))
-    return _users(ledger).join(s, "client_id", "left").select(
+    return attach_per_client(ledger, _users(ledger), s, "left").select(
         "client_id", _zero("monthly_spending").alias("monthly_spending"))
 
 
@@ -96,7 +96,7 @@ def utilization_expr(spend: Column, limit: Column) -> Column:
 
 def credit_utilization(ledger: Ledger) -> DataFrame:
     a1 = monthly_spending(ledger, 1)
-    return a1.join(_limits(ledger), "client_id", "left").select(
+    return attach_per_client(ledger, a1, _limits(ledger), "left").select(
         "client_id", "monthly_spending", _zero("total_credit_limit").alias("total_credit_limit"),
         utilization_expr(F.col("monthly_spending"), F.col("total_credit_limit"))
         .alias("credit_utilization"))
@@ -118,7 +118,7 @@ def rewards_earned(ledger: Ledger, months_back: int = 12, mode: str = "nested")
     """A4: 1 % of the sum over m = 1..months of A1(m) (``mode="nested"``, as
     the reference), or of each purchase once (``"disjoint"``)."""
     core = kpi_core(ledger, 1, months_back, mode, with_labels=False)
-    return _users(ledger).join(core, "client_id", "left").select(
+    return attach_per_client(ledger, _users(ledger), core, "left").select(
         "client_id",
         (F.coalesce(cents_to_double("_w"), F.lit(0.0)) * BASE_REWARD).alias("rewards_earned"))
 
@@ -127,7 +127,7 @@ def fraud_risk(ledger: Ledger) -> DataFrame:
     """A6 (+ J3): fraudulent / all transactions × 100, all time, refunds
     included; unlabelled transactions count as not fraudulent."""
     core = kpi_core(ledger)
-    return _users(ledger).join(core, "client_id", "left").select(
+    return attach_per_client(ledger, _users(ledger), core, "left").select(
         "client_id",
         F.coalesce("_n", F.lit(0).cast("long")).alias("transactions"),
         F.coalesce("_fraud", F.lit(0).cast("long")).alias("fraud_transactions"),
@@ -207,8 +207,9 @@ def all_kpis(ledger: Ledger, mode: str = "nested") -> DataFrame:
     cats = spending_by_category(ledger, 3).groupBy("client_id").agg(
         F.count(F.lit(1)).alias("spending_categories"))
     u = ledger.users.select(F.col("id").alias("client_id"), "total_debt", "credit_score")
-    df = (u.join(core, "client_id", "left").join(_limits(ledger), "client_id", "left")
-           .join(cats, "client_id", "left"))
+    df = attach_per_client(ledger, u, core, "left")
+    df = attach_per_client(ledger, df, _limits(ledger), "left")
+    df = attach_per_client(ledger, df, cats, "left")
     spend = F.coalesce(cents_to_double("_m"), F.lit(0.0))
     return df.select(
         "client_id",

@@ -127,7 +127,7 @@ def concentration(ledger: Ledger, period: str = "3_months",
                           10, salt_cols=["merchant_id"])
     tops = top.groupBy("client_id").agg(
         *[F.sum(F.when(F.col("rank") <= k, F.col("_d"))).alias(f"_t{k}") for k in (3, 5, 10)])
-    df = totals.join(tops, "client_id").filter(F.col("_t") != 0)
+    df = attach_per_client(ledger, totals, tops).filter(F.col("_t") != 0)
     return df.select(
         "client_id", "total_merchants",
         *[round_dec(F.col(f"_t{k}").cast("double") / F.col("_t").cast("double") * 100, 1)
@@ -213,8 +213,9 @@ def merchant_summary(ledger: Ledger, period: str = "3_months") -> DataFrame:
     loy = loyalty_candidates(ledger, period).groupBy("client_id").agg(
         F.count(F.lit(1)).alias("loyalty_candidates"))
     vol = spending_volatility(ledger, period).drop("active_days")
-    df = base.join(conc, "client_id", "left").join(vol, "client_id", "left").join(
-        loy, "client_id", "left")
+    df = attach_per_client(ledger, base, conc, "left")
+    df = attach_per_client(ledger, df, vol, "left")
+    df = attach_per_client(ledger, df, loy, "left")
     return df.select(
         "client_id", "total_merchants",
         *[F.coalesce(F.col(f"top_{k}_percentage"), F.lit(0.0)).alias(f"top_{k}_percentage")

@@ -157,8 +157,8 @@ class Rewards:
                      F.col("_spend").cast("double").alias("annual_spending"),
                      F.sum("_spend").over(w).cast("double").alias("total_annual_spending"),
                      rk.cast("long").alias("spending_rank"))
-        self._sp = (g.withColumn("in_top5", F.col("spending_rank") <= 5)
-                     .join(counts, "client_id"))
+        self._sp = attach_per_client(self.ledger,
+                                     g.withColumn("in_top5", F.col("spending_rank") <= 5), counts)
         return self._sp
 
     def key_spend(self, spending: DataFrame | None = None) -> DataFrame:

@@ -184,7 +184,7 @@ def comparison_metrics(ledger: Ledger, period: str = "3_months") -> DataFrame:
                      pct_change("avg_transaction_current", "avg_transaction_previous"))
     diversity = (category_breakdown(ledger, period).groupBy("client_id")
                  .agg(F.count(F.lit(1)).alias("category_diversity")))
-    return m.join(diversity, "client_id")
+    return attach_per_client(ledger, m, diversity)
 
 
 def category_insights(ledger: Ledger, period: str = "3_months",

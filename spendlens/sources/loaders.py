@@ -115,8 +115,9 @@ def activity_counts(ledger: Ledger) -> DataFrame:
     """Per client, the number of transactions and cards loaded."""
     t = ledger.transactions.groupBy("client_id").agg(F.count(F.lit(1)).alias("transactions"))
     c = ledger.cards.groupBy("client_id").agg(F.count(F.lit(1)).alias("cards"))
-    return (ledger.users.select(F.col("id").alias("client_id"))
-            .join(t, "client_id", "left").join(c, "client_id", "left")
+    from spendlens.plans.joins import attach_per_client
+    u = ledger.users.select(F.col("id").alias("client_id"))
+    return (attach_per_client(ledger, attach_per_client(ledger, u, t, "left"), c, "left")
             .select("client_id",
                     F.coalesce("transactions", F.lit(0).cast("long")).alias("transactions"),
                     F.coalesce("cards", F.lit(0).cast("long")).alias("cards")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 USERS = T.StructType([
@@ -106,10 +107,10 @@ def validate(df: DataFrame, schema: T.StructType, name: str) -> None:
 class Ledger:
     """The five cleaned tables the analytics run on.
 
-    ``client_count`` is the number of distinct clients that appear in
-    ``transactions``; it is computed once (one small aggregation job) and is
-    the proven bound used to decide whether a per-client table may be
-    broadcast.
+    ``client_count`` is the number of distinct client ids found in
+    transactions, users and cards; it is computed once (one aggregation job)
+    and bounds every one-row-per-client table, so it is the proven size used
+    to decide whether such a table may be broadcast.
     """
 
     users: DataFrame
@@ -126,9 +127,10 @@ class Ledger:
 
     def client_count(self) -> int:
         if self._client_count is None:
-            self._client_count = (
-                self.transactions.select("client_id").distinct().count()
-            )
+            ids = (self.transactions.select("client_id")
+                   .union(self.users.select(F.col("id").alias("client_id")))
+                   .union(self.cards.select("client_id")))
+            self._client_count = ids.distinct().count()
         return self._client_count
 
     def broadcast_clients_ok(self) -> bool:
