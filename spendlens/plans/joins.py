@@ -2,9 +2,11 @@
 
 * ``attach_per_client`` joins a one-row-per-client table back to row-level
   data.  It broadcasts only when the ledger's proven client count is under the
-  configured bound; beyond it, it is a shuffle join on ``client_id`` and AQE's
-  skew-join splitting takes care of a client that holds a large share of rows
-  (the per-client side of a hot key is a single row, so splitting is cheap).
+  configured bound.  Beyond it, the join is salted: each row gets a salt from
+  a hash of its own values, the per-client side (one row per client) is
+  replicated once per salt, and the join runs on ``(client_id, salt)`` — a
+  client holding a third of all rows is spread over all salt buckets instead
+  of one task, whatever the adaptive settings.
 * ``top_k_per_group`` keeps the first ``k`` rows of each group in two salted
   rounds, so a hot group never lands whole in one window task.
 """
@@ -20,12 +22,25 @@ from spendlens.sources.schema import Ledger
 
 DEFAULT_SALT_BUCKETS = 1024
 SALT_BUCKETS_CONF = "spendlens.topk.saltBuckets"
+JOIN_SALT_CONF = "spendlens.join.saltBuckets"
+DEFAULT_JOIN_SALT = 64
 
 
 def attach_per_client(ledger: Ledger, df: DataFrame, per_client: DataFrame,
                       how: str = "inner") -> DataFrame:
-    right = F.broadcast(per_client) if ledger.broadcast_clients_ok() else per_client
-    return df.join(right, "client_id", how)
+    """Join a table with one row per ``client_id`` to ``df`` (``inner`` or
+    ``left``): broadcast under the proven bound, else a salted shuffle join."""
+    if ledger.broadcast_clients_ok():
+        return df.join(F.broadcast(per_client), "client_id", how)
+    conf = df.sparkSession.conf.get(JOIN_SALT_CONF, None)
+    buckets = int(conf) if conf else DEFAULT_JOIN_SALT
+    if buckets <= 1:
+        return df.join(per_client, "client_id", how)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets))
+    left = df.withColumn("_jsalt", salt)
+    right = per_client.withColumn(
+        "_jsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    return left.join(right, ["client_id", "_jsalt"], how).drop("_jsalt")
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
