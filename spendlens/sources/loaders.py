@@ -106,8 +106,10 @@ def require_user(ledger: Ledger, client_id: int) -> None:
 
 
 def label_semi_join(labels: DataFrame, tx: DataFrame) -> DataFrame:
-    """Labels whose transaction appears in ``tx`` (typed, possibly empty)."""
-    ids = tx.select(F.col("id").alias("transaction_id"))
+    """Labels whose transaction appears in ``tx`` (typed, possibly empty).
+    The ids are de-duplicated first (map-side), so a transaction id repeated
+    on many rows cannot make one build partition of the semi join hot."""
+    ids = tx.select(F.col("id").alias("transaction_id")).distinct()
     return labels.join(ids, "transaction_id", "left_semi")
 
 
