@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from spendlens.operators import spending as sp
 from spendlens.plans.registry import register
-from spendlens.plans.sqlkit import (DB, MS, MSD, PCT, R, SDIV, anchor_cte, categorized_cte,
+from spendlens.plans.sqlkit import (DB, MSD, PCT, R, SDIV, anchor_cte, categorized_cte,
                                     period_cte, with_ledger)
 
 CUSTOM_START, CUSTOM_END = "2000-01-01", "2000-06-30"

@@ -12,7 +12,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spendlens.functions import cleaning
 from spendlens.sources.schema import SCHEMAS, Ledger, conform, validate
