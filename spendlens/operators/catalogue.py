@@ -140,7 +140,8 @@ def portfolios(max_cards: int = 3, catalogue: tuple[Card, ...] = CATALOGUE) -> l
 def catalogue_frames(spark: SparkSession, catalogue: tuple[Card, ...] = CATALOGUE
                      ) -> tuple[DataFrame, DataFrame]:
     """R1 as two small DataFrames: cards (one row per card) and card_rates
-    (one row per listed category, plus a ``default`` row per card)."""
+    (one row per listed category in listing order, plus a ``default`` row per
+    card)."""
     cards = spark.createDataFrame(
         [(i, c.name, c.annual_fee, c.signup_bonus, c.spending_requirement, c.default_rate,
           BEST_FOR.get(c.name)) for i, c in enumerate(catalogue)],
@@ -152,10 +153,12 @@ def catalogue_frames(spark: SparkSession, catalogue: tuple[Card, ...] = CATALOGU
             T.StructField("default_rate", T.DecimalType(6, 4)),
             T.StructField("best_for", T.StringType())]))
     rates = spark.createDataFrame(
-        [(c.name, k, r) for c in catalogue for k, r in (*c.rates, ("default", c.default_rate))],
+        [(c.name, k, r, i) for c in catalogue
+         for i, (k, r) in enumerate((*c.rates, ("default", c.default_rate)))],
         T.StructType([T.StructField("card", T.StringType()),
                       T.StructField("category", T.StringType()),
-                      T.StructField("rate", T.DecimalType(6, 4))]))
+                      T.StructField("rate", T.DecimalType(6, 4)),
+                      T.StructField("position", T.IntegerType())]))
     return cards, rates
 
 
@@ -175,3 +178,25 @@ def highlights(card: Card) -> tuple[str, str]:
     best_for = best[0] if best else f"General rewards: {float(card.default_rate) * 100:.1f}%"
     high = [f"{k}: {float(r) * 100:.0f}% rewards" for k, r in card.rates if r >= D("0.03")][:3]
     return best_for, "; ".join(high)
+
+
+MAX_CATALOGUE_CARDS = 100
+
+
+def catalogue_from_frames(cards: DataFrame, rates: DataFrame,
+                          max_cards: int = MAX_CATALOGUE_CARDS) -> tuple[Card, ...]:
+    """A user-supplied catalogue (same shape as :func:`catalogue_frames`) as
+    ``Card`` objects.  The catalogue is configuration of a few cards, read
+    once; more than ``max_cards`` cards is refused rather than collected."""
+    card_rows = cards.orderBy("card_ordinal").limit(max_cards + 1).collect()
+    if len(card_rows) > max_cards:
+        raise ValueError(f"catalogue has more than {max_cards} cards")
+    names = {r["card"] for r in card_rows}
+    listed: dict[str, list[tuple[str, Decimal]]] = {n: [] for n in names}
+    for r in rates.filter(rates["card"].isin(*names)).orderBy("card", "position").collect():
+        if r["category"] != "default":
+            listed[r["card"]].append((r["category"], Decimal(r["rate"])))
+    return tuple(
+        Card(r["card"], int(r["annual_fee"]), tuple(listed[r["card"]]),
+             Decimal(r["default_rate"]), int(r["signup_bonus"]), r["spending_requirement"])
+        for r in card_rows)

@@ -141,3 +141,13 @@ def test_fee_free_option_filters_the_catalogue(spark):
                 best, best_net = combo, net
     assert o.optimal_cards == ", ".join(c.name for c in best)
     assert o.net_annual_rewards == float(best_net) and o.total_annual_fees == 0.0
+
+
+def test_catalogue_round_trip_through_frames(spark):
+    from spendlens.operators.catalogue import catalogue_frames, catalogue_from_frames
+    back = catalogue_from_frames(*catalogue_frames(spark))
+    assert [c.name for c in back] == [c.name for c in CATALOGUE]
+    for a, b in zip(back, CATALOGUE):
+        assert (a.annual_fee, a.default_rate, a.signup_bonus) == (b.annual_fee, b.default_rate,
+                                                                  b.signup_bonus)
+        assert a.rates == b.rates
