@@ -101,3 +101,12 @@ def test_approximate_percentile_switches(spark):
     loy_a = {r.merchant_id
              for r in merchants.loyalty_candidates(led, "3_months", approx=True).collect()}
     assert loy and loy_a
+
+
+def test_one_month_recommendations_have_loyalty_only(spark):
+    rows = [(i, 7, 9.99, ts(i * 3), 8, 9) for i in range(10)] + [(99, 7, 50.0, ts(1), 2, 3)]
+    led = make_ledger(spark, rows)
+    three = {r.type for r in merchants.merchant_recommendations(led, "3_months").collect()}
+    one = {r.type for r in merchants.merchant_recommendations(led, "1_month").collect()}
+    assert three == {"Subscription Optimization", "Loyalty Programs"}
+    assert one == {"Loyalty Programs"}
