@@ -111,3 +111,23 @@ def test_spending_by_category_shares(spark):
     assert pct == [25.0, 25.0, 50.0]
     assert {r.top5_share for r in rows} == {100.0}
     assert {r.rank for r in rows} == {1, 2, 3}
+
+
+def test_patterns_take_a_custom_range(spark):
+    base = ts(0).replace(hour=0, minute=0, second=0)
+    led = make_ledger(spark, [(1, 7, 10.0, base.replace(hour=9)), (2, 7, 20.0, base),
+                              (3, 7, 40.0, ts(20))])
+    end = base.strftime("%Y-%m-%d")
+    start = ts(5).strftime("%Y-%m-%d")
+    p = {r.dimension: r for r in spending.spending_patterns(led, start=start, end=end).collect()
+         if r.dimension == "all"}
+    assert p["all"].transactions == 1 and p["all"].amount == 20.0
+
+
+def test_velocity_uses_the_real_period_length(spark):
+    rows = [(i, 7, 10.0, ts(i * 5)) for i in range(12)]          # 0..55 days back
+    led = make_ledger(spark, rows)
+    m6 = spending.comparison_metrics(led, "6_months").first()
+    m1 = spending.comparison_metrics(led, "1_month").first()
+    assert m6.velocity_per_day == pytest.approx(12 / 180)
+    assert m1.current_transactions == 7 and m1.velocity_per_day == pytest.approx(7 / 30)
