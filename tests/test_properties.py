@@ -14,7 +14,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from conftest import make_ledger
-from spendlens.operators import merchants, spending
+from spendlens.operators import insights, kpis, merchants, spending
 from spendlens.operators import rewards as rw
 from spendlens.operators.catalogue import CATALOGUE
 from spendlens.sources.bindings import MCC_CATEGORIES, MCC_MAX_LISTED
@@ -130,3 +130,74 @@ def test_optimal_portfolio_matches_enumeration(spark, spends, max_cards):
         assert len(got) == 1
         assert got[0].optimal_cards == ", ".join(c.name for c in best)
         assert got[0].net_annual_rewards == float(best_net)
+
+
+@SETTINGS
+@given(ledgers)
+def test_comparison_metrics_match_pandas(spark, rows):
+    df = frame(rows)
+    got = {r.client_id: r for r in
+           spending.comparison_metrics(to_ledger(spark, df), "3_months").collect()}
+    spend = df[df["amount"] > 0]
+    anchor = spend.groupby("client_id")["date"].transform("max")
+    cur = spend[spend["date"] >= anchor - pd.Timedelta(days=90)]
+    prev = spend[(spend["date"] >= anchor - pd.Timedelta(days=180))
+                 & (spend["date"] < anchor - pd.Timedelta(days=90))]
+    have = set(in_period(df, 90)["client_id"])   # clients with a row in the F3 window
+    assert set(got) == have
+    for c in have:
+        r = got[c]
+        cs, ps = cur[cur.client_id == c]["cents"].sum(), prev[prev.client_id == c]["cents"].sum()
+        cn, pn = (cur.client_id == c).sum(), (prev.client_id == c).sum()
+        assert (r.current_spending, r.previous_spending) == (cs / 100, ps / 100)
+        assert (r.current_transactions, r.previous_transactions) == (cn, pn)
+        want = (cs - ps) / ps * 100 if ps > 0 else 0.0
+        assert r.spending_change_pct == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert r.velocity_per_day == pytest.approx(cn / 90)
+
+
+@SETTINGS
+@given(ledgers)
+def test_volatility_and_anomalies_match_pandas(spark, rows):
+    df = frame(rows)
+    led = to_ledger(spark, df)
+    vol = {r.client_id: r for r in merchants.spending_volatility(led, "3_months").collect()}
+    p = in_period(df, 90)
+    for c, g in p.groupby("client_id"):
+        daily = g.groupby(g["date"].dt.date)["cents"].sum() / 100
+        r = vol[c]
+        if len(daily) < 2:
+            assert (r.avg_daily_spending, r.std_daily_spending) == (0.0, 0.0)
+        else:
+            assert r.avg_daily_spending == pytest.approx(daily.mean(), abs=0.0050001)
+            assert r.std_daily_spending == pytest.approx(daily.std(), abs=0.0050001)
+            assert r.max_daily_spending == daily.max() and r.min_daily_spending == daily.min()
+    got = {(r.client_id, r.id) for r in insights.amount_anomalies(led).collect()}
+    spend = df[df["amount"] > 0]
+    want = set()
+    for c, g in spend.groupby("client_id"):
+        if len(g) < 2:
+            continue
+        th = g["amount"].mean() + 2 * g["amount"].std()
+        # exclude values within rounding distance of the threshold
+        for r in g.itertuples():
+            if abs(r.amount - th) > 1e-6 and r.amount > th:
+                want.add((c, r.id))
+            elif abs(r.amount - th) <= 1e-6:
+                got.discard((c, r.id))
+    assert got == want
+
+
+@SETTINGS
+@given(ledgers)
+def test_monthly_trend_matches_pandas(spark, rows):
+    df = frame(rows)
+    got = {(r.client_id, r.position): r.spending
+           for r in kpis.monthly_trend(to_ledger(spark, df), 6).collect()}
+    anchor = df.groupby("client_id")["date"].max()
+    for c, a in anchor.items():
+        g = df[(df.client_id == c) & (df.amount > 0)]
+        for i in range(6):
+            lo, hi = a - pd.Timedelta(days=30 * (i + 1)), a - pd.Timedelta(days=30 * i)
+            s = g[(g.date >= lo) & (g.date < hi)]["cents"].sum() / 100
+            assert got[(c, 5 - i)] == s
