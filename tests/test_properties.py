@@ -201,3 +201,46 @@ def test_monthly_trend_matches_pandas(spark, rows):
             lo, hi = a - pd.Timedelta(days=30 * (i + 1)), a - pd.Timedelta(days=30 * i)
             s = g[(g.date >= lo) & (g.date < hi)]["cents"].sum() / 100
             assert got[(c, 5 - i)] == s
+
+
+months_rows = st.lists(st.tuples(st.integers(0, 420), st.integers(100, 500000)), min_size=1,
+                       max_size=40)
+
+
+@SETTINGS
+@given(months_rows)
+def test_linear_forecast_matches_polyfit(spark, pts):
+    import numpy as np
+    df = frame([(1, d, 0, cents, 8, 1) for d, cents in pts])
+    got = {r.step: r for r in insights.linear_forecast(to_ledger(spark, df)).collect()}
+    p = in_period(df, 365)
+    monthly = p.groupby(p["date"].dt.strftime("%Y-%m"))["cents"].sum().sort_index() / 100
+    if len(monthly) < 3:
+        assert got == {}
+        return
+    x = np.arange(len(monthly))
+    slope, icpt = np.polyfit(x, monthly.values, 1)
+    preds = [max(0.0, slope * (len(monthly) + i) + icpt) for i in range(3)]
+    for i, want in enumerate(preds, start=1):
+        assert got[i].predicted_spending == pytest.approx(want, abs=1e-5, rel=1e-9)
+        assert got[i].slope == pytest.approx(slope, abs=1e-5, rel=1e-9)
+    assert got[1].avg_prediction == pytest.approx(sum(preds) / 3, abs=1e-5, rel=1e-9)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 50), st.integers(1, 3_000_000)), min_size=1,
+                max_size=12))
+def test_card_comparison_matches_direct_sums(spark, spends):
+    df = frame([(1, i % 300, 0, cents, mcc, 1) for i, (mcc, cents) in enumerate(spends)])
+    got = {r.card: r for r in rw.Rewards(to_ledger(spark, df), "1_year").card_comparison()
+           .collect()}
+    p = in_period(df, 365).assign(category=lambda x: x["mcc"].map(category_of))
+    spend = {k: Decimal(int(v)) / 100 for k, v in p.groupby("category")["cents"].sum().items()}
+    nets = []
+    for i, c in enumerate(CATALOGUE):
+        gross = sum(s * c.rate(cat) for cat, s in spend.items())
+        nets.append((-(gross - c.annual_fee), i, c.name))
+        assert got[c.name].gross_rewards == float(gross)
+        assert got[c.name].net_rewards == float(gross - c.annual_fee)
+    for rank, (_, _, name) in enumerate(sorted(nets), start=1):
+        assert got[name].rank == rank
