@@ -244,3 +244,60 @@ def test_card_comparison_matches_direct_sums(spark, spends):
         assert got[c.name].net_rewards == float(gross - c.annual_fee)
     for rank, (_, _, name) in enumerate(sorted(nets), start=1):
         assert got[name].rank == rank
+
+
+def _merchant_frame(p: pd.DataFrame, days: int) -> pd.DataFrame:
+    g = p.groupby(["client_id", "merchant_id"])
+    m = pd.DataFrame({"total": g["cents"].sum() / 100, "n": g.size(),
+                      "std": g["amount"].std()}).reset_index()
+    m["avg"] = [half_up(t / n, 2) for t, n in zip(m["total"], m["n"])]
+    m["std"] = [0.0 if pd.isna(s) else half_up(s, 2) for s in m["std"]]
+    m["freq"] = [half_up(n / days * 30, 2) for n in m["n"]]
+    m["cons"] = [half_up(1 / (1 + (s / a if a > 0 else 0.0)), 3) for s, a in zip(m["std"], m["avg"])]
+    return m
+
+
+@SETTINGS
+@given(ledgers)
+def test_loyalty_and_subscriptions_match_pandas(spark, rows):
+    df = frame(rows)
+    led = to_ledger(spark, df)
+    m = _merchant_frame(in_period(df, 90), 90)
+    want_loy, want_sub = set(), set()
+    for c, g in m.groupby("client_id"):
+        ts_, tf = g["total"].quantile(0.7), g["freq"].quantile(0.7)
+        for r in g.itertuples():
+            near = abs(r.total - ts_) < 1e-9 or abs(r.freq - tf) < 1e-9
+            if not near and (r.total >= ts_ or r.freq >= tf):
+                want_loy.add((c, r.merchant_id))
+            if r.cons > 0.8 and r.freq >= 0.8 and r.n >= 2:
+                want_sub.add((c, r.merchant_id))
+    got_loy = {(r.client_id, r.merchant_id): r for r in
+               merchants.loyalty_candidates(led, "3_months").collect()}
+    for c, g in m.groupby("client_id"):   # ties at the threshold are N3 territory: skip them
+        ts_, tf = g["total"].quantile(0.7), g["freq"].quantile(0.7)
+        for r in g.itertuples():
+            if abs(r.total - ts_) < 1e-9 or abs(r.freq - tf) < 1e-9:
+                got_loy.pop((c, r.merchant_id), None)
+    assert set(got_loy) == want_loy
+    got_sub = {(r.client_id, r.merchant_id) for r in
+               merchants.subscriptions(led, "3_months").collect()}
+    assert got_sub == want_sub
+
+
+@SETTINGS
+@given(ledgers)
+def test_patterns_match_pandas(spark, rows):
+    df = frame(rows)
+    got = {(r.client_id, r.dimension, r.bucket): r for r in
+           spending.spending_patterns(to_ledger(spark, df), "3_months").collect()}
+    p = in_period(df, 90)
+    for c, g in p.groupby("client_id"):
+        for name, keys in (("day_of_week", g["date"].dt.day_name()),
+                           ("hour", g["date"].dt.hour.astype(str)),
+                           ("day_of_month", g["date"].dt.day.astype(str))):
+            sums = g.groupby(keys)["cents"].sum() / 100
+            for k, v in sums.items():
+                assert got[(c, name, k)].amount == v
+        a = got[(c, "all", "all")]
+        assert a.transactions == len(g) and a.max_transaction == g["amount"].max()
