@@ -301,3 +301,53 @@ def test_patterns_match_pandas(spark, rows):
                 assert got[(c, name, k)].amount == v
         a = got[(c, "all", "all")]
         assert a.transactions == len(g) and a.max_transaction == g["amount"].max()
+
+
+@SETTINGS
+@given(ledgers, st.lists(st.tuples(st.integers(0, 39), st.booleans()), max_size=10,
+                         unique_by=lambda t: t[0]))
+def test_kpis_match_pandas(spark, rows, labels):
+    df = frame(rows)
+    led = make_ledger(spark, [(r.id, r.client_id, r.amount, r.date.to_pydatetime(), r.mcc,
+                               r.merchant_id) for r in df.itertuples()],
+                      users=[(1, 1000.0, 700), (2, 0.0, 640)], labels=labels)
+    got = {r.client_id: r for r in kpis.all_kpis(led).collect()}
+    fraud = {i for i, f in labels if f}
+    for c in (1, 2):
+        g = df[df.client_id == c]
+        r = got[c]
+        if g.empty:
+            assert (r.total_monthly_spending, r.rewards_earned, r.fraud_risk_score) == (0, 0, 0)
+            continue
+        a = g["date"].max()
+        spend = g[g.amount > 0]
+
+        def window(m):
+            return spend[spend.date >= a - pd.Timedelta(days=30 * m)]["cents"].sum()
+
+        assert r.total_monthly_spending == window(1) / 100
+        assert r.rewards_earned == pytest.approx(sum(window(m) for m in range(1, 13)) / 100 * 0.01)
+        assert r.fraud_risk_score == pytest.approx(g["id"].isin(fraud).sum() / len(g) * 100)
+        assert r.interest_paid == pytest.approx(180.0 if c == 1 else 0.0)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 50), st.integers(1, 3_000_000)), min_size=1,
+                max_size=12))
+def test_extra_rewards_match_direct_computation(spark, spends):
+    df = frame([(1, i % 300, 0, cents, mcc, 1) for i, (mcc, cents) in enumerate(spends)])
+    r = rw.Rewards(to_ledger(spark, df), "1_year")
+    opt = r.optimal().collect()
+    got = {x.category: x for x in r.category_extra_rewards().collect()}
+    p = in_period(df, 365).assign(category=lambda x: x["mcc"].map(category_of))
+    spend = {k: Decimal(int(v)) / 100 for k, v in p.groupby("category")["cents"].sum().items()}
+    members = ([c for c in CATALOGUE if c.name in opt[0].optimal_cards.split(", ")]
+               if opt else [])
+    for cat, s in spend.items():
+        rate, card = Decimal("0.01"), "Current Card"
+        for c in members:
+            if c.rate(cat) > rate:
+                rate, card = c.rate(cat), c.name
+        x = got[cat]
+        assert (x.best_card, x.best_reward_rate) == (card, float(rate) * 100)
+        assert x.additional_rewards == float(s * rate - s * Decimal("0.01"))
