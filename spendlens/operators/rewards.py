@@ -143,37 +143,52 @@ class Rewards:
         Two-level aggregation: per client × mcc first (map-side combined;
         also yields the purchase count before any category fan-out), then the
         small MCC dimension is joined and folded per client × category."""
-        if getattr(self, "_sp", None) is not None:
-            return self._sp
+        if getattr(self, "_sp", None) is None:
+            self._sp = attach_per_client(self.ledger, self.category_spend(),
+                                         self.transaction_counts())
+        return self._sp
+
+    def _by_mcc(self) -> DataFrame:
+        if getattr(self, "_bm", None) is None:
+            self._bm = self.period_rows().groupBy("client_id", "mcc").agg(
+                F.sum(cents("amount")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+        return self._bm
+
+    def transaction_counts(self) -> DataFrame:
+        """Purchases in the period per client (before any category fan-out);
+        joined only by the outputs that show it."""
+        return self._by_mcc().groupBy("client_id").agg(
+            F.sum("_n").alias("transaction_count"))
+
+    def category_spend(self) -> DataFrame:
+        """R2 without the purchase count: what every other analysis starts from."""
+        if getattr(self, "_cs", None) is not None:
+            return self._cs
         _, mult = reward_period(self.period)
-        by_mcc = self.period_rows().groupBy("client_id", "mcc").agg(
-            F.sum(cents("amount")).alias("_m"), F.count(F.lit(1)).alias("_n"))
-        g = (with_category(by_mcc, self.ledger.mcc_codes).groupBy("client_id", "category")
+        g = (with_category(self._by_mcc(), self.ledger.mcc_codes)
+             .groupBy("client_id", "category")
              .agg(cents_to_dec(F.sum("_m") * F.lit(mult), 20).alias("_spend")))
-        counts = by_mcc.groupBy("client_id").agg(F.sum("_n").alias("transaction_count"))
         w = Window.partitionBy("client_id")
         rk = F.row_number().over(w.orderBy(F.col("_spend").desc(), F.col("category")))
         g = g.select("client_id", "category", "_spend",
                      F.col("_spend").cast("double").alias("annual_spending"),
                      F.sum("_spend").over(w).cast("double").alias("total_annual_spending"),
                      rk.cast("long").alias("spending_rank"))
-        self._sp = attach_per_client(self.ledger,
-                                     g.withColumn("in_top5", F.col("spending_rank") <= 5), counts)
-        return self._sp
+        self._cs = g.withColumn("in_top5", F.col("spending_rank") <= 5)
+        return self._cs
 
     def key_spend(self, spending: DataFrame | None = None) -> DataFrame:
         """One row per client: spend per rate key (``_k0``…) and for all other
         categories (``_ko``)."""
         if spending is None and getattr(self, "_ks", None) is not None:
             return self._ks
-        sp = self.annual_spending() if spending is None else spending
+        sp = self.category_spend() if spending is None else spending
         cat = F.col("category")
         aggs = [F.coalesce(F.sum(F.when(cat == k, F.col("_spend"))), F.lit(0).cast(SPEND_T))
                 .cast(SPEND_T).alias(f"_k{i}") for i, k in enumerate(self.keys)]
         aggs.append(F.coalesce(F.sum(F.when(~cat.isin(*self.keys), F.col("_spend"))),
                                F.lit(0).cast(SPEND_T)).cast(SPEND_T).alias("_ko"))
         aggs.append(F.sum("_spend").alias("_total"))
-        aggs.append(F.first("transaction_count").alias("transaction_count"))
         ks = sp.groupBy("client_id").agg(*aggs)
         if spending is None:
             self._ks = ks
@@ -233,7 +248,7 @@ class Rewards:
         card's brand rule pays more) and rewards; no annual fees."""
         if spending is None and getattr(self, "_cr", None) is not None:
             return self._cr
-        sp = self.annual_spending() if spending is None else spending
+        sp = self.category_spend() if spending is None else spending
         rates = self.current_card_rates()
         df = attach_per_client(self.ledger, sp, rates, "left")
         rate = _r(CURRENT_BASE_RATE)
@@ -355,7 +370,7 @@ class Rewards:
         """R7 + R18: for clients with an optimal portfolio, per category the
         winning card (first member with the highest rate), its rate and the
         rewards, next to the 1 % baseline."""
-        sp = self.annual_spending()
+        sp = self.category_spend()
         df = self._with_portfolio_rates(sp, self.optimal(), "inner")
         rew = (F.col("_spend") * F.col("best_rate")).cast(NET_T)
         return df.select(
@@ -486,7 +501,7 @@ class Rewards:
         a flat 1 % (``Current Card`` where no member beats 1 %), the client's
         headline totals, the action plan (top 3 with extra > 5) and the
         medians behind the opportunity matrix."""
-        sp = self.annual_spending()
+        sp = self.category_spend()
         opt = self.optimal()
         df = self._with_portfolio_rates(sp, opt, "left")
         df = attach_per_client(self.ledger, df, opt.select("client_id", "primary_card"), "left")
@@ -583,7 +598,7 @@ class Rewards:
     def card_usage_plan(self, min_spend: int = 100) -> DataFrame:
         """R23 + R24: for categories with more than ``min_spend`` a year, the
         portfolio card to use and its rate, with the card's highlight texts."""
-        sp = self.annual_spending().filter(F.col("_spend") > min_spend)
+        sp = self.category_spend().filter(F.col("_spend") > min_spend)
         df = self._with_portfolio_rates(sp, self.optimal(), "inner")
         hl = self.spark.createDataFrame(
             [(c.name, *highlights(c)) for c in self.catalogue],
@@ -597,7 +612,8 @@ class Rewards:
     def bundle(self) -> DataFrame:
         """One row per client with spending — the figures of the
         optimisation bundle, zeros where no portfolio has a positive net."""
-        df = self._impact_cols(self.summary())
+        df = attach_per_client(self.ledger, self._impact_cols(self.summary()),
+                               self.transaction_counts())
         opt = F.col("has_optimal")
         z = F.lit(0.0)
 
@@ -623,7 +639,7 @@ class Rewards:
     def catalogue_rates(self) -> DataFrame:
         """R1 applied: the rate every catalogue card pays on each category the
         client spends in (listed rate, else the card's default)."""
-        sp = self.annual_spending()
+        sp = self.category_spend()
         cat = F.col("category")
         structs = []
         for i, c in enumerate(self.catalogue):
