@@ -122,9 +122,13 @@ def concentration(ledger: Ledger, period: str = "3_months",
     s = merchant_stats(ledger, period) if stats is None else stats
     totals = client_merchant_totals(ledger, period, stats=stats).select(
         "client_id", "total_merchants", "_t")
-    s = s.select("client_id", "merchant_id", "total_spent", money("total_spent").alias("_d"))
+    s = s.select("client_id", "merchant_id", "total_spent", "transaction_count",
+                 money("total_spent").alias("_d"))
+    # The salt reads the same merchant columns as the other per-client branches
+    # (spend and count), so all of them prune the merchant aggregation alike
+    # and Spark reuses one stage for it.
     top = top_k_per_group(s, ["client_id"], [F.col("total_spent").desc(), F.col("merchant_id")],
-                          10, salt_cols=["merchant_id"])
+                          10, salt_cols=["merchant_id", "transaction_count"])
     tops = top.groupBy("client_id").agg(
         *[F.sum(F.when(F.col("rank") <= k, F.col("_d"))).alias(f"_t{k}") for k in (3, 5, 10)])
     df = attach_per_client(ledger, totals, tops).filter(F.col("_t") != 0)
