@@ -159,23 +159,26 @@ def spending_by_category(ledger: Ledger, months_back: int = 3) -> DataFrame:
 def monthly_trend(ledger: Ledger, months: int = 6) -> DataFrame:
     """A7 (+ F7): purchases in fixed 30-day buckets ``[a-30(i+1), a-30i)``
     back from the anchor, i = 0..months-1; the latest transaction itself is in
-    no bucket.  ``position`` 0 is the oldest bucket; empty buckets are 0."""
+    no bucket.  ``position`` 0 is the oldest bucket; empty buckets are 0.
+
+    One aggregation per client with a conditional sum per bucket, unpacked
+    into one row per bucket: no skeleton join."""
     tx = with_anchor(ledger, ledger.transactions.select("client_id", "amount", "date"))
-    bucket = F.lit(None).cast("int")
-    for i in reversed(range(months)):
-        inside = ((F.col("date") >= days_before("anchor", MONTH_DAYS * (i + 1)))
+    sums = []
+    for i in range(months):
+        inside = ((F.col("amount") > 0)
+                  & (F.col("date") >= days_before("anchor", MONTH_DAYS * (i + 1)))
                   & (F.col("date") < days_before("anchor", MONTH_DAYS * i)))
-        bucket = F.when(inside, F.lit(i)).otherwise(bucket)
-    sums = (tx.filter(F.col("amount") > 0).withColumn("bucket", bucket)
-              .filter(F.col("bucket").isNotNull())
-              .groupBy("client_id", "bucket").agg(money_sum_dec("amount").alias("_d")))
-    anchors = (ledger.transactions.groupBy("client_id").agg(F.max("date").alias("anchor"))
-               .withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))))
+        sums.append(F.sum(F.when(inside, cents("amount"))).alias(f"_b{i}"))
+    g = tx.groupBy("client_id").agg(F.max("anchor").alias("anchor"), *sums)
+    buckets = F.array(*[F.struct(F.lit(i).alias("bucket"), F.col(f"_b{i}").alias("_c"))
+                        for i in range(months)])
+    g = g.select("client_id", "anchor", F.inline(buckets))
     start = F.col("anchor") - F.make_dt_interval(days=(F.col("bucket") + 1) * MONTH_DAYS)
-    return anchors.join(sums, ["client_id", "bucket"], "left").select(
+    return g.select(
         "client_id", (F.lit(months - 1) - F.col("bucket")).cast("long").alias("position"),
         month_label(start).alias("month"),
-        F.coalesce(F.col("_d").cast("double"), F.lit(0.0)).alias("spending"))
+        F.coalesce(cents_to_double("_c"), F.lit(0.0)).alias("spending"))
 
 
 def user_profile(ledger: Ledger) -> DataFrame:
