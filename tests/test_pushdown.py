@@ -47,7 +47,7 @@ def test_slice_filters_every_scan(spark, name):
         assert "EqualTo(client_id,42)" in ln, ln
 
 
-@pytest.mark.parametrize("name", ["category_breakdown", "merchant_stats", "monthly_trend"])
+@pytest.mark.parametrize("name", ["category_breakdown", "merchant_stats", "monthly_trend", "optimal"])
 def test_result_filter_reaches_every_scan(spark, name):
     df = OPS[name](get_ledger(spark, SF, "O")).filter(F.col("client_id") == 42)
     scans = _client_scans(spark, df)
