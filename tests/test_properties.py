@@ -351,3 +351,28 @@ def test_extra_rewards_match_direct_computation(spark, spends):
         x = got[cat]
         assert (x.best_card, x.best_reward_rate) == (card, float(rate) * 100)
         assert x.additional_rewards == float(s * rate - s * Decimal("0.01"))
+
+
+@SETTINGS
+@given(ledgers)
+def test_top_merchants_and_trends_match_pandas(spark, rows):
+    df = frame(rows)
+    led = to_ledger(spark, df)
+    top = {(r.client_id, r.merchant_id): r for r in
+           spending.top_merchants(led, "3_months", 3).collect()}
+    p = in_period(df, 90)
+    for c, g in p.groupby("client_id"):
+        sums = g.groupby("merchant_id")["cents"].agg(["sum", "count"]).reset_index()
+        sums = sums.sort_values(["sum", "merchant_id"], ascending=[False, True]).head(3)
+        assert {m for (cc, m) in top if cc == c} == set(sums["merchant_id"])
+        for rank, r in enumerate(sums.itertuples(), start=1):
+            got = top[(c, r.merchant_id)]
+            assert (got.rank, got.total_spent, got.transaction_count) == (rank, r.sum / 100, r.count)
+    trends = {(r.client_id, r.month_year, r.category): r.amount for r in
+              spending.spending_trends(led, "1_year").collect()}
+    y = in_period(df, 365).assign(category=lambda x: x["mcc"].map(category_of),
+                                  month=lambda x: x["date"].dt.strftime("%Y-%m"))
+    for (c, m, cat), v in y.groupby(["client_id", "month", "category"])["cents"].sum().items():
+        assert trends[(c, m, cat)] == v / 100
+    for (c, m), v in y.groupby(["client_id", "month"])["cents"].sum().items():
+        assert trends[(c, m, None)] == v / 100
