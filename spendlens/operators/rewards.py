@@ -16,6 +16,7 @@ that same summary row; only per-category views join back to the categories.
 from __future__ import annotations
 
 from decimal import Decimal
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,10 @@ NET_T = "decimal(30,6)"
 BASE = Decimal("0.01")
 COVERAGE_RATE = Decimal("0.015")
 ACTION_MIN_EXTRA = 5
+# Largest number of card combinations searched: they enter the plans as
+# constant arrays and tiny broadcast tables, so their count must stay bounded
+# (the dashboard's 6 cards give at most 62).
+MAX_PORTFOLIOS = 4096
 
 # The name shown when no card beats 1 %; the three recommendation
 # rules' (priority, title, description format, action); the comparison
@@ -123,6 +128,10 @@ class Rewards:
         self.ledger = ledger
         self.period = period
         self.catalogue = catalogue
+        n = sum(comb(len(catalogue), k) for k in range(1, max_cards + 1))
+        if n > MAX_PORTFOLIOS:
+            raise ValueError(f"{n} card combinations exceed the bound of {MAX_PORTFOLIOS}; "
+                             "lower max_cards or the catalogue size")
         self.keys = rate_keys(catalogue)
         self.ports = portfolios(max_cards, catalogue)
         self.spark = ledger.spark

@@ -151,3 +151,12 @@ def test_catalogue_round_trip_through_frames(spark):
         assert (a.annual_fee, a.default_rate, a.signup_bonus) == (b.annual_fee, b.default_rate,
                                                                   b.signup_bonus)
         assert a.rates == b.rates
+
+
+def test_combination_count_is_bounded(spark):
+    from dataclasses import replace
+    led = make_ledger(spark, [(1, 7, 10.0, ts(0), 8)])
+    big = tuple(replace(CATALOGUE[3], name=f"Card {i}") for i in range(40))
+    with pytest.raises(ValueError, match="combinations"):
+        rw.Rewards(led, "1_year", 5, catalogue=big)
+    assert len(rw.Rewards(led, "1_year", 2, catalogue=big[:20]).ports) == 20 + 190
