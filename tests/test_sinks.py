@@ -41,3 +41,19 @@ def test_action_plan_rows(spark, tmp_path):
     r = rows[0]
     assert r.Priority == "1" and r.Current_Rate == "1%" and r.Action.startswith("Use ")
     assert r.Action.endswith("for Eating Places and Restaurants")
+
+
+def test_merchant_and_rewards_exports_round_trip(spark, tmp_path):
+    led = make_ledger(spark, [(1, 7, 120.0, ts(0), 8, 3), (2, 7, 80.0, ts(1), 8, 4),
+                              (3, 7, 5000.0, ts(2), 2, 3), (4, 8, 15.0, ts(0), 49, 9)])
+    merchants_df = spending.top_merchants(led, "3_months", 10)
+    p1 = str(tmp_path / "merchants")
+    sinks.write_csv(merchants_df, p1)
+    back = {(r.client_id, r.merchant_id): r for r in sinks.read_csv(spark, p1).collect()}
+    assert len(back) == merchants_df.count() == 3
+    assert float(back[("7", "3")].total_spent) == 5120.0
+    analysis = rw.Rewards(led, "1_year").category_extra_rewards()
+    p2 = str(tmp_path / "analysis")
+    sinks.write_csv(analysis, p2)
+    got = sinks.read_csv(spark, p2)
+    assert got.columns == analysis.columns and got.count() == analysis.count()
