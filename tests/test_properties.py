@@ -329,6 +329,8 @@ def test_kpis_match_pandas(spark, rows, labels):
         assert r.rewards_earned == pytest.approx(sum(window(m) for m in range(1, 13)) / 100 * 0.01)
         assert r.fraud_risk_score == pytest.approx(g["id"].isin(fraud).sum() / len(g) * 100)
         assert r.interest_paid == pytest.approx(180.0 if c == 1 else 0.0)
+        in90 = spend[spend.date >= a - pd.Timedelta(days=90)]
+        assert r.spending_categories == in90["mcc"].map(category_of).nunique()
 
 
 @SETTINGS
