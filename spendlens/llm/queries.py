@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spendlens.llm.ngram_join import ngram_join
+from spendlens.llm.secrets import secret_spans
+from spendlens.llm.tiling import contaminated
+from spendlens.llm.toxicity import toxicity_scores, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +21,19 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 #: Lower-cases A-Z alone, then takes words; the same in every SQL below.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -37,5 +53,8 @@ FROM g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_secret_scan": op2_secret_scan,
+    "op7_benchmark_tiling": op7_benchmark_tiling,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
