@@ -7,7 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spendlens.llm import chat, cotraining
+from spendlens.llm.fertility import fertility_rules
+from spendlens.llm.lm import lm_scores
+from spendlens.llm.mixing import mix_sources
 from spendlens.llm.ngram_join import ngram_join
+from spendlens.llm.pii import pii_spans
 from spendlens.llm.secrets import secret_spans
 from spendlens.llm.tiling import contaminated
 from spendlens.llm.toxicity import toxicity_scores, train
@@ -25,6 +30,23 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.quality_scores(docs, cotraining.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_rules(_table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +56,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_turns(chat.as_parts(turns.unionByName(chat.probe(spark)))))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 #: Lower-cases A-Z alone, then takes words; the same in every SQL below.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -51,10 +82,51 @@ SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(c) FROM r WHE
 FROM g
 """
 
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT source, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS volume FROM documents GROUP BY source),
+w AS (SELECT source, volume, CASE WHEN volume > 0 THEN pow(volume, 0.5) ELSE 0.0 END AS w FROM v),
+r AS (SELECT source, 1.0::DOUBLE * w / (SELECT sum(w) FROM w) * (SELECT sum(volume) FROM w) / volume AS rate FROM w WHERE w > 0),
+p AS (SELECT source, CAST(greatest(ceil(rate / 32.0), 1) AS INT) AS parts, rate / greatest(ceil(rate / 32.0), 1) AS mean FROM r),
+c AS (SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM p
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM c WHERE k < ceil(2 * mean + 60)),
+u AS (SELECT d.*, CAST(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS VARCHAR) AS key, unnest(range(0, parts)) AS j
+  FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+x AS (SELECT u.*, ('0x' || substr(md5('17|' || j || '|' || key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS x FROM u),
+n AS (SELECT x.doc_id, x.key, x.j, x.source, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM x.source AND c.c <= x.x) AS k FROM x),
+m AS (SELECT doc_id, key, CAST(sum(k) AS INT) AS n_copies FROM n GROUP BY doc_id, key),
+e AS (SELECT doc_id, key, n_copies, unnest(range(0, n_copies)) AS copy FROM m)
+SELECT d.*, CAST(copy AS INT) AS copy, n_copies, substr(md5('17|order|' || key || '|' || copy), 1, 16) AS shuffle_key
+FROM e JOIN documents d ON d.doc_id IS NOT DISTINCT FROM e.doc_id
+"""
+
+OP9_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+d AS (SELECT *, replace(text, chr(92), chr(92) || chr(92)) AS x FROM t),
+n AS (SELECT *, length(x) + CAST(list_sum([(length(x) - length(replace(x, c, ''))) // length(c)
+  for c in ['<|', '|>', '<s>', '</s>', '[INST]', '[/INST]']]) AS BIGINT) AS chars FROM d)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + length(role) + CASE WHEN role = 'assistant' THEN 5 ELSE 0 END + 8 + 1 + 7) AS BIGINT) AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
+    "op3_quality_cotraining": op3_quality_cotraining,
+    "op4_fertility_rules": op4_fertility_rules,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_pii": op6_pii,
     "op7_benchmark_tiling": op7_benchmark_tiling,
     "op8_toxicity": op8_toxicity,
+    "op9_chat_format": op9_chat_format,
+    "op10_lm_scoring": op10_lm_scoring,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op5_source_mixing": OP5_SQL,
+    "op9_chat_format": OP9_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
