@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import bounded_batches
+from spendlens.llm.common import prepare
 
 TURN, END, MASKED = "<|turn|>", "<|end|>", "|mask"
 #: Control strings that a text must not bring in.
@@ -204,7 +204,7 @@ def as_parts(turns: DataFrame, text_col: str = "text") -> DataFrame:
 def format_turns(turns: DataFrame, expansion: Expansion | None = None) -> DataFrame:
     """One formatted row for each of ``(conv_id, turn, role, parts)``:
     ``formatted``, the spans of the loss mask, attachments and their tokens."""
-    bounded_batches(turns.sparkSession)
+    prepare(turns.sparkSession)
     src = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                        F.col("role").cast("string").alias("role"), F.col("parts").cast(f"array<{PART}>").alias("parts"))
     return src.mapInArrow(_format(expansion or Expansion()), f"conv_id long, turn long, {_FORMATTED}")

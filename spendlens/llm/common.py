@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +146,28 @@ def chunks(col: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int, np.nda
         i = j
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches end by size, not by rows alone, so that many long
-    texts never meet in one batch; a session's own lower setting stays."""
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator with Python code needs of a session.
+
+    Arrow batches end by size, not by rows alone, so that many long texts
+    never meet in one batch (a session's own lower setting stays); and the
+    package goes to the Python workers, wherever they run."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     digits = "".join(c for c in spark.conf.get(key) if c.isdigit())
     if not digits or int(digits) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        package = Path(__file__).resolve().parent.parent
+        at = Path(tempfile.mkdtemp(prefix="spendlens-code-")) / "spendlens.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(at))
 
 
 def work_dir(spark: SparkSession) -> str:

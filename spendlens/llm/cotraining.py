@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import PIECE, bounded_batches, chunks, crc_mod, mix, words
+from spendlens.llm.common import PIECE, prepare, chunks, crc_mod, mix, words
 
 _U = np.uint64
 
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
           label_col: str = "quality", meta_cols: tuple[str, ...] = ("source", "lang"), held_out_mod: int | None = 5,
           params: Params | None = None) -> Model:
     p = params or Params()
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     given = [c for c in meta_cols if c in docs.columns]
     src = _source(docs, id_col, text_col, given)
     o = F.xxhash64("id")
@@ -278,7 +278,7 @@ def quality_scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
                    held_out_mod: int = 5, threshold: float = 0.5) -> DataFrame:
     """id, ``held_out``, combined score (probability of good quality), the
     calibrated scores of both views, ``predicted`` and ``kept`` of every row."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     s = _source(docs, id_col, text_col, model.given).mapInArrow(_score(model), f"id {kind}, {_SCORES}")
     return s.select(F.col("id").alias(id_col), F.coalesce(crc_mod("id", held_out_mod) == 0, F.lit(False)).alias("held_out"),

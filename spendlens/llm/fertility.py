@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import bounded_batches, chunks, windows, words
+from spendlens.llm.common import prepare, chunks, windows, words
 
 VOCABULARIES = "/opt/tokenizers"
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -132,7 +132,7 @@ def _measures(text: pa.Array, folder: str, window: int):
         dup, rep = np.zeros(n, np.int64), np.zeros(n, np.int64)
         raw = buf.tobytes()
         for i in range(n):
-            lines = [x for x in raw[offs[i]:offs[i + 1]].split(b"\\n") if x.strip()]
+            lines = [x for x in raw[offs[i]:offs[i + 1]].split(b"\n") if x.strip()]
             dup[i] = len(lines) - len(set(lines))
             rep[i] = _repeated(w.h[at[i]:at[i + 1]], window)
         out["n_dup_lines"].append(dup)
@@ -202,7 +202,7 @@ def fertility_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """id, base counts, fertility measures, ``base_failed`` and ``kept`` of
     every row.  ``bands`` adds to or replaces ``BANDS`` (keys: languages or
     scripts)."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import bounded_batches, chunks, crc_mod, stored, words
+from spendlens.llm.common import prepare, chunks, crc_mod, stored, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split before the merges of the rank files.
@@ -356,7 +356,7 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
     """From training rows ``(id, text)``: the model, and ``(key, n)`` of all
     words that are not in its table of frequent words."""
     p = params or Params()
-    bounded_batches(rows.sparkSession)
+    prepare(rows.sparkSession)
     enc, end = _encoding(path)
     starts = np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)])
     order = F.xxhash64(F.col("id").cast("string"))

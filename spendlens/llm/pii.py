@@ -10,7 +10,7 @@ span that it stands for:
 3. spelled digits: ``plus one five five ...`` becomes ``+155...``.
 
 Identifiers found in the copy are mapped back; one is added if its source
-characters were rewritten and no base span of its kind overlaps it.  Offsets
+characters were rewritten and no base span of its kind holds it.  Offsets
 count code points of the source, the end is exclusive.  Null texts are empty.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import bounded_batches
+from spendlens.llm.common import prepare
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -210,15 +210,14 @@ def scan(text: str) -> tuple[list, list]:
         lo, hi = int(tape.lo[a]), int(tape.hi[b - 1])
         if text[lo:hi] != tape.text[a:b]:
             more.append((kind, lo, hi))
-    # Both lists are in order within a kind: one sweep finds overlaps.
-    held = {k: [s for s in base if s[0] == k] for k in KINDS}
+    # Both lists are in order within a kind: one sweep finds what a base span holds already.
     added = []
     for k in KINDS:
-        own, i = held[k], 0
+        own, i = [s for s in base if s[0] == k], 0
         for s in (x for x in more if x[0] == k):
-            while i < len(own) and own[i][2] <= s[1]:
+            while i < len(own) and own[i][2] < s[2]:
                 i += 1
-            if i == len(own) or own[i][1] >= s[2]:
+            if i == len(own) or own[i][1] > s[1]:
                 added.append(s)
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -246,7 +245,7 @@ def _scanned(text: pa.Array) -> pa.Array:
 
 def pii_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts of the base kinds, a digest of the base spans, and all spans."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return (docs.select(F.col(id_col), _scanned(F.col(text_col).cast("string")).alias("_s"))
             .select(id_col, "_s.*"))
 
@@ -269,6 +268,6 @@ def _masked(text: pa.Array) -> pa.Array:
 
 def mask_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data masked in ``text_col``; null stays null."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(*[_masked(F.col(c).cast("string")).alias(c) if c == text_col else F.col(c)
                          for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlens.llm.common import bounded_batches
+from spendlens.llm.common import prepare
 
 #: Kinds in the order in which they are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
@@ -234,7 +234,7 @@ def _scanned(text: pa.Array) -> pa.Array:
 
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts of the base kinds, a digest of the base spans, and all spans."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return (docs.select(F.col(id_col), _scanned(F.col(text_col).cast("string")).alias("_s"))
             .select(id_col, "_s.*"))
 
@@ -258,7 +258,7 @@ def _redacted(text: pa.Array) -> pa.Array:
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced by a mark; ``length_col``, if there is
     one, follows the new text where the text has changed.  Null stays null."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     new = docs.withColumn("_redacted", _redacted(F.col(text_col).cast("string")))
     cols = [F.col("_redacted").alias(c) if c == text_col else
             F.when(F.col("_redacted") != F.col(text_col), F.length("_redacted")).otherwise(F.col(c))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Bitmap, bitmap_of, bounded_batches, chunks, stored, windows, words
+from spendlens.llm.common import Bitmap, bitmap_of, prepare, chunks, stored, windows, words
 
 _U = np.uint64
 
@@ -153,7 +153,7 @@ def coverage(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     """One row for each pair that shares a seed and reaches the threshold:
     row number ``rid``, ``id``, xxhash64 of the text, ``item_id``, words of the item, words covered,
     number of tiles."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     items = stored(benchmark.select(F.col(item_col).cast("long").alias("item_id"),
                                     F.col(item_text).cast("string").alias("text"))
                    .mapInArrow(_items(seed), "item_id long, words array<long>, seeds array<long>")
@@ -197,7 +197,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     """The clean rows of ``docs``, each judged by its own text (rows are told
     apart by id, null included, and a hash of the text)."""
     bad = stored(coverage(docs, benchmark, id_col=id_col, text_col=text_col, **params)
-                 .select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct())
-    same = (docs[id_col].cast("long").eqNullSafe(F.col("_id"))
-            & (F.xxhash64(docs[text_col].cast("string")) == F.col("_digest")))
+                 .select(F.col("id").alias("_tiled_id"), F.col("digest").alias("_tiled_digest")).distinct())
+    same = (docs[id_col].cast("long").eqNullSafe(F.col("_tiled_id"))
+            & (F.xxhash64(docs[text_col].cast("string")) == F.col("_tiled_digest")))
     return docs.join(bad, same, "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import PIECE, bounded_batches, chunks, crc_mod, mix, words
+from spendlens.llm.common import PIECE, prepare, chunks, crc_mod, mix, words
 
 _U = np.uint64
 _WORD_SALT = _U(0xD6E8FEB86659FD93)
@@ -129,7 +129,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", held_out_mod: int | None = 5, params: Params | None = None) -> Model:
     p = params or Params()
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = training_rows(docs, labels, id_col, text_col, label_col, held_out_mod, p.sample)
     return fit(rows.mapInArrow(_bags(p), "y double, ids array<int>, shares array<float>").toArrow(), p)
 
@@ -210,7 +210,7 @@ def scorer(model: Model):
 def toxicity_scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text",
                     held_out_mod: int = 5, threshold: float = 0.5) -> DataFrame:
     """``(id, held_out, score, predicted)`` of every row."""
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     s = docs.select(F.col(id_col), F.coalesce(crc_mod(id_col, held_out_mod) == 0, F.lit(False)).alias("held_out"),
                     scorer(model)(F.col(text_col).cast("string")).alias("score"))
     return s.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import base64
+import hashlib
+import json
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from edge_tables import edge, no_docs, table  # noqa: F401
+from spendlens.llm import secrets as S
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    head = bytes([n]) if n < 128 else bytes([0x80 | (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + head + body
+
+
+INT = lambda n=40: der(2, b"\x01" + bytes(range(1, n)))
+RSA = der(0x30, der(2, b"\0"), *(INT(60) for _ in range(8)))
+PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48")), der(4, RSA))
+FIELD = lambda b: len(b).to_bytes(4, "big") + b
+SSH = b"openssh-key-v1\0" + FIELD(b"none") + FIELD(b"none") + FIELD(b"") + (1).to_bytes(4, "big") + FIELD(b"x" * 51) + FIELD(b"y" * 90)
+B64 = lambda b: base64.b64encode(b).decode()
+URL = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+JWT = f"{URL({'alg': 'HS256', 'typ': 'JWT'})}.{URL({'sub': 'somebody'})}.c2lnbmF0dXJlc2lnbmF0dXJl"
+
+
+def kinds(text):
+    return [(k, text[a:b]) for k, a, b in S.scan(text)[1]]
+
+
+def test_confirmed():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", B64(RSA))) + "\n-----END RSA PRIVATE KEY-----"
+    ssh = "-----BEGIN OPENSSH PRIVATE KEY-----\n" + B64(SSH) + "\n-----END OPENSSH PRIVATE KEY-----"
+    for secret, kind in ((pem, "pem"), (ssh, "pem"), (B64(RSA), "der"), (B64(PKCS8), "der"), (JWT, "jwt"),
+                         (B64(SSH), "ssh"), (B64(FIELD(b"ssh-rsa") + FIELD(b"\x01\0\x01") + FIELD(b"k" * 70)), "ssh"),
+                         (RSA.hex().upper(), "der")):
+        assert kinds(f"é before {secret} after") == [(kind, secret)]
+
+
+def test_not_confirmed():
+    broken = bytearray(RSA)
+    broken[3] += 1
+    for text in (B64(bytes(broken)), B64(RSA[:-1]), B64(b"plain words that are only encoded, no key"), JWT.replace("ey", "xy", 1),
+                 "-----BEGIN KEY-----\nnot base64 !\n-----END KEY-----", "-----BEGIN A-----" * 200, "z" * 5000):
+        assert kinds(text) == []
+
+
+PIECES = st.sampled_from(["token", "Secret", "PASSWD", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdefgh", "AKIA", "AKIA" + "B2" * 8,
+                          "0f" * 16, "0f" * 15, "é", "K", "\n", "x", "=abcd1234", "secret=", "token:tok"])
+
+
+def oracle(text):
+    spans = [("assign", *m.span()) for m in re.finditer(
+        r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        text) if len(m[2]) >= 8]
+    spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(spans, key=lambda s: (s[1], S.KINDS.index(s[0])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=12))
+def test_base_against_patterns(parts):
+    assert S.scan("".join(parts))[0] == oracle("".join(parts))
+
+
+def test_query(spark, table, edge, no_docs):
+    docs = table("documents")
+    out = {r.doc_id: r for r in S.secret_spans(docs).collect()}
+    for r in docs.collect():
+        want = oracle(r.text)
+        o = out[r.doc_id]
+        assert [o.n_assign, o.n_access, o.n_hex] == [sum(s[0] == k for s in want) for k in S.BASE]
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert o.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert S.secret_spans(edge).count() == 9 and S.secret_spans(no_docs).collect() == []
+
+
+def test_redaction(spark, edge):
+    text = f"key {JWT} and token = 0123456789abcdef0123456789abcdef end"
+    d = spark.createDataFrame([(1, text, len(text)), (2, None, 0), (3, "clean", 99)], "doc_id long, text string, n_chars long")
+    rows = {r.doc_id: r for r in S.redact_secrets(d).collect()}
+    assert rows[1].text == "key [SECRET:jwt] and [SECRET:assign] end" and rows[1].n_chars == len(rows[1].text)
+    assert rows[2].text is None and rows[3].text == "clean" and rows[3].n_chars == 99
+    assert S.redact_secrets(edge).columns == edge.columns
