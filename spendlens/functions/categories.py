@@ -1,15 +1,11 @@
 """MCC → category.
 
-The MCC dimension is keyed by a four-digit merchant category code, so a real
-one has at most 10,000 rows.  That bound is checked once per dimension
-DataFrame (one count of a small table) before the join is hinted as a
-broadcast; a larger table is joined however Spark decides.
+The MCC dimension is joined without a hint: Spark broadcasts it when its
+measured size allows.  A ledger without one takes the built-in fallback map.
 """
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,22 +40,15 @@ REWARDS_FALLBACK = {
 
 FALLBACK_MAPS = {"spending": SPENDING_FALLBACK, "rewards": REWARDS_FALLBACK}
 
-MCC_BROADCAST_MAX_ROWS = 10_000
-_MCC_SIZES: "weakref.WeakKeyDictionary[DataFrame, int]" = weakref.WeakKeyDictionary()
-
-
-def _broadcastable(mcc_codes: DataFrame) -> bool:
-    if mcc_codes not in _MCC_SIZES:
-        _MCC_SIZES[mcc_codes] = mcc_codes.count()
-    return _MCC_SIZES[mcc_codes] <= MCC_BROADCAST_MAX_ROWS
-
 
-def with_category(df: DataFrame, mcc_codes: DataFrame, mcc_col: str = "mcc") -> DataFrame:
+def with_category(df: DataFrame, mcc_codes: DataFrame | None, mcc_col: str = "mcc",
+                  fallback: str = "spending") -> DataFrame:
     """Left join on mcc, a miss (or NULL mcc) → ``Other``.  Duplicate MCC
-    rows fan out, as a plain left merge does."""
+    rows fan out, as a plain left merge does.  Without an MCC table (``None``)
+    the categories come from the ``fallback`` map (C14)."""
+    if mcc_codes is None:
+        return with_fallback_category(df, fallback, mcc_col)
     dim = mcc_codes.select(F.col("mcc").alias("_mcc"), F.col("category"))
-    if _broadcastable(mcc_codes):
-        dim = F.broadcast(dim)
     return (df.join(dim, F.col(mcc_col) == F.col("_mcc"), "left")
               .drop("_mcc")
               .withColumn("category", F.coalesce(F.col("category"), F.lit(OTHER))))

@@ -151,6 +151,14 @@ def payback_band(years: str | Column) -> Column:
             .when(y < 2, "reasonable").otherwise("long"))
 
 
+def payback_months_band(years: str | Column) -> Column:
+    """C25, months form: bands of the truncated months (6, 12); no fees to
+    recover pays back at once."""
+    m = payback_months(years)
+    return (F.when(col(years) <= 0, "immediate").when(m <= 6, "quick")
+            .when(m <= 12, "reasonable").otherwise("long"))
+
+
 def payback_months(years: str | Column) -> Column:
     """Whole months, truncated."""
     return (col(years) * 12).cast("int").cast("long")

@@ -1,9 +1,9 @@
 """Time windows anchored per client.
 
 The anchor of a client is the latest ``date`` among its transactions, either
-all of them (rule ``"all"``) or only the spend rows (rule ``"spend"``).  It is
-computed by a partial aggregation and joined back, never by a window over a
-whole client.
+all of them (rule ``"all"``) or only the spend rows (rule ``"spend"``).  Both
+come from the ledger's table of client activity, never from a window over a
+whole client; a stored ledger has it ready, so the transactions are read once.
 """
 
 from __future__ import annotations
@@ -46,12 +46,10 @@ def spend_only(df: DataFrame) -> DataFrame:
 
 def anchors(ledger: Ledger, rule: str = "all") -> DataFrame:
     """F8: ``(client_id, anchor)`` — latest date per client."""
-    tx = ledger.transactions
-    if rule == "spend":
-        tx = spend_only(tx)
-    elif rule != "all":
+    if rule not in ("all", "spend"):
         raise ValueError(f"unknown anchor rule {rule!r}")
-    return tx.groupBy("client_id").agg(F.max("date").alias("anchor"))
+    last = "last_purchase" if rule == "spend" else "last_date"
+    return ledger.client_activity().select("client_id", F.col(last).alias("anchor"))
 
 
 def with_anchor(ledger: Ledger, df: DataFrame | None = None, rule: str = "all") -> DataFrame:

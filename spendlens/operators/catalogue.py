@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from decimal import Decimal
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -137,6 +138,22 @@ def portfolios(max_cards: int = 3, catalogue: tuple[Card, ...] = CATALOGUE) -> l
     return out
 
 
+def undominated(ports: list[Portfolio], keys: list[str],
+                catalogue: tuple[Card, ...] = CATALOGUE) -> list[Portfolio]:
+    """Without portfolios that can never win: spending is never negative, so
+    one whose fee is no lower than an earlier one's and whose best rate is no
+    higher for any rate key loses or ties, and ties go to the earlier one."""
+    kept: list[Portfolio] = []
+    vectors = np.empty((0, len(keys) + 2), np.int64)
+    for p in ports:
+        v = np.array([int(p.best(k, catalogue=catalogue)[0] * 10000) for k in [*keys, None]]
+                     + [-p.fees(catalogue)])
+        if not (vectors >= v).all(1).any():
+            kept.append(p)
+            vectors = np.vstack([vectors, v])
+    return kept
+
+
 def catalogue_frames(spark: SparkSession, catalogue: tuple[Card, ...] = CATALOGUE
                      ) -> tuple[DataFrame, DataFrame]:
     """R1 as two small DataFrames: cards (one row per card) and card_rates
@@ -180,21 +197,14 @@ def highlights(card: Card) -> tuple[str, str]:
     return best_for, "; ".join(high)
 
 
-MAX_CATALOGUE_CARDS = 100
-
-
-def catalogue_from_frames(cards: DataFrame, rates: DataFrame,
-                          max_cards: int = MAX_CATALOGUE_CARDS) -> tuple[Card, ...]:
+def catalogue_from_frames(cards: DataFrame, rates: DataFrame) -> tuple[Card, ...]:
     """A user-supplied catalogue (same shape as :func:`catalogue_frames`) as
-    ``Card`` objects.  The catalogue is configuration of a few cards, read
-    once; more than ``max_cards`` cards is refused rather than collected."""
-    card_rows = cards.orderBy("card_ordinal").limit(max_cards + 1).collect()
-    if len(card_rows) > max_cards:
-        raise ValueError(f"catalogue has more than {max_cards} cards")
-    names = {r["card"] for r in card_rows}
-    listed: dict[str, list[tuple[str, Decimal]]] = {n: [] for n in names}
-    for r in rates.filter(rates["card"].isin(*names)).orderBy("card", "position").collect():
-        if r["category"] != "default":
+    ``Card`` objects.  The catalogue is configuration, not data: the cards on
+    offer and their rates, read whole and once."""
+    card_rows = cards.orderBy("card_ordinal").collect()
+    listed: dict[str, list[tuple[str, Decimal]]] = {r["card"]: [] for r in card_rows}
+    for r in rates.orderBy("card", "position").collect():
+        if r["category"] != "default" and r["card"] in listed:
             listed[r["card"]].append((r["category"], Decimal(r["rate"])))
     return tuple(
         Card(r["card"], int(r["annual_fee"]), tuple(listed[r["card"]]),

@@ -1,8 +1,8 @@
 """Overview KPIs (A1–A10), for all clients at once.
 
-Anchor rule: latest transaction of the client, refunds included.  A1, A2, A4
-and A6 come out of one aggregation over the anchored transactions
-(conditional sums), instead of one scan per month window.  Every client of
+Anchor rule: latest transaction of the client, refunds included.  A1, A2 and
+A4 come out of one aggregation over the anchored purchases (conditional sums),
+instead of one scan per month window; A6 starts from the labels.  Every client of
 ``users`` gets a row; missing data gives 0, never NULL.
 """
 
@@ -15,7 +15,7 @@ from spendlens.functions.categories import with_category
 from spendlens.functions.cleaning import month_label
 from spendlens.functions.exprs import (card_label, cents, cents_to_double, clamp_max,
                                        money_sum, money_sum_dec, round_dec)
-from spendlens.functions.periods import days_before, with_anchor
+from spendlens.functions.periods import days_before, spend_only, with_anchor
 from spendlens.plans.joins import attach_per_client, rank_all
 from spendlens.sources.schema import Ledger
 
@@ -41,10 +41,13 @@ def reward_weight(months: int = 12, mode: str = "nested") -> Column:
         return F.when(_in_months(months), 1).otherwise(0)
     if mode != "nested":
         raise ValueError(f"unknown mode {mode!r}")
-    w = F.lit(0)
-    for m in range(1, months + 1):
-        w = w + F.when(_in_months(m), 1).otherwise(0)
-    return w
+    # The smallest window that holds the purchase, by its age; every wider
+    # window up to ``months`` holds it too.
+    window = MONTH_DAYS * 86_400_000_000
+    micros = "unix_micros(cast({} as timestamp))".format
+    smallest = F.greatest(F.expr(f"int(({micros('anchor')} - {micros('date')} + {window - 1}) div {window})"), F.lit(1))
+    held = F.greatest(F.lit(months + 1) - smallest, F.lit(0))
+    return F.when(F.col("amount") > 0, held).otherwise(0)
 
 
 def _zero(c: str) -> Column:
@@ -52,26 +55,28 @@ def _zero(c: str) -> Column:
 
 
 def kpi_core(ledger: Ledger, months_back: int = 1, reward_months: int = 12,
-             mode: str = "nested", with_labels: bool = True) -> DataFrame:
-    """One pass: per client spend in the last ``months_back`` windows (A1),
-    weighted spend for A4, and (``with_labels``) fraud / all transaction
-    counts for A6."""
-    tx = ledger.transactions.select("client_id", "id", "amount", "date")
-    if with_labels:
-        # Labels are folded per transaction first, so a duplicated label fans
-        # out the fraud counts (as a plain left merge does), never the sums.
-        labels = ledger.fraud_labels.groupBy(F.col("transaction_id").alias("id")).agg(
-            F.count(F.lit(1)).alias("_ln"), F.count_if(F.col("is_fraud")).alias("_lf"))
-        tx = tx.join(labels, "id", "left")
-    else:
-        tx = tx.select("*", F.lit(None).cast("long").alias("_ln"),
-                       F.lit(None).cast("long").alias("_lf"))
-    tx = with_anchor(ledger, tx)
+             mode: str = "nested") -> DataFrame:
+    """One pass over the transactions: per client spend in the last
+    ``months_back`` windows (A1) and weighted spend for A4."""
+    tx = with_anchor(ledger, spend_only(ledger.transactions.select("client_id", "amount", "date")))
     return tx.groupBy("client_id").agg(
         F.sum(F.when(_in_months(months_back), cents("amount"))).alias("_m"),
-        F.sum(cents("amount") * reward_weight(reward_months, mode)).alias("_w"),
-        F.sum(F.coalesce(F.col("_lf"), F.lit(0).cast("long"))).alias("_fraud"),
-        F.sum(F.coalesce(F.col("_ln"), F.lit(1).cast("long"))).alias("_n"))
+        F.sum(cents("amount") * reward_weight(reward_months, mode)).alias("_w"))
+
+
+def fraud_counts(ledger: Ledger) -> DataFrame:
+    """Per client with transactions: fraudulent and all rows (A6).  The join
+    starts from the labels, so transactions without one never shuffle by id; a
+    duplicated label fans out, as in a plain left merge."""
+    labels = ledger.fraud_labels.where("transaction_id is not null").groupBy(
+        F.col("transaction_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("_ln"), F.count_if(F.col("is_fraud")).alias("_lf"))
+    hit = (ledger.transactions.select("client_id", "id").join(labels, "id")
+           .groupBy("client_id").agg(F.sum(F.col("_ln") - 1).alias("_more"), F.sum("_lf").alias("_f")))
+    zero = F.lit(0).cast("long")
+    return (ledger.client_activity().select("client_id", "n_transactions").join(hit, "client_id", "left")
+            .select("client_id", F.coalesce("_f", zero).alias("_fraud"),
+                    (F.col("n_transactions") + F.coalesce("_more", zero)).alias("_n")))
 
 
 def monthly_spending(ledger: Ledger, months_back: int = 1) -> DataFrame:
@@ -117,7 +122,7 @@ def interest_paid(ledger: Ledger, months_back: int = 12, apr: float = APR) -> Da
 def rewards_earned(ledger: Ledger, months_back: int = 12, mode: str = "nested") -> DataFrame:
     """A4: 1 % of the sum over m = 1..months of A1(m) (``mode="nested"``, as
     the reference), or of each purchase once (``"disjoint"``)."""
-    core = kpi_core(ledger, 1, months_back, mode, with_labels=False)
+    core = kpi_core(ledger, 1, months_back, mode)
     return attach_per_client(ledger, _users(ledger), core, "left").select(
         "client_id",
         (F.coalesce(cents_to_double("_w"), F.lit(0.0)) * BASE_REWARD).alias("rewards_earned"))
@@ -126,8 +131,7 @@ def rewards_earned(ledger: Ledger, months_back: int = 12, mode: str = "nested")
 def fraud_risk(ledger: Ledger) -> DataFrame:
     """A6 (+ J3): fraudulent / all transactions × 100, all time, refunds
     included; unlabelled transactions count as not fraudulent."""
-    core = kpi_core(ledger)
-    return attach_per_client(ledger, _users(ledger), core, "left").select(
+    return attach_per_client(ledger, _users(ledger), fraud_counts(ledger), "left").select(
         "client_id",
         F.coalesce("_n", F.lit(0).cast("long")).alias("transactions"),
         F.coalesce("_fraud", F.lit(0).cast("long")).alias("fraud_transactions"),
@@ -211,6 +215,7 @@ def all_kpis(ledger: Ledger, mode: str = "nested") -> DataFrame:
         F.count(F.lit(1)).alias("spending_categories"))
     u = ledger.users.select(F.col("id").alias("client_id"), "total_debt", "credit_score")
     df = attach_per_client(ledger, u, core, "left")
+    df = attach_per_client(ledger, df, fraud_counts(ledger), "left")
     df = attach_per_client(ledger, df, _limits(ledger), "left")
     df = attach_per_client(ledger, df, cats, "left")
     spend = F.coalesce(cents_to_double("_m"), F.lit(0.0))

@@ -32,11 +32,13 @@ MERCHANT_NAMES = {
     10: "Uber Rides",
 }
 
-# The two recommendation types, their title parts and priorities.
+# The two recommendation types, their titles, descriptions and priorities.
 SUBSCRIPTION_TYPE = "Subscription Optimization"
-SUBSCRIPTION_TITLE = ("Review ", " Subscription Services")
+SUBSCRIPTION_TITLE = "Review %d Subscription Services"
+SUBSCRIPTION_TEXT = "You spend ~$%.2f/month on subscriptions. Consider reviewing for unused services."
 LOYALTY_TYPE = "Loyalty Programs"
-LOYALTY_TITLE = ("Join loyalty programs at top ", " merchants")
+LOYALTY_TITLE = "Join loyalty programs at top %d merchants"
+LOYALTY_TEXT = "Potential to earn $%.2f in rewards/cashback"
 PRIORITY_HIGH, PRIORITY_MEDIUM = "High", "Medium"
 
 SUBSCRIPTION_MIN_CONSISTENCY = 0.8
@@ -147,7 +149,7 @@ def subscriptions(ledger: Ledger, period: str = "3_months",
     subs = s.filter((F.col("consistency_score") > SUBSCRIPTION_MIN_CONSISTENCY)
                     & (F.col("frequency_score") >= SUBSCRIPTION_MIN_FREQUENCY)
                     & (F.col("transaction_count") >= SUBSCRIPTION_MIN_COUNT))
-    if period == "1_month":
+    if period_days(period) <= 30:
         subs = subs.filter(F.lit(False))
     subs = subs.withColumn("estimated_monthly_cost", round_dec(
         F.col("total_spent") / F.col("transaction_count"), 2))
@@ -239,9 +241,8 @@ def merchant_recommendations(ledger: Ledger, period: str = "3_months") -> DataFr
     sub_rows = subs.select(
         "client_id", F.lit(1).cast("long").alias("seq"),
         F.lit(SUBSCRIPTION_TYPE).alias("type"),
-        F.concat(F.lit(SUBSCRIPTION_TITLE[0]), F.col("_n").cast("string"),
-                 F.lit(SUBSCRIPTION_TITLE[1]))
-        .alias("title"),
+        F.format_string(SUBSCRIPTION_TITLE, "_n").alias("title"),
+        F.format_string(SUBSCRIPTION_TEXT, round_dec(cost, 2)).alias("description"),
         F.when(cost > 100, PRIORITY_HIGH).otherwise(PRIORITY_MEDIUM).alias("priority"),
         (cost * SUBSCRIPTION_SAVING_RATE).alias("potential_value"),
         F.lit("").alias("merchants"))
@@ -251,15 +252,15 @@ def merchant_recommendations(ledger: Ledger, period: str = "3_months") -> DataFr
                           salt_cols=["merchant_id"])
     names = F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("rank", "merchant_name"))), lambda x: x["merchant_name"]), ", ")
+    reward = F.col("_t").cast("double") * LOYALTY_REWARD_RATE
     loy_rows = top.groupBy("client_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(money("total_spent")).alias("_t"),
         names.alias("merchants")).select(
         "client_id", F.lit(2).cast("long").alias("seq"), F.lit(LOYALTY_TYPE).alias("type"),
-        F.concat(F.lit(LOYALTY_TITLE[0]), F.col("_n").cast("string"),
-                 F.lit(LOYALTY_TITLE[1])).alias("title"),
+        F.format_string(LOYALTY_TITLE, "_n").alias("title"),
+        F.format_string(LOYALTY_TEXT, round_dec(reward, 2)).alias("description"),
         F.lit(PRIORITY_MEDIUM).alias("priority"),
-        (F.col("_t").cast("double") * LOYALTY_REWARD_RATE).alias("potential_value"),
-        "merchants")
+        reward.alias("potential_value"), "merchants")
     return sub_rows.unionByName(loy_rows)
 
 

@@ -16,7 +16,6 @@ that same summary row; only per-category views join back to the categories.
 from __future__ import annotations
 
 from decimal import Decimal
-from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +24,11 @@ from pyspark.sql import types as T
 from spendlens.functions.categories import with_category
 from spendlens.functions.exprs import (card_label, cents, cents_to_dec, improvement_band,
                                        money_sum_dec, payback_band, payback_months, round_dec)
-from spendlens.functions.periods import days_before, reward_period, spend_only, period_days
+from spendlens.functions.periods import (days_before, period_days, reward_period, spend_only,
+                                         with_anchor)
 from spendlens.operators.catalogue import (BEST_FOR, BRAND_RATES, CATALOGUE, CURRENT_BASE_RATE,
                                            CURRENT_BRAND_RULES, OTHER_KEY, Card, break_even,
-                                           highlights, portfolios, rate_keys)
+                                           highlights, portfolios, rate_keys, undominated)
 from spendlens.plans.joins import attach_per_client
 from spendlens.session import app_id
 from spendlens.sources.schema import Ledger
@@ -39,10 +39,8 @@ NET_T = "decimal(30,6)"
 BASE = Decimal("0.01")
 COVERAGE_RATE = Decimal("0.015")
 ACTION_MIN_EXTRA = 5
-# Largest number of card combinations searched: they enter the plans as
-# constant arrays and tiny broadcast tables, so their count must stay bounded
-# (the dashboard's 6 cards give at most 62).
-MAX_PORTFOLIOS = 4096
+# Card combinations in one constant array; more are scored in several arrays.
+PORTFOLIO_CHUNK = 512
 
 # The name shown when no card beats 1 %; the three recommendation
 # rules' (priority, title, description format, action); the comparison
@@ -115,7 +113,7 @@ class Rewards:
            catalogue: tuple[Card, ...] = CATALOGUE,
            include_annual_fees: bool = True) -> "Rewards":
         """The ledger's shared analysis for these parameters."""
-        return ledger.memo(("rewards", period, max_cards, id(catalogue), include_annual_fees),
+        return ledger.memo(("rewards", period, max_cards, tuple(catalogue), include_annual_fees),
                            lambda: cls(ledger, period, max_cards, catalogue,
                                        include_annual_fees))
 
@@ -128,12 +126,9 @@ class Rewards:
         self.ledger = ledger
         self.period = period
         self.catalogue = catalogue
-        n = sum(comb(len(catalogue), k) for k in range(1, max_cards + 1))
-        if n > MAX_PORTFOLIOS:
-            raise ValueError(f"{n} card combinations exceed the bound of {MAX_PORTFOLIOS}; "
-                             "lower max_cards or the catalogue size")
         self.keys = rate_keys(catalogue)
-        self.ports = portfolios(max_cards, catalogue)
+        self.max_cards = max_cards
+        self.ports = undominated(portfolios(max_cards, catalogue), self.keys, catalogue)
         self.spark = ledger.spark
 
     # ---- spending ------------------------------------------------------
@@ -141,8 +136,7 @@ class Rewards:
         days, _ = reward_period(self.period)
         spend = spend_only(self.ledger.transactions.select(
             "client_id", "mcc", "amount", "date"))
-        anchor = spend.groupBy("client_id").agg(F.max("date").alias("anchor"))
-        df = attach_per_client(self.ledger, spend, anchor)
+        df = with_anchor(self.ledger, spend, "spend")
         return df.filter(F.col("date") >= days_before("anchor", days))
 
     def annual_spending(self) -> DataFrame:
@@ -174,7 +168,7 @@ class Rewards:
         if getattr(self, "_cs", None) is not None:
             return self._cs
         _, mult = reward_period(self.period)
-        g = (with_category(self._by_mcc(), self.ledger.mcc_codes)
+        g = (with_category(self._by_mcc(), self.ledger.mcc_codes, fallback="rewards")
              .groupBy("client_id", "category")
              .agg(cents_to_dec(F.sum("_m") * F.lit(mult), 20).alias("_spend")))
         w = Window.partitionBy("client_id")
@@ -214,7 +208,7 @@ class Rewards:
     def portfolio_key_dim(self) -> DataFrame:
         """Per portfolio × rate key: best member rate from 0 (R7) and from the
         1 % floor (R14, ``Current Card`` when no member beats it)."""
-        key = ("pk", len(self.ports), tuple(c.name for c in self.catalogue))
+        key = ("pk", self.max_cards, tuple(self.catalogue))
         return _cached_dim(self.spark, key, self._portfolio_key_dim)
 
     def _portfolio_key_dim(self) -> DataFrame:
@@ -279,15 +273,18 @@ class Rewards:
         return out
 
     # ---- per-client summary ----------------------------------------------
-    def _by_pid(self, values: list, pid: str = "portfolio_id") -> Column:
-        """Look a portfolio attribute up in a constant array indexed by id."""
+    def _by_pid(self, values: list, pid: str = "_place") -> Column:
+        """Look an attribute up in a constant array indexed by place."""
         return F.expr(f"element_at({_sql(list(values))}, {pid} + 1)")
 
     def _argmax(self, vectors: list[tuple[int, int, list[int]]]) -> Column:
         """Best candidate by integer net reward (micro-units): spend in cents
         × rate in 1/10,000 minus fee; ties go to the lower ordinal.  The
-        candidates are one constant array scored by one lambda, so dozens of
-        them add no generated code."""
+        candidates are constant arrays scored by one lambda each, so their
+        number adds little generated code."""
+        if len(vectors) > PORTFOLIO_CHUNK:
+            return F.greatest(*[self._argmax(vectors[i:i + PORTFOLIO_CHUNK])
+                                for i in range(0, len(vectors), PORTFOLIO_CHUNK)])
         cand = "array(" + ", ".join(
             f"named_struct('o', {o}, 'fee', CAST({fee} AS BIGINT), "
             + ", ".join(f"'r{j}', {_sql(r)}" for j, r in enumerate(rates)) + ")"
@@ -322,17 +319,17 @@ class Rewards:
                     else base)
             cur = cur + F.col(f"_k{i}") * rate
         keys = [*self.keys, None]
-        ports = [(p.pid, p.fees(self.catalogue) * 1_000_000,
+        ports = [(i, p.fees(self.catalogue) * 1_000_000,
                   [int(p.best(k, catalogue=self.catalogue)[0] * 10000) for k in keys])
-                 for p in self.ports]
+                 for i, p in enumerate(self.ports)]
         singles = [(i, c.annual_fee * 1_000_000,
                     [int((c.default_rate if k is None else c.rate(k)) * 10000) for k in keys])
                    for i, c in enumerate(self.catalogue)]
         df = df.select("*", cur.cast(NET_T).alias("_cur_total"),
                        self._argmax(ports).alias("_bp"), self._argmax(singles).alias("_bs"))
         df = df.select(
-            "*", F.col("_bp.o").alias("portfolio_id"), self._from_micros(F.col("_bp.net"))
-            .alias("_net"), (F.col("_bp.net") > 0).alias("has_optimal"),
+            "*", F.col("_bp.o").alias("_place"), self._by_pid([p.pid for p in self.ports], "_bp.o")
+            .alias("portfolio_id"), self._from_micros(F.col("_bp.net")).alias("_net"), (F.col("_bp.net") > 0).alias("has_optimal"),
             F.col("_bs.o").alias("_single_ord"), self._from_micros(F.col("_bs.net"))
             .alias("_single_net"))
         cards = [p.cards(self.catalogue) for p in self.ports]
@@ -672,10 +669,9 @@ def owned_card_rewards(ledger: Ledger, period: str = "3_months") -> DataFrame:
     without cards have no rows."""
     days = period_days(period)
     tx = ledger.transactions.select("client_id", "mcc", "amount", "date")
-    anchor = tx.groupBy("client_id").agg(F.max("date").alias("anchor"))
-    tx = attach_per_client(ledger, tx, anchor)
+    tx = with_anchor(ledger, tx)
     tx = spend_only(tx.filter(F.col("date") >= days_before("anchor", days)))
-    cs = (with_category(tx, ledger.mcc_codes).groupBy("client_id", "category")
+    cs = (with_category(tx, ledger.mcc_codes, fallback="rewards").groupBy("client_id", "category")
           .agg(money_sum_dec("amount").cast(SPEND_T).alias("_spend")))
     cards = ledger.cards.select("client_id", F.col("id").alias("card_id"), "card_brand",
                                 card_label("card_brand", "card_type").alias("_label"))

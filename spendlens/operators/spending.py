@@ -13,7 +13,7 @@ from spendlens.functions.categories import with_category
 from spendlens.functions.cleaning import day_name, month_key
 from spendlens.functions.exprs import (cents, cents_to_double, money_sum, money_sum_dec,
                                        pct_change, round_dec, safe_div)
-from spendlens.functions.periods import (custom_range, days_before, period_days,
+from spendlens.functions.periods import (custom_range, days_before, period_days, with_anchor,
                                          relative_period, spend_only)
 from spendlens.plans.joins import attach_per_client, rank_all, top_k_per_group
 from spendlens.sources.schema import Ledger
@@ -157,9 +157,7 @@ def comparison_metrics(ledger: Ledger, period: str = "3_months") -> DataFrame:
     of categories in the period's breakdown.  Clients with no purchase in the
     period have no row."""
     days = period_days(period)
-    spend = spend_only(ledger.transactions)
-    anchor = spend.groupBy("client_id").agg(F.max("date").alias("anchor"))
-    df = attach_per_client(ledger, spend, anchor)
+    df = with_anchor(ledger, spend_only(ledger.transactions), "spend")
     cur = F.col("date") >= days_before("anchor", days)
     prev = (F.col("date") >= days_before("anchor", 2 * days)) & ~cur
     m = df.groupBy("client_id").agg(

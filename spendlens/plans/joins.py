@@ -1,12 +1,8 @@
 """Plan-shape helpers shared by the operators.
 
-* ``attach_per_client`` joins a one-row-per-client table back to row-level
-  data.  It broadcasts only when the ledger's proven client count is under the
-  configured bound.  Beyond it, the join is salted: each row gets a salt from
-  a hash of its own values, the per-client side (one row per client) is
-  replicated once per salt, and the join runs on ``(client_id, salt)`` — a
-  client holding a third of all rows is spread over all salt buckets instead
-  of one task, whatever the adaptive settings.
+* ``attach_per_client`` joins a one-row-per-client table on ``client_id``, with
+  no hint: Spark broadcasts it when its measured size allows, and splits a hot
+  client otherwise (adaptive skew join).
 * ``top_k_per_group`` keeps the first ``k`` rows of each group in two salted
   rounds, so a hot group never lands whole in one window task.
 """
@@ -20,27 +16,14 @@ from pyspark.sql import functions as F
 
 from spendlens.sources.schema import Ledger
 
-DEFAULT_SALT_BUCKETS = 1024
+DEFAULT_SALT_BUCKETS = 16
 SALT_BUCKETS_CONF = "spendlens.topk.saltBuckets"
-JOIN_SALT_CONF = "spendlens.join.saltBuckets"
-DEFAULT_JOIN_SALT = 64
 
 
 def attach_per_client(ledger: Ledger, df: DataFrame, per_client: DataFrame,
                       how: str = "inner") -> DataFrame:
-    """Join a table with one row per ``client_id`` to ``df`` (``inner`` or
-    ``left``): broadcast under the proven bound, else a salted shuffle join."""
-    if ledger.broadcast_clients_ok():
-        return df.join(F.broadcast(per_client), "client_id", how)
-    conf = df.sparkSession.conf.get(JOIN_SALT_CONF, None)
-    buckets = int(conf) if conf else DEFAULT_JOIN_SALT
-    if buckets <= 1:
-        return df.join(per_client, "client_id", how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets))
-    left = df.withColumn("_jsalt", salt)
-    right = per_client.withColumn(
-        "_jsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    return left.join(right, ["client_id", "_jsalt"], how).drop("_jsalt")
+    """Join a table with one row per ``client_id`` to ``df`` (``inner`` or ``left``)."""
+    return df.join(per_client, "client_id", how)
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
@@ -49,9 +32,10 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """First ``k`` rows per ``keys`` by ``order`` (which must be a total order),
     numbered 1..k in ``rank_col``.
 
-    Round one ranks inside ``(keys, salt)`` and keeps ``k`` rows per salt, so at
-    most ``k * salt_buckets`` rows per group reach the final window.  More
-    buckets add no stage; they only spread a hot group over more tasks.
+    Round one ranks inside ``(keys, salt)``; each map task keeps ``k`` rows per
+    group and salt before the exchange, and at most ``k * salt_buckets`` rows
+    per group reach the final window.  Few buckets keep the map-side limit
+    tight and still spread a hot group over several tasks.
     """
     keys = list(keys)
     if salt_buckets == DEFAULT_SALT_BUCKETS:

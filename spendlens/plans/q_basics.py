@@ -20,9 +20,9 @@ from spendlens.sources import loaders
 
 @register("user_list", "O", "S2", with_ledger("O") + (
     "SELECT id, 'User ' || CAST(id AS VARCHAR) || ' - ' || COALESCE(address, '') AS label "
-    "FROM users ORDER BY id LIMIT 1000"))
+    "FROM users"))
 def user_list(led):
-    return loaders.user_list(led, 1000)
+    return loaders.user_list(led)
 
 
 @register("client_slice", "O", "S3, F1, S6", with_ledger("O") + (
@@ -36,6 +36,24 @@ def client_slice(led):
                      "day")
 
 
+@register("current_portfolio", "O", "R3", with_ledger("O") + (
+    "SELECT client_id, id AS card_id, card_brand, card_type, credit_limit FROM cards"))
+def current_portfolio(led):
+    return loaders.current_portfolio(led)
+
+
+@register("single_client_slice", "O", "S3, F1, J4", with_ledger("O") + (
+    "SELECT t.id, t.amount FROM tx t WHERE t.client_id = 7"))
+def single_client_slice(led):
+    return loaders.client_slice(led, 7).transactions.select("id", "amount")
+
+
+@register("empty_label_slice", "O", "S6", with_ledger("O") + (
+    "SELECT CAST(NULL AS BIGINT) AS transaction_id, false AS is_fraud WHERE false"))
+def empty_label_slice(led):
+    return loaders.client_slice(led, -1).fraud_labels
+
+
 @register("activity_counts", "O", "S7", with_ledger(
     "O",
     "tc AS (SELECT client_id, COUNT(*) AS n FROM tx GROUP BY client_id)",

@@ -139,8 +139,9 @@ def merchant_summary(led):
 @register("merchant_recommendations", "N", "M11", with_ledger(
     "N", *stats_sql(90), *SUBS_CTE, *LOYALTY_CTE,
     f"subr AS (SELECT client_id, CAST(1 AS BIGINT) AS seq, {q(mr.SUBSCRIPTION_TYPE)} AS type, "
-    f"{q(mr.SUBSCRIPTION_TITLE[0])} || CAST(COUNT(*) AS VARCHAR) || {q(mr.SUBSCRIPTION_TITLE[1])} "
-    "AS title, "
+    f"printf({q(mr.SUBSCRIPTION_TITLE)}, COUNT(*)) AS title, "
+    f"printf({q(mr.SUBSCRIPTION_TEXT)}, {R('CAST(SUM(CAST(estimated_monthly_cost AS DECIMAL(18,2))) AS DOUBLE)', 2)}) "
+    "AS description, "
     "CASE WHEN CAST(SUM(CAST(estimated_monthly_cost AS DECIMAL(18,2))) AS DOUBLE) > 100 "
     "THEN 'High' ELSE 'Medium' END AS priority, "
     "CAST(SUM(CAST(estimated_monthly_cost AS DECIMAL(18,2))) AS DOUBLE) * CAST(0.2 AS DOUBLE) "
@@ -148,7 +149,9 @@ def merchant_summary(led):
     "lyr AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY loyalty_score DESC, "
     "merchant_id) AS rk FROM ly)",
     f"lr AS (SELECT client_id, CAST(2 AS BIGINT) AS seq, {q(mr.LOYALTY_TYPE)} AS type, "
-    f"{q(mr.LOYALTY_TITLE[0])} || CAST(COUNT(*) AS VARCHAR) || {q(mr.LOYALTY_TITLE[1])} AS title, "
+    f"printf({q(mr.LOYALTY_TITLE)}, COUNT(*)) AS title, "
+    f"printf({q(mr.LOYALTY_TEXT)}, {R('CAST(SUM(CAST(total_spent AS DECIMAL(18,2))) AS DOUBLE) * CAST(0.02 AS DOUBLE)', 2)}) "
+    "AS description, "
     "'Medium' AS priority, CAST(SUM(CAST(total_spent AS DECIMAL(18,2))) AS DOUBLE) * "
     "CAST(0.02 AS DOUBLE) AS potential_value, string_agg(merchant_name, ', ' ORDER BY rk) "
     "AS merchants FROM lyr WHERE rk <= 3 GROUP BY client_id)",

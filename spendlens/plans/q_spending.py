@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from spendlens.functions.categories import FALLBACK_MAPS
 from spendlens.operators import spending as sp
 from spendlens.plans.registry import register
 from spendlens.plans.sqlkit import (DB, MSD, PCT, R, SDIV, anchor_cte, categorized_cte,
-                                    period_cte, with_ledger)
+                                    period_cte, q, with_ledger)
 
 CUSTOM_START, CUSTOM_END = "2000-01-01", "2000-06-30"
 
@@ -35,6 +38,18 @@ def category_breakdown(led):
     return sp.category_breakdown(led, "3_months")
 
 
+def _fallback_categories(which: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN {q(v)}" for k, v in FALLBACK_MAPS[which].items())
+    return f"fallback AS (SELECT mcc, CASE mcc {cases} ELSE 'Other' END AS category FROM (SELECT DISTINCT mcc FROM tx))"
+
+
+@register("category_breakdown_no_mcc", "N", "C14, B2",
+          with_ledger("N", _fallback_categories("spending"), *_breakdown_sql(90))
+          .replace("LEFT JOIN mcc m", "LEFT JOIN fallback m") + "SELECT * FROM b")
+def category_breakdown_no_mcc(led):
+    return sp.category_breakdown(replace(led, mcc_codes=None, _memo={}), "3_months")
+
+
 @register("custom_range_breakdown", "N", "F4, B2",
           with_ledger("N", *_breakdown_sql(start=CUSTOM_START, end=CUSTOM_END))
           + "SELECT * FROM b")

@@ -46,39 +46,49 @@ QUERIES: dict[str, Query] = {}
 _LEDGERS: dict[tuple[str, str, str], Ledger] = {}
 
 
+#: Set to ``true`` to store each ledger once for all queries of a session (a
+#: copy of the cleaned tables, written before the first query returns); without
+#: it, queries are lazy from the given tables.
 MATERIALIZE_CONF = "spendlens.materializeLedger"
 
 
 def materialize(spark: SparkSession, led: Ledger, name: str) -> Ledger:
-    """Write the five cleaned tables once as Parquet in the cluster's shared
-    checkpoint folder and read them back: later queries start from the
-    cleaned ledger instead of re-deriving it, and lineage is cut (a lost
-    executor recomputes from these files, not from the raw inputs).
+    """Write the cleaned tables and the clients' activity once as Parquet in
+    the cluster's shared checkpoint folder and read them back: later queries
+    start from them, and a lost executor recomputes from these files.
     Transactions are sorted within files by client and date, so per-client
-    filters prune row groups."""
+    filters prune row groups.  The copy goes when the session ends."""
     base = ensure_checkpoint_dir(spark)
     if base is None:  # no shared folder on this cluster: keep the lazy ledger
         return led
     root = os.path.join(base, "spendlens-ledger", app_id(spark), name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     tables = {}
     for t, df in led.tables().items():
+        if df is None:
+            tables[t] = None
+            continue
         path = os.path.join(root, t)
         if t == "transactions":
             df = df.sortWithinPartitions("client_id", "date")
         df.write.mode("overwrite").parquet(path)
         tables[t] = spark.read.parquet(path)
-    return Ledger(**tables)
+    stored = Ledger(**tables)
+    path = os.path.join(root, "activity")
+    stored.client_activity().write.mode("overwrite").parquet(path)
+    stored.activity = spark.read.parquet(path)
+    return stored
 
 
 def get_ledger(spark: SparkSession, sf_dir: str, binding: str) -> Ledger:
-    """One Ledger per (application, data dir, binding), so the binding is
-    derived and the proven client count computed once, and shared by every
-    query of that binding."""
+    """One Ledger per (application, data dir, binding), shared by every query of
+    that binding."""
     key = (app_id(spark), sf_dir.rstrip("/"), binding)
     led = _LEDGERS.get(key)
     if led is None:
         led = bind_ledger(spark, sf_dir, binding)
-        if spark.conf.get(MATERIALIZE_CONF, "true").lower() == "true":
+        if spark.conf.get(MATERIALIZE_CONF, "false").lower() == "true":
             tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
             led = materialize(spark, led, f"{binding}-{tag}")
         _LEDGERS[key] = led

@@ -33,8 +33,6 @@ _CLEANERS = {
     "fraud_labels": cleaning.clean_labels,
 }
 
-USER_LIST_CAP = 1000
-
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     # Header only, every column kept as a string: cleaning does the typing.
@@ -52,13 +50,7 @@ def load_table(spark: SparkSession, data_path: str, name: str, fmt: str = "csv")
             df = cleaning.with_calendar(df)
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    required = {"users": ["id"], "cards": ["id", "client_id"],
-                "transactions": ["id", "client_id", "amount", "date"],
-                "mcc_codes": ["mcc", "category"],
-                "fraud_labels": ["transaction_id", "is_fraud"]}[name]
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"table {name!r} lacks columns {missing}")
+    validate(df, name)
     return conform(df, SCHEMAS[name])
 
 
@@ -66,19 +58,17 @@ def load_ledger(spark: SparkSession, data_path: str | None, fmt: str = "csv") ->
     """S1 + S5: all five tables, typed."""
     if not data_path:
         raise ValueError("Data path not set.")
-    tables = {n: load_table(spark, data_path, n, fmt) for n in FILE_STEMS}
-    for n, df in tables.items():
-        validate(df, SCHEMAS[n], n)
-    return Ledger(**tables)
+    return Ledger(**{n: load_table(spark, data_path, n, fmt) for n in FILE_STEMS})
 
 
-def user_list(ledger: Ledger, cap: int = USER_LIST_CAP) -> DataFrame:
-    """``(id, label)`` with ``User {id} - {address}``, the first ``cap`` ids
-    (ordered, so the list is deterministic)."""
-    return (ledger.users.select(
+def user_list(ledger: Ledger, limit: int | None = None) -> DataFrame:
+    """``(id, label)`` with ``User {id} - {address}`` of every user in order
+    of id; a caller that fills a dropdown may pass a ``limit``."""
+    users = (ledger.users.select(
                 "id", F.concat(F.lit("User "), F.col("id").cast("string"), F.lit(" - "),
                                F.coalesce(F.col("address"), F.lit(""))).alias("label"))
-            .orderBy("id").limit(cap))
+            .orderBy("id"))
+    return users if limit is None else users.limit(limit)
 
 
 def client_slice(ledger: Ledger, client_id: int | None = None) -> Ledger:
@@ -98,6 +88,11 @@ def client_slice(ledger: Ledger, client_id: int | None = None) -> Ledger:
                   mcc_codes=ledger.mcc_codes, fraud_labels=labels)
 
 
+def current_portfolio(ledger: Ledger) -> DataFrame:
+    """The cards that each client has now."""
+    return ledger.cards.select("client_id", F.col("id").alias("card_id"), "card_brand", "card_type", "credit_limit")
+
+
 def require_user(ledger: Ledger, client_id: int) -> None:
     """Raise when the user does not exist."""
     if ledger.users.filter(F.col("id") == F.lit(client_id).cast("long")).isEmpty():
@@ -116,9 +111,8 @@ def activity_counts(ledger: Ledger) -> DataFrame:
     """Per client, the number of transactions and cards loaded."""
     t = ledger.transactions.groupBy("client_id").agg(F.count(F.lit(1)).alias("transactions"))
     c = ledger.cards.groupBy("client_id").agg(F.count(F.lit(1)).alias("cards"))
-    from spendlens.plans.joins import attach_per_client
     u = ledger.users.select(F.col("id").alias("client_id"))
-    return (attach_per_client(ledger, attach_per_client(ledger, u, t, "left"), c, "left")
+    return (u.join(t, "client_id", "left").join(c, "client_id", "left")
             .select("client_id",
                     F.coalesce("transactions", F.lit(0).cast("long")).alias("transactions"),
                     F.coalesce("cards", F.lit(0).cast("long")).alias("cards")))

@@ -70,9 +70,14 @@ SCHEMAS = {
     "fraud_labels": FRAUD_LABELS,
 }
 
-# Conf key for the largest per-client table that may be broadcast.
-MAX_BROADCAST_CLIENTS_CONF = "spendlens.broadcast.maxClients"
-DEFAULT_MAX_BROADCAST_CLIENTS = 1_000_000
+# Columns without which a table gives wrong answers.
+REQUIRED = {
+    "users": ["id"],
+    "cards": ["id", "client_id"],
+    "transactions": ["id", "client_id", "merchant_id", "mcc", "amount", "date"],
+    "mcc_codes": ["mcc", "category"],
+    "fraud_labels": ["transaction_id", "is_fraud"],
+}
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -96,9 +101,10 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*cols)
 
 
-def validate(df: DataFrame, schema: T.StructType, name: str) -> None:
-    """Raise ``ValueError`` when a required column is missing (S5-style guard)."""
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
+def validate(df: DataFrame, name: str) -> None:
+    """Raise ``ValueError`` when a table as read lacks a required column (S5);
+    to be called before ``conform`` fills missing columns with nulls."""
+    missing = [c for c in REQUIRED[name] if c not in df.columns]
     if missing:
         raise ValueError(f"table {name!r} lacks columns {missing}")
 
@@ -107,37 +113,33 @@ def validate(df: DataFrame, schema: T.StructType, name: str) -> None:
 class Ledger:
     """The five cleaned tables the analytics run on.
 
-    ``client_count`` is the number of distinct client ids found in
-    transactions, users and cards; it is computed once (one aggregation job)
-    and bounds every one-row-per-client table, so it is the proven size used
-    to decide whether such a table may be broadcast.
+    ``mcc_codes`` may be ``None``: categories then come from the built-in
+    fallback map.  ``activity`` has one row per client (latest date, latest
+    purchase date, number of transactions); a stored ledger keeps it, so that
+    period operators read the transactions once.
     """
 
     users: DataFrame
     cards: DataFrame
     transactions: DataFrame
-    mcc_codes: DataFrame
+    mcc_codes: DataFrame | None
     fraud_labels: DataFrame
-    _client_count: int | None = field(default=None, repr=False)
+    activity: DataFrame | None = field(default=None, repr=False)
     _memo: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def spark(self) -> SparkSession:
         return self.transactions.sparkSession
 
-    def client_count(self) -> int:
-        if self._client_count is None:
-            ids = (self.transactions.select("client_id")
-                   .union(self.users.select(F.col("id").alias("client_id")))
-                   .union(self.cards.select("client_id")))
-            self._client_count = ids.distinct().count()
-        return self._client_count
-
-    def broadcast_clients_ok(self) -> bool:
-        """True when a one-row-per-client table is small enough to broadcast."""
-        limit = self.spark.conf.get(MAX_BROADCAST_CLIENTS_CONF, None)
-        limit = int(limit) if limit else DEFAULT_MAX_BROADCAST_CLIENTS
-        return self.client_count() <= limit
+    def client_activity(self) -> DataFrame:
+        """``(client_id, last_date, last_purchase, n_transactions)``."""
+        if self.activity is None:
+            date = F.col("date")
+            self.activity = self.transactions.groupBy("client_id").agg(
+                F.max(date).alias("last_date"),
+                F.max(F.when(F.col("amount") > 0, date)).alias("last_purchase"),
+                F.count(F.lit(1)).alias("n_transactions"))
+        return self.activity
 
     def memo(self, key: tuple, build):
         """Shared lazy intermediate (a DataFrame or an analysis object) of

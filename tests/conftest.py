@@ -17,7 +17,8 @@ from spendlens.sources.schema import (CARDS, FRAUD_LABELS, MCC_CODES, TRANSACTIO
 @pytest.fixture(scope="session")
 def spark():
     from spendlens.session import build_session
-    s = build_session("local[4]", shuffle_partitions=4, app="spendlens-tests")
+    s = build_session("local[4]", shuffle_partitions=4, app="spendlens-tests",
+                      extra={"spendlens.materializeLedger": "true"})
     yield s
     s.stop()
 

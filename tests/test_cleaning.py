@@ -120,9 +120,9 @@ def test_client_slice_and_typed_empty_labels(spark, csv_dir):
     assert s3.fraud_labels.schema == led.fraud_labels.schema
 
 
-def test_user_list_is_capped_and_ordered(spark, csv_dir):
+def test_user_list_is_ordered_and_may_be_limited(spark, csv_dir):
     led = loaders.load_ledger(spark, csv_dir, "csv")
-    out = loaders.user_list(led, cap=1).collect()
+    out = loaders.user_list(led, limit=1).collect()
     assert [(r.id, r.label) for r in out] == [(1, "User 1 - 1 Main St")]
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from spendlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -52,10 +53,11 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    own = set(registry.queries())
+    assert own == set(registry.oracle_sql()) and own <= set(entry.queries()) and own <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_oracle(spark, con, name):
     sdf = entry.queries()[name](spark, SF).toPandas()
     odf = con.sql(entry.oracle_sql()[name]).df()
@@ -66,7 +68,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_registered_outputs_have_no_engine_specific_time_types(spark):
     """Timestamps are rendered as text in registered results (see registry)."""
     bad = {}
-    for name, q in entry.queries().items():
+    for name, q in registry.queries().items():
         types = dict(q(spark, SF).dtypes)
         hits = [c for c, t in types.items() if t.startswith(("timestamp", "date"))]
         if hits:
@@ -79,12 +81,9 @@ def test_registered_outputs_have_no_engine_specific_time_types(spark):
                                   "optimization_impact", "category_extra_rewards",
                                   "top_merchants", "anomaly_timeline"])
 def test_large_client_path_matches_oracle(spark, con, name):
-    """Force the paths taken when the client count exceeds the broadcast bound
-    (shuffle joins on client_id) and a small salt, and compare again."""
-    from spendlens.plans import registry
-    from spendlens.sources.schema import MAX_BROADCAST_CLIENTS_CONF
+    """Shuffle joins on client_id instead of broadcasts, and a small salt: same
+    rows, and no side is replicated below an exchange."""
     from spendlens.plans.joins import SALT_BUCKETS_CONF
-    spark.conf.set(MAX_BROADCAST_CLIENTS_CONF, "0")
     spark.conf.set(SALT_BUCKETS_CONF, "2")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -92,7 +91,6 @@ def test_large_client_path_matches_oracle(spark, con, name):
         led = registry.get_ledger(spark, SF, q.binding)
         fresh = type(led)(users=led.users, cards=led.cards, transactions=led.transactions,
                           mcc_codes=led.mcc_codes, fraud_labels=led.fraud_labels)
-        assert not fresh.broadcast_clients_ok()
         df = q.build(fresh)
         if q.ts:
             from pyspark.sql import functions as F
@@ -100,9 +98,9 @@ def test_large_client_path_matches_oracle(spark, con, name):
                              else F.col(c) for c in df.columns])
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert "_jsalt" not in plan
         sdf = df.toPandas()
     finally:
-        spark.conf.unset(MAX_BROADCAST_CLIENTS_CONF)
         spark.conf.unset(SALT_BUCKETS_CONF)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     odf = con.sql(entry.oracle_sql()[name]).df()
