@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that are hashed at once; a longer text is cut at white space.
 PIECE = 1 << 19
 #: Bytes of rows that Spark puts in one Arrow batch (a single row may be larger).
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 _U = np.uint64
 _NOT_WS = np.ones(256, bool)

@@ -258,7 +258,7 @@ def _score(m: Model):
         for b in batches:
             own = [b.column(c).to_pylist() for c in m.given]
             zt, zm = [np.empty(0)], [np.empty(0)]
-            for first, end, buf, offs in chunks(b.column("text"), 8 * PIECE):
+            for first, end, buf, offs in chunks(b.column("text"), 2 * PIECE):
                 w, of, f = _text_view(buf, offs, p.bits)
                 count = np.bincount(w.doc, minlength=w.n_docs)
                 logit = m.text_weights[f].sum(0)

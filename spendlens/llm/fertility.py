@@ -37,7 +37,7 @@ from spendlens.llm.common import prepare, chunks, windows, words
 VOCABULARIES = "/opt/tokenizers"
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose words are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: The split before the merges of the rank files.

@@ -41,7 +41,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose words are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 

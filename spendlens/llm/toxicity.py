@@ -32,13 +32,13 @@ _WORD_SALT = _U(0xD6E8FEB86659FD93)
 
 @dataclass(frozen=True)
 class Params:
-    """Buckets are ``2**bits``; n-grams have ``shortest`` to ``longest`` bytes."""
+    """Buckets are ``2**bits`` (16 at most); n-grams have ``shortest`` to ``longest`` bytes."""
 
     bits: int = 16
     dim: int = 8
     shortest: int = 3
     longest: int = 6
-    sample: int = 4000
+    sample: int = 6000
     epochs: int = 6
     batch: int = 64
     rate: float = 1.0
@@ -92,7 +92,7 @@ def _bags(p: Params):
     vector (every word counts 1/words, every subword 1/subwords of its word)."""
     def run(batches):
         for b in batches:
-            ids, shares = [], []
+            ids, shares, scale = [], [], []
             for _, _, buf, offs in chunks(b.column(1)):
                 w = words(buf, offs)
                 at = w.bounds()
@@ -104,11 +104,15 @@ def _bags(p: Params):
                     n = np.diff(np.append(begin, len(x)))
                     share = np.repeat(times / max(1, times.sum()) / np.maximum(n, 1), n)
                     own, of = np.unique(x, return_inverse=True)
-                    ids.append(own.astype(np.int32))
-                    shares.append(np.bincount(of, weights=share, minlength=len(own)).astype(np.float32))
+                    each = np.bincount(of, weights=share, minlength=len(own))
+                    scale.append(float(each.max(initial=0.0)) / 65535)
+                    # Two bytes each: the sample meets on the driver.
+                    ids.append(own.astype(np.uint16).view(np.int16))
+                    shares.append((np.rint(each / (scale[-1] or 1)) - 32768).astype(np.int16))
+            shorts = pa.list_(pa.int16())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
-                ["y", "ids", "shares"])
+                [b.column(0), pa.array(scale, pa.float64()), pa.array(ids, shorts), pa.array(shares, shorts)],
+                ["y", "scale", "ids", "shares"])
     return run
 
 
@@ -131,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     p = params or Params()
     prepare(docs.sparkSession)
     rows = training_rows(docs, labels, id_col, text_col, label_col, held_out_mod, p.sample)
-    return fit(rows.mapInArrow(_bags(p), "y double, ids array<int>, shares array<float>").toArrow(), p)
+    return fit(rows.mapInArrow(_bags(p), "y double, scale double, ids array<short>, shares array<short>").toArrow(), p)
 
 
 def fit(table: pa.Table, p: Params) -> Model:
@@ -140,7 +144,9 @@ def fit(table: pa.Table, p: Params) -> Model:
     if not n:
         return Model(np.zeros(buckets, np.float32), -np.inf, p)
     y = table.column("y").to_numpy().astype(np.int64)
-    ids, shares = _lists(table.column("ids")), _lists(table.column("shares"))
+    ids = [x.view(np.uint16) for x in _lists(table.column("ids"))]
+    shares = [(x.astype(np.float32) + np.float32(32768)) * np.float32(k) for x, k in
+              zip(_lists(table.column("shares")), table.column("scale").to_numpy(), strict=True)]
     # Rows come back in any order: a fixed order makes the fit repeatable.
     rows = np.lexsort((y, [int(x.sum(dtype=np.int64)) for x in ids]))
     rng = np.random.default_rng(p.seed)
@@ -150,6 +156,7 @@ def fit(table: pa.Table, p: Params) -> Model:
            np.log(np.array([1 - rate_1, rate_1], np.float32))]
     m, v = [np.zeros_like(x) for x in var], [np.zeros_like(x) for x in var]
     step = 0
+    bucket, bias, taken = np.zeros(buckets, np.float32), 0.0, 0
     for epoch in range(p.epochs):
         order = rows[rng.permutation(n)]
         rate = np.float32(p.rate * (1 - 0.9 * epoch / p.epochs))
@@ -170,8 +177,11 @@ def fit(table: pa.Table, p: Params) -> Model:
                 mx += np.float32(0.1) * (g - mx)
                 vx += np.float32(0.01) * (g * g - vx)
                 x -= rate * mx / np.float32(1 - 0.9 ** step) / (np.sqrt(vx / np.float32(1 - 0.99 ** step)) + np.float32(p.damping))
-    e, w, b = var
-    return Model(e @ (w[:, 1] - w[:, 0]), float(b[1] - b[0]), p)
+        if 2 * epoch >= p.epochs:  # the model is the mean over the later epochs
+            taken += 1
+            bucket += var[0] @ (var[1][:, 1] - var[1][:, 0])
+            bias += var[2][1] - var[2][0]
+    return Model(bucket / taken, float(bias / taken), p)
 
 
 def _lists(col: pa.ChunkedArray) -> list[np.ndarray]:
@@ -184,7 +194,7 @@ def probabilities(model: Model, text: pa.Array) -> pa.Array:
     """Probability of label 1 for every text of an Arrow array."""
     bucket, bias, p = model.bucket, model.bias, model.params
     out = [np.empty(0)]
-    for _, _, buf, offs in chunks(text, 8 * PIECE):
+    for _, _, buf, offs in chunks(text, 2 * PIECE):
         w = words(buf, offs)
         z = np.zeros(w.n_docs)
         if len(w.h):
