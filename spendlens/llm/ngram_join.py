@@ -9,18 +9,24 @@ documents link when their overlap, an entry of ``M * M^T``, reaches
    class has to be looked at in its first ``n - ceil(t * n) + 1`` columns
    alone: classes that share none of these are under the bound derived from
    their sizes.  "Common" is any fixed set of columns; it holds those met in
-   more than ``common_df`` rows, as a bitmap of fixed size, so a passage that
-   many documents share comes last and is rarely looked at.
-3. *Sure links.*  In every column block the smallest and the largest class are
-   compared with the others (a star, not all pairs); connected classes get one
-   label.  Common columns are salted, so a hot one is spread over many tasks.
-4. *Product.*  Column blocks which hold several labels are multiplied:
-   overlap counts of pairs of different labels are accumulated, and a pair is
-   discarded when its count plus what can still follow is under the bound.
-5. The pairs that are left are compared by their whole sets.
+   more than ``common_df`` rows (counted over all rows by ``LEAD`` bits of the
+   hash, packed by hash range before the shuffle), as a bitmap of fixed size,
+   so a passage that many documents share comes last and is rarely looked at.
+3. *Sure links.*  Each class is compared with one pivot, which it meets in most
+   column blocks (a star, not all pairs); connected classes get one label.  Common columns are salted, so a hot one is spread over many tasks.
+4. *Product of common columns.*  Classes that common columns connect form a
+   cell.  A cell is cut into blocks of about ``MEMBERS`` classes, and for each
+   pair of blocks one task multiplies the incidence matrices and gives back a
+   spanning set of the links between different labels; blocks of one label are
+   not multiplied.  So a group of n near copies makes n * blocks rows, not
+   n * n pairs.
+5. *Product of the other columns.*  Each holds few classes.  Overlap counts of
+   pairs of different labels are accumulated, a pair is discarded when its
+   count plus what can still follow is under the bound, and the pairs that are
+   left are compared by their whole sets.
 
 Pairs inside a label are already connected, so no link between components is
-lost, while a group of n near copies costs about n comparisons.
+lost.
 
 Nulls and texts without words give ``n_shingles`` 0 and link with nothing;
 fewer words than ``width`` give one n-gram; repeated rows share a class;
@@ -32,12 +38,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import (Bitmap, bitmap_of, bounded_batches, chunks, mix, stored,
-                                  windows, words)
+from spendlens.llm.common import (Bitmap, bitmap_of, prepare, chunks, mix, stored,
+                                  windows, without, words)
 from spendlens.llm.components import connected_components
 
 _U = np.uint64
@@ -77,92 +85,269 @@ def _ordered(s: np.ndarray, common: Bitmap | None, k: int) -> tuple[np.ndarray,
     """First ``k`` columns of a set, and how many of them are not common."""
     if common is None:
         return s[:k], min(k, len(s))
-    on = common.has(s)
+    on = common.has(s >> _U(64 - LEAD))
     rare = s[~on][:k]
     return np.concatenate([rare, s[on][:k - len(rare)]]), len(rare)
 
 
-def _sketch(width: int, t: int):
+#: Leading bits of a column's hash by which rows are counted for the column order.
+LEAD = 40
+#: Columns that a task holds before it deals them out.
+HELD = 2_000_000
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted numbers as byte planes of their differences."""
+    d = np.diff(x, prepend=_U(0))
+    planes = max(1, (int(d.max()).bit_length() + 7) // 8)
+    return bytes([planes]) + np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    d = np.zeros((planes.shape[1], 8), np.uint8)
+    d[:, :data[0]] = planes.T
+    return np.cumsum(d.view(_U).ravel())
+
+
+_SKETCH = "part int, id long, n long, cls long, cols binary"
+
+
+def _sketch(width: int, parts: int):
+    """One row for each document, and the columns of each class as packed
+    lists, one for each of ``parts`` hash ranges."""
+    span = (1 << LEAD) // parts + 1
+
+    def packed(held):
+        x = np.sort(np.concatenate(held) >> _U(64 - LEAD))
+        cut = np.searchsorted(x, np.arange(parts + 1, dtype=_U) * _U(span))
+        some = [i for i in range(parts) if cut[i] < cut[i + 1]]
+        return _rows(some, [None] * len(some), [None] * len(some), [None] * len(some),
+                     [_pack(x[cut[i]:cut[i + 1]] - _U(i * span)) for i in some])
+
     def run(batches):
+        held, n_held, seen = [], 0, set()
         for b in batches:
-            n, cls, idx = [], [], []
+            n, cls = [], []
             for _, s in _sets(b.column(1), width):
                 n.append(len(s))
                 cls.append(_class(s) if len(s) else None)
-                # Of two equally large classes, each needs its first few alone.
-                k = len(s) - -(-2 * t * len(s) // (100 + t)) + 1 if len(s) else 0
-                idx.append(s[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                 pa.array(idx, pa.list_(pa.int64()))], ["id", "n", "cls", "cols"])
+                if len(s) and cls[-1] not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(cls[-1])
+                    held.append(s)
+                    n_held += len(s)
+                    if n_held > HELD:
+                        yield packed(held)
+                        held, n_held = [], 0
+            yield _rows([(c or 0) % parts for c in cls], b.column(0), n, cls, [None] * len(n))
+        if held:
+            yield packed(held)
+    return run
+
+
+def _rows(part, ids, n, cls, cols) -> pa.RecordBatch:
+    return _batch(part=pa.array(part, pa.int32()), id=ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64()),
+                  n=pa.array(n, pa.int64()), cls=pa.array(cls, pa.int64()), cols=pa.array(cols, pa.binary()))
+
+
+def _often(parts: int, common_df: int):
+    """Passes documents on; of the packed columns of a range, gives those in
+    more than ``common_df`` lists.  Rows come sorted by range."""
+    span = (1 << LEAD) // parts + 1
+
+    def common(part: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        x = x[first[np.diff(np.append(first, len(x))) > common_df]].view(np.int64) + part * span
+        none = pa.nulls(len(x), pa.int64())
+        return _batch(id=none, n=none, cls=none, col=pa.array(x))
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            doc = b.filter(pc.is_null(b.column("cols")))
+            yield _batch(id=doc.column("id"), n=doc.column("n"), cls=doc.column("cls"),
+                         col=pa.nulls(doc.num_rows, pa.int64()))
+            packed = b.filter(pc.is_valid(b.column("cols")))
+            for part, data in zip(packed.column("part").to_pylist(), packed.column("cols").to_pylist(), strict=True):
+                if part != now and held:
+                    yield common(now, held)
+                    held = []
+                now = part
+                held.append(_unpack(data))
+        if held:
+            yield common(now, held)
     return run
 
 
 def _incidence(width: int, t: int, common: Bitmap, salts: int):
-    """Entries of the matrix that have to be looked at, one row each."""
+    """Entries of the matrix that have to be looked at: block, class, the
+    class's size and the entry's rank in one number, and the column where it is
+    common.  A common column has ``salts`` blocks, any other is a block."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            cols, cls, size, rank, salt = [], [], [], [], []
+            rows, held = [], 0
             for _, s in _sets(b.column(0), width):
                 if not len(s) or (c := _class(s)) in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(c)
-                k = len(s) - _need(len(s), t) + 1
-                p, rare = _ordered(s, common, k)
-                cols.append(p)
-                cls.append(np.full(len(p), c, np.int64))
-                size.append(np.full(len(p), len(s), np.int32))
-                r = np.arange(len(p), dtype=np.int32)
-                rank.append(r)
-                salt.append(np.where(r < rare, 0, 1 + c % salts).astype(np.int16))
-                if sum(map(len, cols)) > 200_000:
-                    yield _entries(cols, cls, size, rank, salt)
-                    cols, cls, size, rank, salt = [], [], [], [], []
-            if cols:
-                yield _entries(cols, cls, size, rank, salt)
+                p, rare = _ordered(s, common, len(s) - _need(len(s), t) + 1)
+                block = p.copy()
+                block[rare:] = mix(p[rare:] + _U((c % salts + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                rows.append((block, np.full(len(p), c, np.int64), (len(s) << 31) + np.arange(len(p)), p, np.arange(len(p)) < rare))
+                held += len(p)
+                if held > 200_000:
+                    yield _entries(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _entries(rows)
     return run
 
 
-def _entries(cols, cls, size, rank, salt):
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.concatenate(cls)),
-         pa.array(np.concatenate(size)), pa.array(np.concatenate(rank)),
-         pa.array(np.concatenate(salt))], ["col", "cls", "n", "rank", "salt"])
+def _entries(rows) -> pa.RecordBatch:
+    block, cls, at, col, rare = (np.concatenate(x) for x in zip(*rows, strict=True))
+    return _batch(block=block.view(np.int64), cls=cls, at=at, col=pa.array(col.view(np.int64), mask=rare))
+
+
+def _batch(**cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], list(cols))
 
 
-def _wanted(width: int, keep: Bitmap):
-    """Whole sets of the classes in ``keep`` (and a few others)."""
+def _wanted(width: int, keep: list[Bitmap]):
+    """Whole sets of the classes in a bitmap of ``keep`` (and of a few others),
+    with the bitmaps' numbers as bits of ``use``."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            cls, sets, held = [], [], 0
+            cls, sets, use, held = [], [], [], 0
             for _, s in _sets(b.column(0), width):
-                if not len(s) or (c := _class(s)) in seen or not keep.has(np.array([c]).view(_U))[0]:
+                if not len(s) or (c := _class(s)) in seen:
+                    continue
+                if not (u := sum(1 << i for i, k in enumerate(keep) if k.has(np.array([c]).view(_U))[0])):
                     continue
                 if len(seen) < SEEN:
                     seen.add(c)
                 cls.append(c)
                 sets.append(s.view(np.int64))
+                use.append(u)
                 held += len(s)
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
-                    cls, sets, held = [], [], 0
+                if held > 200_000:
+                    yield _batch(cls=pa.array(cls, pa.int64()), s=pa.array(sets, pa.list_(pa.int64())), use=pa.array(use, pa.int32()))
+                    cls, sets, use, held = [], [], [], 0
             if cls:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
+                yield _batch(cls=pa.array(cls, pa.int64()), s=pa.array(sets, pa.list_(pa.int64())), use=pa.array(use, pa.int32()))
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose whole sets reach the threshold."""
-    a = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return (pairs.join(a, "a").join(b, "b").where(100 * both >= t * union).select("a", "b"))
+#: Members that are compared with one copy of their pivot's set.
+MEMBERS = 256
+
+
+def _whole_sets(text: DataFrame, width: int, *classes: DataFrame) -> DataFrame:
+    """``(cls, s, use)``: the sets of the classes in a column ``cls`` (and of a
+    few others), made anew from the texts; a class may come several times."""
+    return text.mapInArrow(_wanted(width, [bitmap_of(c, "cls", 23) for c in classes]), "cls long, s array<long>, use int")
+
+
+def _verified(sets: DataFrame, roles: DataFrame, t: int) -> DataFrame:
+    """The pairs (member, pivot) whose whole sets reach the threshold."""
+    group = Window.partitionBy("key", "part").orderBy("role").rowsBetween(Window.unboundedPreceding, 0)
+    both = F.size(F.array_intersect("s", "pivot"))
+    union = F.size("s") + F.size("pivot") - both
+    return (sets.select("cls", "s").join(roles, "cls").withColumn("pivot", F.first("s").over(group))
+            .where((F.col("role") == 1) & (100 * both >= t * union))
+            .select(F.col("cls").alias("a"), F.col("key").alias("b")).distinct())
+
+
+def _roles(pairs: DataFrame) -> DataFrame:
+    """Members ``a`` and pivots ``b`` by groups: a pivot's set is dealt to one
+    group for every ``MEMBERS`` members, so no group is large."""
+    many = pairs.groupBy("b").count().withColumn("parts", F.ceil(F.col("count") / MEMBERS))
+    members = (pairs.join(many, "b")
+               .select(F.col("a").alias("cls"), F.col("b").alias("key"),
+                       F.pmod(F.xxhash64("a"), "parts").alias("part"), F.lit(1).alias("role")))
+    pivots = many.select(F.col("b").alias("cls"), F.col("b").alias("key"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+                         F.lit(0).alias("role"))
+    return members.unionByName(pivots)
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links that connect something not yet connected."""
+    root: dict[int, int] = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if (p := top(x)) != (q := top(y)):
+            root[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
+#: Columns that are multiplied at once.
+COLUMNS = 4096
+
+
+def _product(t: int):
+    """Links between different labels of two blocks of classes, or within one."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        left, right = (x.drop_duplicates("cls") for x in (left, right if len(right) else left))
+        ids = [np.unique(np.concatenate(list(x.s))) for x in (left, right)]
+        both = np.intersect1d(*ids, assume_unique=True)
+        counts = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, len(both), COLUMNS):
+            cols = both[lo:lo + COLUMNS]
+            m = []
+            for x in (left, right):
+                dense = np.zeros((len(x), len(cols)), np.float32)
+                for i, s in enumerate(x.s):
+                    at = np.searchsorted(cols, s)
+                    at = at[cols[np.minimum(at, len(cols) - 1)] == s]
+                    dense[i, at] = 1
+                m.append(dense)
+            counts += m[0] @ m[1].T
+        size = [np.array([len(s) for s in x.s], np.float64) for x in (left, right)]
+        hit = ((100 * counts >= t * (size[0][:, None] + size[1][None, :] - counts))
+               & (left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :]))
+        i, j = np.nonzero(hit)
+        links = _spanning(left.cls.to_numpy()[i], right.cls.to_numpy()[j])
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    return run
+
+
+def _blocks(dense: DataFrame, label: DataFrame) -> DataFrame:
+    """Classes that meet in common columns, dealt to pairs of blocks:
+    ``(pair, side, cls, label)``.  Within a cell (what is connected by common
+    columns) a large component makes blocks of its own, which are never
+    compared with each other; the others are mixed by hash."""
+    at = (dense.join(label.withColumnRenamed("node", "cls"), "cls", "left")
+          .withColumn("label", F.coalesce("label", "cls")))
+    size = at.groupBy("cell", "label").agg(F.count("*").alias("size"))
+    several = size.groupBy("cell").count().where("count > 1").select("cell")
+    size = size.join(several, "cell", "left_semi").withColumn(
+        "own", F.when(F.col("size") >= MEMBERS, F.col("label")))
+    parts = size.groupBy("cell", "own").agg(F.ceil(F.sum("size") / MEMBERS).alias("parts"))
+    dealt = (size.alias("s").join(parts.alias("p"), F.expr("s.cell = p.cell and s.own <=> p.own"))
+             .select("s.cell", "s.label", "s.own", "p.parts"))
+    at = stored(at.join(dealt, ["cell", "label"])
+                .withColumn("block", F.xxhash64("own", F.pmod(F.xxhash64("cls"), "parts"))))
+    names = at.select("cell", "block", "own").distinct()
+    x = names.select("cell", F.col("block").alias("x"), F.col("own").alias("xo"))
+    y = names.select("cell", F.col("block").alias("y"), F.col("own").alias("yo"))
+    pairs = x.join(y, "cell").where("x <= y and not (xo is not null and xo <=> yo)")
+    sides = pairs.withColumn("pair", F.xxhash64("cell", "x", "y"))
+    sides = (sides.select("cell", "pair", F.col("x").alias("block"), F.lit(0).alias("side"))
+             .unionByName(sides.where("x <> y").select("cell", "pair", F.col("y").alias("block"), F.lit(1).alias("side"))))
+    return at.select("cell", "block", "cls", "label").join(sides, ["cell", "block"]).select("pair", "side", "cls", "label")
 
 
 def _sizes_fit(x: str, y: str, t: int):
@@ -171,69 +356,73 @@ def _sizes_fit(x: str, y: str, t: int):
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-               width: int = 5, threshold: int = 80, common_df: int = 64, salts: int = 32) -> DataFrame:
+               width: int = 5, threshold: int = 80, common_df: int = 8, salts: int = 32) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``; the
     threshold is in percent.  See the module text for the method."""
     spark, t = docs.sparkSession, threshold
-    bounded_batches(spark)
+    prepare(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     text = src.select("text")
-    sig = stored(src.mapInArrow(_sketch(width, t), "id long, n long, cls long, cols array<long>"))
-    often = (sig.select(F.explode("cols").alias("col")).groupBy("col").count()
-             .where(F.col("count") > common_df))
-    common = bitmap_of(often, "col")
-
-    entries = text.mapInArrow(_incidence(width, t, common, salts),
-                              "col long, cls long, n int, rank int, salt short")
-    block = Window.partitionBy("col", "salt")
-    me = F.struct("cls", "n", "rank")
-    shared = (entries.withColumn("lo", F.min(me).over(block)).withColumn("hi", F.max(me).over(block))
-              .where((F.col("lo.cls") != F.col("hi.cls")) | (F.col("salt") > 0)))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketch = (src.mapInArrow(_sketch(width, parts), _SKETCH).repartition("part").sortWithinPartitions("part")
+              .mapInArrow(_often(parts, common_df), "id long, n long, cls long, col long"))
+    sketch = stored(sketch)
+    sig = sketch.where("n is not null").select("id", "n", "cls")
+    common = bitmap_of(sketch.where("col is not null"), "col", 24)
+
+    # The pivot of a block is the class that has the column at its lowest rank:
+    # of a text and its variants that is the text itself, since words that a
+    # variant alone has come before the common ones.  Salted blocks of a hot
+    # column meet through their pivots.
+    entries = text.mapInArrow(_incidence(width, t, common, salts), "block long, cls long, at long, col long").repartition("block")
+    rank, size = F.col("at").bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright("at", 31)
+    block, column = Window.partitionBy("block"), Window.partitionBy("col")
+    shared = (entries.withColumn("lo", F.min(F.struct(rank.alias("rank"), "cls", size.alias("n"))).over(block))
+              .withColumn("x", F.min("cls").over(block)).withColumn("y", F.max("cls").over(block))
+              .where("x <> y or col is not null")
+              .select("block", "col", "cls", rank.alias("rank"), size.alias("n"), F.col("lo.rank").alias("r"),
+                      F.col("lo.cls").alias("pivot"), F.col("lo.n").alias("m")))
     shared = stored(shared)
-    # Salted blocks meet through their smallest and largest classes.
-    ends = (shared.where("salt > 0")
-            .select("col", F.explode(F.array("lo", "hi")).alias("e")).distinct()
-            .select("col", "e.cls", "e.n", "e.rank"))
-    column = Window.partitionBy("col")
-    met = ends.withColumn("lo", F.min(me).over(column)).withColumn("hi", F.max(me).over(column))
-    tip = None
-    for pivot in ("lo", "hi"):
-        p = (shared.select("cls", "n", pivot).unionByName(met.select("cls", "n", pivot))
-             .where((F.col(f"{pivot}.cls") != F.col("cls")))
-             .select(F.col("cls").alias("a"), F.col(f"{pivot}.cls").alias("b"), "n",
-                     F.col(f"{pivot}.n").alias("m"))
-             .where(_sizes_fit("n", "m", t))
-             .groupBy("a", "b", "n").agg(F.count("*").alias("c"))
+    ends = shared.where("col is not null").select("col", F.struct("r", "pivot", "m").alias("e")).distinct()
+    met = ends.withColumn("lo", F.min("e").over(column)).select(
+        F.col("e.pivot").alias("cls"), F.col("e.m").alias("n"), F.col("lo.pivot").alias("pivot"), F.col("lo.m").alias("m"))
+    near = shared.select("cls", "n", "pivot", "m").unionByName(met)
+    stars = (near.where((F.col("cls") != F.col("pivot")) & _sizes_fit("n", "m", t))
+             .groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b"), "n").agg(F.count("*").alias("c"))
              .where(F.col("c") * 20 >= F.col("n"))
              .groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b"))
-        tip = p if tip is None else tip.unionByName(p)
-    stars = stored(tip.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sets = stored(text.mapInArrow(_wanted(width, bitmap_of(shared.select("cls"), "cls", 23)),
-                                  "cls long, s array<long>")
-                  .join(shared.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]))
-    sure = stored(_verified(stars, sets, t))
+    roles = stored(_roles(stored(stars)))
+    sure = stored(_verified(_whole_sets(text, width, roles), roles, t))
     label = connected_components(sure)
 
-    marked = (shared.select("col", "cls", "n", "rank").distinct()
+    # Common columns: connected classes make a cell, cells are multiplied by blocks.
+    dense = shared.where("col is not null")
+    edges = (dense.select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+             .unionByName(met.select(F.col("cls").alias("a"), F.col("pivot").alias("b"))))
+    cell = connected_components(edges).select(F.col("node").alias("cls"), F.col("label").alias("cell"))
+    dealt = stored(_blocks(cell, label))
+
+    # Other columns hold few classes each: their pairs are counted one by one.
+    marked = (shared.where("col is null").select("block", "cls", "n", "rank").distinct()
               .join(label.withColumnRenamed("node", "cls"), "cls", "left")
               .withColumn("label", F.coalesce("label", "cls")))
-    marked = stored(marked)
-    mixed = (marked.groupBy("col").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-             .where("x <> y").select("col"))
-    left = marked.join(mixed, "col", "left_semi")
-    x = left.select("col", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "rank", "label")])
-    y = left.select("col", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "rank", "label")])
+    x = marked.select("block", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "rank", "label")])
+    y = marked.select("block", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "rank", "label")])
     least = F.ceil((F.col("x_n") + F.col("y_n")) * t / F.lit(100.0 + t) - 1e-6)
     rest = F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank")) - 1
     met_before = F.least(F.col("x_rank"), F.col("y_rank"))
-    product = (x.join(y, "col").where((F.col("x_cls") < F.col("y_cls")) & (F.col("x_label") != F.col("y_label"))
+    product = (x.join(y, "block").where((F.col("x_cls") < F.col("y_cls")) & (F.col("x_label") != F.col("y_label"))
                                       & _sizes_fit("x_n", "y_n", t) & (met_before + 1 + rest >= least))
                .select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"), least.alias("least"),
                        F.struct("x_rank", rest.alias("rest")).alias("at")))
     pairs = (product.groupBy("a", "b", "least").agg(F.count("*").alias("c"), F.max("at").alias("last"))
              .where(F.col("c") + F.col("last.rest") >= F.col("least")).select("a", "b"))
-    more = _verified(stored(pairs), sets, t)
-    label = connected_components(sure.unionByName(more))
+    roles = stored(_roles(stored(pairs)))
+
+    sets = stored(_whole_sets(text, width, roles, dealt))
+    found = (dealt.join(sets.where("use >= 2").select("cls", "s"), "cls").groupBy("pair")
+             .applyInPandas(_product(t), "a long, b long"))
+    label = connected_components(sure.unionByName(_verified(sets.where("use % 2 = 1"), roles, t)).unionByName(found))
 
     # From classes to documents: the smallest id of each component.
     classes = sig.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"))
@@ -250,6 +439,5 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", **params) -> Data
     """Rows of ``docs`` whose id is its component's smallest, one row for each
     id (equal rows are one document); rows with a null id stay."""
     comp = ngram_join(docs, id_col, **params)
-    gone = comp.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    keys = docs.where(F.col(id_col).isNotNull()).join(stored(gone), id_col, "left_anti")
-    return keys.unionByName(docs.where(F.col(id_col).isNull()).select(*keys.columns)).select(*docs.columns)
+    gone = comp.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    return without(docs, gone, {id_col: F.col(id_col).cast("long")})
