@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that are hashed at once; a longer text is cut at white space.
 PIECE = 1 << 19
@@ -220,3 +221,25 @@ def bitmap_of(df: DataFrame, col: str, bits: int = 20) -> Bitmap:
     on = np.zeros(1 << bits - 6, np.int64)
     on[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
     return Bitmap(on, bits)
+
+
+def without(docs: DataFrame, gone: DataFrame, on: dict) -> DataFrame:
+    """Rows of ``docs`` without a match in ``gone`` (null matches null); ``on``
+    maps the columns of ``gone`` to expressions over ``docs``.  A bitmap of
+    fixed size lets most rows pass where they are; only those that may match
+    are shuffled and joined."""
+    names = list(on)
+    gone = stored(gone.select(*[F.col(c).alias(f"_gone_{i}") for i, c in enumerate(names)]).distinct())
+    mine = [f"_gone_{i}" for i in range(len(names))]
+    seen = bitmap_of(gone.select(F.xxhash64(*mine).alias("h")), "h", 24)
+
+    @F.arrow_udf(T.BooleanType())
+    def may_match(h: pa.Array) -> pa.Array:
+        return pa.array(seen.has(h.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
+
+    maybe = may_match(F.xxhash64(*on.values()))
+    same = F.lit(True)
+    for c, mine_c in zip(on.values(), mine, strict=True):
+        same = same & c.eqNullSafe(F.col(mine_c))
+    rest = docs.where(maybe)
+    return docs.where(~maybe).unionByName(rest.join(gone, same, "left_anti"))

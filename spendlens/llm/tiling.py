@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import Bitmap, bitmap_of, prepare, chunks, stored, windows, words
+from spendlens.llm.common import Bitmap, bitmap_of, prepare, chunks, stored, windows, without, words
 
 _U = np.uint64
 
@@ -196,8 +196,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
                       text_col: str = "text", **params) -> DataFrame:
     """The clean rows of ``docs``, each judged by its own text (rows are told
     apart by id, null included, and a hash of the text)."""
-    bad = stored(coverage(docs, benchmark, id_col=id_col, text_col=text_col, **params)
-                 .select(F.col("id").alias("_tiled_id"), F.col("digest").alias("_tiled_digest")).distinct())
-    same = (docs[id_col].cast("long").eqNullSafe(F.col("_tiled_id"))
-            & (F.xxhash64(docs[text_col].cast("string")) == F.col("_tiled_digest")))
-    return docs.join(bad, same, "left_anti")
+    bad = coverage(docs, benchmark, id_col=id_col, text_col=text_col, **params).select("id", "digest")
+    return without(docs, bad, {"id": F.col(id_col).cast("long"), "digest": F.xxhash64(F.col(text_col).cast("string"))})
