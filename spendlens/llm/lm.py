@@ -10,8 +10,8 @@ a class a token has its smoothed share of the class's training count.
 * Layout: classes and input buckets of about equal mass, and a warm start, from
   a bounded sample of training texts (``Params.sample`` rows, by a hash of id).
 * Training: one pass over all training texts counts words and subwords and, in
-  every task, continues from the warm start on every ``Params.every``-th window
-  of its texts; the tasks' parameters are averaged, weighted by windows.
+  every task, continues from the warm start on every window of its texts; the
+  tasks' parameters are averaged, weighted by windows.
 * Scoring: windows of ``context`` positions advance by ``stride``; the last
   ``stride`` positions of a window are scored, so each token is scored once.
 
@@ -56,7 +56,6 @@ class Params:
     steps: int = 400
     batch: int = 256
     rate: float = 0.01
-    every: int = 16
     smoothing: float = 0.1
     hot_words: int = 400_000
     seed: int = 11
@@ -132,7 +131,7 @@ def layout(counts: np.ndarray, starts_word: np.ndarray, p: Params) -> Layout:
                 g[ids] = base + np.minimum((total - total[0]) * n // total[-1], n - 1).astype(np.int64)
         g[v] = k - 1
         return g
-    return Layout(cut(p.classes), cut(p.buckets))
+    return Layout(cut(p.classes), cut(p.buckets).astype(np.uint16 if p.buckets <= 1 << 16 else np.int64))
 
 
 def initial(p: Params) -> dict[str, np.ndarray]:
@@ -171,59 +170,103 @@ class Windows:
         return x, keys, scored, y
 
 
+#: Logits within these bounds need no row maximum taken off before ``exp``.
+SAFE = 60.0
+
+
+def _within(t: np.ndarray) -> bool:
+    return not t.size or bool(t.max() < SAFE and t.min() > -SAFE)
+
+
+def logits(m: dict, x: np.ndarray, keys: np.ndarray, causal: np.ndarray, p: Params):
+    """Logits of classes, a row for each of the last ``stride`` positions of
+    each window, the logarithms of their sums of powers, and what the gradient
+    needs.  Positions of all windows are rows of one product; weights of keys
+    stay undivided, their sum is one more column of the values."""
+    s, d, (b, n) = p.stride, p.dim, x.shape
+    e = m["embed"].take(x, 0)
+    e += m["place"]
+    eq, e = e[:, -s:].reshape(-1, d), e.reshape(-1, d)
+    seen = (keys == 0).astype(e.dtype)
+    q, k = eq @ (m["q"] * np.float32(d ** -0.5)), e @ m["k"]
+    v = np.empty((b, n, d + 1), e.dtype)
+    np.multiply((e @ m["v"]).reshape(b, n, d), seen[..., None], out=v[..., :d])
+    v[..., d] = seen
+    a = q.reshape(b, s, d) @ np.ascontiguousarray(k.reshape(b, n, d).transpose(0, 2, 1))
+    safe = _within(a)
+    a += causal
+    if not safe:
+        a += keys[:, None, :]
+        a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
+    c = (a @ v).reshape(-1, d + 1)
+    inv = 1 / c[:, d:]
+    c = c[:, :d] * inv
+    h = c @ m["o"]
+    h += eq
+    r = h @ m["w1"]
+    np.maximum(r, 0, out=r)
+    g = r @ m["w2"]
+    g += h
+    z = g @ m["out"]
+    z += m["bias"]
+    if not _within(z):
+        z -= z.max(-1, keepdims=True)
+    share = np.exp(z)
+    total = share @ np.ones(p.classes, z.dtype)
+    return z, np.log(total), (e, eq, q, k, v, seen, a, inv, c, h, r, g, share, total)
+
+
 def forward(m: dict, x: np.ndarray, keys: np.ndarray, causal: np.ndarray, p: Params):
     """Log-probabilities of classes at the last ``stride`` positions, and what
     the gradient needs."""
-    s = p.stride
-    e = m["embed"][x] + m["place"]
-    eq = np.ascontiguousarray(e[:, -s:])
-    q, k, v = eq @ m["q"], e @ m["k"], e @ m["v"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(p.dim ** -0.5)
-    a += causal
-    a += keys[:, None, :]
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    c = a @ v
-    h = eq + c @ m["o"]
-    u = h @ m["w1"]
-    r = np.maximum(u, 0)
-    g = h + r @ m["w2"]
-    z = g @ m["out"] + m["bias"]
-    z -= z.max(-1, keepdims=True)
-    z -= np.log(np.exp(z).sum(-1, keepdims=True))
-    return z, (e, eq, q, k, v, a, c, h, r, g)
+    z, total, kept = logits(m, x, keys, causal, p)
+    z -= total[:, None]
+    return z.reshape(len(x), p.stride, -1), kept
 
 
 def gradient(m: dict, x: np.ndarray, z: np.ndarray, kept, y: np.ndarray, scored: np.ndarray, p: Params) -> dict:
-    """Gradient of the mean negative log-probability of classes ``y``."""
-    e, eq, q, k, v, a, c, h, r, g = kept
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    mul = lambda s, t: flat(s).T @ flat(t)
-    dz = np.exp(z)
-    i, j = np.nonzero(np.ones_like(y, bool))
-    dz[i, j, y.ravel()] -= 1
-    dz *= (scored / max(1, scored.sum())).astype(np.float32)[..., None]
-    d = {"out": mul(g, dz), "bias": flat(dz).sum(0)}
+    """Gradient of the mean negative log-probability of classes ``y``; uses up
+    ``kept``."""
+    e, eq, q, k, v, seen, a, inv, c, h, r, g, share, total = kept
+    s, d, (b, n) = p.stride, p.dim, x.shape
+    each = lambda t: t.reshape(b, -1, t.shape[-1])
+    weight = (scored.ravel() / max(1, scored.sum())).astype(z.dtype)
+    dz = share
+    dz *= (weight / total)[:, None]
+    dz[np.arange(b * s), y.ravel()] -= weight
+    out = {"out": g.T @ dz, "bias": np.ones(b * s, z.dtype) @ dz}
     dg = dz @ m["out"].T
-    d["w2"] = mul(r, dg)
-    du = (dg @ m["w2"].T) * (r > 0)
-    d["w1"] = mul(h, du)
-    dh = dg + du @ m["w1"].T
-    d["o"] = mul(c, dh)
-    dc = dh @ m["o"].T
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    da = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(p.dim ** -0.5)
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    d["q"], d["k"], d["v"] = mul(eq, dq), mul(e, dk), mul(e, dv)
-    de = dk @ m["k"].T + dv @ m["v"].T
-    de[:, -p.stride:] += dh + dq @ m["q"].T
-    d["place"] = de.sum(0)
-    d["embed"] = np.stack([np.bincount(x.ravel(), weights=de[..., t].ravel(), minlength=p.buckets)
-                           for t in range(p.dim)], 1).astype(np.float32)
-    return d
+    out["w2"] = r.T @ dg
+    du = dg @ m["w2"].T
+    du *= r > 0
+    out["w1"] = h.T @ du
+    dh = du @ m["w1"].T
+    dh += dg
+    out["o"] = c.T @ dh
+    # The last column takes off a row's mean of da, the product of dc and c.
+    dc = np.empty((b * s, d + 1), z.dtype)
+    np.matmul(dh, m["o"].T, out=dc[:, :d])
+    dc[:, d] = -(dc[:, :d] * c) @ np.ones(d, z.dtype)
+    dc *= inv
+    da = each(dc) @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    da *= a
+    dv = (a.transpose(0, 2, 1) @ each(dc[:, :d]) * seen[..., None]).reshape(-1, d)
+    dq, dk = (da @ each(k)).reshape(-1, d), (da.transpose(0, 2, 1) @ each(q)).reshape(-1, d)
+    scale = np.float32(d ** -0.5)
+    out["q"], out["k"], out["v"] = (eq.T @ dq) * scale, e.T @ dk, e.T @ dv
+    de = dk @ m["k"].T
+    de += dv @ m["v"].T
+    dh += dq @ (m["q"].T * scale)
+    de = each(de)
+    de[:, -s:] += each(dh)
+    out["place"] = de.sum(0)
+    order = np.argsort(x, axis=None, kind="stable")
+    of = x.ravel()[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    out["embed"] = np.zeros_like(m["embed"])
+    out["embed"][of[first]] = np.add.reduceat(de.reshape(-1, d).take(order, 0), first)
+    return out
 
 
 class Adam:
@@ -245,7 +288,7 @@ def learn(opt: Adam, w: Windows, picks, ids: np.ndarray, lay: Layout, end: int,
     for pick in picks:
         x, keys, scored, y = w.take(pick, ids, end)
         x = lay.bucket[x]
-        z, kept = forward(opt.m, x, keys, w.causal, p)
+        z, _, kept = logits(opt.m, x, keys, w.causal, p)
         opt.step(gradient(opt.m, x, z, kept, lay.cls[y], scored, p))
 
 
@@ -317,8 +360,7 @@ def _gather(path: str, lay: Layout, m: dict, p: Params):
                 sub += np.bincount(t.ids, minlength=end + 1)
                 texts += t.n
                 w = Windows(t.start, t.length, p)
-                mine = np.arange(0, len(w.text), p.every)
-                mine = np.random.default_rng(p.seed).permutation(mine)
+                mine = np.random.default_rng(p.seed).permutation(len(w.text))
                 learn(opt, w, (mine[i:i + p.batch] for i in range(0, len(mine), p.batch)), t.ids, lay, end, p)
                 learnt += len(mine)
         if parts:
@@ -350,6 +392,7 @@ class Model:
     n_train: int
     n_distinct: int
     n_texts: int
+    n_windows: int = 0
 
 
 def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = None) -> tuple[Model, DataFrame]:
@@ -393,7 +436,8 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
     key = hot["key"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(key)
     model = Model(path, p, lay, weights, within, key[by], hot["n"].to_numpy(np.int64)[by],
-                  int(total.n or 0) + n_texts, int(total.v) + (n_texts > 0), n_texts)
+                  int(total.n or 0) + n_texts, int(total.v) + (n_texts > 0), n_texts,
+                  mean[0].n if mean else 0)
     return model, word.where(F.floor(F.log2("n")) < least)
 
 
@@ -402,11 +446,11 @@ def log10_probability(t: Tokens, m: Model) -> np.ndarray:
     p, end = m.params, len(m.layout.cls) - 1
     w = Windows(t.start, t.length, p)
     total = np.zeros(t.n)
-    for lo in range(0, len(w.text), 1024):
-        pick = slice(lo, lo + 1024)
+    for lo in range(0, len(w.text), p.batch):
+        pick = slice(lo, lo + p.batch)
         x, keys, scored, y = w.take(pick, t.ids, end)
-        z, _ = forward(m.weights, m.layout.bucket[x], keys, w.causal, p)
-        own = np.take_along_axis(z, m.layout.cls[y][..., None], -1)[..., 0] + m.within[y]
+        z, log_sum, _ = logits(m.weights, m.layout.bucket[x], keys, w.causal, p)
+        own = (z[np.arange(len(z)), m.layout.cls[y].ravel()] - log_sum).reshape(y.shape) + m.within[y]
         total += np.bincount(w.text[pick], weights=(own * scored).sum(1), minlength=t.n)
     return total / np.log(10)
 

@@ -158,3 +158,21 @@ def test_lm_edges(edge, no_docs):
     assert len(out) == 9 and all(r.n_tokens >= 1 and math.isfinite(r.score) for r in out)
     assert {r.doc_id: r.n_tokens for r in out}[6] == 30_001
     assert L.lm_scores(no_docs, params=SMALL).collect() == []
+
+
+def test_lm_trains_on_every_window(table):
+    docs = table("documents").selectExpr("doc_id as id", "text")
+    p = L.Params(steps=5, sample=20)
+    model, _ = L.train(docs, params=p)
+    t = L.Tokens(*texts_of([r.text or "" for r in docs.collect()]), L.VOCABULARY)
+    assert model.n_windows == int((-(-t.length // p.stride)).sum())
+
+
+def test_wide_logits_are_stable():
+    m = {k: 30 * v for k, v in L.initial(SMALL).items()}
+    w = L.Windows(np.array([0]), np.array([23]), SMALL)
+    x, keys, scored, y = w.take(slice(None), np.arange(23) % 9, 0)
+    z, kept = L.forward(m, x, keys, w.causal, SMALL)
+    d = L.gradient(m, x, z, kept, y % 6, scored, SMALL)
+    assert np.allclose(np.exp(z[scored]).sum(-1), 1, atol=1e-4)
+    assert all(np.isfinite(v).all() for v in d.values())
