@@ -7,11 +7,14 @@ model (one block: causal attention, a feed-forward layer, residuals) gives the
 probability of a token's class from up to ``context`` tokens before it; inside
 a class a token has its smoothed share of the class's training count.
 
-* Layout: classes and input buckets of about equal mass, and a warm start, from
-  a bounded sample of training texts (``Params.sample`` rows, by a hash of id).
-* Training: one pass over all training texts counts words and subwords and, in
-  every task, continues from the warm start on every window of its texts; the
-  tasks' parameters are averaged, weighted by windows.
+* Counts: one pass over all training texts counts words and subwords and stores
+  the texts' subword ids.
+* Layout: classes and input buckets of about equal mass, from the counts of all
+  training subwords.
+* Training: a warm start on a bounded sample of training texts (``Params.sample``
+  rows, by a hash of id) gives the first parameters; from them every task
+  continues on every window of its stored ids; the tasks' parameters are
+  averaged, weighted by windows.
 * Scoring: windows of ``context`` positions advance by ``stride``; the last
   ``stride`` positions of a window are scored, so each token is scored once.
 
@@ -292,11 +295,13 @@ def learn(opt: Adam, w: Windows, picks, ids: np.ndarray, lay: Layout, end: int,
         opt.step(gradient(opt.m, x, z, kept, lay.cls[y], scored, p))
 
 
-def warm_start(texts: list[np.ndarray], starts_word: np.ndarray, p: Params) -> tuple[Layout, dict]:
-    """Layout and first parameters from the sample's token ids."""
+def warm_start(texts: list[np.ndarray], starts_word: np.ndarray, p: Params,
+               counts: np.ndarray | None = None) -> tuple[Layout, dict]:
+    """Layout from ``counts`` of all ids (those of ``texts`` if None), and first
+    parameters from the sample's token ids."""
     end = len(starts_word)
     ids = np.concatenate(texts) if texts else np.empty(0, np.int32)
-    lay = layout(np.bincount(ids, minlength=end + 1).astype(float), starts_word, p)
+    lay = layout(np.bincount(ids, minlength=end + 1).astype(float) if counts is None else counts, starts_word, p)
     m = initial(p)
     if len(ids):
         length = np.array([len(t) for t in texts])
@@ -329,17 +334,23 @@ def _sample_ids(path: str):
     return run
 
 
-_GATHERED = "kind int, key long, n long, params binary"
+_GATHERED = "kind int, key long, n long, data binary"
 
 
-def _gather(path: str, lay: Layout, m: dict, p: Params):
-    """Per task: counts of words (kind 0), of subwords (kind 1), number of
-    texts (kind 2), and the parameters it ends with (kind 3)."""
-    def rows(kind, key, n, params=None):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(key), kind, np.int32)), pa.array(np.asarray(key, np.int64)),
-             pa.array(np.asarray(n, np.int64)), pa.array([params] * len(key), pa.binary())], ["kind", "key", "n", "params"])
+def _stored_id(end: int) -> str:
+    return "<u2" if end < 1 << 16 else "<i4"
+
+
+def _rows(kind, key, n, data=None):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(key), kind, np.int32)), pa.array(np.asarray(key, np.int64)),
+         pa.array(np.asarray(n, np.int64)), pa.array([None] * len(key) if data is None else data, pa.binary())],
+        ["kind", "key", "n", "data"])
 
+
+def _gather(path: str, end: int):
+    """Per task: counts of words (kind 0), of subwords (kind 1), number of
+    texts (kind 2); and every text's number of subwords and their ids (kind 3)."""
     def merged(parts):
         key = np.concatenate([k for k, _ in parts])
         n = np.concatenate([n for _, n in parts])
@@ -347,29 +358,43 @@ def _gather(path: str, lay: Layout, m: dict, p: Params):
         return key, np.bincount(of, weights=n).astype(np.int64)
 
     def run(batches):
-        end = len(lay.cls) - 1
-        opt = Adam({k: v.copy() for k, v in m.items()}, p.rate / 4)
-        sub, texts, learnt, parts, held = np.zeros(end + 1, np.int64), 0, 0, [], 0
+        sub, texts, parts, held = np.zeros(end + 1, np.int64), 0, [], 0
         for b in batches:
             for _, t in token_stream(b.column("text"), path):
                 parts.append((t.word.view(np.int64), np.bincount(t.of, minlength=len(t.word))))
                 held += len(t.word)
                 if held > 1_500_000:
-                    yield rows(0, *merged(parts))
+                    yield _rows(0, *merged(parts))
                     parts, held = [], 0
                 sub += np.bincount(t.ids, minlength=end + 1)
                 texts += t.n
-                w = Windows(t.start, t.length, p)
-                mine = np.random.default_rng(p.seed).permutation(len(w.text))
-                learn(opt, w, (mine[i:i + p.batch] for i in range(0, len(mine), p.batch)), t.ids, lay, end, p)
-                learnt += len(mine)
+                ids = t.ids.astype(_stored_id(end))
+                yield _rows(3, np.zeros(t.n), t.length, [ids[a:a + n].tobytes() for a, n in zip(t.start, t.length, strict=True)])
         if parts:
-            yield rows(0, *merged(parts))
+            yield _rows(0, *merged(parts))
         if texts:
             some = np.flatnonzero(sub)
-            yield rows(1, some, sub[some])
-            yield rows(2, [0], [texts])
-            yield rows(3, [0], [learnt], _pack(opt.m))
+            yield _rows(1, some, sub[some])
+            yield _rows(2, [0], [texts])
+    return run
+
+
+def _fit(lay: Layout, m: dict, p: Params):
+    """Per task: the number of windows it learns from, and the parameters it
+    ends with."""
+    def run(batches):
+        end, learnt = len(lay.cls) - 1, 0
+        opt = Adam({k: v.copy() for k, v in m.items()}, p.rate / 4)
+        for b in batches:
+            ids = np.frombuffer(b"".join(b.column("data").to_pylist()), _stored_id(end))
+            length = b.column("n").to_numpy()
+            w = Windows(np.cumsum(length) - length, length, p)
+            mine = np.random.default_rng(p.seed).permutation(len(w.text))
+            learn(opt, w, (mine[i:i + p.batch] for i in range(0, len(mine), p.batch)), ids, lay, end, p)
+            learnt += len(mine)
+        if learnt:
+            yield pa.RecordBatch.from_arrays([pa.array([learnt], pa.int64()), pa.array([_pack(opt.m)], pa.binary())],
+                                             ["n", "params"])
     return run
 
 
@@ -406,9 +431,8 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
     chosen = rows.select(order.alias("order")).orderBy("order").limit(p.sample).agg(F.max("order").alias("m")).first().m
     pick = rows.where(order <= F.lit(chosen if chosen is not None else 0)).select(order.alias("order"), "text")
     texts = pick.mapInArrow(_sample_ids(path), "order long, ids array<int>").orderBy("order").toArrow().to_pydict()["ids"]
-    lay, m = warm_start([np.array(t, np.int32) for t in texts], starts, p)
 
-    got = stored(rows.select("text").mapInArrow(_gather(path, lay, m, p), _GATHERED))
+    got = stored(rows.select("text").mapInArrow(_gather(path, end), _GATHERED))
     sums = got.where("kind < 3").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = stored(sums)
     sub = np.zeros(end + 1)
@@ -416,8 +440,10 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
         sub[r.key] = r.n
     total = counts.where("kind = 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_texts = sum(r.n for r in counts.where("kind = 2").collect())
+    lay, m = warm_start([np.array(t, np.int32) for t in texts], starts, p, sub)
     # Parameters meet in two steps, a few hundred tasks at a time.
-    some = got.where("kind = 3").select("n", "params", F.pmod(F.xxhash64("params"), F.lit(64)).alias("g"))
+    fitted = got.where("kind = 3").select("n", "data").mapInArrow(_fit(lay, m, p), "n long, params binary")
+    some = fitted.select("n", "params", F.pmod(F.xxhash64("params"), F.lit(64)).alias("g"))
     mean = some.groupBy("g").applyInPandas(_mean_params, "n long, params binary")
     mean = mean.groupBy(F.lit(0).alias("g")).applyInPandas(_mean_params, "n long, params binary").collect()
     weights = _unpack(np.frombuffer(mean[0].params, "<f4"), m) if mean else m

@@ -176,3 +176,14 @@ def test_wide_logits_are_stable():
     d = L.gradient(m, x, z, kept, y % 6, scored, SMALL)
     assert np.allclose(np.exp(z[scored]).sum(-1), 1, atol=1e-4)
     assert all(np.isfinite(v).all() for v in d.values())
+
+
+def test_lm_layout_counts_all_training_texts(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else "omega sigma kappa") for i in range(40)], "id long, text string")
+    p = L.Params(steps=2, sample=1)
+    model, _ = L.train(docs, params=p)
+    enc, end = L._encoding(L.VOCABULARY)
+    starts = np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)])
+    t = L.Tokens(*texts_of([r.text for r in docs.collect()]), L.VOCABULARY)
+    want = L.layout(np.bincount(t.ids, minlength=end + 1).astype(float), starts, p)
+    assert (model.layout.cls == want.cls).all() and (model.layout.bucket == want.bucket).all()
