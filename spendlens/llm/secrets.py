@@ -1,4 +1,4 @@
-"""Secret scans with structural confirmation (operator 2).
+r"""Secret scans with structural confirmation (operator 2).
 
 Base kinds are patterns alone (assignments, access keys, hex runs).  Beyond
 them, runs of base64 or hex characters are candidates that count only if what
@@ -13,6 +13,9 @@ they decode to has the structure of a secret:
 * ``jwt``: three parts, the first of which is a JSON object with ``alg``, the
   second a JSON object.
 
+A key may begin behind a ``/``, ``-`` or ``_`` of its run and may be wrapped into
+lines of one length; a line end may be the two characters ``\n``.
+
 A text is scanned whole; cheap byte searches decide whether a pattern is run
 at all.  Offsets count code points, the end is exclusive.  Null texts are
 empty and have no spans.
@@ -42,7 +45,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _KEYWORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)?={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+#: Lines of one run; a line ends by a line end or by the two characters ``\\n``.
+_LINES = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:(?:\\r)?(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"(?:^|(?<=\n)|(?<=\\n))[ \t]*([A-Za-z0-9+/_-]+={0,2})")
+#: Where a key can begin inside a run, and a token's header inside its part.
+_BEHIND = re.compile(r"[/_-](?=M[A-P]|AAAA|b3BlbnNz|30)")
+_HEADER = re.compile(r"ey[JA]|ew[o0k]")
+_HEADERS = (b"eyJ", b"eyA", b"ewo", b"ew0", b"ewk")
+_PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?=(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+={0,2}))")
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
 #: Every ASCII character that is no letter or digit of a run becomes a blank.
 _SHAPE = bytes(0x61 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" else 0x20 for c in range(256))
@@ -185,17 +196,60 @@ def confirmed_spans(text: str, raw: bytes | None = None) -> list[tuple[str, int,
         if end > after:  # another block begins first
             continue
         tail = f"-----END {m[1]}-----"
-        data = _b64("".join(text[m.end():end].split("\n\n")[-1].split()))
+        body = re.sub(r"\\+n", "\n", re.sub(r"\\+r|\r", "", text[m.end():end]))
+        data = _b64("".join(body.split("\n\n")[-1].split()))
         if text.startswith(tail, end) and data and (is_der_key(data) or is_ssh_key(data)):
             spans.append(("pem", m.start(), end + len(tail)))
+    if any(h in raw for h in _HEADERS):
+        spans += token_spans(text)
     if b"a" * 24 in raw.translate(_SHAPE):
-        blocks = list(spans)
+        spans += wrapped_spans(text, spans)
+        blocks = sorted(spans, key=lambda x: x[1])
         for m in _RUN.finditer(text):
             while blocks and blocks[0][2] <= m.start():
                 blocks.pop(0)
             inside = blocks and blocks[0][1] < m.end()  # a line of a block's body
-            if not inside and (kind := confirm(m[0])):
-                spans.append((kind, m.start(), m.end()))
+            if not inside:
+                for at in (0, *(x.end() for x in _BEHIND.finditer(m[0]))):
+                    if len(m[0]) - at >= 24 and (kind := confirm(m[0][at:])):
+                        spans.append((kind, m.start() + at, m.end()))
+                        break
+    return spans
+
+
+def token_spans(text: str) -> list[tuple[str, int, int]]:
+    """Signed tokens; a header may begin anywhere in its part."""
+    spans, end = [], 0
+    for m in _PARTS.finditer(text):
+        if m.start() < end or not _HEADER.search(m[0]) or not is_jwt("eyJhbGciOiIifQ" + m[1]):  # is its payload one?
+            continue
+        for h in _HEADER.finditer(m[0]):
+            if is_jwt(m[0][h.start():] + m[1]):
+                end = m.end(1)
+                spans.append(("jwt", m.start() + h.start(), end))
+                break
+    return spans
+
+
+def wrapped_spans(text: str, taken) -> list[tuple[str, int, int]]:
+    """Keys in lines of one length and a last one that may be shorter."""
+    spans = []
+    for m in _LINES.finditer(text):
+        if any(a < m.end() and m.start() < b for _, a, b in taken):
+            continue
+        lines = [x.span(1) for x in _LINE.finditer(m[0])]
+        i = 0
+        while i < len(lines):
+            j, size = i + 1, lines[i][1] - lines[i][0]
+            while j < len(lines) and lines[j][1] - lines[j][0] == size:
+                j += 1
+            ends = [j + 1] if j < len(lines) and lines[j][1] - lines[j][0] < size else []
+            for to in [*ends, j]:
+                if to - i > 1 and (kind := confirm("".join(m[0][a:b] for a, b in lines[i:to]))):
+                    spans.append((kind, m.start() + lines[i][0], m.start() + lines[to - 1][1]))
+                    j = to
+                    break
+            i = j
     return spans
 
 

@@ -88,3 +88,21 @@ def test_redaction(spark, edge):
     assert rows[1].text == "key [SECRET:jwt] and [SECRET:assign] end" and rows[1].n_chars == len(rows[1].text)
     assert rows[2].text is None and rows[3].text == "clean" and rows[3].n_chars == 99
     assert S.redact_secrets(edge).columns == edge.columns
+
+
+def test_short_headers_and_what_stands_before():
+    for header in ({"alg": "HS256"}, {"alg": "RS256"}, {"alg": "none"}):
+        head = base64.urlsafe_b64encode(json.dumps(header, separators=(",", ":")).encode()).decode().rstrip("=")
+        token = f"{head}.{URL({'sub': 'somebody'})}.c2lnbmF0dXJlc2lnbmF0dXJl"
+        for before in ("", "https://x.io/cb/", "id_", "a-", "x.y/they-"):
+            assert kinds(f"see {before}{token} now") == [("jwt", token)]
+    assert kinds(f"at path/to/{B64(RSA)} now") == [("der", B64(RSA))]
+
+
+def test_escaped_and_wrapped_lines():
+    lines = re.findall(".{1,64}", B64(RSA))
+    pem = r"-----BEGIN PRIVATE KEY-----\n" + r"\n".join(lines) + r"\n-----END PRIVATE KEY-----"
+    assert kinds('{"private_key": "' + pem + r'\n"}') == [("pem", pem)]
+    for end in ("\n", "\r\n", r"\n", "\n  "):
+        assert kinds("key: " + end.join(lines) + "\n\nafter") == [("der", end.join(lines))]
+    assert kinds("-".join(["eyJ" * 9] * 40) + ".e30.") == kinds("\n".join(["z" * 64] * 40)) == []
