@@ -6,12 +6,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spendlens.llm import chat, cotraining
+from spendlens.llm.cover_tree import hard_negatives
 from spendlens.llm.fertility import fertility_rules
 from spendlens.llm.lm import lm_scores
+from spendlens.llm.minmax import minmax_duplicates
 from spendlens.llm.mixing import mix_sources
 from spendlens.llm.ngram_join import ngram_join
+from spendlens.llm.periodic import periodic_runs, planted_order
 from spendlens.llm.pii import pii_spans
 from spendlens.llm.secrets import secret_spans
 from spendlens.llm.tiling import contaminated
@@ -65,23 +69,42 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), order=planted_order, full=False)
+
+
+def op12_minmax_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
 #: Lower-cases A-Z alone, then takes words; the same in every SQL below.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
-OP1_SQL = f"""
+def _jaccard_components(k: int, more: str = "") -> str:
+    """Components of documents whose sets of ``k`` words link at 0.8."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM w),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i+{k - 1}], ' ') for i in range(1, len(w) - {k - 2})]) END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM g),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
 l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
-SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = g.doc_id) AS component_id
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = g.doc_id) AS component_id{more}
 FROM g
 """
 
+
+OP1_SQL = _jaccard_components(5)
+OP12_SQL = _jaccard_components(4, ", g.doc_id = (SELECT min(c) FROM r WHERE r.doc_id = g.doc_id) AS kept")
+
 OP5_SQL = """
 WITH RECURSIVE v AS (SELECT source, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS volume FROM documents GROUP BY source),
 w AS (SELECT source, volume, CASE WHEN volume > 0 THEN pow(volume, 0.5) ELSE 0.0 END AS w FROM v),
@@ -113,6 +136,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM n GROUP BY conv_id
 """
 
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_secret_scan": op2_secret_scan,
@@ -124,9 +163,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_minmax_duplicates": op12_minmax_duplicates,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op5_source_mixing": OP5_SQL,
     "op9_chat_format": OP9_SQL,
+    "op12_minmax_duplicates": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
