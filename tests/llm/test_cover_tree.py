@@ -57,7 +57,7 @@ def test_against_brute_force(spark, monkeypatch, seed, block, leaf, per_round):
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = rows_of(4, 60) + [(None, [1.0] * 6, 1, "", "", 0), (1000, None, 1, "", "", 0), (1010, [1.0] * 6, None, "", "", 0),
-                             (1020, [1.0, nan, 0, 0, 0, 0], 1, "", "", 0), (1030, [inf] * 6, 1, "", "", 0),
+                             (1020, [1.0, nan, 0.0, 0.0, 0.0, 0.0], 1, "", "", 0), (1030, [inf] * 6, 1, "", "", 0),
                              (1040, [1.0, None], 1, "", "", 0), (1050, [], 1, "", "", 0), (1060, [0.5, 1.0], 2, "", "", 0),
                              (1070, [0.0] * 6, 0, "", "", 0)]
     rows += [rows[0], (0, rows[1][1], 2, "", "", 0)]  # repeated id, once with another vector
