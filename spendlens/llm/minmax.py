@@ -17,10 +17,11 @@ reaches ``threshold`` percent.
    label.  So a group of n near copies costs n comparisons, not n * n.
 4. *Rest.*  A bucket whose classes have several labels is compared pair by
    pair, over different labels alone, if it holds at most ``heavy`` classes.
-   The classes of a larger bucket (texts that share a long passage, say) are
-   looked up by their rarest shingles instead: of a set of n only its first
-   ``n - ceil(t * n) + 1`` shingles, rarest first, as sets that link share one
-   of these.  That is exact, so no bucket is cut short.
+   Larger ones (texts that share a long passage, or a group of near copies that
+   are rather unlike each other) are joined where they share classes, and cut
+   into blocks; a task compares two blocks by the product of their incidence
+   matrices and gives back a spanning set of the links between labels.  So a
+   group of n classes makes n * blocks rows, and no bucket is cut short.
 5. *Confirmation.*  All candidate pairs are confirmed on full sets.
 
 Nulls and texts without words have 0 shingles, link with nothing and are kept;
@@ -36,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import bitmap_of, mix, prepare, stored
+from spendlens.llm.common import Bitmap, bitmap_of, mix, prepare, stored
 from spendlens.llm.components import connected_components
-from spendlens.llm.ngram_join import SEEN, _batch, _class, _need, _roles, _sets, _sizes_fit, _verified, _wanted
+from spendlens.llm.ngram_join import SEEN, _batch, _blocks, _class, _product, _roles, _sets, _sizes_fit, _verified, _wanted
 
 _U = np.uint64
 
@@ -82,6 +83,9 @@ def _buckets(sig: np.ndarray, rows: int) -> np.ndarray:
 HELD = 65_536
 
 
+_ENTRY = "cls long, n long, bucket long"
+
+
 def _banded(width: int, bands: int, rows: int, seed: int):
     """``(cls, n, bucket)`` of the classes a task meets first."""
     a, b = permutations(bands // 2 * rows, seed)
@@ -130,44 +134,23 @@ def _full_sets(text: DataFrame, width: int, classes: DataFrame) -> DataFrame:
     return text.mapInArrow(_wanted(width, [bitmap_of(classes, "cls", 23)]), "cls long, s array<long>, use int").select("cls", "s")
 
 
-def _pairs(rows: DataFrame, key: str, t: int) -> DataFrame:
-    """Pairs ``(a, b)`` of classes that meet under ``key`` with different labels."""
-    x = rows.select(key, *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "label")])
-    y = rows.select(key, *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "label")])
-    return (x.join(y, key).where((F.col("x_cls") < F.col("y_cls")) & (F.col("x_label") != F.col("y_label")) & _sizes_fit("x_n", "y_n", t))
+def _pairs(rows: DataFrame, t: int) -> DataFrame:
+    """Pairs ``(a, b)`` of classes that meet in a bucket, neither of one label
+    nor of one cell (whose blocks are compared anyhow)."""
+    x, y = (rows.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "label", "cell")]) for side in "xy")
+    return (x.join(y, "bucket").where((F.col("x_cls") < F.col("y_cls")) & (F.col("x_label") != F.col("y_label"))
+                                      & (F.col("x_cell") != F.col("y_cell")) & _sizes_fit("x_n", "y_n", t))
             .select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b")).distinct())
 
 
-def _first_shingles(t: int):
-    """``(gram, cls, n, label)``: the rarest shingles of each set that the size
-    bound asks for, without those that no other set holds.  Rows come sorted by
-    class and rank."""
+def _shared(on: Bitmap):
+    """Rows whose bucket is in a bitmap (and a few others)."""
     def run(batches):
-        now = rank = 0
         for b in batches:
-            cls, n, df = (b.column(c).to_numpy() for c in ("cls", "n", "df"))
-            if not len(cls):
-                continue
-            new = np.append(cls[0] != now or not rank, cls[1:] != cls[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(cls)), 0))
-            at = np.arange(len(cls)) - first + np.where(first == 0, 0 if new[0] else rank, 0)
-            now, rank = int(cls[-1]), int(at[-1]) + 1
-            keep = (at <= n + (-t * n // 100)) & (df > 1)
-            yield b.filter(pa.array(keep)).select(["gram", "cls", "n", "label"])
+            yield b.filter(pa.array(on.has(b.column("bucket").to_numpy().view(_U))))
     return run
 
 
-def _rarest(sets: DataFrame, heavy: DataFrame, t: int) -> DataFrame:
-    """Pairs of the classes in ``heavy`` (``cls, n, label``) that meet in one
-    of their rarest shingles."""
-    grams = stored(sets.dropDuplicates(["cls"]).join(heavy, "cls")
-                   .select("cls", "n", "label", F.explode("s").alias("gram")))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    few = (grams.join(df, "gram").repartition("cls").sortWithinPartitions("cls", "df", "gram")
-           .mapInArrow(_first_shingles(t), "gram long, cls long, n long, label long"))
-    return _pairs(stored(few), "gram", t)
-
-
 def minmax_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 4,
                       threshold: int = 80, bands: int = 32, rows: int = 4, seed: int = 12, heavy: int = 64) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row of ``docs``; the
@@ -182,11 +165,12 @@ def minmax_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # Buckets of two classes or more, and each one's first class (counted
     # before the shuffle, so a bucket of a third of all rows is no hot key).
-    every = stored(text.mapInArrow(_banded(width, bands, rows, seed), "cls long, n long, bucket long"))
-    met = (every.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max("cls").alias("hi"))
-           .where("lo.cls <> hi").select("bucket", F.col("lo.cls").alias("pivot"), F.col("lo.n").alias("m")))
-    shared = stored(every.join(stored(met), "bucket").distinct())
-    stars = (shared.where((F.col("cls") != F.col("pivot")) & _sizes_fit("n", "m", t))
+    # Rows of other buckets stay where they are.
+    every = stored(text.mapInArrow(_banded(width, bands, rows, seed), _ENTRY))
+    met = stored(every.groupBy("bucket").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"))
+                 .where("pivot <> last").select("bucket", "pivot"))
+    shared = stored(every.mapInArrow(_shared(bitmap_of(met, "bucket", 24)), _ENTRY).join(met, "bucket"))
+    stars = (shared.where(F.col("cls") != F.col("pivot"))
              .groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("c"))
              .groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b"))
     roles = stored(_roles(stored(stars)))
@@ -196,16 +180,21 @@ def minmax_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Buckets that still hold several labels.
     marked = (shared.select("bucket", "cls", "n").join(label.withColumnRenamed("node", "cls"), "cls", "left")
               .withColumn("label", F.coalesce("label", "cls")))
-    several = (marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"))
-               .where("x <> y").select("bucket", "size"))
-    marked = stored(marked.join(several, "bucket"))
-    crowd = stored(marked.where(F.col("size") > heavy).select("cls", "n", "label").distinct())
-    pairs = _pairs(marked.where(F.col("size") <= heavy), "bucket", t)
-    if not crowd.isEmpty():
-        pairs = pairs.unionByName(_rarest(_full_sets(text, width, crowd), crowd, t)).distinct()
-    roles = stored(_roles(stored(pairs)))
-    found = _verified(_full_sets(text, width, roles), roles, t)
-    label = connected_components(sure.unionByName(found))
+    several = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    marked = marked.join(several, "bucket").distinct()
+    size = marked.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("pivot"))
+    marked = stored(marked.join(size, "bucket"))
+    crowd = marked.where(F.col("size") > heavy)
+    cell = (connected_components(crowd.select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+            .select(F.col("node").alias("cls"), F.col("label").alias("cell")))
+    dealt = stored(_blocks(cell, label))
+    few = marked.where(F.col("size") <= heavy).join(cell, "cls", "left").withColumn("cell", F.coalesce("cell", "cls"))
+    roles = stored(_roles(stored(_pairs(few, t))))
+    sets = stored(text.mapInArrow(_wanted(width, [bitmap_of(x, "cls", 23) for x in (roles, dealt)]),
+                                  "cls long, s array<long>, use int"))
+    found = (dealt.join(sets.where("use >= 2").select("cls", "s"), "cls").groupBy("pair")
+             .applyInPandas(_product(t), "a long, b long"))
+    label = connected_components(sure.unionByName(_verified(sets.where("use % 2 = 1"), roles, t)).unionByName(found))
 
     # From classes to documents: the smallest id of each component.
     classes = sig.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"))

@@ -7,6 +7,7 @@ import pytest
 
 from edge_tables import edge, no_docs  # noqa: F401
 from spendlens.llm import minmax as M
+from spendlens.llm import ngram_join as N
 from test_ngram_join import brute, corpus, got
 
 
@@ -19,26 +20,21 @@ def test_against_all_pairs(spark, seed, params):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect())
 
 
-def test_rarest_shingles_alone_find_every_link(spark):
-    """Without any band in common the exact way must find all links by itself."""
+def test_crowded_buckets(spark, monkeypatch):
+    """Unlike copies of one text, all in crowded buckets, cut into several blocks."""
+    monkeypatch.setattr(N, "MEMBERS", 16)
     rng = random.Random(5)
     base = rng.choices(range(500), k=60)
-    texts = []
-    for i in range(40):
+    rows = []
+    for i in range(120):
         v = list(base)
-        for _ in range(i % 9):
+        for _ in range(i % 5):
             v[rng.randrange(60)] = rng.randrange(500)
-        texts.append((i, " ".join(map(str, v))))
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    sets = docs.select("text").mapInArrow(M._banded(4, 2, 1, 1), "cls long, n long, bucket long").select("cls", "n").distinct()
-    heavy = sets.selectExpr("cls", "n", "cls as label")
-    full = M._full_sets(docs.select("text"), 4, heavy)
-    pairs = {(r.a, r.b) for r in M._rarest(full, heavy, 80).collect()}
-    s = {r.cls: set(r.s) for r in full.collect()}
-    for a in s:
-        for b in s:
-            if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b]):
-                assert (a, b) in pairs
+        rows.append((i, " ".join(map(str, v[rng.randrange(3):]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, width=4)
+    assert 1 < len({c for *_, c in want}) < 100
+    assert got(M.minmax_duplicates(docs, heavy=4)) == want
 
 
 def test_agreement_is_unbiased_and_tighter_than_minima():
