@@ -29,6 +29,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,13 +48,16 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 #: Lines of one run; a line ends by a line end or by the two characters ``\\n``.
-_LINES = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:(?:\\r)?(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?:(?:\\r)?(?:\r?\n|\\n)[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+_HEX_ONLY = re.compile("[0-9a-fA-F]++")
 _LINE = re.compile(r"(?:^|(?<=\n)|(?<=\\n))[ \t]*([A-Za-z0-9+/_-]+={0,2})")
 #: Where a key can begin inside a run, and a token's header inside its part.
 _BEHIND = re.compile(r"[/_-](?=M[A-P]|AAAA|b3BlbnNz|30)")
 _HEADER = re.compile(r"ey[JA]|ew[o0k]")
 _HEADERS = (b"eyJ", b"eyA", b"ewo", b"ew0", b"ewk")
 _PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?=(\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+={0,2}))")
+_ODD = re.compile("[\udc80-\udcff]")
+_JSON = json.JSONDecoder()
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
 #: Every ASCII character that is no letter or digit of a run becomes a blank.
 _SHAPE = bytes(0x61 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" else 0x20 for c in range(256))
@@ -88,9 +92,16 @@ def der_fields(data: bytes, start: int = 0, end: int | None = None) -> list[tupl
     return fields
 
 
-def is_der_key(data: bytes) -> bool:
-    outer = der_fields(data)
-    if not outer or len(outer) != 1 or outer[0][0] != _SEQUENCE:
+def is_der_key(data: bytes, start: int = 0) -> bool:
+    """Whether ``data[start:]`` is a key; anything but a SEQUENCE that ends
+    where the data ends is turned down at its first bytes."""
+    if start + 2 > len(data) or data[start] != _SEQUENCE:
+        return False
+    n, at = data[start + 1], start + 2
+    if n & 0x80:
+        n, at = int.from_bytes(data[at:at + (n & 0x7F)], "big"), at + (n & 0x7F)
+    outer = der_fields(data, start) if at + n == len(data) else None
+    if not outer or len(outer) != 1:
         return False
     inner = der_fields(data, *outer[0][1:])
     if not inner or len(inner) < 2:
@@ -109,7 +120,8 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
+def is_ssh_key(data: bytes, start: int = 0) -> bool:
+    """Whether ``data[start:]`` is a key container or a public key blob."""
     def fields(at: int, count: int) -> int | None:
         """End of ``count`` length-prefixed fields (all that follow if -1)."""
         while count and at < len(data):
@@ -119,16 +131,15 @@ def is_ssh_key(data: bytes) -> bool:
             at, count = at + 4 + n, count - 1
         return None if count > 0 else at
 
-    if data.startswith(magic := b"openssh-key-v1\0"):
-        at = fields(len(magic), 3)  # cipher, kdf, kdf options
+    if data.startswith(magic := b"openssh-key-v1\0", start):
+        at = fields(start + len(magic), 3)  # cipher, kdf, kdf options
         if at is None or at + 4 > len(data):
             return False
         keys = int.from_bytes(data[at:at + 4], "big")
         return 1 <= keys <= 16 and fields(at + 4, keys + 1) == len(data)
-    n = int.from_bytes(data[:4], "big")
-    name = data[4:4 + n]
-    return (4 <= n <= 40 and name.startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"))
-            and fields(0, -1) == len(data) and len(data) > 4 + n)
+    n = int.from_bytes(data[start:start + 4], "big")
+    return (4 <= n <= 40 and data.startswith((b"ssh-", b"ecdsa-sha2-", b"sk-"), start + 4)
+            and fields(start, -1) == len(data) and len(data) > start + 4 + n)
 
 
 def _b64(text: str) -> bytes | None:
@@ -156,17 +167,32 @@ def is_jwt(text: str) -> bool:
     return True
 
 
-def confirm(run: str) -> str | None:
-    """The kind of key or token that a run of characters decodes to."""
-    if run.count(".") == 2:
+class Decoded:
+    """The bytes of a run's tails: those that begin at one position modulo 4
+    share one decoding."""
+
+    def __init__(self, run: str):
+        self.run, self.kept = run, {}
+
+    def tail(self, at: int) -> tuple[bytes | None, int]:
+        """The bytes that hold ``run[at:]``, and where it begins in them."""
+        k = at % 4
+        if k not in self.kept:
+            self.kept[k] = _b64(self.run[k:])
+        return self.kept[k], (at - k) // 4 * 3
+
+
+def confirm(run: str, at: int = 0, decoded: Decoded | None = None) -> str | None:
+    """The kind of key or token that ``run[at:]`` decodes to."""
+    if not at and run.count(".") == 2:
         return "jwt" if is_jwt(run) else None
-    forms = [_b64(run)]
-    if len(run) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", run):
-        forms.append(bytes.fromhex(run))
-    for data in forms:
-        if data and is_der_key(data):
+    forms = [(decoded or Decoded(run)).tail(at)]
+    if (len(run) - at) % 2 == 0 and _HEX_ONLY.fullmatch(run, at):
+        forms.append((bytes.fromhex(run[at:]), 0))
+    for data, start in forms:
+        if data and is_der_key(data, start):
             return "der"
-        if data and is_ssh_key(data):
+        if data and is_ssh_key(data, start):
             return "ssh"
     return None
 
@@ -204,38 +230,66 @@ def confirmed_spans(text: str, raw: bytes | None = None) -> list[tuple[str, int,
         spans += token_spans(text)
     if b"a" * 24 in raw.translate(_SHAPE):
         spans += wrapped_spans(text, spans)
-        blocks = sorted(spans, key=lambda x: x[1])
+        blocks, k = sorted(spans, key=lambda x: x[1]), 0
         for m in _RUN.finditer(text):
-            while blocks and blocks[0][2] <= m.start():
-                blocks.pop(0)
-            inside = blocks and blocks[0][1] < m.end()  # a line of a block's body
+            while k < len(blocks) and blocks[k][2] <= m.start():
+                k += 1
+            inside = k < len(blocks) and blocks[k][1] < m.end()  # a line of a block's body
             if not inside:
+                decoded = Decoded(m[0])
                 for at in (0, *(x.end() for x in _BEHIND.finditer(m[0]))):
-                    if len(m[0]) - at >= 24 and (kind := confirm(m[0][at:])):
+                    if len(m[0]) - at >= 24 and (kind := confirm(m[0], at, decoded)):
                         spans.append((kind, m.start() + at, m.end()))
                         break
     return spans
 
 
+def header_at(part: str) -> int | None:
+    """Where in a token's first part a JSON object with ``alg`` begins that ends
+    with the part; each position modulo 4 is decoded once."""
+    decoded, texts = Decoded(part), {}
+    for h in _HEADER.finditer(part):
+        data, at = decoded.tail(h.start())
+        if data is None:
+            continue
+        if (k := h.start() % 4) not in texts:
+            whole = data.decode("utf-8", "surrogateescape")
+            odd = [x.end() for x in _ODD.finditer(whole)]
+            # Bytes up to the last invalid one, the text behind them, and where its characters begin.
+            lead = len(whole[:odd[-1]].encode("utf-8", "surrogateescape")) if odd else 0
+            chars = np.cumsum((np.frombuffer(data, np.uint8)[lead:] & 0xC0) != 0x80)
+            texts[k] = lead, whole[odd[-1]:] if odd else whole, chars
+        lead, text, chars = texts[k]
+        if at < lead:
+            continue
+        try:
+            value, end = _JSON.raw_decode(text, int(chars[at - lead]) - 1)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(value, dict) and isinstance(value.get("alg"), str) and not text[end:].strip(" \t\r\n"):
+            return h.start()
+    return None
+
+
 def token_spans(text: str) -> list[tuple[str, int, int]]:
     """Signed tokens; a header may begin anywhere in its part."""
     spans, end = [], 0
     for m in _PARTS.finditer(text):
         if m.start() < end or not _HEADER.search(m[0]) or not is_jwt("eyJhbGciOiIifQ" + m[1]):  # is its payload one?
             continue
-        for h in _HEADER.finditer(m[0]):
-            if is_jwt(m[0][h.start():] + m[1]):
-                end = m.end(1)
-                spans.append(("jwt", m.start() + h.start(), end))
-                break
+        if (at := header_at(m[0])) is not None:
+            end = m.end(1)
+            spans.append(("jwt", m.start() + at, end))
     return spans
 
 
 def wrapped_spans(text: str, taken) -> list[tuple[str, int, int]]:
     """Keys in lines of one length and a last one that may be shorter."""
-    spans = []
+    spans, taken, k = [], sorted(taken, key=lambda x: x[2]), 0
     for m in _LINES.finditer(text):
-        if any(a < m.end() and m.start() < b for _, a, b in taken):
+        while k < len(taken) and taken[k][2] <= m.start():
+            k += 1
+        if k < len(taken) and min(a for _, a, _ in taken[k:k + 2]) < m.end():
             continue
         lines = [x.span(1) for x in _LINE.finditer(m[0])]
         i = 0
@@ -311,10 +365,17 @@ def _redacted(text: pa.Array) -> pa.Array:
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced by a mark; ``length_col``, if there is
-    one, follows the new text where the text has changed.  Null stays null."""
+    one, follows the new text where the text has changed.  Null stays null.
+    The row travels as one struct, so no column's name can clash."""
     prepare(docs.sparkSession)
-    new = docs.withColumn("_redacted", _redacted(F.col(text_col).cast("string")))
-    cols = [F.col("_redacted").alias(c) if c == text_col else
-            F.when(F.col("_redacted") != F.col(text_col), F.length("_redacted")).otherwise(F.col(c))
-            .cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
-    return new.select(*cols)
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    row = row.withColumn("new", _redacted(F.col("row")[text_col].cast("string")))
+    cols = []
+    for c in docs.columns:
+        own = F.col("row")[c]
+        if c == text_col:
+            own = F.col("new")
+        elif c == length_col:
+            own = F.when(F.col("new") != F.col("row")[text_col], F.length("new")).otherwise(own).cast(docs.schema[c].dataType)
+        cols.append(own.alias(c))
+    return row.select(*cols)

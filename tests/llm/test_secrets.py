@@ -4,7 +4,9 @@ import base64
 import hashlib
 import json
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,3 +108,27 @@ def test_escaped_and_wrapped_lines():
     for end in ("\n", "\r\n", r"\n", "\n  "):
         assert kinds("key: " + end.join(lines) + "\n\nafter") == [("der", end.join(lines))]
     assert kinds("-".join(["eyJ" * 9] * 40) + ".e30.") == kinds("\n".join(["z" * 64] * 40)) == []
+
+
+RUN = "Zm9vYmFyMTIzNDU2Nzg5"
+
+
+@pytest.mark.parametrize("unit", [RUN, RUN + "/", "/AAAA", "/MIIB", "eyJ", "eyJhIjoi", "ewogICJ", RUN + "==\n", RUN + "\\n", "a.", "eyJhIjoxfQ.",
+                                  "/30", "-----BEGIN RSA PRIVATE KEY-----\n", "token = ", "AKIA", "deadbeef"])
+def test_time_grows_in_proportion(unit):
+    """Runs, separators, headers, wrapped lines: twice the text takes about twice the time."""
+    def took(n):
+        text = (unit * (n // len(unit) + 1))[:n]
+        t = time.perf_counter()
+        S.scan(text)
+        return time.perf_counter() - t
+    small = min(took(150_000) for _ in range(2))
+    assert min(took(300_000) for _ in range(2)) < 3.2 * small + 0.05
+    assert took(1_000_000) < 6
+
+
+def test_confirm_at_is_confirm_of_the_tail():
+    key = base64.b64encode(bytes.fromhex("3006020100020103")).decode()
+    run = "ab/" + key + "AAAA"
+    for at in range(len(run)):
+        assert S.confirm(run, at, S.Decoded(run)) == S.confirm(run[at:])
