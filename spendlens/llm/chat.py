@@ -19,7 +19,8 @@ text parts of assistant turns.
 
 A turn is formatted alone, so nothing has to be gathered for that; only the
 digest reads the turns of a conversation in order, as a stream that keeps one
-running hash, however long a conversation is.
+running hash, however long a conversation is.  One conversation is one task's
+work there, as its hash is one chain; Spark sorts it on disk if need be.
 
 Null text is an empty text, a null role an empty role; turns with the same
 number are ordered by role and then text; repeated rows are turns of their
@@ -167,7 +168,7 @@ def read_turn(text: str, loss: list[tuple[int, int]]) -> tuple[str, list[dict],
     return unescape_role(m[1]), parts, "".join(unescape(text[a:b]) for a, b in loss)
 
 
-_FORMATTED = ("formatted string, loss array<struct<start:long,end:long>>, "
+_FORMATTED = ("role string, plain string, formatted string, loss array<struct<start:long,end:long>>, "
               "attachments array<struct<kind:string,number:int,ref:string,tokens:long>>, expanded_tokens long")
 
 
@@ -178,17 +179,19 @@ def _format(expansion: Expansion):
                                        ("tokens", pa.int64())]))
         visitor = Visitor(expansion)
         for b in batches:
-            text, loss, att, tokens = [], [], [], []
+            text, loss, att, tokens, roles, plain = [], [], [], [], [], []
             for role, parts in zip(b.column("role").to_pylist(), b.column("parts").to_pylist(), strict=True):
                 f = visitor.turn(role, [p for p in parts or [] if p])
                 text.append(f.text)
+                roles.append(role or "")
+                plain.append("".join(p.get("text") or "" for p in parts or [] if p))
                 loss.append([{"start": x, "end": y} for x, y in f.loss])
                 att.append(f.attachments)
                 tokens.append(sum(a["tokens"] for a in f.attachments))
             yield pa.RecordBatch.from_arrays(
-                [b.column("conv_id"), b.column("turn"), pa.array(text, pa.string()), pa.array(loss, loss_type),
+                [b.column("conv_id"), b.column("turn"), pa.array(roles, pa.string()), pa.array(plain, pa.string()), pa.array(text, pa.string()), pa.array(loss, loss_type),
                  pa.array(att, att_type), pa.array(tokens, pa.int64())],
-                ["conv_id", "turn", "formatted", "loss", "attachments", "expanded_tokens"])
+                ["conv_id", "turn", "role", "plain", "formatted", "loss", "attachments", "expanded_tokens"])
     return run
 
 
@@ -203,6 +206,7 @@ def as_parts(turns: DataFrame, text_col: str = "text") -> DataFrame:
 
 def format_turns(turns: DataFrame, expansion: Expansion | None = None) -> DataFrame:
     """One formatted row for each of ``(conv_id, turn, role, parts)``:
+    ``role`` and ``plain`` text (for the order of turns with one number),
     ``formatted``, the spans of the loss mask, attachments and their tokens."""
     prepare(turns.sparkSession)
     src = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -212,7 +216,7 @@ def format_turns(turns: DataFrame, expansion: Expansion | None = None) -> DataFr
 
 def assemble(formatted: DataFrame) -> DataFrame:
     """Whole conversations: ``(conv_id, n_turns, formatted)``."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "formatted")))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "plain", "formatted")))
     return (formatted.groupBy("conv_id").agg(turns.alias("t"))
             .select("conv_id", F.size("t").cast("long").alias("n_turns"),
                     F.array_join(F.col("t.formatted"), "").alias("formatted")))
@@ -251,8 +255,8 @@ def _digest(batches):
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from the formatted turns of each conversation."""
-    own = formatted.select("conv_id", "turn", "formatted", "loss")
-    return (own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    own = formatted.select("conv_id", "turn", "role", "plain", "formatted", "loss")
+    return (own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "plain", "formatted")
             .mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                                  "loss_sha256 string, formatted_chars long"))
 

@@ -110,3 +110,15 @@ def test_bands(spark, edge, no_docs):
     assert not any(r.kept for r in strict.collect())
     assert Q.fertility_rules(edge).count() == 9 and Q.fertility_rules(no_docs).collect() == []
     assert {r.doc_id: (r.n_words, r.kept) for r in Q.fertility_rules(edge).collect()}[1] == (0, False)
+
+
+def test_ties_of_a_turn_come_by_role_and_raw_text(spark):
+    rows = [(1, 0, "assistant2", "x"), (1, 0, "assistant", "<|"), (1, 0, "assistant", "<a"), (1, 1, "user", "b\\"), (1, 1, "user", "bA"), (1, 1, None, "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = C.format_turns(C.as_parts(turns))
+    want = sorted(rows, key=lambda r: (r[1], r[2] or "", r[3]))
+    got = C.digests(formatted).collect()[0]
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3]}\n" for r in want).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256(b"<a<|").hexdigest()
+    whole = C.assemble(formatted).collect()[0].formatted
+    assert [m.start() for m in re.finditer("assistant2|z\\n|bA", whole)] == sorted(m.start() for m in re.finditer("assistant2|z\\n|bA", whole))
