@@ -59,32 +59,30 @@ def source_rates(docs: DataFrame, *, source_col: str = "source", text_col: str =
     else:
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
         v = v.withColumn("w", F.when(F.col("volume") > 0, F.coalesce(named[F.col("source")], F.lit(0.0))).otherwise(0.0))
-    total = v.agg(F.sum("volume").alias("all"), F.sum("w").alias("w_all"))
-    rate = F.lit(float(size)) * F.col("w") / F.col("w_all") * F.col("all") / F.col("volume")
-    # One row of totals for a handful of sources.
-    return (v.join(total, F.lit(True))
-            .select("source", "volume", F.when(F.col("w") > 0, rate).otherwise(0.0).alias("rate")))
+    total = v.agg(F.sum("volume").alias("volume"), F.sum("w").alias("w")).first()  # one row
+    rate = F.lit(float(size)) * F.col("w") / F.lit(total.w) * F.lit(total.volume) / F.col("volume")
+    return v.select("source", "volume", F.when(F.col("w") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                 seed: int = 17, **targets) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, in shuffled order;
-    three columns are added: ``copy`` (from 0), ``n_copies``, ``shuffle_key``."""
+    three columns are added: ``copy`` (from 0), ``n_copies``, ``shuffle_key``.
+    Columns of ``docs`` with these names give way to them; the row travels as
+    one struct, so no other name can clash."""
     rates = source_rates(docs, source_col=source_col, text_col=text_col, **targets)
     parts = F.greatest(F.ceil(F.col("rate") / SPLIT), F.lit(1)).cast("int")
-    plan = rates.where("rate > 0").select(F.col("source").alias("_source"), parts.alias("_parts"),
-                                          _cdf(F.col("rate") / parts).alias("_cdf"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    plan = stored(rates.where("rate > 0").select(F.col("source").alias("name"), parts.alias("parts"),
+                                                 _cdf(F.col("rate") / parts).alias("cdf")))
+    key = F.coalesce(docs[id_col].cast("string"), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key.alias("key"),
+                      docs[source_col].cast("string").alias("source"))
     drawn = F.aggregate(
-        F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0),
-        lambda n, j: n + F.size(F.filter("_cdf", lambda c: c <= _uniform(F.lit(str(seed)), j.cast("string"), F.col("_key")))))
-    hit = (docs.withColumn("_key", key)
-           .join(stored(plan), docs[source_col].cast("string").eqNullSafe(F.col("_source")))
-           .withColumn("_n", drawn).where("_n > 0")
-           .select(*[docs[c] for c in docs.columns], "_key", "_n",
-                   F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_copy")))
-    order = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), "_key", F.col("_copy").cast("string"))), 1, 16)
-    added = {"copy": F.col("_copy"), "n_copies": F.col("_n"), "shuffle_key": order}
-    keep = [c for c in docs.columns if c not in added]
-    out = hit.select(*keep, *[c.alias(k) for k, c in added.items()])
+        F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0),
+        lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= _uniform(F.lit(str(seed)), j.cast("string"), F.col("key")))))
+    hit = (row.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumn("n_copies", drawn).where("n_copies > 0")
+           .select("row", "key", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("copy")))
+    order = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), "key", F.col("copy").cast("string"))), 1, 16)
+    added = ("copy", "n_copies", "shuffle_key")
+    out = hit.withColumn("shuffle_key", order).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -14,7 +14,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="session")
 def edge(spark):
     """Odd rows, with columns whose names operators use inside."""
-    extra = " ".join(f", '{c}' as {c}" for c in ("id", "n", "cls", "row", "score", "parts", "rid", "key", "y", "_id"))
+    extra = " ".join(f", '{c}' as {c}" for c in ("id", "n", "cls", "row", "score", "parts", "rid", "key", "y", "_id", "_key", "_source", "_n", "_parts", "_cdf",
+                                                  "_copy", "_redacted", "copy", "new", "source2", "h", "view", "sure", "plain", "name", "cdf"))
     spark.createDataFrame(EDGE, SCHEMA).createOrReplaceTempView("edge_docs")
     return spark.sql(f"select * {extra} from edge_docs")
 
