@@ -3,14 +3,17 @@
 Two classifiers see different views of a document: its text content (hashed
 words, endings and shapes of words, averaged over the text) and its page
 metadata (source, language, length, layout of lines).  Both are logistic
-regressions, first fitted on labelled rows.  In every round each one labels a
-pool of unlabelled rows, and the rows it is most sure of go to the other's
-training set as pseudo-labels.  In the end each view is calibrated on labelled
+regressions, first fitted on labelled rows.  In every round each one labels all
+unlabelled rows, on the executors, and the rows it is most sure of (a top-k of
+each class over the whole table) go to the other's training set as
+pseudo-labels.  In the end each view is calibrated on labelled
 rows that no round trained on (Platt scaling), and the calibrated views are
 combined by a logistic regression on the same rows.
 
-Training takes at most ``labelled`` labelled and ``pool`` other rows (the
-smallest by a hash of the id; documented bounds).  Every row is scored, over
+Training takes at most ``labelled`` labelled rows (the smallest by a hash of
+the id; a documented bound) and, in a round, ``share`` of their number as
+pseudo-labels from each view; rows of the held-out fold get none.  Of rows that
+repeat an id the smallest (text, metadata) counts.  Every row is scored, over
 its whole text; a task computes each distinct word's logit once.
 
 Null or empty texts are scored by the biases and the metadata; null metadata
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.llm.common import PIECE, prepare, chunks, crc_mod, mix, words
+from spendlens.llm.common import PIECE, prepare, chunks, crc_mod, mix, stored, words
 
 _U = np.uint64
 
@@ -42,7 +45,6 @@ class Params:
     bits: int = 16
     meta_bits: int = 12
     labelled: int = 4000
-    pool: int = 4000
     rounds: int = 3
     confident: float = 0.95
     share: float = 0.25
@@ -89,8 +91,9 @@ def meta_features(buf: np.ndarray, offs: np.ndarray, n_words: np.ndarray, meta:
     return np.stack([(x >> _U(64 - bits)).astype(np.int64) for x in out], 1) if n else np.zeros((0, len(out)), np.int64)
 
 
-def _views(p: Params, given: list[str]):
-    """For each row: text buckets with shares, and metadata buckets."""
+def _views(p: Params, given: list[str], kept: list[str]):
+    """For each row: columns ``kept``, text buckets with shares, and metadata
+    buckets."""
     def run(batches):
         for b in batches:
             ids, shares, meta = [], [], []
@@ -104,9 +107,9 @@ def _views(p: Params, given: list[str]):
                     ids.append(x.astype(np.int32))
                     shares.append((n / max(1, at[i + 1] - at[i])).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("y"), b.column("o"), pa.array(ids, pa.list_(pa.int32())),
+                [*[b.column(c) for c in kept], b.column("o"), pa.array(ids, pa.list_(pa.int32())),
                  pa.array(shares, pa.list_(pa.float32())), pa.array(meta, pa.list_(pa.int32()))],
-                ["y", "o", "ids", "shares", "meta"])
+                [*kept, "o", "ids", "shares", "meta"])
     return run
 
 
@@ -183,42 +186,51 @@ class Model:
     n_pseudo: int = 0
 
 
-def fit(table: pa.Table, p: Params, given: list[str]) -> Model:
-    """Co-training on the collected rows (label null: pool)."""
-    table = table.sort_by("o")
-    rows = table.to_pydict()
-    y_all = np.array([np.nan if v is None else float(v) for v in rows["y"]])
-    known = ~np.isnan(y_all)
-    if not known.any():
-        return Model(np.zeros(1 << p.bits), 0.0, np.zeros(1 << p.meta_bits), 0.0, np.array([1.0, 0]),
-                     np.array([1.0, 0]), np.array([0.5, 0.5, 0]), p, given)
-    text = Sparse([np.asarray(x, np.int64) for x in rows["ids"]], [np.asarray(x) for x in rows["shares"]], 1 << p.bits)
-    meta = Sparse([np.asarray(x, np.int64) for x in rows["meta"]], [np.ones(len(x)) for x in rows["meta"]], 1 << p.meta_bits)
-    rng = np.random.default_rng(p.seed)
-    held = known & (rng.random(len(y_all)) < 0.25)
-    if held.sum() < 8 or len(set(y_all[known & ~held])) < 2:
-        held = known
-    train = known & ~held if (known & ~held).any() else known
-    views = [text, meta]
-    label = [np.where(train, np.nan_to_num(y_all), 0.0) for _ in views]
-    use = [train.astype(float) for _ in views]
-    most = max(1, int(p.share * train.sum() / 2))
-    for turn in range(p.rounds + 1):
-        fits = [logistic(x, use[k], label[k], p) for k, x in enumerate(views)]
-        z = [x.times(w) + b for x, (w, b) in zip(views, fits, strict=True)]
-        scale = [platt(v[held, None], y_all[held]) for v in z]
-        if turn == p.rounds:
-            break
-        for k, other in ((0, 1), (1, 0)):
-            q = sigmoid(scale[k][0] * z[k] + scale[k][1])
-            free = ~known & (use[other] == 0)
-            for side, sure in ((1.0, q), (0.0, 1 - q)):
-                at = np.flatnonzero(free & (sure >= p.confident))
-                at = at[np.argsort(-sure[at], kind="stable")][:most]
-                label[other][at], use[other][at] = side, 1.0
-    calibrated = np.column_stack([s[0] * v + s[1] for s, v in zip(scale, z, strict=True)])
-    return Model(fits[0][0], fits[0][1], fits[1][0], fits[1][1], scale[0], scale[1],
-                 platt(calibrated[held], y_all[held]), p, given, int(sum(u.sum() for u in use) - 2 * train.sum()))
+class CoTraining:
+    """The two training sets: rows of known labels, and pseudo-labels that come
+    in round by round."""
+
+    def __init__(self, table: pa.Table, p: Params, given: list[str]):
+        self.p, self.given = p, given
+        rows = table.sort_by("o").to_pydict()
+        self.known = len(rows["y"])
+        self.y = np.array(rows["y"], np.float64)
+        self.rows = [rows["ids"], rows["shares"], rows["meta"]]
+        rng = np.random.default_rng(p.seed)
+        held = rng.random(self.known) < 0.25
+        if held.sum() < 8 or len(set(self.y[~held])) < 2:
+            held[:] = True
+        self.held = held
+        own = ~held if not held.all() else held
+        self.use = [own.astype(float) for _ in range(2)]
+        self.label = [np.where(own, self.y, 0.0) for _ in range(2)]
+        #: Pseudo-labels of a class that a view gives in a round.
+        self.most = max(1, int(p.share * own.sum() / 2))
+
+    def add(self, table: pa.Table) -> None:
+        """Rows with pseudo-labels for a view: ``view``, ``y`` and features."""
+        rows = table.sort_by([("view", "ascending"), ("o", "ascending")]).to_pydict()
+        for mine, more in zip(self.rows, (rows["ids"], rows["shares"], rows["meta"]), strict=True):
+            mine += more
+        view, y = np.array(rows["view"], np.int64), np.array(rows["y"], np.float64)
+        for k in range(2):
+            self.use[k] = np.append(self.use[k], (view == k).astype(float))
+            self.label[k] = np.append(self.label[k], np.where(view == k, y, 0.0))
+
+    def fit(self) -> Model:
+        p, held = self.p, np.flatnonzero(self.held)
+        if not self.known:
+            return Model(np.zeros(1 << p.bits), 0.0, np.zeros(1 << p.meta_bits), 0.0, np.array([1.0, 0]),
+                         np.array([1.0, 0]), np.array([0.5, 0.5, 0]), p, self.given)
+        ids, shares, meta = self.rows
+        views = [Sparse([np.asarray(x, np.int64) for x in ids], [np.asarray(x) for x in shares], 1 << p.bits),
+                 Sparse([np.asarray(x, np.int64) for x in meta], [np.ones(len(x)) for x in meta], 1 << p.meta_bits)]
+        fits = [logistic(x, self.use[k], self.label[k], p) for k, x in enumerate(views)]
+        z = [(x.times(w) + b)[held] for x, (w, b) in zip(views, fits, strict=True)]
+        scale = [platt(v[:, None], self.y[held]) for v in z]
+        calibrated = np.column_stack([s[0] * v + s[1] for s, v in zip(scale, z, strict=True)])
+        return Model(fits[0][0], fits[0][1], fits[1][0], fits[1][1], scale[0], scale[1],
+                     platt(calibrated, self.y[held]), p, self.given, len(ids) - self.known)
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str, given: list[str]) -> DataFrame:
@@ -232,42 +244,106 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     p = params or Params()
     prepare(docs.sparkSession)
     given = [c for c in meta_cols if c in docs.columns]
-    src = _source(docs, id_col, text_col, given)
-    o = F.xxhash64("id")
-    y = (labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
+    src = _source(docs, id_col, text_col, given).where("id is not null")
+    y = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
          .agg(F.min(label_col).cast("double").alias("y")))
-    if held_out_mod:
-        y = y.where(crc_mod("id", held_out_mod) != 0)
-    ids = src.select("id").where("id is not null").distinct()
-    own = y.join(ids, "id").orderBy(o, "id").limit(p.labelled)
-    rest = (ids.join(y.select("id"), "id", "left_anti").where(crc_mod("id", held_out_mod) != 0 if held_out_mod else F.lit(True))
-            .orderBy(o, "id").limit(p.pool).withColumn("y", F.lit(None).cast("double")))
-    rows = src.join(F.broadcast(own.unionByName(rest)), "id").withColumn("o", o)
-    table = rows.select("y", "o", "text", *given).mapInArrow(
-        _views(p, given), "y double, o long, ids array<int>, shares array<float>, meta array<int>").toArrow()
-    return fit(table, p, given)
+    fold = crc_mod("id", held_out_mod) != 0 if held_out_mod else F.lit(True)
+    y = stored(y.where(fold))
+    own = y.join(src.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(p.labelled)
+    state = CoTraining(_features(src, own, p, given, "y double"), p, given)
+    if not state.known:
+        return state.fit()
+    # Rows without a label, by id: only those of labelled ids are turned down.
+    free = src.where(fold).join(y.select("id"), "id", "left_anti")
+    taken: DataFrame | None = None
+    for _ in range(p.rounds):
+        sure = stored(free.mapInArrow(_surest(state.fit(), state.most), f"id {src.schema['id'].dataType.simpleString()}, {_SURE}"))
+        pick = None
+        for view in range(2):
+            for label in range(2):
+                of = sure.where((F.col("view") == view) & (F.col("y") == label))
+                of = of.groupBy("id", "view", "y").agg(F.max("sure").alias("sure"))
+                if taken is not None:  # a bounded table: all pseudo-labels so far
+                    of = of.join(F.broadcast(taken.where(F.col("view") == view)), "id", "left_anti")
+                of = of.orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(state.most)
+                pick = of if pick is None else pick.unionByName(of)
+        pick = stored(pick.select("id", "view", F.col("y").cast("double").alias("y")))
+        if pick.isEmpty():
+            break
+        taken = pick if taken is None else taken.unionByName(pick)
+        state.add(_features(src, pick, p, given, "view int, y double"))
+    return state.fit()
+
+
+def _features(src: DataFrame, rows: DataFrame, p: Params, given: list[str], kept: str) -> pa.Table:
+    """Columns ``kept`` of ``rows``, a bounded table, and the features of their
+    ids, one row of ``src`` for each."""
+    names = [c.split(" ")[0] for c in kept.split(", ")]
+    ids = src.join(F.broadcast(rows.select("id").distinct()), "id", "left_semi")
+    one = ids.groupBy("id").agg(F.min(F.struct("text", *given)).alias("r")).select("id", "r.*")
+    return (one.join(rows, "id").select(*names, F.xxhash64("id").alias("o"), "text", *given)
+            .mapInArrow(_views(p, given, names), f"{kept}, o long, ids array<int>, shares array<float>, meta array<int>").toArrow())
+
+
+#: ``view`` is the view that learns from the row, the other one is ``sure``.
+_SURE = "view int, y int, sure double"
+
+
+def _surest(m: Model, most: int):
+    """The ``most`` rows of a task, for each view and class, that the other
+    view is surest of."""
+    p = m.params
+
+    def run(batches):
+        best: dict[tuple[int, int], dict] = {(v, y): {} for v in range(2) for y in range(2)}
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            t, d, _ = _probabilities(m, b)
+            for view, q in ((1, sigmoid(t)), (0, sigmoid(d))):
+                for y, sure in ((1, q), (0, 1 - q)):
+                    of = best[view, y]
+                    at = np.flatnonzero(sure >= p.confident)
+                    for i in at[np.argsort(-sure[at], kind="stable")][:most].tolist():
+                        of[ids[i]] = max(of.get(ids[i], 0.0), float(sure[i]))
+                    if len(of) > 2 * most:
+                        best[view, y] = dict(sorted(of.items(), key=_order)[:most])
+        rows = [(i, v, y, s) for (v, y), of in best.items() for i, s in sorted(of.items(), key=_order)[:most]]
+        if rows:
+            kind = b.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*rows, strict=True), (kind, pa.int32(), pa.int32(), pa.float64()), strict=True)], ["id", "view", "y", "sure"])
+    return run
+
+
+def _order(item):
+    """Surest first; ties by a hash of the id, so every id has the same chance."""
+    return -item[1], zlib.crc32(str(item[0]).encode("utf-8", "surrogatepass")), str(item[0])
 
 
 _SCORES = "score double, text_score double, meta_score double"
 
 
-def _score(m: Model):
+def _probabilities(m: Model, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Calibrated logits of both views and of their combination."""
     p = m.params
+    own = [b.column(c).to_pylist() for c in m.given]
+    zt, zm = [np.empty(0)], [np.empty(0)]
+    for first, end, buf, offs in chunks(b.column("text"), 2 * PIECE):
+        w, of, f = _text_view(buf, offs, p.bits)
+        count = np.bincount(w.doc, minlength=w.n_docs)
+        logit = m.text_weights[f].sum(0)
+        zt.append(np.bincount(w.doc, weights=logit[of], minlength=w.n_docs) / np.maximum(count, 1) + m.text_bias)
+        x = meta_features(buf, offs, count, [c[first:end] for c in own], p.meta_bits)
+        zm.append(m.meta_weights[x].sum(1) + m.meta_bias)
+    t = m.text_scale[0] * np.concatenate(zt) + m.text_scale[1]
+    d = m.meta_scale[0] * np.concatenate(zm) + m.meta_scale[1]
+    return t, d, m.combined[0] * t + m.combined[1] * d + m.combined[2]
+
 
+def _score(m: Model):
     def run(batches):
         for b in batches:
-            own = [b.column(c).to_pylist() for c in m.given]
-            zt, zm = [np.empty(0)], [np.empty(0)]
-            for first, end, buf, offs in chunks(b.column("text"), 2 * PIECE):
-                w, of, f = _text_view(buf, offs, p.bits)
-                count = np.bincount(w.doc, minlength=w.n_docs)
-                logit = m.text_weights[f].sum(0)
-                zt.append(np.bincount(w.doc, weights=logit[of], minlength=w.n_docs) / np.maximum(count, 1) + m.text_bias)
-                x = meta_features(buf, offs, count, [c[first:end] for c in own], p.meta_bits)
-                zm.append(m.meta_weights[x].sum(1) + m.meta_bias)
-            t = m.text_scale[0] * np.concatenate(zt) + m.text_scale[1]
-            d = m.meta_scale[0] * np.concatenate(zm) + m.meta_scale[1]
-            both = m.combined[0] * t + m.combined[1] * d + m.combined[2]
+            t, d, both = _probabilities(m, b)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), *(pa.array(sigmoid(v), pa.float64()) for v in (both, t, d))],
                 ["id", "score", "text_score", "meta_score"])

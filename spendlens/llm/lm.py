@@ -428,8 +428,10 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
     enc, end = _encoding(path)
     starts = np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)])
     order = F.xxhash64(F.col("id").cast("string"))
-    chosen = rows.select(order.alias("order")).orderBy("order").limit(p.sample).agg(F.max("order").alias("m")).first().m
-    pick = rows.where(order <= F.lit(chosen if chosen is not None else 0)).select(order.alias("order"), "text")
+    # ``sample`` ids at most, and of rows that repeat one the smallest text.
+    chosen = rows.select("id").distinct().orderBy(order, "id").limit(p.sample)
+    pick = (rows.join(F.broadcast(chosen.withColumnRenamed("id", "chosen")), F.col("id").eqNullSafe(F.col("chosen")))
+            .groupBy("id").agg(F.min("text").alias("text")).select(order.alias("order"), "text"))
     texts = pick.mapInArrow(_sample_ids(path), "order long, ids array<int>").orderBy("order").toArrow().to_pydict()["ids"]
 
     got = stored(rows.select("text").mapInArrow(_gather(path, end), _GATHERED))

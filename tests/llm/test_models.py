@@ -187,3 +187,37 @@ def test_lm_layout_counts_all_training_texts(spark):
     t = L.Tokens(*texts_of([r.text for r in docs.collect()]), L.VOCABULARY)
     want = L.layout(np.bincount(t.ids, minlength=end + 1).astype(float), starts, p)
     assert (model.layout.cls == want.cls).all() and (model.layout.bucket == want.bucket).all()
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """One id in most rows, and many rows without one, neither grow what is trained on."""
+    docs = spark.createDataFrame([(1, f"words of row {i}") for i in range(3000)] + [(None, f"no id {i}") for i in range(500)]
+                                 + [(i, f"text {i} of many") for i in range(2, 80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 80)], "doc_id long, quality int, toxic int")
+    rows = T.training_rows(docs, labels, "doc_id", "text", "toxic", None, 60).collect()
+    assert len(rows) == 60
+    own = labels.selectExpr("doc_id as id", "double(quality) as y").limit(40)
+    src = C._source(docs, "doc_id", "text", [])
+    assert C._features(src, own, C.Params(), [], "y double").num_rows == 40
+    model, _ = L.train(docs.selectExpr("doc_id as id", "text"), params=SMALL)
+    assert model.n_texts == 3578
+
+
+def test_every_unlabelled_row_can_get_a_pseudo_label(spark):
+    """The rows that a view is surest of are found wherever they are."""
+    docs = [(i, ("good fine nice " if i % 2 else "bad worse junk ") * 8, "a", "en") for i in range(400)]
+    docs += [(i, "middling text " * 8, "b", "en") for i in range(400, 3000)]
+    docs += [(i, "good fine nice " * 40, "c", "en") for i in range(3000, 3010)]
+    labels = [(i, i % 2) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(7)
+    y = spark.createDataFrame(labels, "doc_id long, quality int")
+    p = C.Params(rounds=1)
+    src = C._source(frame, "doc_id", "text", ["source", "lang"])
+    state = C.CoTraining(C._features(src, y.selectExpr("doc_id as id", "double(quality) as y"), p, ["source", "lang"], "y double"), p, ["source", "lang"])
+    sure = src.mapInArrow(C._surest(state.fit(), state.most), f"id long, {C._SURE}").where("view = 1 and y = 1").collect()
+    best = sorted(sure, key=lambda r: -r.sure)[:10]
+    assert best and all(r.id % 2 if r.id < 400 else r.id >= 3000 for r in best)
+    m = C.train(frame, y, held_out_mod=None, params=p)
+    assert 0 < m.n_pseudo <= 4 * state.most
+    q = {r.doc_id: r.score for r in C.quality_scores(frame, m).collect()}
+    assert len(q) == len(docs) and q[3001] > 0.9 > 0.1 > q[2]
