@@ -20,7 +20,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,15 +223,14 @@ def bitmap_of(df: DataFrame, col: str, bits: int = 20) -> Bitmap:
     return Bitmap(on, bits)
 
 
-def without(docs: DataFrame, gone: DataFrame, on: dict) -> DataFrame:
-    """Rows of ``docs`` without a match in ``gone`` (null matches null); ``on``
-    maps the columns of ``gone`` to expressions over ``docs``.  A bitmap of
-    fixed size lets most rows pass where they are; only those that may match
-    are shuffled and joined."""
-    names = list(on)
-    gone = stored(gone.select(*[F.col(c).alias(f"_gone_{i}") for i, c in enumerate(names)]).distinct())
-    mine = [f"_gone_{i}" for i in range(len(names))]
-    seen = bitmap_of(gone.select(F.xxhash64(*mine).alias("h")), "h", 24)
+def _parted(docs: DataFrame, keys: DataFrame, on: dict) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """Rows of ``docs`` that have no key in ``keys`` for sure, the others, the
+    keys under other names, and the condition to join the two by (null matches
+    null).  ``on`` maps the columns of ``keys`` to expressions over ``docs``.  A
+    bitmap of fixed size lets most rows pass where they are."""
+    names = {c: f"_key_{uuid.uuid4().hex}" for c in on}
+    keys = stored(keys.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct())
+    seen = bitmap_of(keys.select(F.xxhash64(*names.values()).alias("h")), "h", 24)
 
     @F.arrow_udf(T.BooleanType())
     def may_match(h: pa.Array) -> pa.Array:
@@ -239,7 +238,24 @@ def without(docs: DataFrame, gone: DataFrame, on: dict) -> DataFrame:
 
     maybe = may_match(F.xxhash64(*on.values()))
     same = F.lit(True)
-    for c, mine_c in zip(on.values(), mine, strict=True):
-        same = same & c.eqNullSafe(F.col(mine_c))
-    rest = docs.where(maybe)
-    return docs.where(~maybe).unionByName(rest.join(gone, same, "left_anti"))
+    for c, n in names.items():
+        same = same & on[c].eqNullSafe(F.col(n))
+    return docs.where(~maybe), docs.where(maybe), keys, same
+
+
+def without(docs: DataFrame, gone: DataFrame, on: dict) -> DataFrame:
+    """Rows of ``docs`` without a match in ``gone`` (see ``_parted``); only those
+    that may match are shuffled and joined."""
+    sure, rest, gone, same = _parted(docs, gone, on)
+    return sure.unionByName(rest.join(gone, same, "left_anti"))
+
+
+def only_one(docs: DataFrame, repeated: DataFrame, on: dict) -> DataFrame:
+    """``docs`` with one row alone for each key of ``repeated`` (see
+    ``_parted``); a task sends on one row for each key it meets."""
+    sure, rest, repeated, same = _parted(docs, repeated, on)
+    rows = rest.join(repeated, same, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keys = list(repeated.columns)
+    once = rest.join(repeated, same).select(row, *keys).groupBy(*keys).agg(F.first("row").alias("row"))
+    return sure.unionByName(rows).unionByName(once.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

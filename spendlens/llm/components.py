@@ -3,7 +3,7 @@ smallest node id by neighbour minima and pointer jumping."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import stored
@@ -28,8 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = (low.join(roots, "node", "left")
                .select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stored(low.join(jump, "label", "left")
-                     .select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        lab = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
+        moved = Observation()
+        lab = stored(low.join(jump, "label", "left")
+                     .select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+                     .observe(moved, F.count_if(F.col("label") != F.col("old")).alias("n")).select("node", "label"))
+        if not moved.get["n"]:
             return lab

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.llm.common import (Bitmap, bitmap_of, prepare, chunks, mix, stored,
-                                  windows, without, words)
+                                  only_one, windows, without, words)
 from spendlens.llm.components import connected_components
 
 _U = np.uint64
@@ -92,6 +92,8 @@ def _ordered(s: np.ndarray, common: Bitmap | None, k: int) -> tuple[np.ndarray,
 
 #: Leading bits of a column's hash by which rows are counted for the column order.
 LEAD = 40
+#: Characters of text a range of columns at most.
+RANGE = 32 << 20
 #: Columns that a task holds before it deals them out.
 HELD = 2_000_000
 
@@ -110,7 +112,8 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(d.view(_U).ravel())
 
 
-_SKETCH = "part int, id long, n long, cls long, cols binary"
+_ROW = "id struct<id:long,h:long>"
+_SKETCH = f"part int, {_ROW}, n long, cls long, cols binary"
 
 
 def _sketch(width: int, parts: int):
@@ -126,7 +129,7 @@ def _sketch(width: int, parts: int):
                      [_pack(x[cut[i]:cut[i + 1]] - _U(i * span)) for i in some])
 
     def run(batches):
-        held, n_held, seen = [], 0, set()
+        held, n_held, seen, dealt = [], 0, set(), 0
         for b in batches:
             n, cls = [], []
             for _, s in _sets(b.column(1), width):
@@ -140,14 +143,19 @@ def _sketch(width: int, parts: int):
                     if n_held > HELD:
                         yield packed(held)
                         held, n_held = [], 0
-            yield _rows([(c or 0) % parts for c in cls], b.column(0), n, cls, [None] * len(n))
+            # Rows of documents are only passed on: dealt in turn, so copies do not meet.
+            yield _rows([(dealt + i) % parts for i in range(len(n))], b.column(0).cast(_ID), n, cls, [None] * len(n))
+            dealt += len(n)
         if held:
             yield packed(held)
     return run
 
 
+_ID = pa.struct([("id", pa.int64()), ("h", pa.int64())])
+
+
 def _rows(part, ids, n, cls, cols) -> pa.RecordBatch:
-    return _batch(part=pa.array(part, pa.int32()), id=ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64()),
+    return _batch(part=pa.array(part, pa.int32()), id=ids if isinstance(ids, pa.Array) else pa.array(ids, _ID),
                   n=pa.array(n, pa.int64()), cls=pa.array(cls, pa.int64()), cols=pa.array(cols, pa.binary()))
 
 
@@ -161,13 +169,13 @@ def _often(parts: int, common_df: int):
         first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
         x = x[first[np.diff(np.append(first, len(x))) > common_df]].view(np.int64) + part * span
         none = pa.nulls(len(x), pa.int64())
-        return _batch(id=none, n=none, cls=none, col=pa.array(x))
+        return _batch(id=pa.nulls(len(x), _ID), n=none, cls=none, col=pa.array(x))
 
     def run(batches):
         now, held = None, []
         for b in batches:
             doc = b.filter(pc.is_null(b.column("cols")))
-            yield _batch(id=doc.column("id"), n=doc.column("n"), cls=doc.column("cls"),
+            yield _batch(id=doc.column("id").cast(_ID), n=doc.column("n"), cls=doc.column("cls"),
                          col=pa.nulls(doc.num_rows, pa.int64()))
             packed = b.filter(pc.is_valid(b.column("cols")))
             for part, data in zip(packed.column("part").to_pylist(), packed.column("cols").to_pylist(), strict=True):
@@ -213,7 +221,7 @@ def _entries(rows) -> pa.RecordBatch:
 
 
 def _batch(**cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols.values()], list(cols))
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols.values()], list(cols))
 
 
 def _wanted(width: int, keep: list[Bitmap]):
@@ -242,8 +250,8 @@ def _wanted(width: int, keep: list[Bitmap]):
     return run
 
 
-#: Members that are compared with one copy of their pivot's set.
-MEMBERS = 256
+#: Members that are compared with one copy of their pivot's set, and classes of a block.
+MEMBERS = 512
 
 
 def _whole_sets(text: DataFrame, width: int, *classes: DataFrame) -> DataFrame:
@@ -355,19 +363,30 @@ def _sizes_fit(x: str, y: str, t: int):
     return (F.col(x) * 100 >= F.col(y) * t) & (F.col(y) * 100 >= F.col(x) * t)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-               width: int = 5, threshold: int = 80, common_df: int = 8, salts: int = 32) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row of ``docs``; the
-    threshold is in percent.  See the module text for the method."""
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """``(id, n_shingles, component_id)`` for every row of ``docs``; see
+    ``_components`` for the parameters and the module text for the method."""
+    return _components(docs, id_col, text_col, **params).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5, threshold: int = 80,
+                common_df: int = 8, salts: int = 32) -> DataFrame:
+    """``(id, h, n, cls, grp, component_id)`` of every row: a hash of its text,
+    the size and the class of its set, and a number of its component (an id may
+    be the smallest of several); the threshold is in percent."""
     spark, t = docs.sparkSession, threshold
     prepare(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = F.col(text_col).cast("string")
+    src = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(own).alias("h")).alias("id"), own.alias("text"))
     text = src.select("text")
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Hash ranges of a size that a task can count, however large the table.
+    chars = src.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE))
     sketch = (src.mapInArrow(_sketch(width, parts), _SKETCH).repartition("part").sortWithinPartitions("part")
-              .mapInArrow(_often(parts, common_df), "id long, n long, cls long, col long"))
+              .mapInArrow(_often(parts, common_df), f"{_ROW}, n long, cls long, col long"))
     sketch = stored(sketch)
-    sig = sketch.where("n is not null").select("id", "n", "cls")
+    sig = sketch.where("n is not null").select("id.id", "id.h", "n", "cls")
     common = bitmap_of(sketch.where("col is not null"), "col", 24)
 
     # The pivot of a block is the class that has the column at its lowest rank:
@@ -429,15 +448,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lab = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left")
     lows = (lab.where("label is not null").groupBy("label").agg(F.min("low").alias("root")))
     owner = (lab.join(lows, "label", "left")
-             .select("cls", F.coalesce("root", "low").alias("component_id")))
-    out = sig.where("n > 0").join(owner, "cls").select("id", F.col("n").alias("n_shingles"), "component_id")
-    lone = sig.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return out.unionByName(lone).withColumnRenamed("id", id_col)
-
-
-def one_per_component(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """Rows of ``docs`` whose id is its component's smallest, one row for each
-    id (equal rows are one document); rows with a null id stay."""
-    comp = ngram_join(docs, id_col, **params)
-    gone = comp.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return without(docs, gone, {id_col: F.col(id_col).cast("long")})
+             .select("cls", F.coalesce("label", "cls").alias("grp"), F.coalesce("root", "low").alias("component_id")))
+    out = sig.where("n > 0").join(owner, "cls").select("id", "h", "n", "cls", "grp", "component_id")
+    return out.unionByName(sig.where("n = 0").select("id", "h", "n", "cls", F.col("cls").alias("grp"), F.col("id").alias("component_id")))
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """One row of ``docs`` for each component: of the smallest id, and of
+    several texts under that id the one of the smallest hash.  Rows equal in id
+    and text are one document, and one of them stays.  A row with a null id
+    stays where no row with an id stands for it, one for each set of n-grams;
+    rows without words link with nothing."""
+    comp = stored(_components(docs, id_col, text_col, **params))
+    # One row for each (id, text); which of them stays is settled by key alone.
+    one = comp.groupBy("id", "h", "cls", "grp", "component_id").agg(F.count("*").alias("copies"))
+    same = F.when(F.col("component_id").isNull(), F.col("cls")).otherwise(F.col("grp"))  # without any id: by class
+    low = one.where("cls is not null and id <=> component_id").groupBy(same.alias("c")).agg(F.min("h").alias("low"))
+    at = one.withColumn("c", same).join(low, "c", "left")
+    gone = F.col("cls").isNotNull() & ~(F.col("id").eqNullSafe(F.col("component_id")) & F.col("h").eqNullSafe(F.col("low")))
+    at = stored(at.select("id", "h", "copies", gone.alias("gone")))
+    keys = {"id": F.col(id_col).cast("long"), "h": F.xxhash64(F.col(text_col).cast("string"))}
+    return only_one(without(docs, at.where("gone").select("id", "h"), keys), at.where("copies > 1 and not gone").select("id", "h"), keys)

@@ -119,7 +119,8 @@ def _bags(p: Params):
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                   held_out_mod: int | None, sample: int) -> DataFrame:
     """``(y, text)`` of at most ``sample`` labelled documents, outside the
-    held-out fold, taken by a hash of the id."""
+    held-out fold, taken by a hash of the id; of rows that repeat an id the
+    smallest text counts."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out_mod:
         y = y.where(crc_mod(id_col, held_out_mod) != 0)
@@ -127,7 +128,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     y = y.join(own.select("_id").distinct(), "_id", "left_semi")
     y = y.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return own.join(F.broadcast(y), "_id").select("y", "text")
+    # ``sample`` rows at most.
+    return own.join(F.broadcast(y), "_id").groupBy("_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -135,7 +137,22 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     p = params or Params()
     prepare(docs.sparkSession)
     rows = training_rows(docs, labels, id_col, text_col, label_col, held_out_mod, p.sample)
-    return fit(rows.mapInArrow(_bags(p), "y double, scale double, ids array<short>, shares array<short>").toArrow(), p)
+    bags = rows.mapInArrow(_bags(p), "y double, scale double, ids array<short>, shares array<short>")
+    # The sample is bounded, so one task holds it; the driver gets the weights alone.
+    got = bags.repartition(1).mapInArrow(_fitted(p), "bucket binary, bias double").first()
+    if got is None:
+        return Model(np.zeros(1 << p.bits, np.float32), -np.inf, p)
+    return Model(np.frombuffer(got.bucket, np.float32), got.bias, p)
+
+
+def _fitted(p: Params):
+    def run(batches):
+        held = list(batches)
+        if held:
+            m = fit(pa.Table.from_batches(held), p)
+            yield pa.RecordBatch.from_arrays([pa.array([m.bucket.astype(np.float32).tobytes()], pa.binary()),
+                                              pa.array([m.bias], pa.float64())], ["bucket", "bias"])
+    return run
 
 
 def fit(table: pa.Table, p: Params) -> Model:
