@@ -149,7 +149,9 @@ def _fitted(p: Params):
     def run(batches):
         held = list(batches)
         if held:
-            m = fit(pa.Table.from_batches(held), p)
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            m = fit(table, p)
             yield pa.RecordBatch.from_arrays([pa.array([m.bucket.astype(np.float32).tobytes()], pa.binary()),
                                               pa.array([m.bias], pa.float64())], ["bucket", "bias"])
     return run
@@ -162,8 +164,7 @@ def fit(table: pa.Table, p: Params) -> Model:
         return Model(np.zeros(buckets, np.float32), -np.inf, p)
     y = table.column("y").to_numpy().astype(np.int64)
     ids = [x.view(np.uint16) for x in _lists(table.column("ids"))]
-    shares = [(x.astype(np.float32) + np.float32(32768)) * np.float32(k) for x, k in
-              zip(_lists(table.column("shares")), table.column("scale").to_numpy(), strict=True)]
+    shares, scale = _lists(table.column("shares")), table.column("scale").to_numpy().astype(np.float32)
     # Rows come back in any order: a fixed order makes the fit repeatable.
     rows = np.lexsort((y, [int(x.sum(dtype=np.int64)) for x in ids]))
     rng = np.random.default_rng(p.seed)
@@ -181,7 +182,7 @@ def fit(table: pa.Table, p: Params) -> Model:
             take = order[lo:lo + p.batch]
             bag = np.zeros((len(take), buckets), np.float32)
             for i, k in enumerate(take):
-                bag[i, ids[k]] = shares[k]
+                bag[i, ids[k]] = (shares[k].astype(np.float32) + np.float32(32768)) * scale[k]
             e, w, b = var
             hidden = bag @ e
             logit = hidden @ w + b
