@@ -109,9 +109,11 @@ def clean_cards(raw: DataFrame) -> DataFrame:
 def clean_transactions(raw: DataFrame) -> DataFrame:
     df = raw.withColumn("amount", parse_currency("amount"))
     for c in ["id", "client_id", "card_id", "merchant_id"]:
-        df = df.withColumn(c, parse_int(c, long=True))
-    df = df.withColumn("zip", parse_double("zip")).withColumn("mcc", parse_int("mcc"))
-    df = df.withColumn("date", parse_timestamp("date"))
+        if c in raw.columns:
+            df = df.withColumn(c, parse_int(c, long=True))
+    if "zip" in raw.columns:
+        df = df.withColumn("zip", parse_double("zip"))
+    df = df.withColumn("mcc", parse_int("mcc")).withColumn("date", parse_timestamp("date"))
     return with_calendar(df)
 
 

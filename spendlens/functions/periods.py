@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.exprs import col
 from spendlens.plans.joins import attach_per_client
-from spendlens.sources.schema import Ledger
+from spendlens.sources.schema import MONTH_COL, Ledger
 
 # Period keys and their day counts; unknown keys mean 90 days.
 PERIOD_DAYS = {"1_month": 30, "3_months": 90, "6_months": 180, "1_year": 365, "Last Year": 365}
@@ -57,12 +57,31 @@ def with_anchor(ledger: Ledger, df: DataFrame | None = None, rule: str = "all")
     return attach_per_client(ledger, df, anchors(ledger, rule))
 
 
+def since(ledger: Ledger, days: int, rule: str = "all") -> DataFrame:
+    """Transactions without the months that lie wholly before the earliest
+    ``anchor - days`` of any client.  Only a ledger stored by months is pruned:
+    the bound is a scalar subquery over its activity table, so Spark skips the
+    months' files at run time; any other ledger comes back as it is."""
+    tx = ledger.transactions
+    if MONTH_COL not in tx.columns or ledger.activity is None:
+        return tx
+    least = days_before(F.min("anchor"), days)
+    bound = anchors(ledger, rule).agg((F.year(least) * 100 + F.month(least)).alias("bound"))
+    return tx.where(F.col(MONTH_COL) >= F.coalesce(bound.scalar(), F.lit(0)))
+
+
+def recent(ledger: Ledger, days: int, rule: str = "all", columns: tuple[str, ...] = ()) -> DataFrame:
+    """rows of the last ``days`` days before their client's
+    anchor (lower bound inclusive), with ``anchor``."""
+    tx = since(ledger, days, rule)
+    df = with_anchor(ledger, tx.select(*columns) if columns else tx.drop(MONTH_COL), rule)
+    return df.filter(F.col("date") >= days_before("anchor", days))
+
+
 def relative_period(ledger: Ledger, period: str | int = "3_months", rule: str = "all",
                     spend: bool = True) -> DataFrame:
     """rows with ``date >= anchor - days`` (lower bound inclusive)."""
-    days = period_days(period)
-    df = with_anchor(ledger, rule=rule)
-    df = df.filter(F.col("date") >= days_before("anchor", days))
+    df = recent(ledger, period_days(period), rule)
     return spend_only(df) if spend else df
 
 
@@ -72,6 +91,7 @@ def custom_range(ledger: Ledger, start: str, end: str, spend: bool = True) -> Da
     lo = F.lit(start).cast("timestamp_ntz")
     hi = F.lit(end).cast("timestamp_ntz")
     df = ledger.transactions.filter((F.col("date") >= lo) & (F.col("date") <= hi))
+    if MONTH_COL in df.columns:
+        month = lambda x: F.year(x) * 100 + F.month(x)
+        df = df.filter(F.col(MONTH_COL).between(month(lo), month(hi))).drop(MONTH_COL)
     return spend_only(df) if spend else df
-
-

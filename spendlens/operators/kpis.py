@@ -15,8 +15,8 @@ from spendlens.functions.categories import with_category
 from spendlens.functions.cleaning import month_label
 from spendlens.functions.exprs import (card_label, cents, cents_to_double, clamp_max,
                                        money_sum, money_sum_dec, round_dec)
-from spendlens.functions.periods import days_before, spend_only, with_anchor
-from spendlens.plans.joins import attach_per_client, rank_all
+from spendlens.functions.periods import days_before, recent, spend_only
+from spendlens.plans.joins import attach_per_client, may_match, rank_all
 from spendlens.sources.schema import Ledger
 
 MONTH_DAYS = 30
@@ -58,7 +58,8 @@ def kpi_core(ledger: Ledger, months_back: int = 1, reward_months: int = 12,
              mode: str = "nested") -> DataFrame:
     """One pass over the transactions: per client spend in the last
     ``months_back`` windows (A1) and weighted spend for A4."""
-    tx = with_anchor(ledger, spend_only(ledger.transactions.select("client_id", "amount", "date")))
+    days = MONTH_DAYS * max(months_back, reward_months)
+    tx = spend_only(recent(ledger, days, columns=("client_id", "amount", "date")))
     return tx.groupBy("client_id").agg(
         F.sum(F.when(_in_months(months_back), cents("amount"))).alias("_m"),
         F.sum(cents("amount") * reward_weight(reward_months, mode)).alias("_w"))
@@ -66,13 +67,21 @@ def kpi_core(ledger: Ledger, months_back: int = 1, reward_months: int = 12,
 
 def fraud_counts(ledger: Ledger) -> DataFrame:
     """Per client with transactions: fraudulent and all rows (A6).  The join
-    starts from the labels, so transactions without one never shuffle by id; a
-    duplicated label fans out, as in a plain left merge."""
-    labels = ledger.fraud_labels.where("transaction_id is not null").groupBy(
-        F.col("transaction_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("_ln"), F.count_if(F.col("is_fraud")).alias("_lf"))
-    hit = (ledger.transactions.select("client_id", "id").join(labels, "id")
-           .groupBy("client_id").agg(F.sum(F.col("_ln") - 1).alias("_more"), F.sum("_lf").alias("_f")))
+    starts from the labels: in a stored ledger both sides are bucketed by id and
+    nothing is exchanged; elsewhere only transactions whose id may be a label's
+    shuffle by id (``may_match``).  A duplicated label fans out, as in a plain
+    left merge."""
+    if ledger.ids is not None and ledger.labels_by_id is not None:
+        labels = ledger.labels_by_id.select(F.col("transaction_id").alias("id"), F.col("labels").alias("_ln"), F.col("frauds").alias("_lf"))
+        hit = ledger.ids.join(labels, "id")
+    else:
+        labels = ledger.fraud_labels.where("transaction_id is not null").groupBy(
+            F.col("transaction_id").alias("id")).agg(
+            F.count(F.lit(1)).alias("_ln"), F.count_if(F.col("is_fraud")).alias("_lf"))
+        ids = may_match(ledger.transactions.select("client_id", "id"), labels.select("id"), "id")
+        hit = ids.join(labels, "id").withColumn("n", F.lit(1).cast("long"))
+    hit = hit.groupBy("client_id").agg(F.sum((F.col("_ln") - 1) * F.col("n")).alias("_more"),
+                                       F.sum(F.col("_lf") * F.col("n")).alias("_f"))
     zero = F.lit(0).cast("long")
     return (ledger.client_activity().select("client_id", "n_transactions").join(hit, "client_id", "left")
             .select("client_id", F.coalesce("_f", zero).alias("_fraud"),
@@ -81,7 +90,7 @@ def fraud_counts(ledger: Ledger) -> DataFrame:
 
 def monthly_spending(ledger: Ledger, months_back: int = 1) -> DataFrame:
     """A1: purchases in the last ``30 * months_back`` days up to the anchor."""
-    tx = with_anchor(ledger, ledger.transactions.select("client_id", "amount", "date"))
+    tx = recent(ledger, MONTH_DAYS * months_back, columns=("client_id", "amount", "date"))
     s = (tx.filter(_in_months(months_back)).groupBy("client_id")
            .agg(money_sum("amount").alias("monthly_spending")))
     return attach_per_client(ledger, _users(ledger), s, "left").select(
@@ -143,7 +152,7 @@ def spending_by_category(ledger: Ledger, months_back: int = 3) -> DataFrame:
     """A5 + A10: per client × category spend and count over the last
     ``30 * months_back`` days; share of the client's total (1 dp), rank,
     top-10 flag, top-5 share (sum of the rounded shares), category count."""
-    tx = with_anchor(ledger, ledger.transactions.select("client_id", "mcc", "amount", "date"))
+    tx = recent(ledger, MONTH_DAYS * months_back, columns=("client_id", "mcc", "amount", "date"))
     tx = with_category(tx.filter(_in_months(months_back)), ledger.mcc_codes)
     g = tx.groupBy("client_id", "category").agg(
         money_sum_dec("amount").alias("_d"), F.count(F.lit(1)).alias("transactions"))
@@ -167,7 +176,7 @@ def monthly_trend(ledger: Ledger, months: int = 6) -> DataFrame:
 
     One aggregation per client with a conditional sum per bucket, unpacked
     into one row per bucket: no skeleton join."""
-    tx = with_anchor(ledger, ledger.transactions.select("client_id", "amount", "date"))
+    tx = recent(ledger, MONTH_DAYS * months, columns=("client_id", "amount", "date"))
     sums = []
     for i in range(months):
         inside = ((F.col("amount") > 0)

@@ -16,6 +16,7 @@ from spendlens.functions.exprs import (money, money_sum_dec, money_text, pct_tex
                                        truncate_label)
 from spendlens.functions.periods import period_days, relative_period
 from spendlens.plans.joins import attach_per_client, top_k_per_group
+from spendlens.plans.quantiles import exact_percentiles
 from spendlens.sources.schema import Ledger
 
 # Display names of merchant ids 1–10.
@@ -92,24 +93,23 @@ def _merchant_stats(ledger: Ledger, period: str) -> DataFrame:
         merchant_name(F.col("merchant_id"), F.col("category")).alias("merchant_name"))
 
 
+_THRESHOLDS = {"total_spent": "spending_threshold", "frequency_score": "frequency_threshold"}
+
+
 def client_merchant_totals(ledger: Ledger, period: str = "3_months", approx: bool = False,
                            stats: DataFrame | None = None) -> DataFrame:
-    """Per client over its merchants, in one aggregation shared by M4, M7 and
-    M10: number of merchants, exact total spend and the 70th percentiles of
-    spend and frequency (linear interpolation; ``approx=True`` bounds memory
-    for clients with very many merchants)."""
+    """Per client over its merchants, shared by M4, M7 and M10: number of
+    merchants, exact total spend and the 70th percentiles of spend and frequency
+    (linear interpolation, by histogram, so a client's merchants never meet in
+    one buffer; ``approx=True`` takes sketches)."""
     def build(s: DataFrame) -> DataFrame:
+        totals = [F.count(F.lit(1)).alias("total_merchants"), F.sum(money("total_spent")).alias("_t")]
         if approx:
-            q_spend = F.percentile_approx("total_spent", LOYALTY_QUANTILE, 10000)
-            q_freq = F.percentile_approx("frequency_score", LOYALTY_QUANTILE, 10000)
-        else:
-            q_spend = F.percentile("total_spent", F.lit(LOYALTY_QUANTILE))
-            q_freq = F.percentile("frequency_score", F.lit(LOYALTY_QUANTILE))
-        return s.groupBy("client_id").agg(
-            F.count(F.lit(1)).alias("total_merchants"),
-            F.sum(money("total_spent")).alias("_t"),
-            q_spend.cast("double").alias("spending_threshold"),
-            q_freq.cast("double").alias("frequency_threshold"))
+            return s.groupBy("client_id").agg(
+                *totals, *[F.percentile_approx(c, LOYALTY_QUANTILE, 10000).cast("double").alias(name)
+                           for c, name in _THRESHOLDS.items()])
+        marks = exact_percentiles(s.select("client_id", *_THRESHOLDS), ["client_id"], _THRESHOLDS, LOYALTY_QUANTILE)
+        return attach_per_client(ledger, s.groupBy("client_id").agg(*totals), marks, "left")
 
     if stats is not None:
         return build(stats)
@@ -122,8 +122,8 @@ def concentration(ledger: Ledger, period: str = "3_months",
     """M4: share of the top 3 / 5 / 10 merchants in the client's total (1 dp);
     clients whose total is 0 have no row."""
     s = merchant_stats(ledger, period) if stats is None else stats
-    totals = client_merchant_totals(ledger, period, stats=stats).select(
-        "client_id", "total_merchants", "_t")
+    totals = s.groupBy("client_id").agg(F.count(F.lit(1)).alias("total_merchants"),
+                                        F.sum(money("total_spent")).alias("_t"))
     s = s.select("client_id", "merchant_id", "total_spent", "transaction_count",
                  money("total_spent").alias("_d"))
     # The salt reads the same merchant columns as the other per-client branches
@@ -170,8 +170,10 @@ def loyalty_candidates(ledger: Ledger, period: str = "3_months", approx: bool =
     of frequency (see :func:`client_merchant_totals`), scored
     0.6·spend + 20·frequency + 2·count."""
     s = merchant_stats(ledger, period) if stats is None else stats
-    th = client_merchant_totals(ledger, period, approx, stats).select(
-        "client_id", "spending_threshold", "frequency_threshold")
+    if approx:
+        th = client_merchant_totals(ledger, period, True, stats).select("client_id", *_THRESHOLDS.values())
+    else:
+        th = exact_percentiles(s.select("client_id", *_THRESHOLDS), ["client_id"], _THRESHOLDS, LOYALTY_QUANTILE)
     c = attach_per_client(ledger, s, th).filter(
         (F.col("total_spent") >= F.col("spending_threshold"))
         | (F.col("frequency_score") >= F.col("frequency_threshold")))
@@ -214,7 +216,7 @@ def spending_volatility(ledger: Ledger, period: str = "3_months") -> DataFrame:
 def merchant_summary(ledger: Ledger, period: str = "3_months") -> DataFrame:
     """One row per client — merchant count, concentration, volatility and
     number of loyalty candidates."""
-    base = client_merchant_totals(ledger, period).select("client_id", "total_merchants")
+    base = merchant_stats(ledger, period).groupBy("client_id").agg(F.count(F.lit(1)).alias("total_merchants"))
     conc = concentration(ledger, period).drop("total_merchants")
     loy = loyalty_candidates(ledger, period).groupBy("client_id").agg(
         F.count(F.lit(1)).alias("loyalty_candidates"))

@@ -23,14 +23,15 @@ from pyspark.sql import types as T
 
 from spendlens.functions.categories import with_category
 from spendlens.functions.exprs import (card_label, cents, cents_to_dec, improvement_band,
-                                       money_sum_dec, payback_band, payback_months, round_dec)
-from spendlens.functions.periods import (days_before, period_days, reward_period, spend_only,
-                                         with_anchor)
+                                       money_sum_dec, payback_band, payback_months,
+                                       payback_months_band, round_dec)
+from spendlens.functions.periods import period_days, recent, reward_period, spend_only
 from spendlens.operators.catalogue import (BEST_FOR, BRAND_RATES, CATALOGUE, CURRENT_BASE_RATE,
                                            CURRENT_BRAND_RULES, OTHER_KEY, Card, break_even,
                                            highlights, portfolios, rate_keys, undominated)
 from spendlens.plans.joins import attach_per_client
 from spendlens.session import app_id
+from spendlens.sources.loaders import current_portfolio
 from spendlens.sources.schema import Ledger
 
 RATE_T = T.DecimalType(6, 4)
@@ -61,7 +62,7 @@ RECOMMENDATIONS = (
 REASONS = ("High value with no annual fee", "High rewards justify the annual fee",
            "Simple 2% on everything", "Strong overall performance")
 DOUBLE_CASH_MARK = "Double Cash"
-ACTION_WORDS = ("Switch ", " spending to ")
+ACTION_TEXT = "Switch %s spending to %s"
 
 
 def _r(x: Decimal) -> Column:
@@ -88,6 +89,7 @@ def _sql(v) -> str:
     raise TypeError(type(v))
 
 
+_PARTS = ("current_cards", "top_categories", "card_details", "recommendations")
 _DIMS: dict[tuple, DataFrame] = {}
 
 
@@ -134,10 +136,7 @@ class Rewards:
     # ---- spending ------------------------------------------------------
     def period_rows(self) -> DataFrame:
         days, _ = reward_period(self.period)
-        spend = spend_only(self.ledger.transactions.select(
-            "client_id", "mcc", "amount", "date"))
-        df = with_anchor(self.ledger, spend, "spend")
-        return df.filter(F.col("date") >= days_before("anchor", days))
+        return spend_only(recent(self.ledger, days, "spend", ("client_id", "mcc", "amount", "date")))
 
     def annual_spending(self) -> DataFrame:
         """R2: annualised spend per client × category, its rank, the client's
@@ -147,8 +146,11 @@ class Rewards:
         also yields the purchase count before any category fan-out), then the
         small MCC dimension is joined and folded per client × category."""
         if getattr(self, "_sp", None) is None:
-            self._sp = attach_per_client(self.ledger, self.category_spend(),
-                                         self.transaction_counts())
+            # Purchases by mcc, each once however many categories an mcc has:
+            # an array no longer than the list of mccs.
+            every = F.array_distinct(F.flatten(F.collect_list("_mn").over(Window.partitionBy("client_id"))))
+            count = F.aggregate(every, F.lit(0).cast("long"), lambda n, x: n + x["_n"])
+            self._sp = self._category_rows().withColumn("transaction_count", count).drop("_mn")
         return self._sp
 
     def _by_mcc(self) -> DataFrame:
@@ -165,20 +167,23 @@ class Rewards:
 
     def category_spend(self) -> DataFrame:
         """R2 without the purchase count: what every other analysis starts from."""
-        if getattr(self, "_cs", None) is not None:
-            return self._cs
+        if getattr(self, "_cs", None) is None:
+            self._cs = self._category_rows().drop("_mn")
+        return self._cs
+
+    def _category_rows(self) -> DataFrame:
         _, mult = reward_period(self.period)
         g = (with_category(self._by_mcc(), self.ledger.mcc_codes, fallback="rewards")
              .groupBy("client_id", "category")
-             .agg(cents_to_dec(F.sum("_m") * F.lit(mult), 20).alias("_spend")))
+             .agg(cents_to_dec(F.sum("_m") * F.lit(mult), 20).alias("_spend"),
+                  F.collect_set(F.struct("mcc", "_n")).alias("_mn")))
         w = Window.partitionBy("client_id")
         rk = F.row_number().over(w.orderBy(F.col("_spend").desc(), F.col("category")))
-        g = g.select("client_id", "category", "_spend",
+        g = g.select("client_id", "category", "_spend", "_mn",
                      F.col("_spend").cast("double").alias("annual_spending"),
                      F.sum("_spend").over(w).cast("double").alias("total_annual_spending"),
                      rk.cast("long").alias("spending_rank"))
-        self._cs = g.withColumn("in_top5", F.col("spending_rank") <= 5)
-        return self._cs
+        return g.withColumn("in_top5", F.col("spending_rank") <= 5)
 
     def key_spend(self, spending: DataFrame | None = None) -> DataFrame:
         """One row per client: spend per rate key (``_k0``…) and for all other
@@ -369,7 +374,7 @@ class Rewards:
     def _with_portfolio_rates(self, sp: DataFrame, opt: DataFrame, how: str) -> DataFrame:
         df = attach_per_client(self.ledger, sp, opt.select("client_id", "portfolio_id"), how)
         df = df.withColumn("rate_key", _key_of(F.col("category"), self.keys))
-        return df.join(F.broadcast(self.portfolio_key_dim()), ["portfolio_id", "rate_key"],
+        return df.join(self.portfolio_key_dim(), ["portfolio_id", "rate_key"],
                        "left")
 
     def gross_by_category(self) -> DataFrame:
@@ -408,6 +413,7 @@ class Rewards:
             F.when(fees > 0, imp / fees * 100).otherwise(F.lit(0.0)).alias("efficiency_pct"),
             improvement_band(imp).alias("improvement_band"),
             payback_band(payback).alias("payback_band"),
+            payback_months_band(payback).alias("payback_months_band"),
             payback_months(payback).alias("payback_months"))
 
     def impact(self) -> DataFrame:
@@ -419,7 +425,7 @@ class Rewards:
             "net_annual_rewards", F.col("_fees").alias("total_annual_fees"), "annual_improvement",
             "improvement_percentage", F.col("signup_bonuses").cast("long").alias("signup_bonuses"),
             "payback_period", "first_year_benefit", "monthly_improvement", "efficiency_pct",
-            "improvement_band", "payback_band", "payback_months")
+            "improvement_band", "payback_band", "payback_months_band", "payback_months")
 
     # ---- R10 -------------------------------------------------------------
     def break_even(self) -> DataFrame:
@@ -437,26 +443,25 @@ class Rewards:
     def recommendations(self) -> DataFrame:
         """High when the improvement exceeds 100 or bonuses exceed 500,
         Medium for a payback under two years; ordered High, Medium, Low."""
-        imp = self.impact()
+        out = self.impact().select("client_id", F.explode(self._recommended()).alias("r"))
+        return out.select("client_id", "r.seq", "r.priority", "r.priority_rank", "r.title", "r.description", "r.action")
+
+    @staticmethod
+    def _recommended() -> Column:
+        """The recommendations of a row of impact figures, by priority."""
         i, b, p = F.col("annual_improvement"), F.col("signup_bonuses"), F.col("payback_period")
 
         def rec(seq, value):
             prio, title, fmt, action = RECOMMENDATIONS[seq - 1]
-            return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(prio).alias("priority"),
-                            F.lit(title).alias("title"),
-                            F.format_string(fmt, value).alias("description"),
-                            F.lit(action).alias("action"))
+            rank = {"High": 1, "Medium": 2}.get(prio, 3)
+            return F.struct(F.lit(rank).cast("long").alias("priority_rank"), F.lit(seq).cast("long").alias("seq"),
+                            F.lit(prio).alias("priority"), F.lit(title).alias("title"),
+                            F.format_string(fmt, value).alias("description"), F.lit(action).alias("action"))
 
-        recs = F.array(
+        return F.array_sort(F.array_compact(F.array(
             F.when(i > 100, rec(1, round_dec(i, 2))),
             F.when(b > 500, rec(2, b.cast("double"))),
-            F.when((p > 0) & (p < 2), rec(3, round_dec(p, 1))))
-        out = imp.select("client_id", F.explode(F.array_compact(recs)).alias("r"))
-        prio = F.col("r.priority")
-        return out.select(
-            "client_id", "r.seq", "r.priority",
-            F.when(prio == "High", 1).when(prio == "Medium", 2).otherwise(3).cast("long")
-            .alias("priority_rank"), "r.title", "r.description", "r.action")
+            F.when((p > 0) & (p < 2), rec(3, round_dec(p, 1))))))
 
     # ---- R12 + R13 + J9 -------------------------------------------------
     def card_comparison(self) -> DataFrame:
@@ -559,9 +564,7 @@ class Rewards:
         is_act = F.col("action_priority") > 0
         return out.select(
             "*",
-            F.when(is_act, F.concat(F.lit(ACTION_WORDS[0]), F.col("category"),
-                                    F.lit(ACTION_WORDS[1]),
-                                    F.col("best_card"))).otherwise(F.lit("")).alias("action"),
+            F.when(is_act, F.format_string(ACTION_TEXT, F.col("category"), F.col("best_card"))).otherwise(F.lit("")).alias("action"),
             F.when(is_act, F.col("additional_rewards") / 12).otherwise(F.lit(0.0))
             .alias("monthly_impact"))
 
@@ -614,10 +617,53 @@ class Rewards:
                          (F.col("best_rate").cast("double") * 100).alias("reward_rate_pct"),
                          "card_best_for", "card_high_rates")
 
+    def portfolio_cards(self) -> DataFrame:
+        """One row for each card of the client's optimal portfolio, in its
+        order, whether or not it wins a category: fee, bonus, highlight texts and
+        all listed rates, highest first (then by category)."""
+        rows = []
+        for c in self.catalogue:
+            rates = sorted(c.rates, key=lambda kr: (-kr[1], kr[0]))
+            rows.append((c.name, c.annual_fee, c.signup_bonus, *highlights(c),
+                         [(i, k, r) for i, (k, r) in enumerate(rates, 1)]))
+        dim = self.spark.createDataFrame(
+            rows, "card string, annual_fee long, signup_bonus long, best_for string, high_rates string, "
+                  "rates array<struct<rank:int,category:string,rate:decimal(6,4)>>")
+        opt = self.optimal().select("client_id", F.posexplode("member_cards").alias("_at", "card"))
+        return opt.join(dim, "card").select(
+            "client_id", (F.col("_at") + 1).cast("long").alias("position"), "card", "annual_fee", "signup_bonus",
+            "best_for", "high_rates", "rates")
+
     # ---- R25 ----------------------------------------------------------------
     def bundle(self) -> DataFrame:
         """One row per client with spending — the figures of the
-        optimisation bundle, zeros where no portfolio has a positive net."""
+        optimisation bundle, zeros where no portfolio has a positive net, and its
+        parts as arrays of structs: ``current_cards`` (R3, by card id),
+        ``top_categories`` (the five largest of R2), ``card_details`` (R24) and
+        ``recommendations`` (R11, by priority); empty where there is none."""
+        cards = current_portfolio(self.ledger).groupBy("client_id").agg(F.array_sort(F.collect_list(
+            F.struct("card_id", "card_brand", "card_type", "credit_limit"))).alias("current_cards"))
+        top = self.category_spend().where("in_top5").groupBy("client_id").agg(F.array_sort(F.collect_list(
+            F.struct(F.col("spending_rank").alias("rank"), "category", "annual_spending"))).alias("top_categories"))
+        df = self._bundle(parts=True)
+        for part in (cards, top):
+            df = attach_per_client(self.ledger, df, part, "left")
+        return df.select(*[F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c) if c in _PARTS else F.col(c)
+                           for c in df.columns])
+
+    def _card_details(self) -> Column:
+        """R24 of the row's portfolio, from a constant array by place."""
+        def card(i, c):
+            return (f"named_struct('position', {i}L, 'card', {_sql(c.name)}, 'annual_fee', {c.annual_fee}L, "
+                    f"'signup_bonus', {c.signup_bonus}L, 'best_for', {_sql(highlights(c)[0])})")
+        every = ", ".join("array(" + ", ".join(card(i, c) for i, c in enumerate(p.cards(self.catalogue), 1)) + ")" for p in self.ports)
+        return F.expr(f"element_at(array({every}), _place + 1)")
+
+    def bundle_figures(self) -> DataFrame:
+        """The figures of R25, one row per client with spending."""
+        return self._bundle(parts=False)
+
+    def _bundle(self, parts: bool) -> DataFrame:
         df = attach_per_client(self.ledger, self._impact_cols(self.summary()),
                                self.transaction_counts())
         opt = F.col("has_optimal")
@@ -639,7 +685,9 @@ class Rewards:
             F.when(opt, b).otherwise(F.lit(0)).cast("long").alias("signup_bonuses"),
             on("first_year_benefit").alias("first_year_benefit"),
             on("payback_period").alias("payback_period"),
-            F.when(opt, recs).otherwise(F.lit(0)).cast("long").alias("recommendation_count"))
+            F.when(opt, recs).otherwise(F.lit(0)).cast("long").alias("recommendation_count"),
+            *([F.when(opt, self._card_details()).alias("card_details"),
+               F.when(opt, self._recommended()).alias("recommendations")] if parts else []))
 
     # ---- R1 per client ------------------------------------------------------
     def catalogue_rates(self) -> DataFrame:
@@ -668,9 +716,7 @@ def owned_card_rewards(ledger: Ledger, period: str = "3_months") -> DataFrame:
     ties; brands without rates are skipped), against a 1 % baseline.  Clients
     without cards have no rows."""
     days = period_days(period)
-    tx = ledger.transactions.select("client_id", "mcc", "amount", "date")
-    tx = with_anchor(ledger, tx)
-    tx = spend_only(tx.filter(F.col("date") >= days_before("anchor", days)))
+    tx = spend_only(recent(ledger, days, columns=("client_id", "mcc", "amount", "date")))
     cs = (with_category(tx, ledger.mcc_codes, fallback="rewards").groupBy("client_id", "category")
           .agg(money_sum_dec("amount").cast(SPEND_T).alias("_spend")))
     cards = ledger.cards.select("client_id", F.col("id").alias("card_id"), "card_brand",

@@ -6,6 +6,8 @@ included) unless a custom range is given (F4); only purchases are kept (F2).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from spendlens.functions.categories import with_category
 from spendlens.functions.cleaning import day_name, month_key
 from spendlens.functions.exprs import (cents, cents_to_double, money_sum, money_sum_dec,
                                        pct_change, round_dec, safe_div)
-from spendlens.functions.periods import (custom_range, days_before, period_days, with_anchor,
-                                         relative_period, spend_only)
+from spendlens.functions.periods import (custom_range, days_before, period_days, relative_period,
+                                         since, spend_only)
 from spendlens.plans.joins import attach_per_client, rank_all, top_k_per_group
 from spendlens.sources.schema import Ledger
 
@@ -151,25 +153,56 @@ def spending_patterns(ledger: Ledger, period: str = "3_months", start: str | Non
                     "max_transaction", "min_transaction")
 
 
-def comparison_metrics(ledger: Ledger, period: str = "3_months") -> DataFrame:
+def comparison_windows(start: str, end: str) -> tuple[dt.datetime, dt.datetime, dt.datetime]:
+    """B8 with a range: the window ``[start, end]`` and the one of the same
+    length right before it, as ``(previous start, start, end)``."""
+    lo, hi = (dt.datetime.fromisoformat(x) for x in (start, end))
+    if hi < lo:
+        raise ValueError(f"the range ends before it starts: {start} to {end}")
+    return lo - (hi - lo), lo, hi
+
+
+def comparison_metrics(ledger: Ledger, period: str = "3_months", start: str | None = None,
+                       end: str | None = None) -> DataFrame:
     """Current vs previous period (anchor after F2, F6), the change
     percentages, spending velocity over the real period length and the number
-    of categories in the period's breakdown.  Clients with no purchase in the
-    period have no row."""
-    days = period_days(period)
-    df = with_anchor(ledger, spend_only(ledger.transactions), "spend")
-    cur = F.col("date") >= days_before("anchor", days)
-    prev = (F.col("date") >= days_before("anchor", 2 * days)) & ~cur
-    m = df.groupBy("client_id").agg(
-        F.sum(F.when(cur, cents("amount"))).alias("_cs"),
-        F.count_if(cur).alias("current_transactions"),
-        F.sum(F.when(prev, cents("amount"))).alias("_ps"),
-        F.count_if(prev).alias("previous_transactions"))
+    of categories in the period's breakdown.  With ``start`` and ``end`` the
+    current period is that range (F4) and the previous one, of the same length,
+    ends where it starts.  Clients with no purchase in the period have no row.
+
+    One pass: purchases are folded per client × mcc, which carries the sums of
+    both periods, and then per client with the mccs of the breakdown."""
+    if start and end:
+        before, lo, hi = comparison_windows(start, end)
+        days = max(1.0, (hi - lo).total_seconds() / 86_400)
+        at = lambda x: F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+        df = custom_range(ledger, before.isoformat(sep=" "), hi.isoformat(sep=" "))
+        cur, prev = F.col("date") >= at(lo), F.col("date") < at(lo)
+        listed = cur
+    else:
+        days = float(period_days(period))
+        both = ledger.client_activity().select("client_id", "last_date", F.col("last_purchase").alias("anchor"))
+        tx = since(ledger, 2 * int(days), "spend").select("client_id", "mcc", "amount", "date")
+        df = attach_per_client(ledger, spend_only(tx), both).where(F.col("date") >= days_before("anchor", 2 * int(days)))
+        cur = F.col("date") >= days_before("anchor", int(days))
+        prev = ~cur
+        listed = F.col("date") >= days_before("last_date", int(days))
+    m = df.groupBy("client_id", "mcc").agg(
+        F.sum(F.when(cur, cents("amount"))).alias("_cs"), F.count_if(cur).alias("_cn"),
+        F.sum(F.when(prev, cents("amount"))).alias("_ps"), F.count_if(prev).alias("_pn"),
+        F.count_if(listed).alias("_bn"))
+    m = m.groupBy("client_id").agg(
+        F.sum("_cs").alias("_cs"), F.sum("_cn").alias("current_transactions"),
+        F.sum("_ps").alias("_ps"), F.sum("_pn").alias("previous_transactions"),
+        F.collect_set(F.when(F.col("_bn") > 0, F.struct("mcc"))).alias("_mccs"))  # codes, not rows
+    sums = ["_cs", "current_transactions", "_ps", "previous_transactions"]
+    m = with_category(m.select("client_id", *sums, F.inline("_mccs")), ledger.mcc_codes)
+    m = m.groupBy("client_id", *sums).agg(F.countDistinct("category").alias("category_diversity"))
     cs = F.coalesce(cents_to_double("_cs"), F.lit(0.0))
     ps = F.coalesce(cents_to_double("_ps"), F.lit(0.0))
     m = m.select(
         "client_id", cs.alias("current_spending"), ps.alias("previous_spending"),
-        "current_transactions", "previous_transactions")
+        "current_transactions", "previous_transactions", "category_diversity")
     m = m.select(
         "*",
         pct_change("current_spending", "previous_spending").alias("spending_change_pct"),
@@ -177,12 +210,9 @@ def comparison_metrics(ledger: Ledger, period: str = "3_months") -> DataFrame:
                    F.col("previous_transactions").cast("double")).alias("transaction_change_pct"),
         safe_div("current_spending", "current_transactions").alias("avg_transaction_current"),
         safe_div("previous_spending", "previous_transactions").alias("avg_transaction_previous"),
-        (F.col("current_transactions") / F.lit(float(days))).alias("velocity_per_day"))
-    m = m.withColumn("avg_transaction_change_pct",
-                     pct_change("avg_transaction_current", "avg_transaction_previous"))
-    diversity = (category_breakdown(ledger, period).groupBy("client_id")
-                 .agg(F.count(F.lit(1)).alias("category_diversity")))
-    return attach_per_client(ledger, m, diversity)
+        (F.col("current_transactions") / F.lit(days)).alias("velocity_per_day"))
+    return m.withColumn("avg_transaction_change_pct",
+                        pct_change("avg_transaction_current", "avg_transaction_previous"))
 
 
 def category_insights(ledger: Ledger, period: str = "3_months",

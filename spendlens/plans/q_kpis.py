@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from spendlens.operators import kpis
 from spendlens.plans.registry import register
 from spendlens.plans.sqlkit import DB, MSD, R, anchor_cte, categorized_cte, with_ledger
@@ -143,16 +145,19 @@ _PROFILE_SQL = with_ledger(
     B,
     "c AS (SELECT client_id, COUNT(*) AS card_count, string_agg(concat_ws('|', CAST(id AS VARCHAR), "
     "card_brand, card_type, CAST(CAST(credit_limit AS DECIMAL(18,2)) AS VARCHAR), "
-    "strftime(expires, '%Y-%m-%d')), ';' ORDER BY id) AS cards_text FROM cards GROUP BY client_id)",
+    "strftime(expires, '%Y-%m-%d')), ';' ORDER BY id) AS cards_text, CAST(to_json(list(struct_pack(card_id := id, "
+    "card_brand := card_brand, card_type := card_type, credit_limit := credit_limit, expires := expires, "
+    "label := card_brand || ' (' || card_type || ')') ORDER BY id)) AS VARCHAR) AS cards FROM cards GROUP BY client_id)",
 ) + (
     "SELECT u.id AS user_id, u.current_age AS age, u.gender, u.address, u.yearly_income, "
     "u.total_debt, u.credit_score, u.num_credit_cards, COALESCE(c.card_count, 0) AS card_count, "
-    "COALESCE(c.cards_text, '') AS cards_text FROM users u LEFT JOIN c ON u.id = c.client_id")
+    "COALESCE(c.cards_text, '') AS cards_text, c.cards FROM users u LEFT JOIN c ON u.id = c.client_id")
 
 
 @register("user_profile", B, "A8, J5", _PROFILE_SQL)
 def user_profile(led):
-    return kpis.user_profile(led).drop("cards")
+    # The nested list as JSON text, the same on both sides.
+    return kpis.user_profile(led).withColumn("cards", F.to_json("cards", {"ignoreNullFields": "false"}))
 
 
 _ALL_SQL = with_ledger(

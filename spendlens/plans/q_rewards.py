@@ -4,6 +4,8 @@ joined with every (portfolio, member card) from VALUES tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from spendlens.operators import rewards as rw
 from spendlens.operators.catalogue import (BEST_FOR, BRAND_RATES, CATALOGUE, CURRENT_BRAND_RULES,
                                            highlights, portfolios)
@@ -124,6 +126,8 @@ IMP_CTES = (
     "WHEN annual_improvement > 0 THEN 'minor' ELSE 'optimized' END AS improvement_band, "
     "CASE WHEN payback_period <= 0 THEN 'immediate' WHEN payback_period < 1 THEN 'under_one_year' "
     "WHEN payback_period < 2 THEN 'reasonable' ELSE 'long' END AS payback_band, "
+    "CASE WHEN payback_period <= 0 THEN 'immediate' WHEN TRUNC(payback_period * 12) <= 6 THEN 'quick' "
+    "WHEN TRUNC(payback_period * 12) <= 12 THEN 'reasonable' ELSE 'long' END AS payback_months_band, "
     "CAST(TRUNC(payback_period * 12) AS BIGINT) AS payback_months FROM imp1)",
 )
 
@@ -296,8 +300,8 @@ _EXTRA_CTES = (
 
 @register("category_extra_rewards", "N", "R14, R15, R16, R17, F11", _n(*_EXTRA_CTES) + (
     "SELECT *, CASE WHEN total_current > 0 THEN total_additional / total_current * 100 ELSE 0.0 END "
-    f"AS uplift_pct, CASE WHEN action_priority > 0 THEN {q(rw.ACTION_WORDS[0])} || category || "
-    f"{q(rw.ACTION_WORDS[1])} || best_card ELSE '' END AS action, "
+    f"AS uplift_pct, CASE WHEN action_priority > 0 THEN printf({q(rw.ACTION_TEXT)}, category, "
+    f"best_card) ELSE '' END AS action, "
     "CASE WHEN action_priority > 0 THEN additional_rewards / 12 "
     "ELSE 0.0 END AS monthly_impact FROM ce3"))
 def category_extra_rewards(led):
@@ -344,8 +348,45 @@ def card_usage_plan(led):
     return rw.Rewards.of(led, "1_year").card_usage_plan()
 
 
+@register("portfolio_cards", "N", "R24, F11", _n(_HL) + (
+    "SELECT o.client_id, CAST(p.pos + 1 AS BIGINT) AS position, p.card, CAST(c.annual_fee AS BIGINT) AS annual_fee, "
+    "CAST(c.signup_bonus AS BIGINT) AS signup_bonus, hl.card_best_for AS best_for, hl.card_high_rates AS high_rates, "
+    "(SELECT string_agg(r.category || ' ' || CAST(r.rate AS VARCHAR), '; ' ORDER BY r.rate DESC, r.category) "
+    "FROM cat_rates r WHERE r.card = p.card) AS rates FROM opt o JOIN ports p ON p.pid = o.pid "
+    "JOIN cat_cards c ON c.card = p.card LEFT JOIN hl ON hl.best_card = p.card"))
+def portfolio_cards(led):
+    df = rw.Rewards.of(led, "1_year").portfolio_cards()
+    text = F.transform("rates", lambda r: F.concat(r["category"], F.lit(" "), r["rate"].cast("string")))
+    return df.withColumn("rates", F.when(F.size("rates") > 0, F.array_join(text, "; ")))
+
+
+def _list_json(fields: dict[str, str], order: str) -> str:
+    packed = ", ".join(f"{k} := {v}" for k, v in fields.items())
+    return f"CAST(to_json(list(struct_pack({packed}) ORDER BY {order})) AS VARCHAR)"
+
+
+_BUNDLE_PARTS = (
+    "b_cards AS (SELECT client_id, " + _list_json({
+        "card_id": "id", "card_brand": "card_brand", "card_type": "card_type", "credit_limit": "credit_limit"}, "id")
+    + " AS current_cards FROM cards GROUP BY client_id)",
+    "b_rank AS (SELECT client_id, category, CAST(sp AS DOUBLE) AS annual_spending, row_number() OVER "
+    "(PARTITION BY client_id ORDER BY sp DESC, category) AS rank FROM cs)",
+    "b_top AS (SELECT client_id, " + _list_json({
+        "rank": "rank", "category": "category", "annual_spending": "CAST(CAST(annual_spending AS DECIMAL(20,2)) AS VARCHAR)"}, "rank")
+    + " AS top_categories FROM b_rank WHERE rank <= 5 GROUP BY client_id)",
+    "b_details AS (SELECT o.client_id, " + _list_json({
+        "position": "p.pos + 1", "card": "p.card", "annual_fee": "c.annual_fee", "signup_bonus": "c.signup_bonus",
+        "best_for": "hl.card_best_for"}, "p.pos")
+    + " AS card_details FROM opt o JOIN ports p ON p.pid = o.pid JOIN cat_cards c ON c.card = p.card "
+    "LEFT JOIN hl ON hl.best_card = p.card GROUP BY o.client_id)",
+    "b_recs AS (SELECT client_id, " + _list_json({
+        k: k for k in ("priority_rank", "seq", "priority", "title", "description", "action")}, "priority_rank, seq")
+    + " AS recommendations FROM recs GROUP BY client_id)",
+)
+
+
 @register("portfolio_bundle", "N", "R25", _n(
-    *_current_ctes(), *IMP_CTES, *RECS_CTE,
+    *_current_ctes(), *IMP_CTES, *RECS_CTE, _HL, *_BUNDLE_PARTS,
     "rc AS (SELECT client_id, COUNT(*) AS recommendation_count FROM recs GROUP BY client_id)",
     "tot AS (SELECT client_id, CAST(SUM(sp) AS DOUBLE) AS total_annual_spending FROM cs "
     "GROUP BY client_id)") + (
@@ -355,11 +396,22 @@ def card_usage_plan(led):
     "AS net_annual_rewards, COALESCE(imp.annual_improvement, 0.0) AS annual_improvement, "
     "COALESCE(imp.signup_bonuses, 0) AS signup_bonuses, COALESCE(imp.first_year_benefit, 0.0) "
     "AS first_year_benefit, COALESCE(imp.payback_period, 0.0) AS payback_period, "
-    "COALESCE(rc.recommendation_count, 0) AS recommendation_count FROM tot "
+    "COALESCE(rc.recommendation_count, 0) AS recommendation_count, "
+    "COALESCE(b_cards.current_cards, '[]') AS current_cards, COALESCE(b_top.top_categories, '[]') AS top_categories, "
+    "COALESCE(b_details.card_details, '[]') AS card_details, COALESCE(b_recs.recommendations, '[]') AS recommendations FROM tot "
     "JOIN cnt ON cnt.client_id = tot.client_id JOIN curr cu ON cu.client_id = tot.client_id "
-    "LEFT JOIN imp ON imp.client_id = tot.client_id LEFT JOIN rc ON rc.client_id = tot.client_id"))
+    "LEFT JOIN imp ON imp.client_id = tot.client_id LEFT JOIN rc ON rc.client_id = tot.client_id "
+    "LEFT JOIN b_cards ON b_cards.client_id = tot.client_id LEFT JOIN b_top ON b_top.client_id = tot.client_id "
+    "LEFT JOIN b_details ON b_details.client_id = tot.client_id LEFT JOIN b_recs ON b_recs.client_id = tot.client_id"))
 def portfolio_bundle(led):
-    return rw.Rewards.of(led, "1_year").bundle()
+    df = rw.Rewards.of(led, "1_year").bundle()
+    # Amounts as decimal text: the engines write large doubles differently.
+    top = F.transform("top_categories", lambda r: F.struct(
+        r["rank"].alias("rank"), r["category"].alias("category"),
+        r["annual_spending"].cast("decimal(20,2)").cast("string").alias("annual_spending")))
+    df = df.withColumn("top_categories", top)
+    parts = ("current_cards", "top_categories", "card_details", "recommendations")
+    return df.select(*[F.to_json(c, {"ignoreNullFields": "false"}).alias(c) if c in parts else c for c in df.columns])
 
 
 @register("catalogue_rates", "N", "R1", with_ledger(

@@ -11,9 +11,11 @@ from spendlens.plans.sqlkit import (DB, MSD, PCT, R, SDIV, anchor_cte, categoriz
                                     period_cte, q, with_ledger)
 
 CUSTOM_START, CUSTOM_END = "2000-01-01", "2000-06-30"
+#: Days of that range; the range before it, of the same length, begins 1999-07-04.
+RANGE_DAYS, RANGE_BEFORE = 181.0, "1999-07-04"
 
 
-def _breakdown_sql(days: int | None = None, start: str | None = None, end: str | None = None,
+def breakdown_sql(days: int | None = None, start: str | None = None, end: str | None = None,
                    name: str = "b") -> list[str]:
     if start:
         f = (f"f AS (SELECT * FROM tx WHERE date >= TIMESTAMP '{start}' "
@@ -33,7 +35,7 @@ def _breakdown_sql(days: int | None = None, start: str | None = None, end: str |
 
 
 @register("category_breakdown", "N", "B2",
-          with_ledger("N", *_breakdown_sql(90)) + "SELECT * FROM b")
+          with_ledger("N", *breakdown_sql(90)) + "SELECT * FROM b")
 def category_breakdown(led):
     return sp.category_breakdown(led, "3_months")
 
@@ -44,14 +46,14 @@ def _fallback_categories(which: str) -> str:
 
 
 @register("category_breakdown_no_mcc", "N", "C14, B2",
-          with_ledger("N", _fallback_categories("spending"), *_breakdown_sql(90))
+          with_ledger("N", _fallback_categories("spending"), *breakdown_sql(90))
           .replace("LEFT JOIN mcc m", "LEFT JOIN fallback m") + "SELECT * FROM b")
 def category_breakdown_no_mcc(led):
     return sp.category_breakdown(replace(led, mcc_codes=None, _memo={}), "3_months")
 
 
 @register("custom_range_breakdown", "N", "F4, B2",
-          with_ledger("N", *_breakdown_sql(start=CUSTOM_START, end=CUSTOM_END))
+          with_ledger("N", *breakdown_sql(start=CUSTOM_START, end=CUSTOM_END))
           + "SELECT * FROM b")
 def custom_range_breakdown(led):
     return sp.category_breakdown(led, start=CUSTOM_START, end=CUSTOM_END)
@@ -66,7 +68,7 @@ def relative_period_spend(led):
 
 
 @register("top_categories", "N", "B14",
-          with_ledger("N", *_breakdown_sql(90))
+          with_ledger("N", *breakdown_sql(90))
           + "SELECT *, rank <= 5 AS in_top5 FROM (SELECT *, CAST(row_number() OVER ("
             "PARTITION BY client_id ORDER BY total_spent DESC, category) AS BIGINT) AS rank "
             "FROM b) WHERE rank <= 10")
@@ -149,20 +151,24 @@ def spending_patterns(led):
     return sp.spending_patterns(led, "3_months")
 
 
-def _comparison_sql(days: int) -> str:
-    cur = f"t.date >= {DB('a.anchor', days)}"
-    prev = f"(t.date >= {DB('a.anchor', 2 * days)} AND t.date < {DB('a.anchor', days)})"
+def _comparison_sql(days: int | None = None, bounds: tuple[str, str, str] | None = None) -> str:
+    if bounds:
+        before, lo, hi = (f"TIMESTAMP '{x}'" for x in bounds)
+        src = (f"s AS (SELECT * FROM tx WHERE amount > 0 AND date >= {before} AND date <= {hi})",)
+        cur, prev = f"date >= {lo}", f"date < {lo}"
+        listed = breakdown_sql(start=bounds[1], end=bounds[2])
+    else:
+        src = (anchor_cte("a0", "spend"),
+               "s AS (SELECT t.*, a.anchor FROM tx t JOIN a0 a ON t.client_id = a.client_id WHERE t.amount > 0)")
+        cur = f"date >= {DB('anchor', days)}"
+        prev = f"(date >= {DB('anchor', 2 * days)} AND date < {DB('anchor', days)})"
+        listed = breakdown_sql(days)
     return with_ledger(
-        "N", anchor_cte("a0", "spend"),
-        "s AS (SELECT t.*, a.anchor FROM tx t JOIN a0 a ON t.client_id = a.client_id "
-        "WHERE t.amount > 0)",
+        "N", *src,
         f"m0 AS (SELECT client_id, "
-        f"CAST(COALESCE(SUM(CASE WHEN {cur.replace('t.', '').replace('a.', '')} "
-        "THEN CAST(amount AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS current_spending, "
-        f"CAST(COALESCE(SUM(CASE WHEN {prev.replace('t.', '').replace('a.', '')} "
-        "THEN CAST(amount AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS previous_spending, "
-        f"COUNT(*) FILTER (WHERE {cur.replace('t.', '').replace('a.', '')}) AS current_transactions, "
-        f"COUNT(*) FILTER (WHERE {prev.replace('t.', '').replace('a.', '')}) AS previous_transactions "
+        f"CAST(COALESCE(SUM(CASE WHEN {cur} THEN CAST(amount AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS current_spending, "
+        f"CAST(COALESCE(SUM(CASE WHEN {prev} THEN CAST(amount AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS previous_spending, "
+        f"COUNT(*) FILTER (WHERE {cur}) AS current_transactions, COUNT(*) FILTER (WHERE {prev}) AS previous_transactions "
         "FROM s GROUP BY client_id)",
         "m1 AS (SELECT *, "
         f"{PCT('current_spending', 'previous_spending')} AS spending_change_pct, "
@@ -170,8 +176,8 @@ def _comparison_sql(days: int) -> str:
         " AS transaction_change_pct, "
         f"{SDIV('current_spending', 'current_transactions')} AS avg_transaction_current, "
         f"{SDIV('previous_spending', 'previous_transactions')} AS avg_transaction_previous, "
-        f"current_transactions / {float(days)} AS velocity_per_day FROM m0)",
-        *_breakdown_sql(days),
+        f"current_transactions / {float(days) if days else RANGE_DAYS} AS velocity_per_day FROM m0)",
+        *listed,
         "dv AS (SELECT client_id, COUNT(*) AS category_diversity FROM b GROUP BY client_id)",
     ) + (
         "SELECT m1.*, "
@@ -184,7 +190,13 @@ def comparison_metrics(led):
     return sp.comparison_metrics(led, "3_months")
 
 
-_INSIGHTS_SQL = with_ledger("N", *_breakdown_sql(90)) + (
+@register("comparison_metrics_range", "N", "B8 (explicit range, Q8), F4",
+          _comparison_sql(bounds=(RANGE_BEFORE, CUSTOM_START, CUSTOM_END)))
+def comparison_metrics_range(led):
+    return sp.comparison_metrics(led, start=CUSTOM_START, end=CUSTOM_END)
+
+
+_INSIGHTS_SQL = with_ledger("N", *breakdown_sql(90)) + (
     "SELECT *, transaction_count > count_p75 AS frequent FROM (SELECT *, "
     "CAST(avg_transaction AS DECIMAL(18,2)) * COUNT(*) OVER w > "
     "SUM(CAST(avg_transaction AS DECIMAL(18,2))) OVER w AS above_average, "
@@ -201,7 +213,7 @@ def category_insights(led):
 # ---- parameter variants ------------------------------------------------------
 
 @register("category_breakdown_6_months", "N", "B2, F3 (180 days)",
-          with_ledger("N", *_breakdown_sql(180)) + "SELECT * FROM b")
+          with_ledger("N", *breakdown_sql(180)) + "SELECT * FROM b")
 def category_breakdown_6_months(led):
     return sp.category_breakdown(led, "6_months")
 

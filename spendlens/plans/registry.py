@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -81,6 +82,18 @@ def materialize(spark: SparkSession, led: Ledger, name: str) -> Ledger:
     return stored
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder for a query that writes and reads files: below the shared
+    checkpoint folder, gone when the session ends."""
+    base = ensure_checkpoint_dir(spark)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{base.rstrip('/')}/spendlens-{what}/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def get_ledger(spark: SparkSession, sf_dir: str, binding: str) -> Ledger:
     """One Ledger per (application, data dir, binding), shared by every query of
     that binding."""
@@ -117,7 +130,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def _load_all() -> None:
     # Importing the modules fills QUERIES.
     from spendlens.plans import (q_basics, q_insights, q_kpis, q_merchants,  # noqa: F401
-                                 q_rewards, q_spending)
+                                 q_rewards, q_sources, q_spending)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

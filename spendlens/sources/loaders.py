@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.functions import cleaning
+from spendlens.plans.joins import may_match
+from spendlens.sources import store
 from spendlens.sources.schema import SCHEMAS, Ledger, conform, validate
 
 # Raw file stems of the five tables.
@@ -34,15 +36,68 @@ _CLEANERS = {
 }
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    # Header only, every column kept as a string: cleaning does the typing.
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+#: A raw line that does not have the header's columns is kept whole in here.
+CORRUPT = "_corrupt_record"
+# Raw columns whose text must parse for a row to be of use.
+MUST_PARSE = {
+    "users": ["id"],
+    "cards": ["id", "client_id"],
+    "transactions": ["id", "client_id", "amount", "date"],
+    "mcc_codes": ["mcc"],
+    "fraud_labels": ["transaction_id", "is_fraud"],
+}
 
 
-def load_table(spark: SparkSession, data_path: str, name: str, fmt: str = "csv") -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    # Every column of the header as a string: cleaning does the typing.  Lines
+    # of another width are kept, whole, in CORRUPT; ``whole`` lines are parsed
+    # even where few columns are asked for, else their width goes unnoticed.
+    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in [*names, CORRUPT])
+    return (spark.read.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").option("columnPruning", not whole)
+            .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path))
+
+
+def _problems(raw: DataFrame, clean: DataFrame, name: str) -> Column:
+    """Reasons why a row cannot be used, in order: ``columns`` (a line of
+    another width) or the columns whose text is missing or does not parse."""
+    fails = [F.when(F.col(f"clean.{c}").isNull(), F.lit(c)) for c in MUST_PARSE[name] if c in raw.columns]
+    return F.when(F.col(f"raw.{CORRUPT}").isNotNull(), F.array(F.lit("columns"))).otherwise(
+        F.array_compact(F.array(*fails)) if fails else F.array().cast("array<string>"))
+
+
+def _checked_csv(spark: SparkSession, data_path: str, name: str) -> DataFrame:
+    """``(raw, clean, problems)`` of every data line of a CSV table."""
+    raw = _read_csv(spark, os.path.join(data_path, f"{FILE_STEMS[name]}.csv"), whole=True)
+    validate(raw, name)
+    columns = [F.col(f"`{c}`") for c in raw.columns]
+    both = raw.select(F.struct(*columns).alias("raw"), *columns)
+    clean = _CLEANERS[name](both)
+    typed = clean.select("raw", F.struct(*[F.col(f"`{c}`") for c in clean.columns if c not in ("raw", CORRUPT)]).alias("clean"))
+    return typed.select("raw", "clean", _problems(raw, clean, name).alias("problems"))
+
+
+def quarantine(spark: SparkSession, data_path: str, name: str) -> DataFrame:
+    """The lines of a CSV table that ``load_table(..., strict=True)`` leaves
+    out: ``reason`` (comma-joined) and the raw ``record`` (the line itself, or
+    its fields as JSON)."""
+    rows = _checked_csv(spark, data_path, name).where(F.size("problems") > 0)
+    fields = F.to_json(F.col("raw").dropFields(CORRUPT))
+    return rows.select(F.array_join("problems", ",").alias("reason"),
+                       F.coalesce(F.col(f"raw.{CORRUPT}"), fields).alias("record"))
+
+
+def load_table(spark: SparkSession, data_path: str, name: str, fmt: str = "csv", strict: bool = False) -> DataFrame:
+    """One table, typed; columns that its schema does not list follow as they
+    are.  Dirty fields of a CSV become nulls, as in the dashboard; ``strict``
+    leaves out the rows that ``quarantine`` lists."""
     stem = FILE_STEMS[name]
-    if fmt == "csv":
-        raw = _read_csv(spark, os.path.join(data_path, f"{stem}.csv"))
+    if fmt == "csv" and strict:
+        rows = _checked_csv(spark, data_path, name).where(F.size("problems") == 0)
+        df = rows.select("clean.*")
+    elif fmt == "csv":
+        raw = _read_csv(spark, os.path.join(data_path, f"{stem}.csv")).drop(CORRUPT)
+        validate(raw, name)
         df = _CLEANERS[name](raw)
     elif fmt == "parquet":
         df = spark.read.parquet(os.path.join(data_path, f"{stem}.parquet"))
@@ -51,13 +106,17 @@ def load_table(spark: SparkSession, data_path: str, name: str, fmt: str = "csv")
     else:
         raise ValueError(f"unknown format {fmt!r}")
     validate(df, name)
-    return conform(df, SCHEMAS[name])
+    return conform(df, SCHEMAS[name], extra=True)
 
 
 def load_ledger(spark: SparkSession, data_path: str | None, fmt: str = "csv") -> Ledger:
-    """S1 + S5: all five tables, typed."""
+    """S1 + S5: all five tables, typed; ``fmt`` is ``csv``, ``parquet`` or
+    ``stored`` (a folder of ``store.save_ledger``, which keeps the clients'
+    activity, months and buckets)."""
     if not data_path:
         raise ValueError("Data path not set.")
+    if fmt == "stored":
+        return store.load_stored(spark, data_path)
     return Ledger(**{n: load_table(spark, data_path, n, fmt) for n in FILE_STEMS})
 
 
@@ -101,10 +160,22 @@ def require_user(ledger: Ledger, client_id: int) -> None:
 
 def label_semi_join(labels: DataFrame, tx: DataFrame) -> DataFrame:
     """Labels whose transaction appears in ``tx`` (typed, possibly empty).
-    The ids are de-duplicated first (map-side), so a transaction id repeated
-    on many rows cannot make one build partition of the semi join hot."""
-    ids = tx.select(F.col("id").alias("transaction_id")).distinct()
-    return labels.join(ids, "transaction_id", "left_semi")
+    Ids that cannot be a label's stay where they are (``may_match``); the others
+    are de-duplicated first (map-side), so a transaction id repeated on many
+    rows cannot make one build partition of the semi join hot."""
+    ids = may_match(tx.select(F.col("id").alias("transaction_id")), labels, "transaction_id")
+    return labels.join(ids.distinct(), "transaction_id", "left_semi")
+
+
+def labelled_ids(ledger: Ledger) -> DataFrame:
+    """J4 of a stored ledger: ``(transaction_id, labels, frauds)`` of the
+    transactions that have a label, by a join of two tables bucketed alike: no
+    exchange.  Any other ledger is joined by id."""
+    if ledger.ids is not None and ledger.labels_by_id is not None:
+        ids = ledger.ids.select(F.col("id").alias("transaction_id"))
+        return ledger.labels_by_id.join(ids, "transaction_id", "left_semi")
+    hit = label_semi_join(ledger.fraud_labels, ledger.transactions)
+    return hit.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("labels"), F.count_if("is_fraud").alias("frauds"))
 
 
 def activity_counts(ledger: Ledger) -> DataFrame:

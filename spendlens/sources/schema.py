@@ -80,15 +80,18 @@ REQUIRED = {
 }
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+#: Month of a transaction (``yyyymm``) in a stored ledger, which is partitioned by it.
+MONTH_COL = "tx_month"
+
+
+def conform(df: DataFrame, schema: T.StructType, extra: bool = False) -> DataFrame:
     """Project ``df`` onto ``schema``: same names, same order, same types.
+    With ``extra`` columns that the schema does not list follow as they are.
 
     Missing columns become typed nulls; columns must otherwise already hold
     values of a compatible type (cleaning happens before this step).
     """
     have = set(df.columns)
-    from pyspark.sql import functions as F
-
     cols = []
     for f in schema.fields:
         if f.name in have:
@@ -98,6 +101,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             cols.append(c.alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    if extra:
+        cols += [F.col(f"`{c}`") for c in df.columns if c not in schema.names]
     return df.select(*cols)
 
 
@@ -116,7 +121,8 @@ class Ledger:
     ``mcc_codes`` may be ``None``: categories then come from the built-in
     fallback map.  ``activity`` has one row per client (latest date, latest
     purchase date, number of transactions); a stored ledger keeps it, so that
-    period operators read the transactions once.
+    period operators read the transactions once.  ``ids`` and ``labels_by_id``
+    are the transaction ids and the labels of a stored ledger, bucketed alike.
     """
 
     users: DataFrame
@@ -125,6 +131,8 @@ class Ledger:
     mcc_codes: DataFrame | None
     fraud_labels: DataFrame
     activity: DataFrame | None = field(default=None, repr=False)
+    ids: DataFrame | None = field(default=None, repr=False)
+    labels_by_id: DataFrame | None = field(default=None, repr=False)
     _memo: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property

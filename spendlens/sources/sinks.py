@@ -17,7 +17,7 @@ from spendlens.functions.exprs import round_dec
 # the action-plan wording and current-rate text.
 PATTERN_METRICS = ("Total Transactions", "Average Transaction", "Largest Transaction",
                    "Smallest Transaction")
-ACTION_WORDS = ("Use ", " for ")
+ACTION_TEXT = "Use %s for %s"
 CURRENT_RATE_TEXT = "1%"
 
 
@@ -54,8 +54,7 @@ def action_plan(extra: DataFrame) -> DataFrame:
     return a.select(
         "client_id",
         F.col("action_priority").alias("Priority"),
-        F.concat(F.lit(ACTION_WORDS[0]), F.col("best_card"), F.lit(ACTION_WORDS[1]),
-                 F.col("category"))
+        F.format_string(ACTION_TEXT, "best_card", "category")
         .alias("Action"),
         F.lit(CURRENT_RATE_TEXT).alias("Current_Rate"),
         F.format_string("%.1f%%", round_dec("best_reward_rate", 1)).alias("New_Rate"),
