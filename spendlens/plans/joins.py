@@ -33,26 +33,17 @@ FILTER_BITS = 22
 
 
 def may_match(df: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys`` (a Bloom filter of two
-    hashes; none that is there is lost, null keys go).  The filter is built on
+    """Rows of ``df`` whose ``key`` may be in ``keys`` (a hashed bitmap; none
+    that is there is lost, null keys go).  The filter is built on
     the executors, one row a 64-bit word with a bit set, so at most ``2^bits / 64``
     rows are broadcast, whatever the number of keys; past about ``2^bits / 4``
     keys it lets most rows pass, at no loss but speed."""
-    k = F.col(key).cast("long")
-    mask = F.lit((1 << bits) - 1)
-    at = [F.xxhash64(k, F.lit(i)).bitwiseAND(mask) for i in range(2)]
-    word = [F.shiftright(a, 6) for a in at]
-    bit = [a.bitwiseAND(F.lit(63)).cast("int") for a in at]
-    on = (keys.where(F.col(key).isNotNull())
-          .select(F.inline(F.array(*[F.struct(w.alias("word"), b.alias("bit")) for w, b in zip(word, bit, strict=True)])))
-          .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
-    out = df.where(F.col(key).isNotNull())
-    for i in range(2):
-        name = f"__filter_{i}"
-        table = F.broadcast(on.select(F.col("word").alias(f"{name}_word"), F.col("bits").alias(name)))
-        out = out.join(table, word[i] == F.col(f"{name}_word"))
-        out = out.where(F.getbit(F.col(name), bit[i]) == 1).drop(name, f"{name}_word")
-    return out
+    at = F.xxhash64(F.col(key).cast("long")).bitwiseAND(F.lit((1 << bits) - 1))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    on = (keys.where(F.col(key).isNotNull()).select(word.alias("__filter_word"), bit.alias("bit"))
+          .groupBy("__filter_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("__filter")))
+    hit = df.where(F.col(key).isNotNull()).join(F.broadcast(on), word == F.col("__filter_word"))
+    return hit.where(F.getbit("__filter", bit) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
