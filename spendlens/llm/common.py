@@ -154,13 +154,16 @@ def prepare(spark: SparkSession) -> None:
     """What every operator with Python code needs of a session.
 
     Arrow batches end by size, not by rows alone, so that many long texts
-    never meet in one batch (a session's own lower setting stays); and the
-    package goes to the Python workers, wherever they run."""
+    never meet in one batch (a session's own lower setting stays); the package
+    goes to the Python workers, wherever they run; and these use one thread for
+    numpy's products, which are small (a task has one core; two threads cost
+    twice the CPU time), unless ``spark.executorEnv.OMP_NUM_THREADS`` is set."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     digits = "".join(c for c in spark.conf.get(key) if c.isdigit())
     if not digits or int(digits) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
     sc = spark.sparkContext
+    sc.environment.setdefault("OMP_NUM_THREADS", "1")
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         package = Path(__file__).resolve().parent.parent

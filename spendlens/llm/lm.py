@@ -74,21 +74,41 @@ def _encoding(path: str):
     return tiktoken.Encoding("lm", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks)
 
 
+@lru_cache(maxsize=2)
+def _starts_word(path: str) -> np.ndarray:
+    """Which ids begin with a blank."""
+    enc, end = _encoding(path)
+    return np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)])
+
+
+def encoded(own: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number of subwords of each word, behind a blank, and their ids in order.
+    The words are cut in one call: no piece of the split crosses the blank
+    before a word, and only a word's first subword begins with one."""
+    if not own:
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    enc, _ = _encoding(path)
+    flat = np.array(enc.encode_ordinary((b" " + b" ".join(own)).decode("utf-8", "replace")), np.int32)
+    begin = np.flatnonzero(_starts_word(path)[flat])
+    if len(begin) != len(own) or begin[0]:
+        each = [enc.encode_ordinary(" " + x.decode("utf-8", "replace")) for x in own]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return size, np.fromiter(chain.from_iterable(each), np.int32, int(size.sum()))
+    return np.diff(np.append(begin, len(flat))), flat
+
+
 class Tokens:
     """Subword ids of consecutive texts, each closed by the end token, and
     their distinct words with counts."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, path: str):
-        enc, end = _encoding(path)
+        end = _encoding(path)[1]
         w = words(buf, offs)
         self.n = w.n_docs
         self.at = w.bounds()
         self.word, first, self.of = np.unique(w.h, return_index=True, return_inverse=True)
         raw = buf.tobytes().translate(LOWER)
-        own = [enc.encode_ordinary(" " + raw[a:b].decode("utf-8", "replace"))
-               for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter(chain.from_iterable(own), np.int32, int(size.sum()))
+        size, flat = encoded([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], path)
         begin = np.cumsum(size) - size
         each = size[self.of]
         self.doc_words = w.doc
@@ -425,8 +445,8 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
     words that are not in its table of frequent words."""
     p = params or Params()
     prepare(rows.sparkSession)
-    enc, end = _encoding(path)
-    starts = np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)])
+    end = _encoding(path)[1]
+    starts = _starts_word(path)
     order = F.xxhash64(F.col("id").cast("string"))
     # ``sample`` ids at most, and of rows that repeat one the smallest text.
     chosen = rows.select("id").distinct().orderBy(order, "id").limit(p.sample)

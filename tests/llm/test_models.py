@@ -221,3 +221,15 @@ def test_every_unlabelled_row_can_get_a_pseudo_label(spark):
     assert 0 < m.n_pseudo <= 4 * state.most
     q = {r.doc_id: r.score for r in C.quality_scores(frame, m).collect()}
     assert len(q) == len(docs) and q[3001] > 0.9 > 0.1 > q[2]
+
+
+def test_words_encoded_at_once_are_encoded_alone():
+    enc, _ = L._encoding(L.VOCABULARY)
+    own = ["the", "don't", "a1b2", "x\u00a0", "\u00a0y", "\u3000", "漢字かな", "é́", "#$%", "it's'd", "\u2028z", "𝒳", "'s", "...", "a\u00a0\u00a0b", "\x1f", "\x85q"]
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        pick = [own[i] for i in rng.integers(0, len(own), 40)]
+        size, flat = L.encoded([x.encode() for x in pick], L.VOCABULARY)
+        want = [enc.encode_ordinary(" " + x) for x in pick]
+        assert size.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    assert L.encoded([], L.VOCABULARY)[1].tolist() == []
