@@ -214,6 +214,11 @@ class Bitmap:
         at = h & self.mask
         return (self.on[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
 
+    def has_one(self, h: int) -> bool:
+        """``has`` for one number (a negative one by its two's complement)."""
+        at = h & int(self.mask)
+        return bool(self.on[at >> 3] >> (at & 7) & 1)
+
 
 def bitmap_of(df: DataFrame, col: str, bits: int = 20) -> Bitmap:
     """Bitmap of a long column, made on the executors: at most ``2**bits / 64``

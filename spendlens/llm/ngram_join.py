@@ -5,6 +5,7 @@ documents link when their overlap, an entry of ``M * M^T``, reaches
 ``threshold`` percent of the union.  The product is taken in blocks:
 
 1. *Classes.*  Rows with equal n-gram sets are one class; only classes join.
+   The row of the smallest id stands for a class that has several (``Firsts``).
 2. *Columns.*  Columns are ordered by (common, hash).  With ``n`` n-grams a
    class has to be looked at in its first ``n - ceil(t * n) + 1`` columns
    alone: classes that share none of these are under the bound derived from
@@ -36,6 +37,7 @@ a null id is returned with its class's component (or null).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.llm.common import (Bitmap, bitmap_of, prepare, chunks, mix, stored,
                                   only_one, windows, without, words)
@@ -189,16 +192,43 @@ def _often(parts: int, common_df: int):
     return run
 
 
-def _incidence(width: int, t: int, common: Bitmap, salts: int):
+@dataclass
+class Firsts:
+    """Which rows stand for their classes.  Of a class of one row it is that
+    row.  A class in the bitmap ``repeated`` has the row of its smallest id
+    (rows without one, if it has no other) in ``first``, also where the bitmap
+    holds it by chance, so every class keeps a row; bitmaps of fixed size may
+    keep more rows, never fewer."""
+
+    repeated: Bitmap
+    first: Bitmap
+
+    def stands(self, cls: int, key: int) -> bool:
+        return not self.repeated.has_one(cls) or self.first.has_one(cls ^ key)
+
+
+def _firsts(classes: DataFrame) -> Firsts:
+    """From ``(cls, low, copies)``; ``key`` of a row is the hash of its id."""
+    repeated = bitmap_of(classes.where("copies > 1"), "cls", 24)
+
+    @F.arrow_udf(T.BooleanType())
+    def held(c: pa.Array) -> pa.Array:
+        return pa.array(repeated.has(c.to_numpy(zero_copy_only=False).view(_U)), pa.bool_())
+
+    key = F.col("cls").bitwiseXOR(F.xxhash64("low"))
+    return Firsts(repeated, bitmap_of(classes.where(held("cls")).select(key.alias("key")), "key", 24))
+
+
+def _incidence(width: int, t: int, common: Bitmap, salts: int, firsts: Firsts):
     """Entries of the matrix that have to be looked at: block, class, the
     class's size and the entry's rank in one number, and the column where it is
     common.  A common column has ``salts`` blocks, any other is a block."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            rows, held = [], 0
-            for _, s in _sets(b.column(0), width):
-                if not len(s) or (c := _class(s)) in seen:
+            rows, held, key = [], 0, b.column(1).to_pylist()
+            for i, s in _sets(b.column(0), width):
+                if not len(s) or (c := _class(s)) in seen or not firsts.stands(c, key[i]):
                     continue
                 if len(seen) < SEEN:
                     seen.add(c)
@@ -224,17 +254,19 @@ def _batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in cols.values()], list(cols))
 
 
-def _wanted(width: int, keep: list[Bitmap]):
+def _wanted(width: int, keep: list[Bitmap], firsts: Firsts | None = None):
     """Whole sets of the classes in a bitmap of ``keep`` (and of a few others),
-    with the bitmaps' numbers as bits of ``use``."""
+    with the bitmaps' numbers as bits of ``use``; with ``firsts``, from the rows
+    that stand for their classes."""
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             cls, sets, use, held = [], [], [], 0
-            for _, s in _sets(b.column(0), width):
-                if not len(s) or (c := _class(s)) in seen:
+            key = b.column(1).to_pylist() if firsts else None
+            for i, s in _sets(b.column(0), width):
+                if not len(s) or (c := _class(s)) in seen or firsts and not firsts.stands(c, key[i]):
                     continue
-                if not (u := sum(1 << i for i, k in enumerate(keep) if k.has(np.array([c]).view(_U))[0])):
+                if not (u := sum(1 << j for j, k in enumerate(keep) if k.has_one(c))):
                     continue
                 if len(seen) < SEEN:
                     seen.add(c)
@@ -254,10 +286,10 @@ def _wanted(width: int, keep: list[Bitmap]):
 MEMBERS = 512
 
 
-def _whole_sets(text: DataFrame, width: int, *classes: DataFrame) -> DataFrame:
+def _whole_sets(text: DataFrame, width: int, firsts: Firsts, *classes: DataFrame) -> DataFrame:
     """``(cls, s, use)``: the sets of the classes in a column ``cls`` (and of a
     few others), made anew from the texts; a class may come several times."""
-    return text.mapInArrow(_wanted(width, [bitmap_of(c, "cls", 23) for c in classes]), "cls long, s array<long>, use int")
+    return text.mapInArrow(_wanted(width, [bitmap_of(c, "cls", 23) for c in classes], firsts), "cls long, s array<long>, use int")
 
 
 def _verified(sets: DataFrame, roles: DataFrame, t: int) -> DataFrame:
@@ -379,7 +411,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5,
     prepare(spark)
     own = F.col(text_col).cast("string")
     src = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(own).alias("h")).alias("id"), own.alias("text"))
-    text = src.select("text")
+    text = src.select("text", F.xxhash64("id.id").alias("key"))
     # Hash ranges of a size that a task can count, however large the table.
     chars = src.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE))
@@ -388,12 +420,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5,
     sketch = stored(sketch)
     sig = sketch.where("n is not null").select("id.id", "id.h", "n", "cls")
     common = bitmap_of(sketch.where("col is not null"), "col", 24)
+    classes = stored(sig.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"), F.count("*").alias("copies")))
+    firsts = _firsts(classes)
 
     # The pivot of a block is the class that has the column at its lowest rank:
     # of a text and its variants that is the text itself, since words that a
     # variant alone has come before the common ones.  Salted blocks of a hot
     # column meet through their pivots.
-    entries = text.mapInArrow(_incidence(width, t, common, salts), "block long, cls long, at long, col long").repartition("block")
+    entries = text.mapInArrow(_incidence(width, t, common, salts, firsts), "block long, cls long, at long, col long").repartition("block")
     rank, size = F.col("at").bitwiseAND(F.lit((1 << 31) - 1)), F.shiftright("at", 31)
     block, column = Window.partitionBy("block"), Window.partitionBy("col")
     shared = (entries.withColumn("lo", F.min(F.struct(rank.alias("rank"), "cls", size.alias("n"))).over(block))
@@ -411,7 +445,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5,
              .where(F.col("c") * 20 >= F.col("n"))
              .groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b"))
     roles = stored(_roles(stored(stars)))
-    sure = stored(_verified(_whole_sets(text, width, roles), roles, t))
+    sure = stored(_verified(_whole_sets(text, width, firsts, roles), roles, t))
     label = connected_components(sure)
 
     # Common columns: connected classes make a cell, cells are multiplied by blocks.
@@ -438,14 +472,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, *, width: int = 5,
              .where(F.col("c") + F.col("last.rest") >= F.col("least")).select("a", "b"))
     roles = stored(_roles(stored(pairs)))
 
-    sets = stored(_whole_sets(text, width, roles, dealt))
+    sets = stored(_whole_sets(text, width, firsts, roles, dealt))
     found = (dealt.join(sets.where("use >= 2").select("cls", "s"), "cls").groupBy("pair")
              .applyInPandas(_product(t), "a long, b long"))
     label = connected_components(sure.unionByName(_verified(sets.where("use % 2 = 1"), roles, t)).unionByName(found))
 
     # From classes to documents: the smallest id of each component.
-    classes = sig.where("n > 0").groupBy("cls").agg(F.min("id").alias("low"))
-    lab = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left")
+    lab = classes.drop("copies").join(label.withColumnRenamed("node", "cls"), "cls", "left")
     lows = (lab.where("label is not null").groupBy("label").agg(F.min("low").alias("root")))
     owner = (lab.join(lows, "label", "left")
              .select("cls", F.coalesce("label", "cls").alias("grp"), F.coalesce("root", "low").alias("component_id")))

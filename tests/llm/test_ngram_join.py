@@ -99,3 +99,20 @@ def test_packing_round_trip():
     for n in (1, 2, 1000):
         x = np.sort(rng.integers(0, 1 << 40, n).astype(np.uint64))
         assert (N._unpack(N._pack(x)) == x).all()
+
+
+def test_one_row_stands_for_a_class(spark):
+    """Copies under many ids, under one id and without an id, over several
+    tasks: every class keeps a row, and one of many ids alone."""
+    rows = [(i, "copy of a text that comes under many ids") for i in range(40, 80)]
+    rows += [(None, "text without any id that comes a few times")] * 9 + [(3, "one id with equal rows")] * 9
+    rows += [(100 + i, f"text {i} that comes once") for i in range(50)]
+    of = {t: next(N._class(s) for _, s in N._sets(N.pa.array([t]), 5)) for _, t in rows}
+    docs = spark.createDataFrame([(i, t, of[t]) for i, t in rows], "id long, text string, cls long")
+    classes = docs.groupBy("cls").agg(N.F.min("id").alias("low"), N.F.count("*").alias("copies"))
+    keyed = docs.select("id", "text", "cls", N.F.xxhash64("id").alias("key")).collect()
+    all_hit = N._firsts(classes.withColumn("copies", N.F.lit(2)))  # as if the bitmap held every class
+    for firsts in (N._firsts(classes), all_hit):
+        stay = [(r.id, r.text) for r in keyed if firsts.stands(r.cls, r.key)]
+        assert {t for _, t in stay} == {t for _, t in rows}
+        assert [i for i, t in stay if t.startswith("copy")] == [40]
