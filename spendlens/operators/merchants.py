@@ -59,6 +59,11 @@ def merchant_name(merchant_id: Column, category: Column) -> Column:
                       F.concat(category, F.lit(" Merchant "), merchant_id.cast("string")))
 
 
+def _frequency_score(count: str, days: int) -> Column:
+    """Transactions in 30 days (2 dp)."""
+    return round_dec(F.col(count) / F.lit(float(days)) * 30, 2).alias("frequency_score")
+
+
 def merchant_stats(ledger: Ledger, period: str = "3_months") -> DataFrame:
     """M1–M3 (+ J2, C15): per client × merchant spend statistics, MCC of the
     earliest transaction (nulls skipped), category, consistency and frequency
@@ -89,7 +94,7 @@ def _merchant_stats(ledger: Ledger, period: str) -> DataFrame:
     return g.select(
         "*",
         round_dec(F.lit(1.0) / (F.lit(1.0) + cv), 3).alias("consistency_score"),
-        round_dec(F.col("transaction_count") / F.lit(float(days)) * 30, 2).alias("frequency_score"),
+        _frequency_score("transaction_count", days),
         merchant_name(F.col("merchant_id"), F.col("category")).alias("merchant_name"))
 
 
@@ -117,6 +122,22 @@ def client_merchant_totals(ledger: Ledger, period: str = "3_months", approx: boo
                        lambda: build(merchant_stats(ledger, period)))
 
 
+def _top_sums(s: DataFrame) -> DataFrame:
+    """Spend ``_t3``, ``_t5``, ``_t10`` of a client's top merchants.  The salt
+    reads the same merchant columns as the other per-client branches (spend and
+    count), so all of them prune the merchant aggregation alike and Spark
+    reuses one stage for it."""
+    top = top_k_per_group(s, ["client_id"], [F.col("total_spent").desc(), F.col("merchant_id")],
+                          10, salt_cols=["merchant_id", "transaction_count"])
+    return top.groupBy("client_id").agg(
+        *[F.sum(F.when(F.col("rank") <= k, F.col("_d"))).alias(f"_t{k}") for k in (3, 5, 10)])
+
+
+def _share(part: str) -> Column:
+    """Percent of the client's total ``_t`` (1 dp)."""
+    return round_dec(F.col(part).cast("double") / F.col("_t").cast("double") * 100, 1)
+
+
 def concentration(ledger: Ledger, period: str = "3_months",
                   stats: DataFrame | None = None) -> DataFrame:
     """M4: share of the top 3 / 5 / 10 merchants in the client's total (1 dp);
@@ -126,18 +147,11 @@ def concentration(ledger: Ledger, period: str = "3_months",
                                         F.sum(money("total_spent")).alias("_t"))
     s = s.select("client_id", "merchant_id", "total_spent", "transaction_count",
                  money("total_spent").alias("_d"))
-    # The salt reads the same merchant columns as the other per-client branches
-    # (spend and count), so all of them prune the merchant aggregation alike
-    # and Spark reuses one stage for it.
-    top = top_k_per_group(s, ["client_id"], [F.col("total_spent").desc(), F.col("merchant_id")],
-                          10, salt_cols=["merchant_id", "transaction_count"])
-    tops = top.groupBy("client_id").agg(
-        *[F.sum(F.when(F.col("rank") <= k, F.col("_d"))).alias(f"_t{k}") for k in (3, 5, 10)])
+    tops = _top_sums(s)
     df = attach_per_client(ledger, totals, tops).filter(F.col("_t") != 0)
     return df.select(
         "client_id", "total_merchants",
-        *[round_dec(F.col(f"_t{k}").cast("double") / F.col("_t").cast("double") * 100, 1)
-          .alias(f"top_{k}_percentage") for k in (3, 5, 10)])
+        *[_share(f"_t{k}").alias(f"top_{k}_percentage") for k in (3, 5, 10)])
 
 
 def subscriptions(ledger: Ledger, period: str = "3_months",
@@ -192,6 +206,10 @@ def spending_volatility(ledger: Ledger, period: str = "3_months") -> DataFrame:
     tx = relative_period(ledger, period, rule="all")
     daily = tx.groupBy("client_id", F.to_date("date").alias("day")).agg(
         money_sum_dec("amount").alias("_d"))
+    return _volatility(daily)
+
+
+def _volatility(daily: DataFrame) -> DataFrame:
     v = daily.groupBy("client_id").agg(
         F.count(F.lit(1)).alias("active_days"),
         F.sum("_d").alias("_t"),
@@ -213,24 +231,46 @@ def spending_volatility(ledger: Ledger, period: str = "3_months") -> DataFrame:
         .alias("volatility_coefficient"))
 
 
+def _merchant_and_day_sums(ledger: Ledger, period: str) -> tuple[DataFrame, DataFrame]:
+    """Spend and count per client × merchant, and spend per client × day, from
+    one aggregation: a transaction counts for its merchant and for its day.
+    ``kind`` is an aggregate, so no filter on it moves below the exchange, and
+    both tables read every aggregate: all branches over them then share one
+    scan and one exchange."""
+    tx = relative_period(ledger, period, rule="all")
+    merchant, day = F.col("merchant_id"), F.to_date("date")
+    parts = F.array(
+        F.struct(merchant, F.lit(None).cast("date").alias("day"),
+                 F.when(merchant.isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("kind")),
+        F.struct(F.lit(None).cast(tx.schema["merchant_id"].dataType).alias("merchant_id"), day.alias("day"),
+                 F.lit(2).alias("kind")))
+    sums = (tx.select("client_id", "amount", F.inline(parts)).groupBy("client_id", "merchant_id", "day")
+            .agg(money_sum_dec("amount").alias("_d"), F.count(F.lit(1)).alias("transaction_count"),
+                 F.max("kind").alias("_kind"))
+            .filter(F.col("transaction_count") > 0))
+    merchants = sums.filter(F.col("_kind") == 1).select(
+        "client_id", "merchant_id", "_d", F.col("_d").cast("double").alias("total_spent"), "transaction_count",
+        _frequency_score("transaction_count", period_days(period)))
+    return merchants, sums.filter(F.col("_kind") == 2).select("client_id", "day", "_d")
+
+
 def merchant_summary(ledger: Ledger, period: str = "3_months") -> DataFrame:
     """One row per client — merchant count, concentration, volatility and
-    number of loyalty candidates."""
-    base = merchant_stats(ledger, period).groupBy("client_id").agg(F.count(F.lit(1)).alias("total_merchants"))
-    conc = concentration(ledger, period).drop("total_merchants")
-    loy = loyalty_candidates(ledger, period).groupBy("client_id").agg(
-        F.count(F.lit(1)).alias("loyalty_candidates"))
-    vol = spending_volatility(ledger, period).drop("active_days")
-    df = attach_per_client(ledger, base, conc, "left")
-    df = attach_per_client(ledger, df, vol, "left")
-    df = attach_per_client(ledger, df, loy, "left")
+    number of loyalty candidates, from one pass over the transactions."""
+    merchants, days = _merchant_and_day_sums(ledger, period)
+    tops = _top_sums(merchants)
+    marks = exact_percentiles(merchants.select("client_id", *_THRESHOLDS), ["client_id"], _THRESHOLDS, LOYALTY_QUANTILE)
+    base = attach_per_client(ledger, merchants, marks, "left").groupBy("client_id").agg(
+        F.count(F.lit(1)).alias("total_merchants"), F.sum("_d").alias("_t"),
+        F.count_if((F.col("total_spent") >= F.col("spending_threshold"))
+                   | (F.col("frequency_score") >= F.col("frequency_threshold"))).alias("loyalty_candidates"))
+    df = attach_per_client(ledger, base, tops, "left")
+    df = attach_per_client(ledger, df, _volatility(days), "left")
     return df.select(
         "client_id", "total_merchants",
-        *[F.coalesce(F.col(f"top_{k}_percentage"), F.lit(0.0)).alias(f"top_{k}_percentage")
-          for k in (3, 5, 10)],
+        *[F.when(F.col("_t") != 0, _share(f"_t{k}")).otherwise(F.lit(0.0)).alias(f"top_{k}_percentage") for k in (3, 5, 10)],
         "avg_daily_spending", "std_daily_spending", "max_daily_spending", "min_daily_spending",
-        "volatility_coefficient",
-        F.coalesce("loyalty_candidates", F.lit(0).cast("long")).alias("loyalty_candidates"))
+        "volatility_coefficient", "loyalty_candidates")
 
 
 def merchant_recommendations(ledger: Ledger, period: str = "3_months") -> DataFrame:

@@ -44,7 +44,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-_LEDGERS: dict[tuple[str, str, str], Ledger] = {}
+_LEDGERS: dict[tuple[str, str, str], tuple[tuple, Ledger]] = {}
 
 
 #: Set to ``true`` to store each ledger once for all queries of a session (a
@@ -94,17 +94,33 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, time, size and number of files of each table below a folder, from
+    the file system's own summaries (one call a table)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.listStatus(root):
+        total = fs.getContentSummary(status.getPath())
+        out.append((status.getPath().getName(), status.getModificationTime(), total.getLength(), total.getFileCount()))
+    return tuple(sorted(out))
+
+
 def get_ledger(spark: SparkSession, sf_dir: str, binding: str) -> Ledger:
     """One Ledger per (application, data dir, binding), shared by every query of
-    that binding."""
+    that binding as long as the input's files stay the same; then the tables
+    are bound anew (and Spark's file listings of the folder dropped)."""
     key = (app_id(spark), sf_dir.rstrip("/"), binding)
-    led = _LEDGERS.get(key)
-    if led is None:
+    state = input_state(spark, key[1])
+    known, led = _LEDGERS.get(key, (None, None))
+    if known != state:
+        if known is not None:
+            spark.catalog.refreshByPath(key[1])
         led = bind_ledger(spark, sf_dir, binding)
         if spark.conf.get(MATERIALIZE_CONF, "false").lower() == "true":
-            tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+            tag = hashlib.sha1(repr((key[1], state)).encode()).hexdigest()[:12]
             led = materialize(spark, led, f"{binding}-{tag}")
-        _LEDGERS[key] = led
+        _LEDGERS[key] = (state, led)
     return led
 
 

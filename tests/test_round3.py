@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import os
 import random
+import shutil
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,9 +15,10 @@ from pyspark.sql import functions as F
 
 from conftest import make_ledger, rows_by, ts
 from spendlens.functions.exprs import payback_months_band
-from spendlens.operators import spending
+from spendlens.operators import merchants, spending
 from spendlens.operators.merchants import client_merchant_totals, loyalty_candidates
 from spendlens.operators.rewards import Rewards
+from spendlens.plans import registry
 from spendlens.plans.quantiles import exact_percentiles, percentile_of
 from spendlens.sources import loaders
 
@@ -142,3 +145,56 @@ def test_quarantine_and_extra_columns(spark, tmp_path):
     assert lines == ["5,2024-01-08 10:00:00,7,$2.00,Chip,5,5411,a,b,c", "6,2024-01-09 10:00:00"]
     lenient = loaders.load_table(spark, str(tmp_path), "transactions", "csv")
     assert lenient.count() == 7 and lenient.columns[-2:] == ["use_chip", "errors"]
+
+
+def test_merchant_summary_is_its_parts(spark):
+    """Against the separate operators, with refunds, rows without a merchant and
+    a client with none but such."""
+    rng = random.Random(5)
+    tx = [(i, 1 + i % 4, rng.randrange(-500, 9000) / 100, ts(rng.randrange(80), rng.randrange(9)), 1, rng.randrange(40))
+          for i in range(400)]
+    tx += [(900, 7, 5.0, ts(1), 1, 3), (901, 7, -5.0, ts(2), 1, 4), (902, 8, 3.0, ts(1), 1, 777), (903, 1, 2.5, ts(3), 1, 777)]
+    led = make_ledger(spark, tx)
+    led.transactions = led.transactions.withColumn("merchant_id", F.when(F.col("merchant_id") != 777, F.col("merchant_id")))
+    got = rows_by(merchants.merchant_summary(led), "client_id")
+    n = rows_by(merchants.merchant_stats(led).groupBy("client_id").count(), "client_id", "count")
+    conc = rows_by(merchants.concentration(led), "client_id")
+    loy = rows_by(loyalty_candidates(led).groupBy("client_id").count(), "client_id", "count")
+    vol = rows_by(merchants.spending_volatility(led), "client_id")
+    assert set(got) == set(n) == {1, 2, 3, 4, 7}
+    for c, r in got.items():
+        assert (r.total_merchants,) == n[c] and (r.loyalty_candidates,) == loy.get(c, (0,))
+        for k in (3, 5, 10):
+            assert r[f"top_{k}_percentage"] == (conc[c][f"top_{k}_percentage"] if c in conc else 0.0)
+        for x in ("avg_daily_spending", "std_daily_spending", "max_daily_spending", "min_daily_spending",
+                  "volatility_coefficient"):
+            assert r[x] == vol[c][x]
+
+
+def test_merchant_summary_reads_transactions_once(spark, tmp_path):
+    led = make_ledger(spark, [(i, i % 3, 1.0 + i, ts(i % 50), 1, i % 7) for i in range(60)])
+    path = str(tmp_path / "tx")
+    led.transactions.write.parquet(path)
+    led.transactions, led.activity = spark.read.parquet(path), led.client_activity()
+    plan = merchants.merchant_summary(led)._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    final = plan.toString().split("== Initial Plan ==")[0]
+    assert sum("parquet" in x and "Scan" in x for x in final.splitlines()) == 1
+
+
+def test_ledger_follows_its_input(spark, tmp_path):
+    """Tables that change under one application are read anew."""
+    src, sf = "/root/testdata/sf0.001", str(tmp_path)
+    if not os.path.isdir(src):
+        pytest.skip("no test tables")
+    for f in os.listdir(src):
+        if f.endswith(".parquet"):
+            shutil.copy(os.path.join(src, f), sf)
+            os.chmod(os.path.join(sf, f), 0o644)
+    first = registry.get_ledger(spark, sf, "O")
+    assert registry.get_ledger(spark, sf, "O") is first
+    before = first.transactions.count()
+    orders = os.path.join(sf, "orders.parquet")
+    pq.write_table(pq.read_table(orders).slice(0, 100), orders)
+    after = registry.get_ledger(spark, sf, "O")
+    assert after is not first and after.transactions.count() < before
