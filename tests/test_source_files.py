@@ -24,3 +24,12 @@ def test_csv_files_are_as_many_as_the_partitions(spark, many_parts):
     assert sum(r.value.startswith("id,") for r in lines) == 9 and len(lines) == 309
     kept = q_sources.csv_transactions(many_parts).select("id").collect()
     assert sorted(r.id for r in kept) == [i for i in range(300) if i % 97 not in q_sources._DIRT]
+
+
+def test_quarantine_counts_the_lines_of_all_files(spark, many_parts):
+    got = {r.reason: r.lines for r in q_sources.csv_quarantine(many_parts).collect()}
+    assert got == {v: len([i for i in range(300) if i % 97 == k]) for k, v in q_sources._DIRT.items()}
+    path = f"{q_sources._csv_folder(many_parts)}/transaction_data.csv"
+    # No file holds a fixed share of the lines.
+    most = spark.read.text(path).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert most < 300 / 4
