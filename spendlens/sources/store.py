@@ -61,11 +61,14 @@ def loads(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in done)
 
 
-def activity_of(tx: DataFrame) -> DataFrame:
+def activity_of(tx: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Activity of the clients of ``tx``, added to the one ``before``."""
     date = F.col("date")
-    return tx.groupBy("client_id").agg(
-        F.max(date).alias("last_date"), F.max(F.when(F.col("amount") > 0, date)).alias("last_purchase"),
-        F.count(F.lit(1)).alias("n_transactions"))
+    one = tx.select("client_id", date.alias("last_date"), F.when(F.col("amount") > 0, date).alias("last_purchase"),
+                    F.lit(1).cast("long").alias("n_transactions"))
+    return (one if before is None else one.unionByName(before)).groupBy("client_id").agg(
+        F.max("last_date").alias("last_date"), F.max("last_purchase").alias("last_purchase"),
+        F.sum("n_transactions").alias("n_transactions"))
 
 
 def _bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
@@ -87,12 +90,7 @@ def _write_load(tx: DataFrame, path: str, n: int, before: DataFrame | None, buck
     mine = spark.read.schema(month.schema).parquet(f"{path}/transactions/load={n}")
     ids = mine.where("id is not null").groupBy("id", "client_id").agg(F.count(F.lit(1)).alias("n"))
     _bucketed(ids, f"{path}/ids/load={n}", "id", buckets)
-    act = activity_of(mine)
-    if before is not None:
-        act = act.unionByName(before).groupBy("client_id").agg(
-            F.max("last_date").alias("last_date"), F.max("last_purchase").alias("last_purchase"),
-            F.sum("n_transactions").alias("n_transactions"))
-    act.write.mode("overwrite").parquet(f"{path}/activity/load={n}")
+    activity_of(mine, before).write.mode("overwrite").parquet(f"{path}/activity/load={n}")
 
 
 def save_ledger(ledger: Ledger, path: str, buckets: int = BUCKETS) -> None:

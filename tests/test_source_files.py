@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import make_ledger, ts
 from spendlens.plans import q_sources
+from spendlens.sources import store
+from spendlens.sources.bindings import ledger as bind
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -33,3 +39,30 @@ def test_quarantine_counts_the_lines_of_all_files(spark, many_parts):
     # No file holds a fixed share of the lines.
     most = spark.read.text(path).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert most < 300 / 4
+
+
+def test_loads_are_stored_from_rows_joined_once(spark, monkeypatch):
+    """Before, each of the three loads made the ledger's joins again."""
+    led, plans, save, append = bind(spark, SF, "O"), [], store.save_ledger, store.append_transactions
+    on = lambda tx: plans.append(tx._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(store, "save_ledger", lambda x, path: (on(x.transactions), save(x, path))[1])
+    monkeypatch.setattr(store, "append_transactions", lambda s, path, tx: (on(tx), append(s, path, tx))[1])
+    kept = q_sources._stored(led)
+    assert len(plans) == 3 and not [p for p in plans if "Join" in p], plans
+    columns = led.transactions.columns
+    assert kept.transactions.select(columns).exceptAll(led.transactions).isEmpty()
+    assert led.transactions.exceptAll(kept.transactions.select(columns)).isEmpty()
+    # The activity before is added in the same pass as a load's rows: one exchange.
+    both = store.activity_of(kept.transactions, kept.activity)
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_on_the_cuts_and_without_a_date(spark):
+    cut = [dt.datetime.fromisoformat(x) for x in q_sources._CUTS]
+    dates = [cut[0] - dt.timedelta(seconds=1), *cut, cut[1] + dt.timedelta(seconds=1)]
+    led = make_ledger(spark, [(i, 1, 10.0, d) for i, d in enumerate(dates)])
+    led.transactions = led.transactions.unionByName(led.transactions.limit(1).withColumn("date", F.lit(None).cast("timestamp_ntz")))
+    assert [sorted(r.id for r in p.collect()) for p in q_sources._by_load(led)] == [[0], [1, 2], [3]]
+    late = make_ledger(spark, [(1, 1, 10.0, ts())])
+    assert [p.count() for p in q_sources._by_load(late)] == [0, 0, 1]
+    assert q_sources._stored(late).activity.count() == 1
