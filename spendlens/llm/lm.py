@@ -45,6 +45,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose words are encoded together.
 TOGETHER = 4 << 20
+#: Windows that are scored together.
+SCORED_TOGETHER = 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -97,6 +99,15 @@ def encoded(own: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(np.append(begin, len(flat))), flat
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order of their first places, these places, and the
+    number of its value at every place (by hash: nothing is sorted)."""
+    coded = pa.array(h).dictionary_encode()
+    of = coded.indices.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1)) if len(of) else np.empty(0, np.int64)
+    return coded.dictionary.to_numpy(), first, of
+
+
 class Tokens:
     """Subword ids of consecutive texts, each closed by the end token, and
     their distinct words with counts."""
@@ -106,7 +117,7 @@ class Tokens:
         w = words(buf, offs)
         self.n = w.n_docs
         self.at = w.bounds()
-        self.word, first, self.of = np.unique(w.h, return_index=True, return_inverse=True)
+        self.word, first, self.of = distinct(w.h)
         raw = buf.tobytes().translate(LOWER)
         size, flat = encoded([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], path)
         begin = np.cumsum(size) - size
@@ -179,17 +190,17 @@ class Windows:
         query = np.arange(p.stride)
         self.causal = np.where(self.key_at[None, :] <= query[:, None], 0, -1e9).astype(np.float32)
 
-    def take(self, pick, ids: np.ndarray, end: int):
+    def take(self, pick, ids: np.ndarray, end, targets: np.ndarray | None = None):
         """Inputs (windows, context), masks of keys, and of scored positions,
-        and targets (windows, stride)."""
+        and targets (windows, stride), taken from ``targets`` (``ids`` if None)."""
         pos = self.first[pick, None] + self.key_at
         base, size = self.start[pick, None], self.length[pick, None]
-        before = np.clip(pos - 1, 0, size - 1)
+        before = np.minimum(np.maximum(pos - 1, 0), size - 1)
         x = np.where(pos > 0, ids[base + before], end)
         keys = np.where((pos >= 0) & (pos < size), 0, -1e9).astype(np.float32)
         own = self.first[pick, None] + np.arange(self.p.stride)
         scored = own < size
-        y = ids[base + np.minimum(own, size - 1)]
+        y = (ids if targets is None else targets)[base + np.minimum(own, size - 1)]
         return x, keys, scored, y
 
 
@@ -257,7 +268,7 @@ def gradient(m: dict, x: np.ndarray, z: np.ndarray, kept, y: np.ndarray, scored:
     weight = (scored.ravel() / max(1, scored.sum())).astype(z.dtype)
     dz = share
     dz *= (weight / total)[:, None]
-    dz[np.arange(b * s), y.ravel()] -= weight
+    dz.reshape(-1)[np.arange(b * s) * p.classes + y.ravel()] -= weight
     out = {"out": g.T @ dz, "bias": np.ones(b * s, z.dtype) @ dz}
     dg = dz @ m["out"].T
     out["w2"] = r.T @ dg
@@ -293,26 +304,30 @@ def gradient(m: dict, x: np.ndarray, z: np.ndarray, kept, y: np.ndarray, scored:
 
 
 class Adam:
+    """Steps over all parameters as one vector, of which ``m`` has the views."""
+
     def __init__(self, m: dict, rate: float):
-        self.m, self.rate, self.t = m, rate, 0
-        self.a = {k: np.zeros_like(v) for k, v in m.items()}
-        self.b = {k: np.zeros_like(v) for k, v in m.items()}
+        self.rate, self.t = rate, 0
+        self.all = np.concatenate([v.ravel() for v in m.values()])
+        cuts = np.cumsum([v.size for v in m.values()])[:-1]
+        self.m = {k: x.reshape(v.shape) for (k, v), x in zip(m.items(), np.split(self.all, cuts), strict=True)}
+        self.a, self.b = np.zeros_like(self.all), np.zeros_like(self.all)
 
     def step(self, d: dict) -> None:
         self.t += 1
         fix = self.rate * (1 - 0.99 ** self.t) ** 0.5 / (1 - 0.9 ** self.t)
-        for k, g in d.items():
-            self.a[k] += 0.1 * (g - self.a[k])
-            self.b[k] += 0.01 * (g * g - self.b[k])
-            self.m[k] -= (fix * self.a[k] / (np.sqrt(self.b[k]) + 1e-8)).astype(np.float32)
+        g = np.concatenate([d[k].ravel() for k in self.m])
+        self.a += 0.1 * (g - self.a)
+        self.b += 0.01 * (g * g - self.b)
+        self.all -= (fix * self.a / (np.sqrt(self.b) + 1e-8)).astype(np.float32)
 
 
 def learn(opt: Adam, w: Windows, picks, ids: np.ndarray, lay: Layout, end: int, p: Params) -> None:
+    bucket, cls = lay.bucket[ids], lay.cls[ids].astype(np.min_scalar_type(p.classes))
     for pick in picks:
-        x, keys, scored, y = w.take(pick, ids, end)
-        x = lay.bucket[x]
+        x, keys, scored, y = w.take(pick, bucket, lay.bucket[end], cls)
         z, _, kept = logits(opt.m, x, keys, w.causal, p)
-        opt.step(gradient(opt.m, x, z, kept, lay.cls[y], scored, p))
+        opt.step(gradient(opt.m, x, z, kept, y, scored, p))
 
 
 def warm_start(texts: list[np.ndarray], starts_word: np.ndarray, p: Params,
@@ -329,6 +344,7 @@ def warm_start(texts: list[np.ndarray], starts_word: np.ndarray, p: Params,
         rng = np.random.default_rng(p.seed)
         opt = Adam(m, p.rate)
         learn(opt, w, (rng.integers(0, len(w.text), p.batch) for _ in range(p.steps)), ids, lay, end, p)
+        m = opt.m
     return lay, m
 
 
@@ -493,13 +509,15 @@ def log10_probability(t: Tokens, m: Model) -> np.ndarray:
     """The model's log10 probability of every text."""
     p, end = m.params, len(m.layout.cls) - 1
     w = Windows(t.start, t.length, p)
-    total = np.zeros(t.n)
-    for lo in range(0, len(w.text), p.batch):
-        pick = slice(lo, lo + p.batch)
-        x, keys, scored, y = w.take(pick, t.ids, end)
-        z, log_sum, _ = logits(m.weights, m.layout.bucket[x], keys, w.causal, p)
-        own = (z[np.arange(len(z)), m.layout.cls[y].ravel()] - log_sum).reshape(y.shape) + m.within[y]
-        total += np.bincount(w.text[pick], weights=(own * scored).sum(1), minlength=t.n)
+    bucket, cls, within = m.layout.bucket[t.ids], m.layout.cls[t.ids].astype(np.int32), m.within[t.ids]
+    place, sums = np.arange(len(t.ids)), np.zeros(len(w.text))
+    for lo in range(0, len(w.text), SCORED_TOGETHER):
+        pick = slice(lo, lo + SCORED_TOGETHER)
+        x, keys, scored, y = w.take(pick, bucket, m.layout.bucket[end], place)
+        z, log_sum, _ = logits(m.weights, x, keys, w.causal, p)
+        own = (z.reshape(-1)[np.arange(len(z)) * p.classes + cls[y].ravel()] - log_sum).reshape(y.shape) + within[y]
+        sums[pick] = (own * scored).sum(1)
+    total = np.bincount(w.text, weights=sums, minlength=t.n)
     return total / np.log(10)
 
 
