@@ -7,8 +7,9 @@ model (one block: causal attention, a feed-forward layer, residuals) gives the
 probability of a token's class from up to ``context`` tokens before it; inside
 a class a token has its smoothed share of the class's training count.
 
-* Counts: one pass over all training texts counts words and subwords and stores
-  the texts' subword ids.
+* Counts: one pass over all texts counts the training texts' words and subwords
+  and stores every text's subword ids and distinct words; no later step cuts
+  a text again.
 * Layout: classes and input buckets of about equal mass, from the counts of all
   training subwords.
 * Training: a warm start on a bounded sample of training texts (``Params.sample``
@@ -47,7 +48,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TOGETHER = 4 << 20
 #: Windows that are scored together.
 SCORED_TOGETHER = 512
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
@@ -83,20 +84,37 @@ def _starts_word(path: str) -> np.ndarray:
     return np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)])
 
 
+def _at_once(text: bytes, n: int, path: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Number of subwords of each of ``n`` words, all behind a blank, and their
+    ids in order; nothing where the words cannot be told apart.  They are cut in
+    one call: no piece of the split crosses the blank before a word, and only a
+    word's first subword begins with one."""
+    flat = np.array(_encoding(path)[0].encode_ordinary(text.decode("utf-8", "replace")), np.int32)
+    begin = np.flatnonzero(_starts_word(path)[flat])
+    return None if len(begin) != n or begin[0] else (np.diff(np.append(begin, len(flat))), flat)
+
+
 def encoded(own: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Number of subwords of each word, behind a blank, and their ids in order.
-    The words are cut in one call: no piece of the split crosses the blank
-    before a word, and only a word's first subword begins with one."""
+    """Number of subwords of each word, behind a blank, and their ids in order."""
     if not own:
         return np.empty(0, np.int64), np.empty(0, np.int32)
-    enc, _ = _encoding(path)
-    flat = np.array(enc.encode_ordinary((b" " + b" ".join(own)).decode("utf-8", "replace")), np.int32)
-    begin = np.flatnonzero(_starts_word(path)[flat])
-    if len(begin) != len(own) or begin[0]:
+    got = _at_once(b" " + b" ".join(own), len(own), path)
+    if got is None:
+        enc, _ = _encoding(path)
         each = [enc.encode_ordinary(" " + x.decode("utf-8", "replace")) for x in own]
         size = np.fromiter(map(len, each), np.int64, len(each))
-        return size, np.fromiter(chain.from_iterable(each), np.int32, int(size.sum()))
-    return np.diff(np.append(begin, len(flat))), flat
+        got = size, np.fromiter(chain.from_iterable(each), np.int32, int(size.sum()))
+    return got
+
+
+def _encoded_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """``encoded`` of the words ``buf[start:end]``, lower-cased (A-Z)."""
+    size = end - start + 1
+    to = np.cumsum(size) - size
+    text = LOWER[buf[np.arange(size.sum()) + np.repeat(start - 1 - to, size)]]
+    text[to] = 0x20
+    got = _at_once(text.tobytes(), len(size), path) if len(size) else None
+    return got or encoded([text[a + 1:a + n].tobytes() for a, n in zip(to.tolist(), size.tolist(), strict=True)], path)
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,8 +136,7 @@ class Tokens:
         self.n = w.n_docs
         self.at = w.bounds()
         self.word, first, self.of = distinct(w.h)
-        raw = buf.tobytes().translate(LOWER)
-        size, flat = encoded([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], path)
+        size, flat = _encoded_of(buf, w.start[first], w.end[first], path)
         begin = np.cumsum(size) - size
         each = size[self.of]
         self.doc_words = w.doc
@@ -178,77 +195,120 @@ def initial(p: Params) -> dict[str, np.ndarray]:
 
 
 class Windows:
-    """Index arrays of overlapping windows over consecutive texts.  Position
-    ``t`` of a text reads the token before it (the end token for the first)."""
+    """Overlapping windows over consecutive texts.  Position ``t`` of a text
+    reads the token before it (the end token for the first)."""
 
     def __init__(self, start: np.ndarray, length: np.ndarray, p: Params):
         n = -(-length // p.stride)
         self.text = np.repeat(np.arange(len(length)), n)
-        self.first = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * p.stride
-        self.start, self.length, self.p = start[self.text], length[self.text], p
-        self.key_at = np.arange(p.context) - (p.context - p.stride)
-        query = np.arange(p.stride)
-        self.causal = np.where(self.key_at[None, :] <= query[:, None], 0, -1e9).astype(np.float32)
+        self.p, self.before, self.start = p, p.context - p.stride, start
+        self.causal = np.where(np.arange(p.context) - self.before <= np.arange(p.stride)[:, None], 0, -1e9).astype(np.float32)
+        # Texts lie one after another, each filled up to whole strides; ahead
+        # of it lies what its first window reads before its first position.
+        self.rows = len(self.text)
+        self.first = np.arange(self.rows) * p.stride + self.text * self.before
+        self.own = np.arange(length.sum()) + np.repeat((np.cumsum(n) - n) * p.stride - (np.cumsum(length) - length), length)
+        self.read = self.own + np.repeat(np.arange(1, len(length) + 1) * self.before, length)
+
+    def over(self, ids: np.ndarray, end, targets: np.ndarray | None = None):
+        """A function of window numbers that gives their inputs (windows,
+        context), masks of keys, and of scored positions, and targets (windows,
+        stride), taken from ``targets`` (``ids`` if None)."""
+        view, p = np.lib.stride_tricks.sliding_window_view, self.p
+        targets = ids if targets is None else targets
+        filled = max(p.context, self.rows * p.stride + len(self.start) * self.before)
+        x = np.full(filled, end, np.result_type(ids, np.min_scalar_type(end)))
+        last = np.empty_like(x, shape=len(ids))
+        last[1:], last[self.start] = ids[:-1], end
+        x[self.read] = last
+        keys = np.full(filled, -1e9, np.float32)
+        keys[self.read] = 0
+        y, scored = np.zeros(self.rows * p.stride, targets.dtype), np.zeros(self.rows * p.stride, bool)
+        y[self.own], scored[self.own] = targets, True
+        x, keys = view(x, p.context), view(keys, p.context)
+        y, scored = y.reshape(-1, p.stride), scored.reshape(-1, p.stride)
+        return lambda pick: (x[self.first[pick]], keys[self.first[pick]], scored[pick], y[pick])
 
     def take(self, pick, ids: np.ndarray, end, targets: np.ndarray | None = None):
-        """Inputs (windows, context), masks of keys, and of scored positions,
-        and targets (windows, stride), taken from ``targets`` (``ids`` if None)."""
-        pos = self.first[pick, None] + self.key_at
-        base, size = self.start[pick, None], self.length[pick, None]
-        before = np.minimum(np.maximum(pos - 1, 0), size - 1)
-        x = np.where(pos > 0, ids[base + before], end)
-        keys = np.where((pos >= 0) & (pos < size), 0, -1e9).astype(np.float32)
-        own = self.first[pick, None] + np.arange(self.p.stride)
-        scored = own < size
-        y = (ids if targets is None else targets)[base + np.minimum(own, size - 1)]
-        return x, keys, scored, y
+        return self.over(ids, end, targets)(pick)
+
+
+#: Sums of powers within these bounds need no row maximum taken off before ``exp``.
+LEAST, MOST = 1e-20, 1e20
+
+
+@lru_cache(maxsize=8)
+def _filled(value: float, shape: tuple, dtype) -> np.ndarray:
+    out = np.full(shape, value, dtype)
+    out.flags.writeable = False
+    return out
+
+
+def _within(sums: np.ndarray) -> bool:
+    return not sums.size or bool(sums.min() > LEAST and sums.max() < MOST)
 
 
-#: Logits within these bounds need no row maximum taken off before ``exp``.
-SAFE = 60.0
+def _wide(t: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    out = np.zeros((rows, cols), t.dtype)
+    out[:t.shape[0], :t.shape[1]] = t
+    return out
 
 
-def _within(t: np.ndarray) -> bool:
-    return not t.size or bool(t.max() < SAFE and t.min() > -SAFE)
+def _joined(m: dict, d: int):
+    """Products of parameters that meet no value between them, with a last
+    column and row: an input's last value is 1 (0 if masked), so that sums and
+    the bias come with the products."""
+    embed = _wide(m["embed"], len(m["embed"]), d + 1)
+    embed[:, d] = 1
+    qk = (m["q"] * m["q"].dtype.type(d ** -0.5)) @ m["k"].T
+    return (embed, _wide(m["place"], len(m["place"]), d + 1), _wide(qk, d + 1, d + 1), _wide(m["v"] @ m["o"], d + 1, d + 1),
+            _wide(m["w1"], d + 1, 4 * d), _wide(m["w2"], 4 * d, d + 1), np.concatenate([m["out"], m["bias"][None]]))
 
 
 def logits(m: dict, x: np.ndarray, keys: np.ndarray, causal: np.ndarray, p: Params):
     """Logits of classes, a row for each of the last ``stride`` positions of
     each window, the logarithms of their sums of powers, and what the gradient
-    needs.  Positions of all windows are rows of one product; weights of keys
-    stay undivided, their sum is one more column of the values."""
+    needs.  Queries meet keys, and values the output, in one product each
+    (``q k'`` and ``v o``); weights of keys stay undivided, their sum is the
+    last column of their product with the inputs."""
     s, d, (b, n) = p.stride, p.dim, x.shape
-    e = m["embed"].take(x, 0)
-    e += m["place"]
-    eq, e = e[:, -s:].reshape(-1, d), e.reshape(-1, d)
-    seen = (keys == 0).astype(e.dtype)
-    q, k = eq @ (m["q"] * np.float32(d ** -0.5)), e @ m["k"]
-    v = np.empty((b, n, d + 1), e.dtype)
-    np.multiply((e @ m["v"]).reshape(b, n, d), seen[..., None], out=v[..., :d])
-    v[..., d] = seen
-    a = q.reshape(b, s, d) @ np.ascontiguousarray(k.reshape(b, n, d).transpose(0, 2, 1))
-    safe = _within(a)
+    embed, place, qk, vo, w1, w2, last = joined = _joined(m, d)
+    e = embed.take(x, 0)
+    e += place
+    eq = e[:, -s:].reshape(-1, d + 1)
+    gone = np.flatnonzero(keys.ravel() < 0)
+    e.reshape(-1, d + 1)[gone] = 0
+    q, seen = (eq @ qk).reshape(b, s, d + 1), e.transpose(0, 2, 1)
+    a = q @ seen
     a += causal
-    if not safe:
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(a, out=a)
+        c = (a @ e).reshape(-1, d + 1)
+    if not _within(c[:, d]):
+        a = q @ seen
+        a += causal
         a += keys[:, None, :]
         a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    c = (a @ v).reshape(-1, d + 1)
+        np.exp(a, out=a)
+        c = (a @ e).reshape(-1, d + 1)
     inv = 1 / c[:, d:]
-    c = c[:, :d] * inv
-    h = c @ m["o"]
+    c *= inv
+    h = c @ vo
     h += eq
-    r = h @ m["w1"]
-    np.maximum(r, 0, out=r)
-    g = r @ m["w2"]
+    r = h @ w1
+    np.maximum(r, _filled(0, r.shape, r.dtype), out=r)
+    g = r @ w2
     g += h
-    z = g @ m["out"]
-    z += m["bias"]
-    if not _within(z):
+    z = g @ last
+    ones = _filled(1, (p.classes,), z.dtype)
+    with np.errstate(over="ignore", invalid="ignore"):
+        share = np.exp(z)
+        total = share @ ones
+    if not _within(total):
         z -= z.max(-1, keepdims=True)
-    share = np.exp(z)
-    total = share @ np.ones(p.classes, z.dtype)
-    return z, np.log(total), (e, eq, q, k, v, seen, a, inv, c, h, r, g, share, total)
+        share = np.exp(z)
+        total = share @ ones
+    return z, np.log(total), (e, gone, eq, q, a, inv, c, h, r, g, share, total, joined)
 
 
 def forward(m: dict, x: np.ndarray, keys: np.ndarray, causal: np.ndarray, p: Params):
@@ -262,45 +322,43 @@ def forward(m: dict, x: np.ndarray, keys: np.ndarray, causal: np.ndarray, p: Par
 def gradient(m: dict, x: np.ndarray, z: np.ndarray, kept, y: np.ndarray, scored: np.ndarray, p: Params) -> dict:
     """Gradient of the mean negative log-probability of classes ``y``; uses up
     ``kept``."""
-    e, eq, q, k, v, seen, a, inv, c, h, r, g, share, total = kept
+    e, gone, eq, q, a, inv, c, h, r, g, share, total, (embed, _, qk, vo, w1, w2, last) = kept
     s, d, (b, n) = p.stride, p.dim, x.shape
     each = lambda t: t.reshape(b, -1, t.shape[-1])
-    weight = (scored.ravel() / max(1, scored.sum())).astype(z.dtype)
+    # Rows of dz lack their factor ``by``, which goes to the narrow products.
+    by = (scored.ravel() / (max(1, scored.sum()) * total)).astype(z.dtype)[:, None]
     dz = share
-    dz *= (weight / total)[:, None]
-    dz.reshape(-1)[np.arange(b * s) * p.classes + y.ravel()] -= weight
-    out = {"out": g.T @ dz, "bias": np.ones(b * s, z.dtype) @ dz}
-    dg = dz @ m["out"].T
-    out["w2"] = r.T @ dg
-    du = dg @ m["w2"].T
+    dz.reshape(-1)[np.arange(b * s) * p.classes + y.ravel()] -= total
+    g *= by
+    dlast = g.T @ dz
+    dg = dz @ last.T
+    dg *= by
+    du = dg @ w2.T
     du *= r > 0
-    out["w1"] = h.T @ du
-    dh = du @ m["w1"].T
+    dh = du @ w1.T
     dh += dg
-    out["o"] = c.T @ dh
+    dvo = (c.T @ dh)[:d, :d]
     # The last column takes off a row's mean of da, the product of dc and c.
-    dc = np.empty((b * s, d + 1), z.dtype)
-    np.matmul(dh, m["o"].T, out=dc[:, :d])
-    dc[:, d] = -(dc[:, :d] * c) @ np.ones(d, z.dtype)
+    dc = dh @ vo.T
+    dc[:, d] = -((dc * c) @ _filled(1, (d + 1,), z.dtype))
     dc *= inv
-    da = each(dc) @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    da = each(dc) @ e.transpose(0, 2, 1)
     da *= a
-    dv = (a.transpose(0, 2, 1) @ each(dc[:, :d]) * seen[..., None]).reshape(-1, d)
-    dq, dk = (da @ each(k)).reshape(-1, d), (da.transpose(0, 2, 1) @ each(q)).reshape(-1, d)
-    scale = np.float32(d ** -0.5)
-    out["q"], out["k"], out["v"] = (eq.T @ dq) * scale, e.T @ dk, e.T @ dv
-    de = dk @ m["k"].T
-    de += dv @ m["v"].T
-    dh += dq @ (m["q"].T * scale)
-    de = each(de)
+    dq = (da @ e).reshape(-1, d + 1)
+    dqk = (eq.T @ dq)[:d, :d] * z.dtype.type(d ** -0.5)
+    de = a.transpose(0, 2, 1) @ each(dc)
+    de += da.transpose(0, 2, 1) @ q
+    dh += dq @ qk.T
     de[:, -s:] += each(dh)
-    out["place"] = de.sum(0)
+    de.reshape(-1, d + 1)[gone] = 0
     order = np.argsort(x, axis=None, kind="stable")
     of = x.ravel()[order]
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    out["embed"] = np.zeros_like(m["embed"])
-    out["embed"][of[first]] = np.add.reduceat(de.reshape(-1, d).take(order, 0), first)
-    return out
+    dembed = np.zeros_like(embed)
+    dembed[of[first]] = np.add.reduceat(de.reshape(-1, d + 1).take(order, 0), first)
+    return {"embed": dembed[:, :d], "place": de.sum(0)[:, :d], "q": dqk @ m["k"], "k": dqk.T @ m["q"],
+            "v": dvo @ m["o"].T, "o": m["v"].T @ dvo, "w1": (h.T @ du)[:d], "w2": (r.T @ dg)[:, :d],
+            "out": dlast[:d], "bias": dlast[d]}
 
 
 class Adam:
@@ -323,9 +381,9 @@ class Adam:
 
 
 def learn(opt: Adam, w: Windows, picks, ids: np.ndarray, lay: Layout, end: int, p: Params) -> None:
-    bucket, cls = lay.bucket[ids], lay.cls[ids].astype(np.min_scalar_type(p.classes))
+    take = w.over(lay.bucket[ids], lay.bucket[end], lay.cls[ids].astype(np.min_scalar_type(p.classes)))
     for pick in picks:
-        x, keys, scored, y = w.take(pick, bucket, lay.bucket[end], cls)
+        x, keys, scored, y = take(pick)
         z, _, kept = logits(opt.m, x, keys, w.causal, p)
         opt.step(gradient(opt.m, x, z, kept, y, scored, p))
 
@@ -370,23 +428,34 @@ def _sample_ids(path: str):
     return run
 
 
-_GATHERED = "kind int, key long, n long, data binary"
+_GATHERED = "kind int, key long, n long, data binary, words binary, rid "
+#: A distinct word of a text: its hash and how often it comes.
+_WORD = np.dtype([("key", "<i8"), ("n", "<i4")])
 
 
 def _stored_id(end: int) -> str:
     return "<u2" if end < 1 << 16 else "<i4"
 
 
-def _rows(kind, key, n, data=None):
+def _rows(kind, key, n, data=None, own=None, rid=None, rid_type=None):
+    none = pa.nulls(len(n), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(key), kind, np.int32)), pa.array(np.asarray(key, np.int64)),
-         pa.array(np.asarray(n, np.int64)), pa.array([None] * len(key) if data is None else data, pa.binary())],
-        ["kind", "key", "n", "data"])
+        [pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(n))), pa.array(np.broadcast_to(np.asarray(key, np.int64), len(n))),
+         pa.array(np.asarray(n, np.int64)), none if data is None else pa.array(data, pa.binary()),
+         none if own is None else pa.array(own, pa.binary()), pa.nulls(len(n), rid_type) if rid is None else rid],
+        ["kind", "key", "n", "data", "words", "rid"])
+
+
+def _cuts(flat: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The bytes of consecutive runs of ``size`` values."""
+    raw, ends = flat.tobytes(), (np.cumsum(size) * flat.itemsize).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _gather(path: str, end: int):
     """Per task: counts of words (kind 0), of subwords (kind 1), number of
-    texts (kind 2); and every text's number of subwords and their ids (kind 3)."""
+    texts (kind 2), all of training texts; and every text's number of subwords,
+    their ids and its distinct words (kind 3; 4 if it is held out)."""
     def merged(parts):
         key = np.concatenate([k for k, _ in parts])
         n = np.concatenate([n for _, n in parts])
@@ -394,27 +463,42 @@ def _gather(path: str, end: int):
         return key, np.bincount(of, weights=n).astype(np.int64)
 
     def run(batches):
-        sub, texts, parts, held = np.zeros(end + 1, np.int64), 0, [], 0
+        sub, texts, parts, held, kind = np.zeros(end + 1, np.int64), 0, [], 0, None
         for b in batches:
-            for _, t in token_stream(b.column("text"), path):
-                parts.append((t.word.view(np.int64), np.bincount(t.of, minlength=len(t.word))))
-                held += len(t.word)
+            out, kind = b.column("held_out").to_numpy(zero_copy_only=False), b.column("rid").type
+            for at, t in token_stream(b.column("text"), path):
+                mine = ~out[at:at + t.n].astype(bool)
+                n = np.bincount(t.of[mine[t.doc_words]], minlength=len(t.word))
+                some = np.flatnonzero(n)
+                parts.append((t.word[some].view(np.int64), n[some]))
+                held += len(some)
                 if held > 1_500_000:
-                    yield _rows(0, *merged(parts))
+                    yield _rows(0, *merged(parts), rid_type=kind)
                     parts, held = [], 0
-                sub += np.bincount(t.ids, minlength=end + 1)
-                texts += t.n
-                ids = t.ids.astype(_stored_id(end))
-                yield _rows(3, np.zeros(t.n), t.length, [ids[a:a + n].tobytes() for a, n in zip(t.start, t.length, strict=True)])
+                sub += np.bincount(t.ids[np.repeat(mine, t.length)], minlength=end + 1)
+                texts += int(mine.sum())
+                pair, first, of = distinct(t.doc_words * len(t.word) + t.of)
+                own = np.empty(len(pair), _WORD)
+                own["key"], own["n"] = t.word[t.of[first]].view(np.int64), np.bincount(of, minlength=len(pair))
+                yield _rows(np.where(mine, 3, 4), 0, t.length, _cuts(t.ids.astype(_stored_id(end)), t.length),
+                            _cuts(own, np.bincount(t.doc_words[first], minlength=t.n)), b.column("rid").slice(at, t.n))
         if parts:
-            yield _rows(0, *merged(parts))
+            yield _rows(0, *merged(parts), rid_type=kind)
         if texts:
             some = np.flatnonzero(sub)
-            yield _rows(1, some, sub[some])
-            yield _rows(2, [0], [texts])
+            yield _rows(1, some, sub[some], rid_type=kind)
+            yield _rows(2, 0, [texts], rid_type=kind)
     return run
 
 
+def gathered(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """The stored rows of ``_gather`` over ``(rid, held_out, text)``: texts are
+    cut into words and subwords once, for the counts, training and scoring."""
+    prepare(rows.sparkSession)
+    schema = _GATHERED + rows.schema["rid"].dataType.simpleString()
+    return stored(rows.select("rid", "held_out", "text").mapInArrow(_gather(path, _encoding(path)[1]), schema))
+
+
 def _fit(lay: Layout, m: dict, p: Params):
     """Per task: the number of windows it learns from, and the parameters it
     ends with."""
@@ -456,9 +540,11 @@ class Model:
     n_windows: int = 0
 
 
-def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = None) -> tuple[Model, DataFrame]:
+def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = None,
+          got: DataFrame | None = None) -> tuple[Model, DataFrame]:
     """From training rows ``(id, text)``: the model, and ``(key, n)`` of all
-    words that are not in its table of frequent words."""
+    words that are not in its table of frequent words.  ``got`` is what
+    ``gathered`` has stored of them."""
     p = params or Params()
     prepare(rows.sparkSession)
     end = _encoding(path)[1]
@@ -470,7 +556,8 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
             .groupBy("id").agg(F.min("text").alias("text")).select(order.alias("order"), "text"))
     texts = pick.mapInArrow(_sample_ids(path), "order long, ids array<int>").orderBy("order").toArrow().to_pydict()["ids"]
 
-    got = stored(rows.select("text").mapInArrow(_gather(path, end), _GATHERED))
+    if got is None:
+        got = gathered(rows.select(F.col("id").alias("rid"), F.lit(False).alias("held_out"), "text"), path)
     sums = got.where("kind < 3").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = stored(sums)
     sub = np.zeros(end + 1)
@@ -505,19 +592,20 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
     return model, word.where(F.floor(F.log2("n")) < least)
 
 
-def log10_probability(t: Tokens, m: Model) -> np.ndarray:
+def log10_probability(t: Tokens | Subwords, m: Model) -> np.ndarray:
     """The model's log10 probability of every text."""
     p, end = m.params, len(m.layout.cls) - 1
     w = Windows(t.start, t.length, p)
-    bucket, cls, within = m.layout.bucket[t.ids], m.layout.cls[t.ids].astype(np.int32), m.within[t.ids]
-    place, sums = np.arange(len(t.ids)), np.zeros(len(w.text))
+    take = w.over(m.layout.bucket[t.ids], m.layout.bucket[end], m.layout.cls[t.ids].astype(np.min_scalar_type(p.classes)))
+    sums = np.zeros(len(w.text))
     for lo in range(0, len(w.text), SCORED_TOGETHER):
         pick = slice(lo, lo + SCORED_TOGETHER)
-        x, keys, scored, y = w.take(pick, bucket, m.layout.bucket[end], place)
+        x, keys, scored, y = take(pick)
         z, log_sum, _ = logits(m.weights, x, keys, w.causal, p)
-        own = (z.reshape(-1)[np.arange(len(z)) * p.classes + cls[y].ravel()] - log_sum).reshape(y.shape) + within[y]
-        sums[pick] = (own * scored).sum(1)
+        own = (z.reshape(-1)[np.arange(len(z)) * p.classes + y.ravel()] - log_sum).reshape(y.shape)
+        sums[pick] = np.where(scored, own, 0).sum(1, dtype=float)
     total = np.bincount(w.text, weights=sums, minlength=t.n)
+    total += np.add.reduceat(m.within[t.ids], t.start) if t.n else 0.0
     return total / np.log(10)
 
 
@@ -525,35 +613,42 @@ _SCORED = ("rid long, n_tokens long, known long, log_sum double, score double, "
            "rare array<struct<key:long,n:int>>")
 
 
+@dataclass
+class Subwords:
+    """Subword ids of consecutive texts, as they were stored."""
+
+    ids: np.ndarray
+    length: np.ndarray
+
+    def __post_init__(self):
+        self.n, self.start = len(self.length), np.cumsum(self.length) - self.length
+
+
 def _score(m: Model):
     def run(batches):
+        end = len(m.layout.cls) - 1
         for b in batches:
-            cols: list[list] = [[] for _ in range(4)]
-            keys, times, ends = [], [], [0]
-            for _, t in token_stream(b.column("text"), m.path):
-                at = np.searchsorted(m.hot, t.word)
-                hit = m.hot[np.minimum(at, max(0, len(m.hot) - 1))] == t.word if len(m.hot) else np.zeros(len(t.word), bool)
-                count = np.where(hit, m.hot_count[np.minimum(at, max(0, len(m.hot) - 1))] if len(m.hot) else 0, 0)
-                cols[0].append(np.diff(t.at) + 1)
-                cols[1].append(np.bincount(t.doc_words, weights=hit[t.of], minlength=t.n).astype(np.int64) + (m.n_texts > 0))
-                cols[2].append(np.bincount(t.doc_words, weights=np.log10(count + 1.0)[t.of], minlength=t.n)
-                               + np.log10(m.n_texts + 1.0))
-                cols[3].append(log10_probability(t, m))
-                # The other words, once for each text, with their number.
-                miss = np.flatnonzero(~hit[t.of])
-                pair, n = np.unique(t.doc_words[miss] * len(t.word) + t.of[miss], return_counts=True)
-                doc = pair // max(1, len(t.word))
-                keys.append(t.word[pair % max(1, len(t.word))].view(np.int64))
-                times.append(n.astype(np.int32))
-                ends += (ends[-1] + np.cumsum(np.bincount(doc, minlength=t.n))).tolist()
+            t = Subwords(np.frombuffer(b"".join(b.column("data").to_pylist()), _stored_id(end)), b.column("n").to_numpy())
+            each = b.column("words").to_pylist()
+            own = np.frombuffer(b"".join(each), _WORD)
+            doc = np.repeat(np.arange(t.n), np.fromiter(map(len, each), np.int64, t.n) // _WORD.itemsize)
+            key, times = np.ascontiguousarray(own["key"]), np.ascontiguousarray(own["n"])
+            word, _, of = distinct(key.view(np.uint64))
+            at = np.minimum(np.searchsorted(m.hot, word), max(0, len(m.hot) - 1))
+            hit = m.hot[at] == word if len(m.hot) else np.zeros(len(word), bool)
+            count = np.where(hit, m.hot_count[at] if len(m.hot) else 0, 0)
+            total = lambda x: np.bincount(doc, weights=x, minlength=t.n)  # noqa: E731, B023
+            # The other words, once for each text, with their number.
+            miss = np.flatnonzero(~hit[of])
+            ends = np.append(0, np.cumsum(np.bincount(doc[miss], minlength=t.n)))
             rare = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()),
-                pa.StructArray.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()),
-                                            pa.array(np.concatenate(times) if times else [], pa.int32())], ["key", "n"]))
-            flat = [np.concatenate(c) if c else np.empty(0) for c in cols]
+                pa.StructArray.from_arrays([pa.array(key[miss]), pa.array(times[miss])], ["key", "n"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("rid"), pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()),
-                 pa.array(flat[2], pa.float64()), pa.array(flat[3], pa.float64()), rare],
+                [b.column("rid"), pa.array(total(times).astype(np.int64) + 1),
+                 pa.array(total(hit[of] * times).astype(np.int64) + (m.n_texts > 0)),
+                 pa.array(total(np.log10(count + 1.0)[of] * times) + np.log10(m.n_texts + 1.0)),
+                 pa.array(log10_probability(t, m)), rare],
                 [f.split()[0] for f in ("rid", "n_tokens", "known", "log_sum", "score", "rare")])
     return run
 
@@ -565,11 +660,12 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     leaves ``held`` modulo ``mod`` are not trained on."""
     out_of = F.coalesce(crc_mod(id_col, mod) == held, F.lit(False))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), out_of.alias("held_out"))
-    model, rare = train(src.where(~F.col("held_out")).select("id", "text"), path=path, params=params)
-    kind = docs.schema[id_col].dataType.simpleString()
-    keyed = src.select(F.struct(F.monotonically_increasing_id().alias("r"), "id", "held_out").alias("rid"), "text")
-    schema = _SCORED.replace("rid long", f"rid struct<r:long,id:{kind},held_out:boolean>")
-    scored = stored(keyed.mapInArrow(_score(model), schema).select("rid.*", *[c for c in (
+    rid = F.struct(F.monotonically_increasing_id().alias("r"), "id", "held_out").alias("rid")
+    got = gathered(src.select(rid, "held_out", "text"), path)
+    model, rare = train(src.where(~F.col("held_out")).select("id", "text"), path=path, params=params, got=got)
+    schema = _SCORED.replace("rid long", f"rid {got.schema['rid'].dataType.simpleString()}")
+    texts = got.where("kind >= 3").select("rid", "n", "data", "words")
+    scored = stored(texts.mapInArrow(_score(model), schema).select("rid.*", *[c for c in (
         "n_tokens", "known", "log_sum", "score", "rare")]))
     words_of = scored.select("r", F.inline("rare"))
     rest = (words_of.join(rare.select("key", F.col("n").alias("c")), "key")

@@ -51,3 +51,34 @@ def test_adam_steps_all_parameters_as_each_alone():
             b[k] += 0.01 * (g * g - b[k])
             m[k] -= (fix * a[k] / (np.sqrt(b[k]) + 1e-8)).astype(np.float32)
     assert all((opt.m[k] == m[k]).all() for k in m)
+
+
+def test_texts_are_cut_once_for_counts_training_and_scores(spark):
+    """Before, every training text was cut into subwords again to be scored."""
+    rows = [(0, "Red red blue", False), (1, "blue x9 x9", True), (2, None, False), (None, "", True)]
+    rows = spark.createDataFrame(rows, "rid long, text string, held_out boolean").coalesce(1)
+    got = L.gathered(rows).collect()
+    t = L.Tokens(*(lambda raw: (np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))(
+        [(r.text or "").encode() for r in rows.collect()]), L.VOCABULARY)
+    texts = {r.rid: r for r in got if r.kind >= 3}
+    assert {k: r.kind for k, r in texts.items()} == {0: 3, 1: 4, 2: 3, None: 4}
+    assert [texts[k].n for k in (0, 1, 2, None)] == t.length.tolist()
+    assert b"".join(texts[k].data for k in (0, 1, 2, None)) == t.ids.astype(L._stored_id(L._encoding(L.VOCABULARY)[1])).tobytes()
+    words = {k: np.frombuffer(r.words, L._WORD).tolist() for k, r in texts.items()}
+    assert [sorted(n for _, n in words[k]) for k in (0, 1, 2, None)] == [[1, 2], [1, 2], [], []]
+    # Counts are those of the training texts alone.
+    assert {r.key: r.n for r in got if r.kind == 0} == dict(words[0])
+    mine = np.bincount(np.concatenate([t.ids[:t.length[0]], t.ids[-2:-1]]))
+    assert {r.key: r.n for r in got if r.kind == 1} == {i: mine[i] for i in np.flatnonzero(mine)}
+    assert [r.n for r in got if r.kind == 2] == [2]
+
+
+def test_masked_first_keys_change_nothing():
+    """What lies before a text's first position has no weight, whatever is read there."""
+    p = L.Params()
+    w = L.Windows(np.array([0, 20]), np.array([20, 5]), p)
+    x, keys, scored, _ = w.take(slice(None), np.arange(25), 3)
+    assert scored.sum(1).tolist() == [16, 4, 5] and (keys[0, :8] < 0).all() and (keys[1, :8] == 0).all() and (keys[2, :8] < 0).all()
+    z, _ = L.forward(L.initial(p), x, keys, w.causal, p)
+    other, _ = L.forward(L.initial(p), np.where(keys < 0, 77, x), keys, w.causal, p)
+    assert np.allclose(z[scored], other[scored], atol=1e-6)
