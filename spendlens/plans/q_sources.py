@@ -13,7 +13,7 @@ from spendlens.operators import kpis, spending
 from spendlens.operators.rewards import Rewards
 from spendlens.plans.q_rewards import category_extra_rewards as extra_rewards
 from spendlens.plans.q_spending import breakdown_sql
-from spendlens.plans.registry import QUERIES, register, scratch
+from spendlens.plans.registry import QUERIES, exchanges_for, register, scratch
 from spendlens.plans.sqlkit import MS, R, anchor_cte, q, with_ledger
 from spendlens.sources import loaders, sinks, store
 
@@ -42,7 +42,8 @@ def _csv_folder(led) -> str:
         # One header a file, as any exporter of several files writes it.  Files come
         # as the rows lie: their number grows with the input, and no row moves again.
         lines = t.select(line.alias("line"))
-        lines.mapInArrow(_with_header(",".join(fields)), "line string").write.text(f"{path}/transaction_data.csv")
+        with exchanges_for(led.transactions):
+            lines.mapInArrow(_with_header(",".join(fields)), "line string").write.text(f"{path}/transaction_data.csv")
         return path
     return led.memo(("csv",), build)
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,39 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+#: Bytes of input files that are meant for one partition of an exchange.
+PARTITION_BYTES = 32 << 20
+_FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+@contextmanager
+def exchanges_for(df: DataFrame) -> Iterator[None]:
+    """While a query writes files made from ``df``, exchanges start with a number
+    of partitions that grows with the files it reads (the session's own number
+    at least), so none of them gets a fixed share of the input; adaptive
+    execution merges small ones."""
+    spark = df.sparkSession
+    jvm, names = spark._jvm, {}
+    for f in df.inputFiles():
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        names.setdefault(at.getParent().toString(), set()).add(at.getName())
+    total = 0
+    for folder, mine in names.items():  # one listing a folder, not a call a file
+        root = jvm.org.apache.hadoop.fs.Path(folder)
+        found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+        total += sum(x.getLen() for x in found if x.getPath().getName() in mine)
+    before = spark.conf.get(_FIRST_PARTITIONS, None)
+    own = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(_FIRST_PARTITIONS, str(max(own, -(-total // PARTITION_BYTES))))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FIRST_PARTITIONS)
+        else:
+            spark.conf.set(_FIRST_PARTITIONS, before)
+
+
 def input_state(spark: SparkSession, sf_dir: str) -> tuple:
     """Name, time, size and number of files of each table below a folder, from
     the file system's own summaries (one call a table)."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import make_ledger, ts
-from spendlens.plans import q_sources
+from spendlens.plans import q_sources, registry
 from spendlens.sources import store
 from spendlens.sources.bindings import ledger as bind
 
@@ -66,3 +66,39 @@ def test_rows_on_the_cuts_and_without_a_date(spark):
     late = make_ledger(spark, [(1, 1, 10.0, ts())])
     assert [p.count() for p in q_sources._by_load(late)] == [0, 0, 1]
     assert q_sources._stored(late).activity.count() == 1
+
+
+@pytest.fixture
+def small_partitions(spark, monkeypatch):
+    """Few partitions for the session, small ones for the input at hand."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "2",
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    monkeypatch.setattr(registry, "PARTITION_BYTES", 4 << 10)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_the_csv_is_joined_in_partitions_that_grow_with_the_input(spark, small_partitions):
+    """Before, the session's number of partitions held whatever the input: two here."""
+    path = f"{q_sources._csv_folder(bind(spark, SF, 'O'))}/transaction_data.csv"
+    assert spark.read.text(path).select(F.input_file_name()).distinct().count() > 4
+    assert spark.conf.get(registry._FIRST_PARTITIONS, None) is None
+
+
+def test_the_number_of_first_partitions_is_set_back(spark, small_partitions, tmp_path):
+    many = spark.range(4000).repartition(3)
+    with registry.exchanges_for(many):  # reads no files
+        assert spark.conf.get(registry._FIRST_PARTITIONS) == "2"
+    many.write.parquet(f"{tmp_path}/a b")
+    size = sum(f.stat().st_size for f in (tmp_path / "a b").glob("part-*"))
+    spark.conf.set(registry._FIRST_PARTITIONS, "3")
+    with pytest.raises(KeyError), registry.exchanges_for(spark.read.parquet(f"{tmp_path}/a b")):
+        assert spark.conf.get(registry._FIRST_PARTITIONS) == str(-(-size // (4 << 10)))
+        raise KeyError
+    assert spark.conf.get(registry._FIRST_PARTITIONS) == "3"
+    spark.conf.unset(registry._FIRST_PARTITIONS)
