@@ -102,3 +102,14 @@ def test_the_number_of_first_partitions_is_set_back(spark, small_partitions, tmp
         raise KeyError
     assert spark.conf.get(registry._FIRST_PARTITIONS) == "3"
     spark.conf.unset(registry._FIRST_PARTITIONS)
+
+
+def test_loads_are_stored_in_partitions_that_grow_with_the_input(spark, small_partitions, monkeypatch):
+    seen, by_load, append = [], q_sources._by_load, store.append_transactions
+    on = lambda: seen.append(int(spark.conf.get(registry._FIRST_PARTITIONS, "2")))
+    monkeypatch.setattr(q_sources, "_by_load", lambda led: (on(), by_load(led))[1])
+    monkeypatch.setattr(store, "append_transactions", lambda *a: (on(), append(*a))[1])
+    led = bind(spark, SF, "N")
+    kept = q_sources._stored(led)
+    assert len(seen) == 3 and min(seen) > 4 and spark.conf.get(registry._FIRST_PARTITIONS, None) is None
+    assert kept.transactions.count() == led.transactions.count()
