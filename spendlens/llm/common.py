@@ -186,12 +186,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spendlens-llm/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts
-    lineage and survives lost executors.  The files go when the session ends."""
+    lineage and survives lost executors.  The files go when the session ends.
+    A task holds a row group in memory when it writes and when it reads;
+    ``row_group`` sets its bytes where rows are wide."""
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.parquet(path)
+    (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

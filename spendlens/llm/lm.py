@@ -46,6 +46,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose words are encoded together.
 TOGETHER = 4 << 20
+#: Bytes of stored ids and words that a task holds of a file, and rows of counts that it sends on at once.
+ROW_GROUP, COUNTS_TOGETHER = 16 << 20, 1 << 16
 #: Windows that are scored together.
 SCORED_TOGETHER = 512
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -143,11 +145,15 @@ class Tokens:
         length = np.bincount(w.doc, weights=each, minlength=self.n).astype(np.int64) + 1
         self.start = np.cumsum(length) - length
         self.length = length
+        del w
         self.ids = np.full(int(length.sum()), end, np.int32)
         if len(each):
-            # Where each token goes: all tokens before it, and one end for each text before.
-            to = np.arange(each.sum()) + np.repeat(w.doc, each)
-            self.ids[to] = flat[np.repeat(begin[self.of] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+            # Tokens go in order to all places but the texts' last ones.
+            of = np.repeat(begin[self.of] - (np.cumsum(each) - each), each)
+            of += np.arange(len(of))
+            inside = np.ones(len(self.ids), bool)
+            inside[self.start + length - 1] = False
+            self.ids[inside] = flat[of]
 
 
 def token_stream(text: pa.Array, path: str):
@@ -194,6 +200,14 @@ def initial(p: Params) -> dict[str, np.ndarray]:
             .astype(np.float32) for k, s in shapes.items()}
 
 
+def _flags(begin: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """``n`` flags, set from each ``begin`` on for its ``length`` (1 or more)."""
+    step = np.zeros(n + 1, np.int8)
+    step[begin] += 1
+    step[begin + length] -= 1
+    return np.cumsum(step[:n], dtype=np.int8, out=step[:n]).view(bool)
+
+
 class Windows:
     """Overlapping windows over consecutive texts.  Position ``t`` of a text
     reads the token before it (the end token for the first)."""
@@ -207,8 +221,11 @@ class Windows:
         # of it lies what its first window reads before its first position.
         self.rows = len(self.text)
         self.first = np.arange(self.rows) * p.stride + self.text * self.before
-        self.own = np.arange(length.sum()) + np.repeat((np.cumsum(n) - n) * p.stride - (np.cumsum(length) - length), length)
-        self.read = self.own + np.repeat(np.arange(1, len(length) + 1) * self.before, length)
+        # Places of tokens as flags of a byte, in order of the texts.
+        begin = (np.cumsum(n) - n) * p.stride
+        self.own = _flags(begin, length, self.rows * p.stride)
+        self.read = _flags(begin + np.arange(1, len(length) + 1) * self.before, length,
+                           max(p.context, self.rows * p.stride + len(length) * self.before))
 
     def over(self, ids: np.ndarray, end, targets: np.ndarray | None = None):
         """A function of window numbers that gives their inputs (windows,
@@ -216,18 +233,16 @@ class Windows:
         stride), taken from ``targets`` (``ids`` if None)."""
         view, p = np.lib.stride_tricks.sliding_window_view, self.p
         targets = ids if targets is None else targets
-        filled = max(p.context, self.rows * p.stride + len(self.start) * self.before)
-        x = np.full(filled, end, np.result_type(ids, np.min_scalar_type(end)))
+        x = np.full(len(self.read), end, np.result_type(ids, np.min_scalar_type(end)))
         last = np.empty_like(x, shape=len(ids))
         last[1:], last[self.start] = ids[:-1], end
         x[self.read] = last
-        keys = np.full(filled, -1e9, np.float32)
-        keys[self.read] = 0
-        y, scored = np.zeros(self.rows * p.stride, targets.dtype), np.zeros(self.rows * p.stride, bool)
-        y[self.own], scored[self.own] = targets, True
-        x, keys = view(x, p.context), view(keys, p.context)
-        y, scored = y.reshape(-1, p.stride), scored.reshape(-1, p.stride)
-        return lambda pick: (x[self.first[pick]], keys[self.first[pick]], scored[pick], y[pick])
+        y = np.zeros(len(self.own), targets.dtype)
+        y[self.own] = targets
+        x, read = view(x, p.context), view(self.read, p.context)
+        y, scored = y.reshape(-1, p.stride), self.own.reshape(-1, p.stride)
+        mask = np.array([-1e9, 0], np.float32)
+        return lambda pick: (x[self.first[pick]], mask.take(read[self.first[pick]].view(np.uint8)), scored[pick], y[pick])
 
     def take(self, pick, ids: np.ndarray, end, targets: np.ndarray | None = None):
         return self.over(ids, end, targets)(pick)
@@ -381,7 +396,7 @@ class Adam:
 
 
 def learn(opt: Adam, w: Windows, picks, ids: np.ndarray, lay: Layout, end: int, p: Params) -> None:
-    take = w.over(lay.bucket[ids], lay.bucket[end], lay.cls[ids].astype(np.min_scalar_type(p.classes)))
+    take = w.over(lay.bucket[ids], lay.bucket[end], lay.cls.astype(np.min_scalar_type(p.classes))[ids])
     for pick in picks:
         x, keys, scored, y = take(pick)
         z, _, kept = logits(opt.m, x, keys, w.causal, p)
@@ -460,7 +475,8 @@ def _gather(path: str, end: int):
         key = np.concatenate([k for k, _ in parts])
         n = np.concatenate([n for _, n in parts])
         key, of = np.unique(key, return_inverse=True)
-        return key, np.bincount(of, weights=n).astype(np.int64)
+        n = np.bincount(of, weights=n).astype(np.int64)
+        return [(key[i:i + COUNTS_TOGETHER], n[i:i + COUNTS_TOGETHER]) for i in range(0, len(key), COUNTS_TOGETHER)]
 
     def run(batches):
         sub, texts, parts, held, kind = np.zeros(end + 1, np.int64), 0, [], 0, None
@@ -473,7 +489,7 @@ def _gather(path: str, end: int):
                 parts.append((t.word[some].view(np.int64), n[some]))
                 held += len(some)
                 if held > 1_500_000:
-                    yield _rows(0, *merged(parts), rid_type=kind)
+                    yield from (_rows(0, *some, rid_type=kind) for some in merged(parts))
                     parts, held = [], 0
                 sub += np.bincount(t.ids[np.repeat(mine, t.length)], minlength=end + 1)
                 texts += int(mine.sum())
@@ -483,7 +499,7 @@ def _gather(path: str, end: int):
                 yield _rows(np.where(mine, 3, 4), 0, t.length, _cuts(t.ids.astype(_stored_id(end)), t.length),
                             _cuts(own, np.bincount(t.doc_words[first], minlength=t.n)), b.column("rid").slice(at, t.n))
         if parts:
-            yield _rows(0, *merged(parts), rid_type=kind)
+            yield from (_rows(0, *some, rid_type=kind) for some in merged(parts))
         if texts:
             some = np.flatnonzero(sub)
             yield _rows(1, some, sub[some], rid_type=kind)
@@ -496,7 +512,7 @@ def gathered(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     cut into words and subwords once, for the counts, training and scoring."""
     prepare(rows.sparkSession)
     schema = _GATHERED + rows.schema["rid"].dataType.simpleString()
-    return stored(rows.select("rid", "held_out", "text").mapInArrow(_gather(path, _encoding(path)[1]), schema))
+    return stored(rows.select("rid", "held_out", "text").mapInArrow(_gather(path, _encoding(path)[1]), schema), ROW_GROUP)
 
 
 def _fit(lay: Layout, m: dict, p: Params):
@@ -566,8 +582,9 @@ def train(rows: DataFrame, *, path: str = VOCABULARY, params: Params | None = No
     total = counts.where("kind = 0").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_texts = sum(r.n for r in counts.where("kind = 2").collect())
     lay, m = warm_start([np.array(t, np.int32) for t in texts], starts, p, sub)
-    # Parameters meet in two steps, a few hundred tasks at a time.
-    fitted = got.where("kind = 3").select("n", "data").mapInArrow(_fit(lay, m, p), "n long, params binary")
+    # A task for each file, however many row groups it has.  Parameters meet in two steps, a few hundred tasks at a time.
+    fitted = (got.where("kind = 3").select("n", "data").coalesce(max(1, len(got.inputFiles())))
+              .mapInArrow(_fit(lay, m, p), "n long, params binary"))
     some = fitted.select("n", "params", F.pmod(F.xxhash64("params"), F.lit(64)).alias("g"))
     mean = some.groupBy("g").applyInPandas(_mean_params, "n long, params binary")
     mean = mean.groupBy(F.lit(0).alias("g")).applyInPandas(_mean_params, "n long, params binary").collect()
@@ -596,7 +613,7 @@ def log10_probability(t: Tokens | Subwords, m: Model) -> np.ndarray:
     """The model's log10 probability of every text."""
     p, end = m.params, len(m.layout.cls) - 1
     w = Windows(t.start, t.length, p)
-    take = w.over(m.layout.bucket[t.ids], m.layout.bucket[end], m.layout.cls[t.ids].astype(np.min_scalar_type(p.classes)))
+    take = w.over(m.layout.bucket[t.ids], m.layout.bucket[end], m.layout.cls.astype(np.min_scalar_type(p.classes))[t.ids])
     sums = np.zeros(len(w.text))
     for lo in range(0, len(w.text), SCORED_TOGETHER):
         pick = slice(lo, lo + SCORED_TOGETHER)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import dataclasses
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from spendlens.llm import lm as L
 
@@ -82,3 +84,39 @@ def test_masked_first_keys_change_nothing():
     z, _ = L.forward(L.initial(p), x, keys, w.causal, p)
     other, _ = L.forward(L.initial(p), np.where(keys < 0, 77, x), keys, w.causal, p)
     assert np.allclose(z[scored], other[scored], atol=1e-6)
+
+
+def test_windows_hold_few_bytes_a_token():
+    """Before, places of tokens were two arrays of long integers, made from more of them."""
+    length = np.random.default_rng(6).integers(1, 900, 700)
+    start, ids = np.cumsum(length) - length, np.zeros(length.sum(), np.uint16)
+    tracemalloc.start()
+    try:
+        take = L.Windows(start, length, L.Params()).over(ids, 3, ids.astype(np.uint8))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert take(slice(0, 1))[2].all() == (length[0] >= 16) and most < 16 * len(ids)
+
+
+def test_stored_ids_lie_in_small_row_groups(spark, monkeypatch):
+    """Before, a task held all its rows as one row group, to write and to read them."""
+    monkeypatch.setattr(L, "ROW_GROUP", 1 << 16)
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice(list("abcdefgh"), (200, 6)).view("U6").ravel()), i % 7 == 2) for i in range(600)]
+    rows = spark.createDataFrame(rows, "rid long, text string, held_out boolean").coalesce(1)
+    got = L.gathered(rows)
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in got.inputFiles()]
+    sizes = [f.metadata.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)]
+    assert len(files) == 1 and len(sizes) > 5 and max(sizes) < 8 << 16
+    assert got.where("kind >= 3").count() == 600
+
+
+def test_counts_leave_a_task_in_short_batches(monkeypatch):
+    """Before, all counted words of a task were one batch."""
+    monkeypatch.setattr(L, "COUNTS_TOGETHER", 100)
+    texts = [" ".join(f"w{i}" for i in range(k, k + 350)) for k in (0, 200)]
+    b = pa.RecordBatch.from_pydict({"rid": [1, 2], "held_out": [False, False], "text": texts})
+    out = [x for x in L._gather(L.VOCABULARY, L._encoding(L.VOCABULARY)[1])([b]) if x.column("kind")[0].as_py() == 0]
+    assert max(map(len, out)) == 100 and sum(map(len, out)) == 550
+    assert sorted(n for x in out for n in x.column("n").to_pylist()) == [1] * 400 + [2] * 150
