@@ -45,7 +45,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The split before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose words are encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 #: Bytes of stored ids and words that a task holds of a file, and rows of counts that it sends on at once.
 ROW_GROUP, COUNTS_TOGETHER = 16 << 20, 1 << 16
 #: Windows that are scored together.

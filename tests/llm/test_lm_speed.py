@@ -120,3 +120,19 @@ def test_counts_leave_a_task_in_short_batches(monkeypatch):
     out = [x for x in L._gather(L.VOCABULARY, L._encoding(L.VOCABULARY)[1])([b]) if x.column("kind")[0].as_py() == 0]
     assert max(map(len, out)) == 100 and sum(map(len, out)) == 550
     assert sorted(n for x in out for n in x.column("n").to_pylist()) == [1] * 400 + [2] * 150
+
+
+def test_texts_are_cut_in_short_runs():
+    """Before, arrays over the words of 4 MB of text lived at the same time."""
+    word = [f"w{i}" for i in range(2_000)]
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(word, 5_000)) for _ in range(160)]
+    b = pa.RecordBatch.from_pydict({"rid": range(160), "held_out": [False] * 160, "text": texts})
+    L._starts_word(L.VOCABULARY)
+    tracemalloc.start()
+    try:
+        got = sum(len(x) for x in L._gather(L.VOCABULARY, L._encoding(L.VOCABULARY)[1])([b]) if x.column("kind")[0].as_py() == 3)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == 160 and b.nbytes > 4 << 20 and most < 48 << 20
